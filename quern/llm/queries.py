@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from quern.llm.bpe import op1_bpe
+from quern.llm.decontam import OP8_SQL, op8_decontam
+from quern.llm.topk import OP2_SQL, op2_topk
+from quern.llm.warc import OP5_SQL, op5_warc
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op5_warc": op5_warc, "op8_decontam": op8_decontam}
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op5_warc": OP5_SQL, "op8_decontam": OP8_SQL}
