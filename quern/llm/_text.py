@@ -86,8 +86,15 @@ class Words:
         total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)
         before = np.where(self.start > 0, total[self.start - 1], np.uint64(0)) if n else np.empty(0, np.uint64)
         self.hash = mix((total[self.end - 1] - before) * down[self.start]) if n else np.empty(0, np.uint64)
+        self._total, self._before, self._down = total, before, down
         self.of = np.searchsorted(self.start, offsets)
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more bytes than so many, and the hash of their first ones; never that of a word."""
+        long = np.flatnonzero(self.end - self.start > size)
+        at = self.start[long]
+        return long, mix(mix((self._total[at + size - 1] - self._before[long]) * self._down[at]) ^ np.uint64(size))
+
     def counts(self) -> np.ndarray:
         return np.diff(self.of)
 
