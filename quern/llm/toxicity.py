@@ -27,7 +27,7 @@ from quern.llm._text import Words, list_array, steps, text_bytes
 PREFIX_BYTES = (3, 4, 5, 6, 7, 8)
 #: Features that the model keeps: those with the largest likelihood ratio above LEAST_RATIO.
 MOST_FEATURES, LEAST_RATIO = 8192, 15.0
-EPOCHS, RATE, RIDGE, SWAP_PENALTY = 400, 0.1, 2e-4, 1.0
+EPOCHS, RATE, RIDGE, SWAP_PENALTY = 400, 0.1, 2e-5, 1.0
 
 #: Identity terms in English, French, German and Spanish (fixed values): each is swapped for another of its row.
 IDENTITY_TERMS = [
