@@ -70,9 +70,10 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
 class Words:
     """The words of some texts: hash, first and past-the-end byte of each, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LOWER):
+        """letters: what each byte counts as; 0 for a byte that stands between words."""
         n = len(data)
-        low = LOWER[data]
+        low = letters[data]
         inside = low != 0
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]

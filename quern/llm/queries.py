@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.bpe import op1_bpe
+from quern.llm.ctw import op9_ctw
 from quern.llm.decontam import OP8_SQL, op8_decontam
 from quern.llm.html_text import op10_html
 from quern.llm.lshjoin import op6_lshjoin
@@ -11,5 +12,5 @@ from quern.llm.topk import OP2_SQL, op2_topk
 from quern.llm.toxicity import op7_toxicity
 from quern.llm.warc import OP5_SQL, op5_warc
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_lshjoin": op6_lshjoin, "op7_toxicity": op7_toxicity, "op8_decontam": op8_decontam, "op10_html": op10_html}
+QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_lshjoin": op6_lshjoin, "op7_toxicity": op7_toxicity, "op8_decontam": op8_decontam, "op9_ctw": op9_ctw, "op10_html": op10_html}
 ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op5_warc": OP5_SQL, "op8_decontam": OP8_SQL}
