@@ -21,5 +21,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), 1_000_000) < int(1_000_000 * most / n))
-    # both sides by key: the sample is small, and Spark chooses how to join from its measured size
-    return docs.select("doc_id", "text").join(rows, "doc_id")
+    # at most `most` keys, give or take the chance of the hash: a size that is bounded, so the texts need no shuffle
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")

@@ -16,6 +16,8 @@ import pyarrow as pa
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 SHINGLE_WORDS = 5
+#: Distinct keys that a counting task holds before it hands them on.
+HELD = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -139,3 +141,26 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     """The batch with these columns after its own; one of the same name gives way."""
     old = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name not in new}
     return pa.RecordBatch.from_pydict(old | new)
+
+
+class Counter:
+    """Sums of counts by key, merged whenever many are held."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        if self.size > 2 * HELD:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([k for k, _ in self.parts]) if self.parts else np.empty(0, np.uint64)
+        counts = np.concatenate([c for _, c in self.parts]) if self.parts else np.empty(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        merged = (keys[first], np.add.reduceat(counts, first) if len(first) else counts)
+        self.parts, self.size = [merged], len(first)
+        return merged

@@ -26,15 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._spark import crc32_mod, read, small_batches, written
-from quern.llm._text import Words, mix, steps, text_bytes
+from quern.llm._text import HELD, Counter, Words, mix, steps, text_bytes
 
 DEPTH = 5
 END = 255  # a byte that UTF-8 never holds
 #: Entries of one lookup table that is sent to executors: 100 MB at most.
 PART = 1 << 22
-#: Distinct n-grams and words that a counting task holds before it hands them on.
-HELD = 1 << 21
-
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 #: Words of the base score: what is not ASCII white space. Byte 0 is a letter, so it is written as 255.
@@ -59,29 +56,6 @@ def grams_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple
     return key[place], starts
 
 
-class Counter:
-    """Sums of counts by key, merged whenever many are held."""
-
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        self.size += len(keys)
-        if self.size > 2 * HELD:
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in self.parts]) if self.parts else np.empty(0, np.uint64)
-        counts = np.concatenate([c for _, c in self.parts]) if self.parts else np.empty(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        merged = (keys[first], np.add.reduceat(counts, first) if len(first) else counts)
-        self.parts, self.size = [merged], len(first)
-        return merged
-
-
 GRAM, WORD = 0, 1
 
 

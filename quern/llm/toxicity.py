@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._labels import SAMPLE_ROWS, labelled_sample
 from quern.llm._spark import crc32_mod, read, small_batches, written
-from quern.llm._text import Words, list_array, steps, text_bytes
+from quern.llm._text import HELD, Counter, Words, list_array, steps, text_bytes
 
 PREFIX_BYTES = (3, 4, 5, 6, 7, 8)
 #: Features that the model keeps: those with the largest likelihood ratio above LEAST_RATIO.
@@ -120,17 +120,25 @@ class Linear:
 def _counts(sample: DataFrame) -> DataFrame:
     """key, n, positive: sampled texts that have a feature, and those labelled 1 among them, counted within tasks first."""
 
+    def out(counter: Counter):
+        keys, both = counter.merge()
+        counter.parts, counter.size = [], 0
+        for a in range(0, len(keys), 1 << 16):
+            key, n = keys[a : a + (1 << 16)], both[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(n & 0xFFFFFFFF), "positive": pa.array(n >> 32)})
+
     def count(batches):
+        counter = Counter()  # texts in the lower half of a count, those labelled 1 in the upper half
         for batch in batches:
             for part in steps(batch, "text"):
                 key, at = keys_of(*text_bytes(part.column(part.schema.get_field_index("text"))))
-                y = np.repeat(part.column(part.schema.get_field_index("y")).to_numpy(), np.diff(at))
-                order = np.argsort(key)
-                key, y = key[order], y[order]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-                n = np.diff(np.append(first, len(key)))
-                positive = np.add.reduceat(y, first) if len(first) else n
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[first].view(np.int64)), "n": pa.array(n, pa.int64()), "positive": pa.array(positive, pa.int64())})
+                y = np.repeat(part.column(part.schema.get_field_index("y")).to_numpy().astype(np.int64), np.diff(at))
+                counter.add(key, (y << 32) + 1)
+                if counter.size > HELD:
+                    counter.merge()
+                    if counter.size > HELD:
+                        yield from out(counter)
+        yield from out(counter)
 
     return sample.select("text", "y").mapInArrow(count, "key long, n long, positive long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
 
@@ -145,27 +153,32 @@ def _ratio(n: Column, k: Column, all_n: int, all_k: int) -> Column:
     return 2 * (part(k, n, pos) + part(n - k, n, neg) + part(F.lit(float(all_k)) - k, other_n, pos) + part(F.lit(float(neg)) - n + k, other_n, neg))
 
 
-def fit_linear(rows: list[tuple[int, np.ndarray, np.ndarray | None]], keys: Keys) -> Linear:
-    """rows: label, features, features of the swapped copy or None. Full-batch gradient steps with per-weight scaling."""
-    n, f = len(rows), len(keys.keys)
-    if not n or len({y for y, _, _ in rows}) < 2:
-        rate = (sum(y for y, _, _ in rows) + 0.5) / (n + 1)
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of lists of integers, and the row of each; null lists are empty."""
+    lists = lists.combine_chunks().fill_null([])
+    size = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), size)
+
+
+def fit_linear(rows: pa.Table, keys: Keys) -> Linear:
+    """rows: y, own (features), swap (features of the swapped copy, or null). Full-batch gradient steps with per-weight scaling."""
+    n, f, y = rows.num_rows, len(keys.keys), rows["y"].to_numpy().astype(np.float64)
+    if not n or y.min() == y.max():
+        rate = (y.sum() + 0.5) / (n + 1)
         return Linear(keys, np.zeros(f), float(np.log(rate / (1 - rate))))
-    y = np.array([r[0] for r in rows], np.float64)
-    flat, of = np.concatenate([r[1] for r in rows]), np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    swap = [(i, a, b) for i, (_, a, b) in enumerate(rows) if b is not None]
-    plus = np.concatenate([a for _, a, _ in swap] or [np.empty(0, np.int64)]).astype(np.int64)
-    plus_of = np.repeat(np.arange(len(swap)), [len(a) for _, a, _ in swap]).astype(np.int64)
-    minus = np.concatenate([b for _, _, b in swap] or [np.empty(0, np.int64)]).astype(np.int64)
-    minus_of = np.repeat(np.arange(len(swap)), [len(b) for _, _, b in swap]).astype(np.int64)
+    flat, of = _flat(rows["own"])
+    swap = rows.filter(rows["swap"].is_valid())
+    plus, plus_of = _flat(swap["own"])
+    minus, minus_of = _flat(swap["swap"])
+    swaps = swap.num_rows
     w, bias = np.zeros(f), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
     m, v = np.zeros(f + 1), np.zeros(f + 1)
     for t in range(1, EPOCHS + 1):
         p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(of, w[flat], n) + bias, -30, 30)))
         slope = np.bincount(flat, (p - y)[of], f) / n + RIDGE * w
-        if swap:
-            gap = np.bincount(plus_of, w[plus], len(swap)) - np.bincount(minus_of, w[minus], len(swap))
-            slope += 2 * SWAP_PENALTY / len(swap) * (np.bincount(plus, gap[plus_of], f) - np.bincount(minus, gap[minus_of], f))
+        if swaps:
+            gap = np.bincount(plus_of, w[plus], swaps) - np.bincount(minus_of, w[minus], swaps)
+            slope += 2 * SWAP_PENALTY / swaps * (np.bincount(plus, gap[plus_of], f) - np.bincount(minus, gap[minus_of], f))
         g = np.append(slope, (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -198,8 +211,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str =
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "y": part.column(part.schema.get_field_index("y")), "own": list_array(own, at, pa.int32()), "swap": pa.array([swaps.get(i) for i in range(len(texts))], pa.list_(pa.int32()))})
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(encode, f"doc_id {kind}, y int, own array<int>, swap array<int>").toPandas().sort_values("doc_id")
-    return fit_linear([(int(y), np.asarray(a, np.int64), None if b is None else np.asarray(b, np.int64)) for y, a, b in zip(rows["y"], rows["own"], rows["swap"], strict=True)], keys)
+    rows = sample.mapInArrow(encode, f"doc_id {kind}, y int, own array<int>, swap array<int>").toArrow().sort_by("doc_id")
+    return fit_linear(rows, keys)
 
 
 def score_toxicity(docs: DataFrame, model: Linear) -> DataFrame:
