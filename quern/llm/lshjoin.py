@@ -245,5 +245,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     return joined.union(alone)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id names their class: of near duplicates, that with the smallest. Of rows that repeat a doc_id one stays; rows with a null doc_id all stay."""
+    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+
+
 def op6_lshjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
