@@ -2,28 +2,418 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import text as patterns
+from quern.operators import chunking, evaluation, guards, records, retrieval, threads
 from quern.operators.tally import tally
+from quern.sources import records as blocks
+from quern.streaming import threads as streams
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    """Registers a function by its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Tagged records
+
+
+@query("""
+    WITH named AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents),
+         total AS (SELECT count(DISTINCT doc_id)::DOUBLE AS t FROM documents)
+    SELECT token, count(*) AS n, round(100.0::DOUBLE * count(*) / any_value(t), 2) AS pct, list(doc_id ORDER BY doc_id)[1:3] AS examples
+    FROM named, total GROUP BY token""")
 def tally_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold each word."""
+    """How many documents hold each word, their share, and the first three."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
     return tally(read(spark, sf_dir, "documents"), words, F.col("doc_id"), []).withColumnRenamed("tag", "token")
 
 
-QUERIES = {"tally_tokens": tally_tokens}
-ORACLE_SQL = {
-    "tally_tokens": """
-        WITH named AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents),
-             total AS (SELECT count(DISTINCT doc_id)::DOUBLE AS t FROM documents)
-        SELECT token, count(*) AS n, round(100.0::DOUBLE * count(*) / any_value(t), 2) AS pct,
-               list(doc_id ORDER BY doc_id)[1:3] AS examples
-        FROM named, total GROUP BY token""",
-}
+@query("""
+    WITH named AS (SELECT DISTINCT user_id, event_type FROM events), total AS (SELECT count(DISTINCT user_id)::DOUBLE AS t FROM events)
+    SELECT event_type AS requirement, count(*) AS n, round(100.0::DOUBLE * count(*) / any_value(t), 2) AS pct, list(user_id ORDER BY user_id)[1:3] AS examples
+    FROM named, total GROUP BY event_type""")
+def tally_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many users have each type of event."""
+    return tally(read(spark, sf_dir, "events"), F.array("event_type"), F.col("user_id"), []).withColumnRenamed("tag", "requirement")
+
+
+@query("""
+    WITH named AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents),
+         t AS (SELECT token, count(*) AS n, list(doc_id ORDER BY doc_id)[1:3] AS e FROM named GROUP BY token)
+    SELECT '| ' || token || ' | ' || n || ' | ' || array_to_string(e, ', ') || ' |' AS line FROM t""")
+def tally_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tally as rows of a Markdown table."""
+    return records.markdown_rows(tally_tokens(spark, sf_dir), ["token", "n", "examples"])
+
+
+def _order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tagged records: customer, priority, nation; the order's items as snippets, its return flags as tags."""
+    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")))).alias("snippets"),
+        F.array_sort(F.collect_set(F.concat_ws("-", "l_returnflag", "l_linestatus"))).alias("tags"),
+    )
+    customers = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    none = F.array().cast("array<string>")
+    url = F.concat(F.lit("https://orders.example/(id)/"), F.col("o_orderkey").cast("string"))
+    block = blocks.record_block(F.col("c_name"), F.concat(F.lit("Order - "), "o_orderpriority"), F.col("n_name"), url, F.col("o_orderdate").cast("date"), F.coalesce("snippets", none), F.coalesce("tags", none))
+    return orders.select(block.alias("block"))
+
+
+@query("""
+    WITH i AS (SELECT l_orderkey, count(*) AS n_snippets, list_sort(list(DISTINCT l_returnflag || '-' || l_linestatus)) AS tags FROM lineitem GROUP BY l_orderkey)
+    SELECT c_name AS company, 'Order - ' || o_orderpriority AS title, n_name AS city, 'https://orders.example/(id)/' || o_orderkey AS url,
+           o_orderdate::DATE AS seen, coalesce(n_snippets, 0)::INTEGER AS n_snippets, coalesce(array_to_string(tags, ','), '') AS tags
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN i ON o_orderkey = l_orderkey""")
+def records_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as Markdown blocks, read back as records."""
+    path = scratch(spark, "records")
+    blocks.write_records(_order_records(spark, sf_dir), path)
+    back = blocks.read_records(spark, path)
+    return back.select("company", "title", "city", "url", "seen", F.size("snippets").alias("n_snippets"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("""
+    SELECT count(*)::BIGINT AS stated, count(*)::BIGINT AS found, true AS agrees
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def records_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the files state against the blocks in them."""
+    path = scratch(spark, "records")
+    blocks.write_records(_order_records(spark, sf_dir), path)
+    found = blocks.read_records(spark, path).groupBy("source_file").agg(F.count("*").alias("found"))
+    files = blocks.read_totals(spark, path).join(found, "source_file", "full")
+    return files.agg(F.sum("stated").alias("stated"), F.sum("found").alias("found"), F.bool_and(F.coalesce(F.col("stated") == F.col("found"), F.lit(False))).alias("agrees"))
+
+
+@query("""
+    WITH last AS (SELECT max(o_orderdate) AS d FROM orders)
+    SELECT o_orderkey, o_orderstatus, n_name AS city FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey, last
+    WHERE date_diff('day', o_orderdate::DATE, d::DATE) <= 60 AND o_orderstatus <> 'F' AND n_regionkey IN (1, 3)""")
+def records_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent, open records of some places."""
+    orders = read(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderdate").alias("last"))
+    near = read(spark, sf_dir, "nation").where(F.col("n_regionkey").isin(1, 3))
+    rows = records.fresh(orders.where("o_orderstatus <> 'F'").crossJoin(F.broadcast(last)), F.col("last"), F.col("o_orderdate"), 60)  # one row
+    rows = rows.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(near, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("o_orderkey", "o_orderstatus", F.col("n_name").alias("city"))
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def unique_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each text."""
+    return records.unique(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
+
+
+@query("""
+    SELECT source, kind, count(*) AS n FROM (SELECT source, 'document' AS kind FROM documents
+        UNION ALL SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), 'page' FROM pages UNION ALL SELECT role, 'turn' FROM conversations)
+    GROUP BY source, kind""")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by source over three united tables; a page's source is its host."""
+    documents = read(spark, sf_dir, "documents").select("source", F.lit("document").alias("kind"))
+    pages = read(spark, sf_dir, "pages").select(F.parse_url("url", F.lit("HOST")).alias("source"), F.lit("page").alias("kind"))
+    turns = read(spark, sf_dir, "conversations").select(F.col("role").alias("source"), F.lit("turn").alias("kind"))
+    return documents.unionByName(pages).unionByName(turns).groupBy("source", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH s(word, term) AS (SELECT c_mktsegment, 'goods' FROM customer WHERE c_mktsegment IN ('FURNITURE', 'MACHINERY', 'AUTOMOBILE') GROUP BY 1)
+    SELECT coalesce(term, c_mktsegment) AS term, count(*) AS n FROM customer LEFT JOIN s ON c_mktsegment = word GROUP BY 1""")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market segments mapped to a controlled vocabulary."""
+    customers = read(spark, sf_dir, "customer")
+    synonyms = customers.where(F.col("c_mktsegment").isin("FURNITURE", "MACHINERY", "AUTOMOBILE")).select(F.col("c_mktsegment").alias("word")).distinct().withColumn("term", F.lit("goods"))
+    return records.to_vocabulary(customers, "c_mktsegment", synonyms).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+def skill_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that nobody has returned."""
+    held = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return records.gap(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), held, "p_partkey")
+
+
+@query("""
+    WITH w AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey), o AS (SELECT DISTINCT p_brand AS option, p_partkey FROM part),
+         s AS (SELECT option, sum(n)::BIGINT AS covered FROM o JOIN w ON l_partkey = p_partkey GROUP BY option)
+    SELECT option, covered, round(100.0::DOUBLE * covered / (SELECT sum(n) FROM w), 4) AS share, row_number() OVER (ORDER BY covered DESC, option)::INTEGER AS rank FROM s""")
+def option_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the demand for parts each brand covers."""
+    weights = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    return records.coverage(weights, read(spark, sf_dir, "part").select(F.col("p_brand").alias("option"), "p_partkey"), "p_partkey", "n")
+
+
+# Chunks and retrieval
+
+
+@query(r"""
+    WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents), u AS (SELECT doc_id, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS chunk FROM s)
+    SELECT doc_id, pos, md5(chunk) AS chunk_md5, regexp_extract(chunk, '^(\S+)', 1) AS title, length(chunk)::INTEGER AS n_chars FROM u WHERE length(chunk) > 0""")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut at lines; a chunk's title is its first word."""
+    found = chunking.chunk(read(spark, sf_dir, "documents"), "doc_id", "text", "\n", r"^(\S+)")
+    return found.select("doc_id", "pos", F.md5("chunk").alias("chunk_md5"), "title", "n_chars")
+
+
+@query(r"""
+    WITH s AS (SELECT page_id, string_split(html, '<p>') AS c FROM pages), u AS (SELECT page_id, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS chunk FROM s)
+    SELECT page_id, pos, md5(chunk) AS chunk_md5, regexp_extract(chunk, '<h1>([^<]*)', 1) AS title, length(chunk)::INTEGER AS n_chars FROM u WHERE length(chunk) > 0""")
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut at paragraphs; a chunk's title is a heading in it."""
+    found = chunking.chunk(read(spark, sf_dir, "pages"), "page_id", "html", "<p>", "<h1>([^<]*)")
+    return found.select("page_id", "pos", F.md5("chunk").alias("chunk_md5"), "title", "n_chars")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+_COSINE = """
+    WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+         s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS relevant, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s)"""
+
+
+@query(_COSINE + " SELECT query_id, rank, id, score FROM r WHERE rank <= 5")
+def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by cosine."""
+    return retrieval.top_k(_vectors(spark, sf_dir).select("id", "vector"), F.col("id") % 20 == 0)
+
+
+@query("""
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+         s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(-list_distance(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, id, score FROM r WHERE rank <= 5""")
+def l2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by Euclidean distance."""
+    return retrieval.top_k(_vectors(spark, sf_dir).select("id", "vector"), F.col("id") % 20 == 0, metric="l2")
+
+
+@query()
+def ann_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by an inverted-file index; tests hold its recall against the exact search."""
+    return retrieval.ivf_top_k(_vectors(spark, sf_dir).select("id", "vector"), F.col("id") % 20 == 0)
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _vectors(spark, sf_dir).select("id", "label")
+    found = cosine_top_k(spark, sf_dir)
+    return found.join(labels, "id").join(labels.withColumnsRenamed({"id": "query_id", "label": "wanted"}), "query_id").select("query_id", "rank", (F.col("label") == F.col("wanted")).alias("relevant"))
+
+
+_METRICS = _COSINE + """, f AS (SELECT query_id, min(CASE WHEN relevant THEN rank END) AS first FROM r WHERE rank <= 5 GROUP BY query_id),
+         m AS (SELECT count(*) AS queries, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5,
+                      round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f)"""
+
+
+@query(_METRICS + " SELECT * FROM m")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hit@1, hit@5 and MRR; rows of the query's label are relevant."""
+    return retrieval.relevance_metrics(_hits(spark, sf_dir), [1, 5])
+
+
+@query(_METRICS + """ SELECT 'hit_at_5' AS metric, hit_at_5 AS value, 0.8::DOUBLE AS least, hit_at_5 >= 0.8 AS passed FROM m
+    UNION ALL SELECT 'mrr', mrr, 0.5::DOUBLE, mrr >= 0.5 FROM m""")
+def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether retrieval meets its thresholds."""
+    return retrieval.gate(retrieval_metrics(spark, sf_dir), {"hit_at_5": 0.8, "mrr": 0.5})
+
+
+@query("SELECT item_id, text AS question, length(text)::INTEGER AS n_chars FROM benchmark")
+def golden_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items written as JSON lines, read under a fixed schema."""
+    path = scratch(spark, "golden")
+    read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")).write.json(path)
+    return blocks.read_jsonl(spark, path, "item_id long, question string").withColumn("n_chars", F.length("question"))
+
+
+@query("SELECT doc_id, source || ', ' || lang || ', Nr. ' || doc_id AS citation FROM documents WHERE lang = 'de'")
+def cite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of the documents in one language."""
+    nr = F.concat(F.lit("Nr. "), F.col("doc_id").cast("string"))
+    return read(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", F.concat_ws(", ", "source", "lang", nr).alias("citation"))
+
+
+# Guards
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, coalesce(json_extract(props, '$.k')::BIGINT >= 50, false) AS valid FROM events")
+def valid_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties checked against a schema and a rule."""
+    rows = guards.valid_answers(read(spark, sf_dir, "events"), "props", "k long", lambda p: p["k"] >= 50)
+    return rows.select("event_id", F.col("parsed.k").alias("k"), "valid")
+
+
+@query("SELECT event_id, user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = user_id)")
+def unknown_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose user is no supplier."""
+    known = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"))
+    return guards.unknown_citations(read(spark, sf_dir, "events").select("event_id", "user_id"), known, "user_id").select("event_id", "user_id")
+
+
+@query("SELECT lang, coalesce(lang IN ('en', 'de'), false) AS in_scope, count(*) AS n FROM documents GROUP BY ALL")
+def scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents inside and outside the scope."""
+    return read(spark, sf_dir, "documents").groupBy("lang", guards.in_scope(F.col("lang"), ["en", "de"]).alias("in_scope")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT doc_id, coalesce("
+    + " OR ".join(f"regexp_matches(text, '{p}')" for p in patterns.INJECTIONS)
+    + ", false) AS flagged FROM documents"
+)
+def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that try to turn a model against its instructions, or carry credentials."""
+    return guards.injection(read(spark, sf_dir, "documents"), "text").select("doc_id", "flagged")
+
+
+@query(rf"""
+    SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{patterns.EMAIL}', '[EMAIL]', 'g'), '{patterns.IBAN}', '[IBAN]', 'g'), '{patterns.IPV4}', '[IP]', 'g')) AS redacted_md5
+    FROM documents""")
+def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without e-mail addresses, account numbers and IP addresses."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(patterns.redact(F.col("text"))).alias("redacted_md5"))
+
+
+ROUTES = [("regulation", r"(?i)\b(?:license|licensed|copyright)\b"), ("credentials", r"(?i)\b(?:token|password|key)\b *[=:]")]
+
+
+@query("""
+    WITH h AS (SELECT doc_id, regexp_matches(text, '(?i)\\b(?:license|licensed|copyright)\\b')::INT AS a, regexp_matches(text, '(?i)\\b(?:token|password|key)\\b *[=:]')::INT AS b FROM documents)
+    SELECT CASE WHEN coalesce(a + b, 0) = 0 THEN 'out_of_scope' WHEN a + b = 2 THEN 'both' WHEN a = 1 THEN 'regulation' ELSE 'credentials' END AS route, count(*) AS n FROM h GROUP BY 1""".replace("\\\\", "\\"))
+def router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the rule that they match."""
+    return read(spark, sf_dir, "documents").groupBy(guards.route(F.col("text"), ROUTES).alias("route")).agg(F.count("*").alias("n"))
+
+
+@query()
+def model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An injected model over all documents; here a stand-in that rates a text by its length."""
+    return guards.with_model(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "rating", _length_rating, "double").select("doc_id", "rating")
+
+
+def _length_rating(texts):
+    return texts.fillna("").str.len().clip(upper=1000) / 1000.0
+
+
+# Rates, threads, usage
+
+
+@query("SELECT source, count(*) AS n, round(avg(toxic::DOUBLE), 6) AS success_rate FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL GROUP BY source")
+def success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of toxic documents by source."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return evaluation.rate(rows, ["source"], F.col("toxic"), "success_rate")
+
+
+@query("""
+    WITH p AS (SELECT quality AS a, (n_chars >= 1000)::INTEGER AS b FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+         t AS (SELECT count(*) AS n, avg((a = b)::INT::DOUBLE) AS p, avg(a::DOUBLE) AS pa, avg(b::DOUBLE) AS pb FROM p)
+    SELECT n, round(p, 6) AS agreement, round((p - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) AS kappa FROM t""")
+def judge_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the quality label with a rule on length."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") >= 1000).cast("int").alias("judge")), "doc_id")
+    return evaluation.kappa(rows, "quality", "judge")
+
+
+@query("""
+    SELECT event_id, value, CASE WHEN value IS NULL OR value < 10 THEN 'human' ELSE 'accepted' END AS decision, coalesce(CASE WHEN value >= 10 THEN event_type END, 'retrieval only') AS answer FROM events""")
+def critic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low scores go to a human, and their answer falls back."""
+    sure = F.coalesce(F.col("value") >= 10, F.lit(False))
+    return read(spark, sf_dir, "events").select("event_id", "value", F.when(sure, "accepted").otherwise("human").alias("decision"), F.coalesce(F.when(sure, F.col("event_type")), F.lit("retrieval only")).alias("answer"))
+
+
+@query("""
+    SELECT conv_id, turn, role, lag(role) OVER w AS previous_role, length(lag(text) OVER w)::INTEGER AS previous_chars, row_number() OVER w::INTEGER AS turns_so_far
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def thread_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with what its thread said before."""
+    rows = threads.with_context(read(spark, sf_dir, "conversations"), "conv_id", "turn", ["role", "text"])
+    return rows.select("conv_id", "turn", "role", "previous_role", F.length("previous_text").alias("previous_chars"), "turns_so_far")
+
+
+@query("""
+    WITH v AS (SELECT conv_id, max(n) AS m FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id)
+    SELECT conv_id, count(*)::INTEGER AS n_steps, string_agg(role, '>' ORDER BY turn, role) AS path, any_value(m) AS most_visits, any_value(m) <= 3 AS within_limit
+    FROM conversations JOIN v USING (conv_id) GROUP BY conv_id""")
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of each conversation and whether it stays within the loop limit."""
+    return threads.trajectory(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", 3)
+
+
+@query("""
+    SELECT event_type, count(*) AS requests, round(sum(value), 4) AS total_cost, round(100.0::DOUBLE * sum(value) / count(DISTINCT user_id), 4) AS cost_per_100 FROM events GROUP BY event_type""")
+def request_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost per type of request and per 100 users."""
+    return threads.usage(read(spark, sf_dir, "events"), "event_type", F.col("value"), F.col("user_id"))
+
+
+
+@query("""
+    SELECT strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%d %H:%M') AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL""")
+def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests per user and minute."""
+    return threads.tumbling(read(spark, sf_dir, "events"), "ts", "1 minute", "user_id").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+@query("""
+    SELECT event_id, count(*) OVER w AS n_recent, count(*) OVER w > 2 AS limited FROM (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)""")
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests beyond two a day, rolling."""
+    return threads.rolling(read(spark, sf_dir, "events"), "ts", 86400, "user_id", 2).select("event_id", "n_recent", "limited")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # as a pattern: a table may be one file
+
+
+@query("""
+    WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS b, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT strftime(b, '%Y-%m-%d %H:%M') AS window_start, event_type, n FROM w WHERE b + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts from a stream, of the windows that the watermark has closed."""
+    counts = streams.windowed_counts(_event_stream(spark, sf_dir), "ts", "1 hour", "10 minutes", ["event_type"])
+    done = streams.drain(counts, scratch(spark, "windows"), scratch(spark, "checkpoint"))
+    return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+@query("SELECT user_id AS key, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals per user from a stream with keyed state; the last of each user."""
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        done = streams.drain(streams.thread_totals(_event_stream(spark, sf_dir), "user_id", "value"), scratch(spark, "threads"), scratch(spark, "checkpoint"), "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    return done.groupBy("key").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
