@@ -87,7 +87,7 @@ def fit_centroids(vectors: DataFrame, lists: int, rounds: int = 10) -> np.ndarra
     return centers
 
 
-def ivf_top_k(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 32, probes: int = 12, metric: str = "cosine") -> DataFrame:
+def ivf_top_k(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 32, probes: int = 22, metric: str = "cosine") -> DataFrame:
     """Like top_k, but each query meets only the lists of its nearest centroids. Every row is indexed.
 
     Lists are cut into blocks of about BLOCK rows by hash of the id, so a list
