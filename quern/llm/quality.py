@@ -191,7 +191,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep, label: str = "quality"
 
     small_batches(docs.sparkSession)
     rows = _mapped(labelled_sample(docs, labels, label, keep, most), features, "features", "array<double>").select("doc_id", "features", "y").toPandas().sort_values("doc_id")
-    return fit_additive(np.array(rows["features"].tolist()).reshape(len(rows), -1), rows["y"].to_numpy(np.float64))
+    return fit_additive(np.array(rows["features"].tolist()).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(np.float64))
 
 
 def score_quality(docs: DataFrame, model: Additive) -> DataFrame:
