@@ -17,7 +17,7 @@ import pyarrow as pa
 STEP_BYTES = 2 << 20
 SHINGLE_WORDS = 5
 #: Distinct keys that a counting task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -8,9 +8,9 @@ depths are mixed by the evidence of the whole training corpus. A context that
 training has not seen is predicted by the deepest one that it has.
 
 All of it is sums over byte n-grams, so Spark computes it: tasks count n-grams
-of whole texts, one shuffle deals them by the last two context bytes, levels are
-summed upwards, weights are passed downwards by joins, and each n-gram gets the
-code length of its last byte. What is sent to scoring tasks is PART entries at
+of whole texts, one shuffle deals them by the nearest context bytes, levels are
+summed upwards, weights are passed downwards, and each n-gram gets the code
+length of its last byte. What is sent to scoring tasks is PART entries at
 most at a time; a larger model is used in parts, each n-gram in one of them, the
 texts passing once per part.
 """
@@ -18,6 +18,8 @@ texts passing once per part.
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm._graph import sorted_groups
 from quern.llm._spark import crc32_mod, read, small_batches, written
 from quern.llm._text import HELD, Counter, Words, mix, steps, text_bytes
 
@@ -70,6 +73,7 @@ def _counts(docs: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), kind, np.int32)), "key": pa.array(part.view(np.int64)), "n": pa.array(counts[a : a + (1 << 16)].astype(np.int64))})
 
     def run(batches):
+        _built.clear()  # a worker that lives on may hold tables of an earlier run
         grams, words = Counter(), Counter()
         for batch in batches:
             for part in steps(batch, "text"):
@@ -110,64 +114,128 @@ def _log_kt(zeros: Column, ones: Column) -> Column:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1.0)
 
 
-def _bits(grams: DataFrame) -> DataFrame:
-    """near, gram, n → with a row for each binary decision: node (context and the bits before), bit."""
-    bit = [F.struct(F.expr(f"((key >> 8) << 8) | {1 << j} | ((key & 255) >> {8 - j})").alias("node"), F.expr(f"CAST((key >> {7 - j}) & 1 AS INT)").alias("bit")) for j in range(8)]
-    return grams.select("near", "key", "n", F.inline(F.array(*bit)))
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """_log_kt of arrays."""
+
+    def log_gamma(x):
+        s, low = x + 8, x.copy()
+        for i in range(1, 8):
+            low *= x + i
+        return (s - 0.5) * np.log(s) - s + 0.5 * math.log(2 * math.pi) + 1 / (12 * s) - 1 / (360 * s**3) + 1 / (1260 * s**5) - np.log(low)
+
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0)
+
+
+#: Context bytes by which n-grams are dealt. What hangs below one such context has 256**(DEPTH + 1 - NEAR) n-grams at most.
+NEAR = 3
+
+
+def _mask(depth: int) -> np.uint64:
+    """Keeps a node's bits and the nearest bytes of its context."""
+    return np.uint64((1 << (8 * depth + 8)) - 1)
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return (keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values))
+
+
+def _decisions(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the eight bits of an n-gram's last byte: the node (context and the bits before it) and the bit."""
+    context, byte = (keys >> np.uint64(8)) << np.uint64(8), keys & np.uint64(255)
+    for j in range(8):
+        yield context | np.uint64(1 << j) | (byte >> np.uint64(8 - j)), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, depth: int, near: int) -> list[tuple[np.ndarray, ...]]:
+    """Nodes with zeros, ones, and at depths above `near` their weighted log probability; at `near` the sum of their children's. From `near` down."""
+    nodes, bits = zip(*_decisions(keys), strict=True)
+    nodes, bits, times = np.concatenate(nodes), np.concatenate(bits), np.tile(n.astype(np.float64), 8)
+    node, zeros, ones = _summed(nodes, times * ~bits, times * bits)
+    out = [(node, zeros, ones, _kt(zeros, ones) if depth > near else np.zeros(len(node)))]
+    for d in range(depth - 1, near - 1, -1):
+        node, zeros, ones, below = _summed(node & _mask(d), zeros, ones, out[-1][3])
+        out.append((node, zeros, ones, np.logaddexp(_kt(zeros, ones), below) - math.log(2) if d > near else below))
+    return out[::-1]
 
 
 def gram_scores(grams: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
     """key, n → key, score: log10 of the probability of the last byte in its context. And tables to release afterwards.
 
-    near, the last two context bytes, deals the rows: levels deeper than two are
-    sums and joins within a partition, in Spark's own spillable operators.
+    One shuffle deals n-grams by the nearest NEAR context bytes. Levels deeper
+    than that are summed and weighted within a task, context by context; the few
+    nodes above are sums and joins of their own.
     """
-    grams = grams.withColumn("near", F.expr("CAST((key >> 8) & 65535 AS INT)")).repartition("near").groupBy("near", "key").agg(F.sum("n").alias("n"))
-    grams = grams.persist(StorageLevel.DISK_ONLY)
-    kept = [grams]
-    sums = [F.sum(F.when(F.col("bit") == b, F.col("n")).otherwise(0)).cast("double").alias(name) for b, name in ((0, "n0"), (1, "n1"))]
-    level = _bits(grams).groupBy("near", "node").agg(*sums).withColumn("w", _log_kt(F.col("n0"), F.col("n1"))).withColumn("stop", F.lit(1.0))
-    levels = {depth: level.persist(StorageLevel.DISK_ONLY)}
-    kept.append(levels[depth])
-
-    def above(d: int) -> Column:
-        """A node's ancestor with d context bytes."""
-        return F.expr(f"node & {(1 << (8 * d + 8)) - 1}")
-
-    for d in range(depth - 1, -1, -1):
-        by = [F.col("near"), above(d).alias("node")] if d >= 2 else [above(d).alias("node")]
-        up = levels[d + 1].groupBy(*by).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("below")).withColumn("own", _log_kt(F.col("n0"), F.col("n1")))
-        both = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - math.log(2)
-        up = up.withColumn("w", both).withColumn("stop", F.exp(F.col("own") - math.log(2) - F.col("w"))).drop("own", "below")
-        levels[d] = up.persist(StorageLevel.DISK_ONLY)
+    near = min(NEAR, depth)
+    by = F.expr(f"(key >> 8) & {(1 << (8 * near)) - 1}")
+    dealt = grams.withColumn("near", by).repartition("near").groupBy("near", "key").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+
+    def up(batches):
+        for table, _ in sorted_groups(batches, ["near"]):
+            node, zeros, ones, below = _levels(table["key"].to_numpy().astype(np.uint64), table["n"].to_numpy(), depth, near)[0]
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node.astype(np.int64)), "n0": pa.array(zeros), "n1": pa.array(ones), "below": pa.array(below)})
+
+    top = dealt.sortWithinPartitions("near").mapInArrow(up, "node long, n0 double, n1 double, below double")
+    levels, kept = {}, [dealt]
+    for d in range(near, -1, -1):
+        if d < near:
+            at = F.expr(f"node & {int(_mask(d))}").alias("node")
+            top = levels[d + 1].groupBy(at).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("below"))
+        own = _log_kt(F.col("n0"), F.col("n1"))
+        if d == depth:
+            weighted = top.withColumn("w", own).withColumn("stop", F.lit(1.0))
+        else:
+            both = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - math.log(2)
+            weighted = top.withColumn("own", own).withColumn("w", both).withColumn("stop", F.exp(F.col("own") - math.log(2) - F.col("w")))
+        levels[d] = weighted.select("node", "n0", "n1", "w", "stop").persist(StorageLevel.DISK_ONLY)
         kept.append(levels[d])
 
-    # mixed: what the levels above add; left: the weight that goes on below; p: the estimate if the tree ends here
+    # mixed: what the levels above add; left: the weight that goes on below; before: the estimate if the tree ends here
     estimate = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
     down = None
-    for d in range(depth + 1):
+    for d in range(near + 1):
         if down is None:
             here = levels[0].withColumns({"mixed": F.lit(0.0), "left": F.lit(1.0), "before": F.lit(0.5)})
         else:
-            own = levels[d].withColumn("parent", above(d - 1))
-            on = ["near", "parent"] if d > 2 else ["parent"]
-            here = own.join(down.withColumnRenamed("node", "parent"), on)
-        seen = F.col("n0") + F.col("n1") > 0
-        here = here.withColumn("p", F.when(seen, F.col("mixed") + F.col("left") * estimate).otherwise(F.col("before")))
-        near = ["near"] if d >= 2 else []
-        down = here.select(*near, "node", (F.col("mixed") + F.col("left") * F.col("stop") * estimate).alias("mixed"), (F.col("left") * (1 - F.col("stop"))).alias("left"), F.col("p").alias("before"))
-    chance = here.select("near", "node", "p")
-    steps_ = _bits(grams).join(chance, ["near", "node"])
-    step = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return steps_.groupBy("near", "key").agg(F.sum(step).alias("score")).select("key", "score"), kept
+            own = levels[d].withColumn("parent", F.expr(f"node & {int(_mask(d - 1))}"))
+            here = own.join(down.withColumnRenamed("node", "parent"), "parent")
+        chance = F.when(F.col("n0") + F.col("n1") > 0, F.col("mixed") + F.col("left") * estimate).otherwise(F.col("before"))
+        down = here.select("node", (F.col("mixed") + F.col("left") * F.col("stop") * estimate).alias("mixed"), (F.col("left") * (1 - F.col("stop"))).alias("left"), chance.alias("before"))
+
+    def score(batches):
+        for table, _ in sorted_groups(batches, ["near"]):
+            states = table.filter(table["n"].is_null())
+            own = table.filter(table["n"].is_valid())
+            order = np.argsort(states["key"].to_numpy(), kind="stable")
+            node, mixed, left, before = (states[c].to_numpy()[order] for c in ("key", "mixed", "left", "before"))
+            node, keys = node.astype(np.uint64), own["key"].to_numpy().astype(np.uint64)
+            levels = _levels(keys, own["n"].to_numpy(), depth, near)
+            for i, (here, zeros, ones, w) in enumerate(levels[1:], 1):
+                d = near + i
+                at = np.searchsorted(node, here & _mask(d - 1))
+                guess = (ones + 0.5) / (zeros + ones + 1)
+                stop = np.exp(_kt(zeros, ones) - math.log(2) - w) if d < depth else np.ones(len(here))
+                mixed, left, before, node = mixed[at] + left[at] * stop * guess, left[at] * (1 - stop), np.where(zeros + ones > 0, mixed[at] + left[at] * guess, before[at]), here
+            total = np.zeros(len(keys))
+            for at, bit in _decisions(keys):
+                p = before[np.searchsorted(node, at)]
+                total += np.log10(np.where(bit, p, 1 - p))
+            yield pa.RecordBatch.from_pydict({"key": own["key"].combine_chunks(), "score": pa.array(total)})
+
+    none = [F.lit(None).cast("double").alias(c) for c in ("mixed", "left", "before")]
+    states = down.select(F.expr(f"(node >> 8) & {(1 << (8 * near)) - 1}").alias("near"), F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "mixed", "left", "before")
+    both = dealt.select("near", "key", "n", *none).union(states).repartition("near").sortWithinPartitions("near")
+    return both.mapInArrow(score, "key long, score double"), kept
 
 
 class Table:
     """Numbers by 64-bit key (never 0): open addressing, built and looked up a whole array at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, (2 * len(keys)).bit_length())
-        self.keys, self.values, self.mask = np.zeros(size, np.uint64), np.zeros(size, np.float64), np.uint64(size - 1)
+        size = 1 << max(4, (5 * len(keys) // 4).bit_length())
+        self.keys, self.values, self.mask = np.zeros(size, np.uint64), np.zeros(size, values.dtype), np.uint64(size - 1)
         left, slot = np.arange(len(keys)), mix(keys) & self.mask
         while len(left):
             free = self.keys[slot[left]] == 0
@@ -182,7 +250,7 @@ class Table:
         slot = mix(keys) & self.mask
         there = self.keys[slot]
         hit = there == keys
-        out = np.where(hit, self.values[slot], 0.0)
+        out = np.where(hit, self.values[slot], self.values.dtype.type(0))
         left = np.flatnonzero(~hit & (there != 0))
         while len(left):
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
@@ -194,18 +262,31 @@ class Table:
         return hit, out
 
 
-def _parts(df: DataFrame, value: str, most: int) -> list[Table]:
-    """The table in parts of about that many entries, by hash of the key. One part is at the driver at a time."""
+def _parts(df: DataFrame, value: str, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and values in parts of about that many entries, by hash of the key. One part is at the driver at a time."""
     n = df.count()
     number = max(1, -(-n // most))
     for i in range(number):
-        rows = (df.where(F.pmod(F.xxhash64("key"), number) == i) if number > 1 else df).select("key", value).toArrow()
-        yield Table(rows["key"].to_numpy().astype(np.int64).view(np.uint64), rows[value].to_numpy().astype(np.float64))
+        rows = (df.where(F.pmod(F.xxhash64("key"), number) == i) if number > 1 else df).select("key", value).toArrow()  # 16 bytes an entry
+        yield rows["key"].to_numpy().astype(np.int64, copy=False).view(np.uint64), rows[value].to_numpy()
+
+
+_built: dict[str, tuple[str, Table]] = {}
+
+
+def _table(kind: str, name: str, shared) -> Table:
+    """A worker builds the table of a part once and keeps it while its tasks use that part."""
+    if _built.get(kind, ("",))[0] != name:
+        _built.pop(kind, None)
+        _built[kind] = (name, Table(*shared.value))
+    return _built[kind][1]
 
 
 def _add(docs: DataFrame, grams, words, depth: int) -> DataFrame:
     """Adds what these parts hold to _score, _logs and _known of docs (doc_id, text, held_out)."""
 
+    name = uuid.uuid4().hex
+
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text"):
@@ -215,11 +296,11 @@ def _add(docs: DataFrame, grams, words, depth: int) -> DataFrame:
                 w = Words(data, offsets, TOKEN)
                 if grams is not None:
                     key, at = grams_of(data, offsets, depth)
-                    score = score + np.add.reduceat(grams.value.find(key + np.uint64(1))[1], at[:-1])
+                    score = score + np.add.reduceat(_table("grams", name, grams).find(key + np.uint64(1))[1], at[:-1])
                 if words is not None:
                     owner = np.repeat(np.arange(len(offsets) - 1), w.counts())
-                    hit, log = words.value.find(np.maximum(w.hash, np.uint64(1)))
-                    logs = logs + np.bincount(owner, log, len(offsets) - 1)
+                    hit, n = _table("words", name, words).find(np.maximum(w.hash, np.uint64(1)))
+                    logs = logs + np.bincount(owner, np.log10(n + 1.0), len(offsets) - 1)
                     known = known + np.bincount(owner, hit, len(offsets) - 1).astype(np.int64)
                 new = {"_score": pa.array(score), "_logs": pa.array(logs), "_known": pa.array(known.astype(np.int64)), "_words": pa.array(w.counts().astype(np.int64))}
                 yield pa.RecordBatch.from_pydict({f.name: new.get(f.name, part.column(i)) for i, f in enumerate(part.schema)})
@@ -245,13 +326,13 @@ def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH, part: int =
     for table in kept:
         table.unpersist()
     words = counts.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n"))
-    words = written(words.withColumn("log", F.log10(F.col("n") + 1.0)), "words")
+    words = written(words, "words")
     ends = rows.where("learn").count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
 
     done = rows.select("doc_id", "text", F.lit(0.0).alias("_score"), F.lit(0.0).alias("_logs"), F.lit(0).cast("long").alias("_known"), F.lit(0).cast("long").alias("_words"))
-    gram_parts, word_parts = _parts(scores, "score", part), _parts(words, "log", part)
+    gram_parts, word_parts = _parts(scores, "score", part), _parts(words, "n", part)
     while True:
         a, b = next(gram_parts, None), next(word_parts, None)
         if a is None and b is None:
