@@ -236,10 +236,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     found = written(found, "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    least = roots.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("root_least"))
-    linked_to = links.join(roots, "node").join(least, "root").select("node", "links", "root_least")
+    roots = written(roots.join(classes.select("node", "least"), "node"), "roots")
+    # from tables, so that a class or a text with very many documents meets its one row in a join that Spark can split
+    least = written(roots.groupBy("root").agg(F.min("least").alias("root_least")), "least")
+    linked_to = links.join(roots.join(least, "root").select("node", "root_least"), "node")
     named = classes.select("node", "least", "weight").join(linked_to, "node", "left")
     named = named.select("node", F.coalesce("root_least", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    named = written(named, "named")
     joined = some.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links")
     alone = sketched.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return joined.union(alone)
