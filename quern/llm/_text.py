@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 #: Distinct keys that a counting task holds before it hands them on.
 HELD = 1 << 20
@@ -85,7 +85,7 @@ class Words:
         cuts = offsets[1:][offsets[1:] > 0] - 1
         last[cuts] = inside[cuts]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _powers(1 << max(21, (max(n, 1) - 1).bit_length()))
+        up, down = _powers(1 << max(20, (max(n, 1) - 1).bit_length()))
         total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)
         before = np.where(self.start > 0, total[self.start - 1], np.uint64(0)) if n else np.empty(0, np.uint64)
         self.hash = mix((total[self.end - 1] - before) * down[self.start]) if n else np.empty(0, np.uint64)

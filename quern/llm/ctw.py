@@ -268,7 +268,11 @@ def _parts(df: DataFrame, value: str, most: int) -> Iterator[tuple[np.ndarray, n
     number = max(1, -(-n // most))
     for i in range(number):
         rows = (df.where(F.pmod(F.xxhash64("key"), number) == i) if number > 1 else df).select("key", value).toArrow()  # 16 bytes an entry
-        yield rows["key"].to_numpy().astype(np.int64, copy=False).view(np.uint64), rows[value].to_numpy()
+        keys, values = rows["key"].to_numpy().astype(np.int64, copy=False).view(np.uint64), rows[value].to_numpy()
+        if values.dtype.kind == "i" and (not len(values) or values.max() < 1 << 32):
+            values = values.astype(np.uint32)
+        del rows
+        yield keys, values
 
 
 _built: dict[str, tuple[str, Table]] = {}
