@@ -272,6 +272,7 @@ def _parts(df: DataFrame, value: str, most: int) -> Iterator[tuple[np.ndarray, n
         if values.dtype.kind == "i" and (not len(values) or values.max() < 1 << 32):
             values = values.astype(np.uint32)
         del rows
+        pa.default_memory_pool().release_unused()
         yield keys, values
 
 
