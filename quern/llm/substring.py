@@ -228,14 +228,33 @@ def matching_runs(a: np.ndarray, b: np.ndarray, ranges: list[tuple[int, int, int
     return out
 
 
+def _pieces(batches):
+    """Passages with the ranges that earlier documents hold (sorted) → those ranges, united, and what lies between them."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            at, runs = r["start"], []
+            for c in r["cuts"]:
+                if runs and c["start"] < runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], c["end"])
+                else:
+                    runs.append([c["start"], c["end"]])
+            for start, end in [*runs, [r["end"], r["end"]]]:
+                rows += [(r["root"], r["doc"], a, b, keep) for a, b, keep in ((at, start, True), (start, end, False)) if a < b]
+                at = end
+        names = ("root", "doc", "start", "end")
+        yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)} | {"keep": pa.array([r[4] for r in rows], pa.bool_())})
+
+
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES, need: int = NEED) -> DataFrame:
     """doc_id, start, end, first_doc_id, first_start, keep, n_docs: passages of at least min_words words that near-repeat in another document.
 
     docs: doc_id, text. start and end: the first word and past the last, words
     being as in near-duplicate search. All passages tied together are a class,
-    named by the document and start of its first passage; keep: whether this is
-    that first one; n_docs: documents in the class. Null and empty texts and texts below
-    min_words have no passages. Rows with a null doc_id take no part; rows that
+    named by the document and start of its first passage; n_docs: documents in
+    the class. keep: whether no earlier document was found to hold these words;
+    a passage that earlier documents hold in part is given as its parts, which
+    may be shorter. Null and empty texts and texts below min_words have no passages. Rows with a null doc_id take no part; rows that
     repeat a doc_id count as one document, of which the longest text counts.
     """
     spark = docs.sparkSession
@@ -270,23 +289,25 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES,
 
     tied = written(both.mapInArrow(verify, "doc long, lead long, start long, end long, lead_start long, lead_end long"), "tied")
 
-    # ranges of one document that overlap are one passage; equal ranges fall together before they meet in a window
-    spans = tied.select("doc", "start", "end").union(tied.select("lead", "lead_start", "lead_end")).distinct()
+    # ranges of one document that overlap hang together; equal ranges fall together before they meet in a window
+    spans = tied.select("doc", "start", "end", F.lit(True).alias("cut")).union(tied.select("lead", "lead_start", "lead_end", F.lit(False)))
+    spans = spans.groupBy("doc", "start", "end").agg(F.max("cut").alias("cut"))
     by = Window.partitionBy("doc").orderBy("start", F.desc("end"))
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("fresh", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.withColumn("node", F.xxhash64("doc", "island"))
-    spans = written(spans.select("doc", "start", "end", "node"), "spans")
+    spans = written(spans.select("doc", "start", "end", "cut", "node"), "spans")
     named = tied.join(spans.withColumnRenamed("node", "a"), ["doc", "start", "end"]).select("a", F.col("lead").alias("doc"), F.col("lead_start").alias("start"), F.col("lead_end").alias("end"))
     edges = named.join(spans.withColumnRenamed("node", "b"), ["doc", "start", "end"]).select("a", "b")
     roots = components(edges)
-    whole = spans.groupBy("node").agg(F.first("doc").alias("doc"), F.min("start").alias("start"), F.max("end").alias("end")).join(roots, "node")
-    whole = written(whole, "passages")
+    cuts = F.sort_array(F.collect_list(F.when(F.col("cut"), F.struct("start", "end"))))
+    whole = spans.groupBy("node").agg(F.first("doc").alias("doc"), F.min("start").alias("start"), F.max("end").alias("end"), cuts.alias("cuts")).join(roots, "node")
+    whole = written(whole.select("root", "doc", "start", "end", "cuts").mapInArrow(_pieces, "root long, doc long, start long, end long, keep boolean"), "passages")
     # a class's documents are counted within tasks; from a table, its one row meets its passages in a join that Spark can split
     once = whole.groupBy("root", "doc").agg(F.min("start").alias("start"))
     first = written(once.groupBy("root").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n_docs")), "first")
     return whole.join(first, "root").select(
-        F.col("doc").alias("doc_id"), "start", "end", F.col("first.doc").alias("first_doc_id"), F.col("first.start").alias("first_start"), (F.struct("doc", "start") == F.col("first")).alias("keep"), "n_docs"
+        F.col("doc").alias("doc_id"), "start", "end", F.col("first.doc").alias("first_doc_id"), F.col("first.start").alias("first_start"), "keep", "n_docs"
     )
 
 

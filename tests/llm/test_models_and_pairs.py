@@ -189,6 +189,18 @@ def test_passages_hot(spark):
     assert len(got) == 80 and {r["first_doc_id"] for r in got} == {0} and sum(r["keep"] for r in got) == 1 and {r["n_docs"] for r in got} == {80}
 
 
+def test_passages_chain(spark):
+    """Two documents quote overlapping parts of a text that a third holds whole: only the third is cut, and no word is lost."""
+    article = [f"w{i}" for i in range(120)]
+    docs = {1: prose(70, 20) + article[:60] + prose(71, 20), 2: article[50:] + prose(72, 20), 3: prose(73, 30) + article + prose(74, 10)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = substring.passages(df)
+    assert {(r["doc_id"], r["start"], r["end"], r["first_doc_id"], r["first_start"], r["keep"], r["n_docs"]) for r in found.collect()} == {(1, 20, 80, 1, 20, True, 3), (2, 0, 70, 1, 20, True, 3), (3, 30, 150, 1, 20, False, 3)}
+    left = {r["doc_id"]: r["text"].split() for r in substring.without_repeats(df, found).collect()}
+    assert left[1] == docs[1] and left[2] == docs[2] and left[3] == docs[3][:30] + docs[3][150:]
+    assert [sum(w in x for x in left.values()) for w in article] == [1] * 50 + [2] * 10 + [1] * 60  # ten shared words are no passage
+
+
 def held_out(spark, scored, labels, label):
     rows = scored.where("held_out").join(labels, "doc_id").select("score", "predicted", F.col(label).alias("y")).toPandas()
     rank = rows["score"].rank().to_numpy()
