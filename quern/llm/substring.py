@@ -183,12 +183,59 @@ def shared_ranges(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
     return own.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(tie_all, _PAIR)
 
 
+def aligned_parts(a: np.ndarray, b: np.ndarray, order: np.ndarray, x: int, y: int) -> list[list[tuple[int, int, int]]]:
+    """Tokens x to y of a as stretches that b holds (first, last, shift to b), by parts that keep their alignment.
+
+    order: b's positions sorted by token. A stretch goes on where its part does,
+    if b has it there within GAP places, and else at whichever of b's places it
+    goes on longest. A part may be interrupted by up to GAP tokens, also such as
+    b holds elsewhere.
+    """
+    ranked = b[order]
+    lows, highs = np.searchsorted(ranked, a[x : y + 1]), np.searchsorted(ranked, a[x : y + 1], "right")
+    parts: list[list[tuple[int, int, int]]] = []
+    live: list[list[tuple[int, int, int]]] = []
+    i = x
+    while i <= y:
+        lo, hi = lows[i - x], highs[i - x]
+        if lo == hi:
+            i += 1
+            continue
+        shifts = order[lo:hi] - i
+        live = [p for p in live if i - p[-1][1] <= GAP + 1]
+        own = None
+        for p in sorted(live, key=lambda p: -p[-1][1]):
+            near = np.abs(shifts - p[-1][2]) <= GAP
+            if near.any():
+                own, shifts = p, shifts[near]
+                break
+        last = i
+        while last < y:
+            at = shifts + (last + 1)
+            at = shifts[(at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a[last + 1])]
+            if not len(at):
+                break
+            shifts, last = at, last + 1
+        if own is None:
+            own = []
+            parts.append(own)
+            live.append(own)
+            shift = int(shifts.min())
+        else:
+            shift = int(shifts[np.argmin(np.abs(shifts - own[-1][2]))])
+        own.append((i, last, shift))
+        i = last + 1
+    return parts
+
+
 def matching_runs(a: np.ndarray, b: np.ndarray, ranges: list[tuple[int, int, int]], least: int, need: int) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of two token sequences: first and last token in a and in b, and Jaccard similarity.
 
     A passage is a run of tokens of a that b holds, with gaps of at most GAP, of
     at least `least` tokens, over ranges under enough functions. If its
-    similarity is below the threshold, its gapless runs are tried.
+    similarity is below the threshold, its parts of one alignment with b are
+    tried, then these parts' gapless stretches, and then its gapless runs apart
+    from what was found.
     """
     order = np.argsort(b, kind="stable")
     place = np.minimum(np.searchsorted(b[order], a), max(len(b) - 1, 0))
@@ -200,31 +247,47 @@ def matching_runs(a: np.ndarray, b: np.ndarray, ranges: list[tuple[int, int, int
             breaks = np.flatnonzero(np.diff(positions) > gap + 1)
             yield from zip(positions[np.concatenate([[0], breaks + 1])], positions[np.concatenate([breaks, [len(positions) - 1]])], strict=True)
 
-    def checked(x: int, y: int):
-        if y - x + 1 < least:
-            return None
+    def able(x: int, y: int) -> bool:
         functions = 0
         for s, e, f in ranges:
             if s <= y and e >= x:
                 functions |= f
-        if functions.bit_count() < need:
+        return y - x + 1 >= least and functions.bit_count() >= need
+
+    def compared(x: int, y: int, u: int, v: int):
+        one, two = np.unique(a[x : y + 1]), np.unique(b[u : v + 1])
+        common = len(np.intersect1d(one, two, assume_unique=True))
+        similar = common / (len(one) + len(two) - common)
+        return (int(x), int(y), u, v, similar) if similar >= THRESHOLD - 1e-9 else None
+
+    def checked(x: int, y: int):
+        if not able(x, y):
             return None
         at = there[x : y + 1][hit[x : y + 1]]
         shift = at - np.flatnonzero(hit[x : y + 1])
         middle = np.sort(shift)[len(shift) // 2]  # where the run begins in b, as most tokens have it
         near = at[np.abs(shift - middle) <= y - x + 1]
-        u, v = int(near.min()), int(near.max())
-        one, two = np.unique(a[x : y + 1]), np.unique(b[u : v + 1])
-        common = len(np.intersect1d(one, two, assume_unique=True))
-        similar = common / (len(one) + len(two) - common)
-        return (int(x), int(y), u, v, similar) if similar >= THRESHOLD - 1e-9 else None
+        return compared(x, y, int(near.min()), int(near.max()))
+
+    def placed(part: list[tuple[int, int, int]]):
+        x, y = part[0][0], part[-1][1]
+        return compared(x, y, min(p + k for p, _, k in part), max(q + k for _, q, k in part)) if able(x, y) else None
 
     out = []
     for x, y in cut(np.flatnonzero(hit), GAP):
         if found := checked(x, y):
             out.append(found)
-        elif y - x + 1 >= least:
-            out += [f for p, q in cut(np.flatnonzero(hit[x : y + 1]) + x, 0) if (f := checked(p, q))]
+        elif able(x, y):
+            own = []
+            for part in aligned_parts(a, b, order, x, y):
+                if found := placed(part):
+                    own.append(found)
+                else:
+                    own += [f for stretch in part if (f := placed([stretch]))]
+            for p, q in cut(np.flatnonzero(hit[x : y + 1]) + x, 0):
+                if all(q < f[0] or p > f[1] for f in own) and (f := checked(p, q)):
+                    own.append(f)
+            out += sorted(own)
     return out
 
 

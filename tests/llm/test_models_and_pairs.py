@@ -201,6 +201,27 @@ def test_passages_chain(spark):
     assert [sum(w in x for x in left.values()) for w in article] == [1] * 50 + [2] * 10 + [1] * 60  # ten shared words are no passage
 
 
+def test_matching_runs_apart():
+    """Near copies side by side that the leader holds far apart, in either order, also where it holds their halves once more elsewhere."""
+    r = np.random.default_rng(6)
+    fresh = lambda n: r.integers(0, 1 << 31, n).astype(np.uint32)
+    one, two = fresh(86), fresh(86)
+    near = lambda t: np.concatenate([t[:40], fresh(5), t[45:]])
+    every = [(0, 1 << 20, 15)]
+    for first, second in ((one, two), (two, one)):
+        a = np.concatenate([fresh(30), near(first), near(second), fresh(30)])
+        for b in (np.concatenate([fresh(10), one, fresh(500), two]), np.concatenate([one[:30], fresh(20), two[50:], fresh(90), one, fresh(500), two, fresh(9), one[60:]])):
+            got = substring.matching_runs(a, b, every, 46, 2)
+            assert [x[:2] for x in got] == [(30, 115), (116, 201)]
+            for x, y, u, v, similar in got:
+                assert (b[u], b[v], v - u) == (a[x], a[y], y - x) and similar == pytest.approx(81 / 91)
+    line = one[:12]  # a line that the leader also holds elsewhere, within a passage
+    a = np.concatenate([two[:40], line[:8], two[40:]])
+    assert [x[:2] for x in substring.matching_runs(a, np.concatenate([line, fresh(900), two]), every, 46, 2)] == [(0, 93)]
+    same = np.zeros(3000, np.uint32)
+    assert substring.matching_runs(same, np.concatenate([same[:50], fresh(50)]), every, 46, 2)
+
+
 def held_out(spark, scored, labels, label):
     rows = scored.where("held_out").join(labels, "doc_id").select("score", "predicted", F.col(label).alias("y")).toPandas()
     rank = rows["score"].rank().to_numpy()
