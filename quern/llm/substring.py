@@ -12,7 +12,10 @@ which is then verified on the tokens of both documents.
 Within a group of equal windows every document is tied to the group's first
 document, not to every other: tasks tie their own documents before the shuffle,
 so a passage that a third of all documents hold costs each task one row, and
-the pairs grow with the documents. Passages tied directly or through others
+the pairs grow with the documents. Windows whose leader turns out not to hold
+their passage (they may share no more than a line with it) are grouped once
+more, by a token on either side as well, at distances of which every passage
+holds one pair. Passages tied directly or through others
 form one class.
 """
 
@@ -99,46 +102,35 @@ def windows_of(grams: np.ndarray, starts: np.ndarray, hashes: int, least: int) -
 
 
 def _tie(key, doc, pos, lo, hi, h, least: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Sorted by key and doc: which rows lead their group, and the ranges that each other document shares with the leader."""
+    """Sorted by key and doc: which rows lead their group, and all others with their leader and the range s to e that they share with it.
+
+    s and e are -1 where that range is too narrow for a passage or the leader is of the same document.
+    """
     fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
     lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(key) else np.empty(0, np.int64)
-    other = np.flatnonzero(doc != doc[lead])
+    other = np.flatnonzero(~fresh)
     to = lead[other]
     before = np.minimum(pos[other] - lo[other], pos[to] - lo[to])
     after = np.minimum(hi[other] - pos[other], hi[to] - pos[to])
-    wide = before + after + 1 >= THRESHOLD * least
-    other, to, before, after = other[wide], to[wide], before[wide], after[wide]
-    return fresh, _joined(doc[other], doc[to], pos[other] - before, pos[other] + after, np.left_shift(1, h[other]))
-
+    wide = (before + after + 1 >= THRESHOLD * least) & (doc[other] != doc[to])
+    at = pos[other]
+    return fresh, {"doc": doc[other], "pos": at, "lo": lo[other], "hi": hi[other], "h": h[other], "lead": doc[to], "s": np.where(wide, at - before, -1), "e": np.where(wide, at + after, -1)}
 
-def _joined(doc, lead, s, e, functions) -> dict[str, np.ndarray]:
-    """Overlapping ranges of one pair as one, with the functions of all."""
-    order = np.lexsort((s, lead, doc))
-    doc, lead, s, e, functions = doc[order], lead[order], s[order], e[order], functions[order]
-    if not len(doc):
-        return {"doc": doc, "lead": lead, "s": s, "e": e, "functions": functions}
-    change = np.concatenate([[True], (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1])])
-    group = np.cumsum(change).astype(np.int64)
-    furthest = np.maximum.accumulate((group << 36) + e)
-    fresh = change.copy()
-    fresh[1:] |= (group[1:] << 36) + s[1:] > furthest[:-1]
-    first = np.flatnonzero(fresh)
-    return {"doc": doc[first], "lead": lead[first], "s": s[first], "e": np.maximum.reduceat(e, first), "functions": np.bitwise_or.reduceat(functions, first)}
 
+_ROW = "key long, doc long, pos int, lo int, hi int, h int, lead long, s int, e int"
+_TIE = _ROW.removeprefix("key long, ")
+_ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.int32()) for name, kind in (c.split() for c in _ROW.split(", "))])
 
-_ROW = "key long, doc long, pos int, lo int, hi int, h int, lead long"
-_ARROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("h", pa.int32()), ("lead", pa.int64())])
-_PAIR = "doc long, lead long, s int, e int, functions int"
 
+def _tie_batch(ties: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({f.name: pa.array(ties[f.name].astype(np.int64)).cast(f.type) for f in list(_ARROW)[1:]})
 
-def _pair_batch(pairs: dict[str, np.ndarray]) -> pa.RecordBatch:
-    kinds = {"doc": pa.int64(), "lead": pa.int64()}
-    return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int32())) for k, v in pairs.items()})
 
+def _ties(rows: DataFrame, windows, least: int) -> DataFrame:
+    """doc, pos, lo, hi, h, lead, s, e: every window but the first of its key, with the leader that it met. One shuffle, of windows.
 
-def shared_ranges(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
-    """doc, lead, s, e, functions: ranges of tokens of doc that share windows with an earlier document. One shuffle, of windows."""
-    least = min_words - SHINGLE_WORDS + 1
+    windows: of a piece of a batch of rows with text, gives key, doc, pos, lo, hi and h.
+    """
 
     def tie_own(batches):
         held, size = [], 0
@@ -149,10 +141,10 @@ def shared_ranges(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
             key, doc, pos, lo, hi, h = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((pos, doc, key))
             key, doc, pos, lo, hi, h = (x[order] for x in (key, doc, pos, lo, hi, h))
-            fresh, pairs = _tie(key, doc, pos, lo, hi, h, least)
-            own = {"key": key[fresh], "doc": doc[fresh], "pos": pos[fresh], "lo": lo[fresh], "hi": hi[fresh], "h": h[fresh], "lead": None}
-            # ranges found here travel with the windows: by a key of their own, functions in place of h
-            found = {"key": mix(pairs["doc"].view(np.uint64)).view(np.int64), "doc": pairs["doc"], "pos": np.zeros(len(pairs["doc"])), "lo": pairs["s"], "hi": pairs["e"], "h": pairs["functions"], "lead": pairs["lead"]}
+            fresh, ties = _tie(key, doc, pos, lo, hi, h, least)
+            own = {"key": key[fresh], "doc": doc[fresh], "pos": pos[fresh], "lo": lo[fresh], "hi": hi[fresh], "h": h[fresh], "lead": None, "s": None, "e": None}
+            # what is tied here travels with the windows, by a key of its own
+            found = {"key": mix(ties["doc"].view(np.uint64) + ties["pos"].astype(np.uint64)).view(np.int64), **ties}
             for part in (own, found):
                 n = len(part["key"])
                 for a in range(0, n, 1 << 16):
@@ -160,11 +152,8 @@ def shared_ranges(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
 
         for batch in batches:
             for part in steps(batch, "text"):
-                grams, starts = shingles(Words(*text_bytes(part.column(1))))
-                w = windows_of(grams, starts, hashes, least)
-                doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[w["row"]]
-                held.append((w["key"], doc, w["pos"], w["lo"], w["hi"], w["h"]))
-                size += len(doc)
+                held.append(windows(part))
+                size += len(held[-1][0])
             if size > HELD:
                 yield from out()
                 held, size = [], 0
@@ -173,14 +162,55 @@ def shared_ranges(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
     def tie_all(batches):
         for table, _ in sorted_groups(batches, ["key"]):
             lead = table["lead"]
-            ranges = table.filter(lead.is_valid())
             column = lambda t, c: t[c].to_numpy().astype(np.int64)
-            yield _pair_batch(_joined(column(ranges, "doc"), column(ranges, "lead"), column(ranges, "lo"), column(ranges, "hi"), column(ranges, "h")))
-            windows = table.filter(lead.is_null())
-            yield _pair_batch(_tie(*(column(windows, c) for c in ("key", "doc", "pos", "lo", "hi", "h")), least)[1])
+            yield from table.filter(lead.is_valid()).select([f.name for f in list(_ARROW)[1:]]).to_batches()
+            own = table.filter(lead.is_null())
+            yield _tie_batch(_tie(*(column(own, c) for c in ("key", "doc", "pos", "lo", "hi", "h")), least)[1])
+
+    return rows.mapInArrow(tie_own, _ROW).repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(tie_all, _TIE)
+
+
+def first_ties(docs: DataFrame, hashes: int, least: int) -> DataFrame:
+    """Ties of all windows of docs (doc, text), by function and value."""
+
+    def windows(part):
+        grams, starts = shingles(Words(*text_bytes(part.column(1))))
+        w = windows_of(grams, starts, hashes, least)
+        doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[w["row"]]
+        return w["key"], doc, w["pos"], w["lo"], w["hi"], w["h"]
+
+    return _ties(docs, windows, least)
 
-    own = docs.mapInArrow(tie_own, _ROW)
-    return own.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(tie_all, _PAIR)
+
+def context_splits(least: int) -> list[tuple[int, int]]:
+    """Places to the left and right of a token, so that any passage of so many tokens around it holds one such pair."""
+    step = max(1, least // 5)
+    span = step * -(-(least - 1 - 2 * (step - 1)) // step)
+    return [(i, span - i) for i in range(0, span + 1, step)]
+
+
+def further_ties(docs: DataFrame, left: DataFrame, least: int) -> DataFrame:
+    """Ties of the windows in left (doc, pos, lo, hi, h), by function, value and one token on either side: a group for each of context_splits."""
+    splits = context_splits(least)
+
+    def windows(part):
+        grams, starts = shingles(Words(*text_bytes(part.column(1))))
+        lists = part.column(2)
+        row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        w = lists.flatten()
+        pos, lo, hi, h = (w.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "lo", "hi", "h"))
+        doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        start, there = starts[:-1][row], hi < np.diff(starts)[row]  # a repeated doc_id may have another text
+        out = []
+        for k, (i, j) in enumerate(splits):
+            at = np.flatnonzero(there & (pos - i >= lo) & (pos + j <= hi))
+            mid = start[at] + pos[at]
+            key = mix(mix(mix(grams[mid] + _SEEDS[h[at]]) + grams[mid - i]) + grams[mid + j] + _SEEDS[32 + k])
+            out.append((key.view(np.int64), doc[at], pos[at], lo[at], hi[at], h[at]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    by_doc = left.groupBy("doc").agg(F.collect_list(F.struct("pos", "lo", "hi", "h")).alias("windows"))
+    return _ties(docs.join(by_doc, "doc").select("doc", "text", "windows"), windows, least)
 
 
 def aligned_parts(a: np.ndarray, b: np.ndarray, order: np.ndarray, x: int, y: int) -> list[list[tuple[int, int, int]]]:
@@ -228,7 +258,7 @@ def aligned_parts(a: np.ndarray, b: np.ndarray, order: np.ndarray, x: int, y: in
     return parts
 
 
-def matching_runs(a: np.ndarray, b: np.ndarray, ranges: list[tuple[int, int, int]], least: int, need: int) -> list[tuple[int, int, int, int, float]]:
+def matching_runs(a: np.ndarray, b: np.ndarray, ranges: list[tuple[int, int, int]] | np.ndarray, least: int, need: int) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of two token sequences: first and last token in a and in b, and Jaccard similarity.
 
     A passage is a run of tokens of a that b holds, with gaps of at most GAP, of
@@ -247,12 +277,10 @@ def matching_runs(a: np.ndarray, b: np.ndarray, ranges: list[tuple[int, int, int
             breaks = np.flatnonzero(np.diff(positions) > gap + 1)
             yield from zip(positions[np.concatenate([[0], breaks + 1])], positions[np.concatenate([breaks, [len(positions) - 1]])], strict=True)
 
+    first, last, functions = np.array(ranges, np.int64).reshape(-1, 3).T
+
     def able(x: int, y: int) -> bool:
-        functions = 0
-        for s, e, f in ranges:
-            if s <= y and e >= x:
-                functions |= f
-        return y - x + 1 >= least and functions.bit_count() >= need
+        return y - x + 1 >= least and int(np.bitwise_or.reduce(functions[(first <= y) & (last >= x)])).bit_count() >= need
 
     def compared(x: int, y: int, u: int, v: int):
         one, two = np.unique(a[x : y + 1]), np.unique(b[u : v + 1])
@@ -309,21 +337,9 @@ def _pieces(batches):
         yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)} | {"keep": pa.array([r[4] for r in rows], pa.bool_())})
 
 
-def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES, need: int = NEED) -> DataFrame:
-    """doc_id, start, end, first_doc_id, first_start, keep, n_docs: passages of at least min_words words that near-repeat in another document.
-
-    docs: doc_id, text. start and end: the first word and past the last, words
-    being as in near-duplicate search. All passages tied together are a class,
-    named by the document and start of its first passage; n_docs: documents in
-    the class. keep: whether no earlier document was found to hold these words;
-    a passage that earlier documents hold in part is given as its parts, which
-    may be shorter. Null and empty texts and texts below min_words have no passages. Rows with a null doc_id take no part; rows that
-    repeat a doc_id count as one document, of which the longest text counts.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL")
-    ranges = shared_ranges(docs, hashes, min_words)
+def _verified(docs: DataFrame, ties: DataFrame, min_words: int, need: int) -> DataFrame:
+    """doc, lead, start, end, lead_start, lead_end: passages of the pairs that have wide ties under enough functions; a written table."""
+    ranges = ties.where("s >= 0").groupBy("doc", "lead", "s", "e").agg(F.bit_or(F.expr("shiftleft(1, h)")).alias("functions"))
     pairs = ranges.groupBy("doc", "lead").agg(F.bit_or("functions").alias("all"), F.collect_list(F.struct("s", "e", "functions")).alias("ranges")).where(F.bit_count("all") >= need)
     pairs = written(pairs.select("doc", "lead", "ranges"), "pairs")
 
@@ -344,13 +360,40 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES,
         for batch in batches:
             rows = []
             for doc, lead, ranges, a, b in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc", "lead", "ranges", "tokens", "lead_tokens")), strict=True):
-                spans = [(r["s"], r["e"], r["functions"]) for r in ranges.as_py()]
+                spans = np.stack([ranges.values.field(c).to_numpy().astype(np.int64) for c in ("s", "e", "functions")], axis=1)
                 runs = matching_runs(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32), spans, least, need)
                 rows += [(doc.as_py(), lead.as_py(), x, y + SHINGLE_WORDS, u, v + SHINGLE_WORDS) for x, y, u, v, _ in runs]
             names = ("doc", "lead", "start", "end", "lead_start", "lead_end")
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
 
-    tied = written(both.mapInArrow(verify, "doc long, lead long, start long, end long, lead_start long, lead_end long"), "tied")
+    return written(both.mapInArrow(verify, "doc long, lead long, start long, end long, lead_start long, lead_end long"), "tied")
+
+
+def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES, need: int = NEED) -> DataFrame:
+    """doc_id, start, end, first_doc_id, first_start, keep, n_docs: passages of at least min_words words that near-repeat in another document.
+
+    docs: doc_id, text. start and end: the first word and past the last, words
+    being as in near-duplicate search. All passages tied together are a class,
+    named by the document and start of its first passage; n_docs: documents in
+    the class. keep: whether no earlier document was found to hold these words;
+    a passage that earlier documents hold in part is given as its parts, which
+    may be shorter. Null and empty texts and texts below min_words have no
+    passages. Rows with a null doc_id take no part; rows that repeat a doc_id
+    count as one document, of which the longest text counts.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL")
+    least = min_words - SHINGLE_WORDS + 1
+    first_met = written(first_ties(docs, hashes, least), "ties")
+    tied = _verified(docs, first_met, min_words, need)
+    # windows whose leader does not hold their passage meet once more, among those with like neighbours
+    held = tied.select("doc", "lead", "start", "end")
+    left = first_met.join(held, (first_met["doc"] == held["doc"]) & (first_met["lead"] == held["lead"]) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")), "left_anti")
+    again = written(further_ties(docs, left.select("doc", "pos", "lo", "hi", "h"), least), "ties")
+    asked = again.where("s >= 0").select("doc", "lead").distinct()
+    both_met = again.union(first_met.join(asked, ["doc", "lead"], "left_semi").select(again.columns))
+    tied = tied.union(_verified(docs, both_met, min_words, need))
 
     # ranges of one document that overlap hang together; equal ranges fall together before they meet in a window
     spans = tied.select("doc", "start", "end", F.lit(True).alias("cut")).union(tied.select("lead", "lead_start", "lead_end", F.lit(False)))

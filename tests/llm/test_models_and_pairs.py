@@ -201,6 +201,25 @@ def test_passages_chain(spark):
     assert [sum(w in x for x in left.values()) for w in article] == [1] * 50 + [2] * 10 + [1] * 60  # ten shared words are no passage
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_passages_round_a_line(spark, parts):
+    """Pairs that share a passage round a line that earlier documents hold in other surroundings."""
+    line = prose(80, 38)
+    rows = [(i, prose(3000 + i, 60) + line + prose(3100 + i, 60)) for i in range(6)]
+    for k in range(12):
+        passage = prose(3200 + k, 12) + line + prose(3300 + k, 12)
+        rows += [(10 + k, prose(3400 + k, 30) + passage + prose(3500 + k, 30)), (30 + k, prose(3600 + k, 40) + passage + prose(3700 + k, 20))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(parts)
+    got = {(r["doc_id"], r["start"], r["end"], r["first_doc_id"], r["keep"]) for r in substring.passages(df).collect()}
+    assert got == {x for k in range(12) for x in ((10 + k, 30, 92, 10 + k, True), (30 + k, 40, 102, 10 + k, False))}
+
+
+def test_context_splits():
+    for least in (1, 2, 6, 16, 46, 96):
+        splits = substring.context_splits(least)
+        assert all(any(i <= a and j <= least - 1 - a for i, j in splits) for a in range(least))
+
+
 def test_matching_runs_apart():
     """Near copies side by side that the leader holds far apart, in either order, also where it holds their halves once more elsewhere."""
     r = np.random.default_rng(6)
