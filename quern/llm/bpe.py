@@ -9,7 +9,7 @@ again, so each (position, token) is tried once: the exact result of applying
 merges by rank, in time linear in the piece.
 
 Decoding: one blob of all tokens' bytes and a table of offsets into it; the
-bytes of all texts of a batch are gathered at once.
+bytes of all texts of a batch are gathered at once, from the ids just made.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.llm._spark import read, small_batches
-from quern.llm._text import list_array
+from quern.llm._text import list_array, steps, with_columns
 
 #: How byte-level vocabularies cut text into pieces (fixed value); white space is Unicode's property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -34,8 +35,10 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 LATIN_PIECES = re.compile(rf" ?[{_LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r {_LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 LATIN_TEXT = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-ɏ‘-…]*")
-#: Distinct pieces that a Python worker remembers; then it starts anew.
-REMEMBERED = 200_000
+#: Letters of distinct pieces, and pairs of tokens, that a Python worker remembers; then it starts anew. Longer pieces are not remembered.
+REMEMBERED, PAIRS, LONGEST = 4_000_000, 500_000, 64
+#: Tokens decoded at once.
+_STEP = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,12 +57,12 @@ class Tokenizer:
     halves: dict[int, tuple[int, int]]
     merged: dict[tuple[int, int], int]
     special: dict[str, int]
-    blob: np.ndarray
-    offsets: np.ndarray
+    table: pa.Array  # the bytes of each id: one blob and the offsets into it
     letters: list[str] = field(default_factory=list)
     fits: dict[tuple[int, int], bool] = field(default_factory=dict)
     shorter: dict[int, int] = field(default_factory=dict)
     known: dict[str, bytes] = field(default_factory=dict)
+    held: int = 0
 
     @classmethod
     def parse(cls, text: str) -> Tokenizer:
@@ -82,8 +85,7 @@ class Tokenizer:
             parts[i], letters[i] = s.encode("latin-1"), s
         for s, i in special.items():
             parts[i] = s.encode()
-        blob = np.frombuffer(b"".join(parts), np.uint8)
-        return cls(token_id, rank, halves, merged, special, blob, np.concatenate([[0], np.cumsum([len(p) for p in parts])]), letters)
+        return cls(token_id, rank, halves, merged, special, pa.array(parts, pa.large_binary()), letters)
 
     def __post_init__(self):
         self.automaton = ahocorasick.Automaton()
@@ -102,7 +104,7 @@ class Tokenizer:
         """
         if (known := self.fits.get((left, right))) is not None:
             return known
-        if len(self.fits) > 4_000_000:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         a, b, before, out = left, right, 1 << 60, True
         while True:
@@ -162,12 +164,17 @@ class Tokenizer:
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = np.array(self.encode_piece(p.encode().decode("latin-1")), np.int32).tobytes()
-            return b"".join(map(known.__getitem__, parts))
+            return b"".join([known.get(p) or self._learn(p) for p in parts])
+
+    def _learn(self, piece: str) -> bytes:
+        ids = np.array(self.encode_piece(piece.encode().decode("latin-1")), np.int32).tobytes()
+        if len(piece) <= LONGEST:
+            if self.held > REMEMBERED:
+                self.known.clear()
+                self.held = 0
+            self.known[piece] = ids
+            self.held += len(piece)
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers; strings of special tokens become these tokens."""
@@ -177,12 +184,16 @@ class Tokenizer:
 
     def decode(self, ids: np.ndarray, rows: np.ndarray) -> list[str]:
         """The texts of lists of ids (rows: where each begins). Bytes that are no UTF-8 become U+FFFD."""
-        starts = self.offsets[ids]
-        lengths = self.offsets[ids + 1] - starts
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)
-        data, cuts = self.blob[at].tobytes(), ends[rows]
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        texts, i = [], 0
+        while i < len(rows) - 1:
+            j = max(i + 1, int(np.searchsorted(rows, rows[i] + _STEP, "right")) - 1)
+            found = self.table.take(pa.array(ids[rows[i] : rows[j]]))
+            ends, data = np.frombuffer(found.buffers()[1], np.int64), found.buffers()[2]
+            cuts = ends[rows[i : j + 1] - rows[i]].tolist()
+            data = memoryview(data) if data is not None else b""
+            texts += [str(data[a:b], "utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            i = j
+        return texts
 
 
 _loaded: dict[int, Tokenizer] = {}
@@ -197,51 +208,66 @@ def _tokenizer(shared) -> Tokenizer:
     return _loaded[key]
 
 
+def _vocabulary(spark: SparkSession, path: str):
+    """The tokenizer's JSON, read by the driver and sent to executors: one vocabulary, a few MB whatever the corpus."""
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _encoded(tokenizer: Tokenizer, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts and where each text's begin."""
+    parts = [tokenizer.encode(t) if t else b"" for t in texts]
+    return np.frombuffer(b"".join(parts), np.int32), np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
+
+
 def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
     """The ids of a text, array<int>; a null text has none. path: a tokenizer's JSON, read by the driver."""
-    with open(path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())  # one vocabulary: a few MB, whatever the corpus
+    shared = _vocabulary(spark, path)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        tokenizer = _tokenizer(shared)
-        parts = [tokenizer.encode(t) if t else b"" for t in texts.to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
-        return list_array(np.frombuffer(b"".join(parts), np.int32), ends, pa.int32())
+        ids, rows = _encoded(_tokenizer(shared), texts.to_pylist())
+        return list_array(ids, rows, pa.int32())
 
     return encode(text)
 
 
 def bpe_decode(spark: SparkSession, ids: Column, path: str) -> Column:
     """The text of an array of ids, special tokens included; of null, the empty text. Unknown ids fail."""
-    with open(path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+    shared = _vocabulary(spark, path)
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
-        tokenizer = _tokenizer(shared)
         if lists.null_count:
             lists = lists.fill_null([])
-        rows = lists.offsets.to_numpy()
-        ids = lists.values.to_numpy(zero_copy_only=False)[rows[0] : rows[-1]].astype(np.int64)
-        step, texts = 1 << 20, []
-        rows = rows - rows[0]
-        i = 0
-        while i < len(rows) - 1:
-            j = max(i + 1, int(np.searchsorted(rows, rows[i] + step, "right")) - 1)
-            texts += tokenizer.decode(ids[rows[i] : rows[j]], rows[i : j + 1] - rows[i])
-            i = j
-        return pa.array(texts, pa.string())
+        rows = lists.offsets.to_numpy().astype(np.int64)
+        ids = lists.values.to_numpy(zero_copy_only=False)[rows[0] : rows[-1]]
+        return pa.array(_tokenizer(shared).decode(ids, rows - rows[0]), pa.string())
 
     return decode(ids)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """docs with ids array<int>, n_tokens long and decoded string (in place of columns of those names)."""
+    """docs with n_tokens long, ids array<int> and decoded string (in place of columns of those names).
+
+    One pass: what was just encoded is decoded again. Null and empty texts have no
+    ids and the empty text. Rows that repeat are encoded each. A text's ids and the
+    text are held in one task, never two texts beyond a batch.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    coded = docs.withColumn("ids", bpe_encode(spark, F.col("text"), path))
-    return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded", bpe_decode(spark, F.col("ids"), path))
+    shared = _vocabulary(spark, path)
+
+    def run(batches):
+        tokenizer = _tokenizer(shared)
+        for batch in batches:
+            for part in steps(batch, "text"):
+                ids, rows = _encoded(tokenizer, part.column(part.schema.get_field_index("text")).to_pylist())
+                new = {"n_tokens": pa.array(np.diff(rows)), "ids": list_array(ids, rows, pa.int32()), "decoded": pa.array(tokenizer.decode(ids, rows), pa.string())}
+                yield with_columns(part, new)
+
+    kept = [f for f in docs.schema if f.name not in ("n_tokens", "ids", "decoded")]
+    return docs.mapInArrow(run, StructType(kept + StructType.fromDDL("n_tokens long, ids array<int>, decoded string").fields))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,32 @@ def test_bpe_frame(spark):
     assert [r[0] for r in broken.select(bpe.bpe_decode(spark, broken["ids"], PATH)).collect()] == ["<|endoftext|> ", "", "", tokenizer_bytes(187) + " "]
 
 
+def test_bpe_query(spark, library, sf, tmp_path):
+    """All columns of the query against the library, and a plan that calls Python once."""
+    rows = pq.read_table(f"{sf}/documents.parquet").select(["doc_id", "text"]).to_pylist() + [{"doc_id": 10_000 + i, "text": t} for i, t in enumerate(HARD)]
+    spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = bpe.op1_bpe(spark, str(tmp_path))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for r in rows:
+        own = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"]] = (len(own), sha(",".join(map(str, own))), sha(library.decode(own, skip_special_tokens=False)))
+    assert {r["doc_id"]: tuple(r)[1:] for r in query.collect()} == want
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_bpe_memory_is_bounded(library, monkeypatch):
+    """Forgetting pieces and pairs changes no result."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(bpe, "PAIRS", 3)
+    with open(PATH) as f:
+        own = bpe.Tokenizer.parse(f.read())
+    text = "one two three one " + "x" * 500 + " unbelievable " * 20
+    assert ids(own, text) == library.encode(text, add_special_tokens=False).ids
+    assert own.held < 100 and len(own.fits) <= 3
+
+
 def tokenizer_bytes(i):
     return bytes([next(b for c, b in bpe.byte_letters().items() if Library.from_file(PATH).id_to_token(i) == c)]).decode("utf-8", "replace")
 
