@@ -8,7 +8,6 @@ are equal on every executor.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,6 @@ SHINGLE_WORDS = 5
 HELD = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 LOWER = np.zeros(256, np.uint8)
 for _c in range(256):
     if 48 <= _c <= 57 or 97 <= _c <= 122 or _c >= 128:
@@ -29,14 +27,6 @@ for _c in range(256):
         LOWER[_c] = _c + 32
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -44,6 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each place (modulo _PLACES) and byte of a word, twice.
+_PLACES = 64
+_TABLES = mix(np.arange(1, 2 * _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(_BASE)).reshape(2, -1)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and the offset of each text; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,10 +65,14 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
 
 
 class Words:
-    """The words of some texts: hash, first and past-the-end byte of each, and where each text's words begin."""
+    """The words of some texts: hash, first and past-the-end byte of each, and where each text's words begin.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LOWER):
-        """letters: what each byte counts as; 0 for a byte that stands between words."""
+    A word's hash is the sum of a random number for each of its places and bytes,
+    so that no pattern of bytes makes words collide.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LOWER, wide: bool = False):
+        """letters: what each byte counts as; 0 for a byte that stands between words. wide: whether to make `more`, another 64 bits of hash."""
         n = len(data)
         low = letters[data]
         inside = low != 0
@@ -85,18 +84,31 @@ class Words:
         cuts = offsets[1:][offsets[1:] > 0] - 1
         last[cuts] = inside[cuts]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _powers(1 << max(20, (max(n, 1) - 1).bit_length()))
-        total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)
-        before = np.where(self.start > 0, total[self.start - 1], np.uint64(0)) if n else np.empty(0, np.uint64)
-        self.hash = mix((total[self.end - 1] - before) * down[self.start]) if n else np.empty(0, np.uint64)
-        self._total, self._before, self._down = total, before, down
+        index = np.arange(n, dtype=np.int64)
+        place = index - np.maximum.accumulate(np.where(first, index, 0)) if n else index
+        at, far = ((place & (_PLACES - 1)) << 8) | low, np.flatnonzero(inside & (place >= _PLACES))
+        self._total = self._sums(_TABLES[0], at, place, far)
+        self._before = self._total[self.start]
+        self.hash = mix(self._total[self.end] - self._before)
+        if wide:
+            total = self._sums(_TABLES[1], at, place, far)
+            self.more = mix(total[self.end] - total[self.start])
         self.of = np.searchsorted(self.start, offsets)
 
+    @staticmethod
+    def _sums(table: np.ndarray, at: np.ndarray, place: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The sum over all bytes before each; far: bytes beyond the table's places, whose numbers are multiplied by one of their place."""
+        numbers = table[at]
+        if len(far):
+            numbers[far] *= mix((place[far] // _PLACES).astype(np.uint64)) | np.uint64(1)
+        total = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(numbers, out=total[1:])
+        return total
+
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Which words have more bytes than so many, and the hash of their first ones; never that of a word."""
         long = np.flatnonzero(self.end - self.start > size)
-        at = self.start[long]
-        return long, mix(mix((self._total[at + size - 1] - self._before[long]) * self._down[at]) ^ np.uint64(size))
+        return long, mix(mix(self._total[self.start[long] + size] - self._before[long]) ^ np.uint64(size))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.of)
