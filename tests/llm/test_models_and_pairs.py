@@ -126,7 +126,41 @@ def test_near_duplicates(spark, monkeypatch, members):
 
 def test_near_duplicates_empty(spark):
     assert lshjoin.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert lshjoin.prefix_length(0.8, 16, 8, 0.999) == 4 and lshjoin.prefix_length(0.8, 16, 8, 0.95) > 4 and lshjoin.prefix_length(0.8, 1, 8, 0.999) == 1
+    assert lshjoin.shortest_prefix(0.8, 16, 8, 0.9995) == 4 and lshjoin.shortest_prefix(0.8, 16, 8, 0.95) > 4 and lshjoin.shortest_prefix(0.8, 1, 8, 0.999) == 1
+
+
+def test_signatures_are_sorted_tries():
+    """Prefixes of packed signatures are equal just where their values are, and shrink runs never."""
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 40, 30).astype(np.uint64)) for _ in range(20)]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    packed = lshjoin.signatures(np.concatenate(sets), starts, 3)
+    values = np.stack([(packed[:, :, k // 4] >> np.uint64(48 - 16 * (k % 4))) & np.uint64(65535) for k in range(8)], -1)
+    for tree, length in itertools.product(range(3), range(1, 9)):
+        want = (values[:, None, tree, :length] == values[None, :, tree, :length]).all(-1)
+        assert (lshjoin.shared_prefix(packed, tree, length) == want).all()
+        assert (np.lexsort((packed[:, tree, 1], packed[:, tree, 0])) == np.lexsort(values[:, tree, ::-1].T)).all()
+
+
+def test_forest_descends_as_far_as_the_data_ask(spark, monkeypatch):
+    """Where links are copies but for a word in thousands, long prefixes find all; links near the threshold need shorter ones."""
+    levels = []
+    own = lshjoin._level
+    monkeypatch.setattr(lshjoin, "_level", lambda trie, classes, sets, length, *rest: (levels.append(length), own(trie, classes, sets, length, *rest))[1])
+    base = prose(1, 4000)
+    alike = [(i, " ".join([*base[: 100 * i], "changed", *base[100 * i + 1 :]])) for i in range(1, 7)]
+    assert {r["n_links"] for r in lshjoin.near_duplicates(spark.createDataFrame(alike, "doc_id long, text string")).collect()} == {5} and levels == [8]
+    levels.clear()
+    apart = [x for k in range(30) for x in ((k, " ".join(prose(k, 54))), (100 + k, " ".join([*prose(k, 54), *prose(500 + k, 12)])))]
+    assert {r["n_links"] for r in lshjoin.near_duplicates(spark.createDataFrame(apart, "doc_id long, text string")).collect()} == {1} and levels == [8, 7, 6, 5, 4]
+
+
+def test_one_of_each_keeps_texts_under_one_id(spark):
+    """Two texts under one id, a copy under another, repeated rows, null ids and empty texts: no text is lost."""
+    one, two = " ".join(prose(1, 40)), " ".join(prose(2, 40))
+    rows = [(5, one, 1), (5, two, 2), (5, two, 2), (7, one, 3), (8, two.upper(), 4), (9, None, 5), (9, "", 6), (10, "?", 7), (None, one, 8), (None, one, 8)]
+    kept = lshjoin.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["n"]) for r in kept) == sorted([(5, one, 1), (5, two, 2), (9, "", 5), (9, "", 6), (10, "?", 7), (0, one, 8), (0, one, 8)])
 
 
 def test_overlaps():
