@@ -84,25 +84,28 @@ class Words:
         cuts = offsets[1:][offsets[1:] > 0] - 1
         last[cuts] = inside[cuts]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        index = np.arange(n, dtype=np.int64)
+        index = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
         place = index - np.maximum.accumulate(np.where(first, index, 0)) if n else index
-        at, far = ((place & (_PLACES - 1)) << 8) | low, np.flatnonzero(inside & (place >= _PLACES))
-        self._total = self._sums(_TABLES[0], at, place, far)
+        del index
+        self._total = self._sums(_TABLES[0], low, place, inside)
         self._before = self._total[self.start]
         self.hash = mix(self._total[self.end] - self._before)
         if wide:
-            total = self._sums(_TABLES[1], at, place, far)
+            total = self._sums(_TABLES[1], low, place, inside)
             self.more = mix(total[self.end] - total[self.start])
         self.of = np.searchsorted(self.start, offsets)
 
     @staticmethod
-    def _sums(table: np.ndarray, at: np.ndarray, place: np.ndarray, far: np.ndarray) -> np.ndarray:
-        """The sum over all bytes before each; far: bytes beyond the table's places, whose numbers are multiplied by one of their place."""
-        numbers = table[at]
-        if len(far):
-            numbers[far] *= mix((place[far] // _PLACES).astype(np.uint64)) | np.uint64(1)
-        total = np.zeros(len(at) + 1, np.uint64)
-        np.cumsum(numbers, out=total[1:])
+    def _sums(table: np.ndarray, low: np.ndarray, place: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The sum over all bytes before each. Beyond the table's places, numbers are multiplied by one of their place. A step at a time, for long texts."""
+        total = np.zeros(len(low) + 1, np.uint64)
+        for a in range(0, len(low), STEP_BYTES):
+            at = place[a : a + STEP_BYTES]
+            numbers = table[((at & (_PLACES - 1)) << 8) | low[a : a + STEP_BYTES]]
+            far = np.flatnonzero(inside[a : a + STEP_BYTES] & (at >= _PLACES))
+            numbers[far] *= mix((at[far] // _PLACES).astype(np.uint64)) | np.uint64(1)
+            np.cumsum(numbers, out=total[a + 1 : a + 1 + len(at)])
+            total[a + 1 : a + 1 + len(at)] += total[a]
         return total
 
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:

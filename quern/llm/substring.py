@@ -5,22 +5,29 @@ token hashes gives, for each token, the widest range in which its hash is the
 least: all passages inside that range and around that token share one signature
 (a compact window). Only windows that hold a passage of MIN_WORDS words are
 kept, about 2 in 47 tokens. Documents meet where they have a window with the
-same hash function and value; ranges aligned at the token are intersected, and
-overlapping ranges under at least NEED of HASHES functions make a candidate,
-which is then verified on the tokens of both documents.
-
-Within a group of equal windows every document is tied to the group's first
-document, not to every other: tasks tie their own documents before the shuffle,
-so a passage that a third of all documents hold costs each task one row, and
-the pairs grow with the documents. Windows whose leader turns out not to hold
-their passage (they may share no more than a line with it) are grouped once
-more, by a token on either side as well, at distances of which every passage
-holds one pair. Passages tied directly or through others
-form one class.
+same hash function and value; a window that no other document has is dropped.
+
+What meets may share no more than a line around the token, and so may the first
+document of a group with any other. So the windows that are left meet once more:
+
+- exact repeats, by every run of a passage's length inside the windows of one
+  function. Such a run lies in one window alone, so this finds each run of
+  MIN_WORDS words that two documents share, whatever else shares its token.
+- near repeats, by the least token with a token on either side, at distances of
+  which every passage holds one pair, and by the first grouping. Ranges aligned
+  at the token are intersected, and overlapping ranges under at least NEED of
+  HASHES functions are a candidate, which is verified on the words of both.
+
+Within a group every document is tied to the group's first document, not to
+every other: tasks tie their own documents before the shuffle, so a passage that
+a third of all documents hold costs each task one row, and the pairs grow with
+the documents. Passages tied directly or through others form one class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +43,10 @@ MIN_WORDS, HASHES, NEED, THRESHOLD = 50, 4, 2, 0.8
 GAP = 2 * SHINGLE_WORDS
 #: Windows that a task holds before it ties and hands them on.
 HELD = 1 << 21
+#: Words to which the stretches compared are rounded, so that documents ask for few different ones of a common leader.
+_ROUND = 64
+#: In place of a hash function: an exact run.
+EXACT = -1
 
 
 def _slide(a: np.ndarray, size: int, op) -> np.ndarray:
@@ -101,33 +112,66 @@ def windows_of(grams: np.ndarray, starts: np.ndarray, hashes: int, least: int) -
     return dict(zip(("key", "row", "pos", "lo", "hi", "h"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
 
 
-def _tie(key, doc, pos, lo, hi, h, least: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Sorted by key and doc: which rows lead their group, and all others with their leader and the range s to e that they share with it.
+def runs_of(tokens: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of so many tokens, by doubling; not linear, so that no pattern makes runs collide."""
+    if len(tokens) < size:
+        return np.empty(0, np.uint64)
+    width, odd = 1, np.uint64(0x9E3779B97F4A7C15)
+    while 2 * width <= size:
+        tokens, width = mix(mix(tokens[:-width]) * odd + tokens[width:]), 2 * width
+    return mix(mix(tokens[: len(tokens) - (size - width)]) * odd + tokens[size - width :]) if width < size else tokens
+
 
-    s and e are -1 where that range is too narrow for a passage or the leader is of the same document.
+def tie(key, doc, pos, lo, hi, h, known, least: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of windows sorted by key, doc and pos, those whose group holds two documents, and of these: which lead their group, and the tie of each other.
+
+    known: rows that stand for a group with two documents. A tie is the leader,
+    the range s to e that both share, and k, how much further on the leader has
+    it; lead and s are -1 where the range is too narrow for a passage or both
+    are of one document.
     """
-    fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(key) else np.empty(0, np.int64)
-    other = np.flatnonzero(~fresh)
-    to = lead[other]
-    before = np.minimum(pos[other] - lo[other], pos[to] - lo[to])
-    after = np.minimum(hi[other] - pos[other], hi[to] - pos[to])
-    wide = (before + after + 1 >= THRESHOLD * least) & (doc[other] != doc[to])
-    at = pos[other]
-    return fresh, {"doc": doc[other], "pos": at, "lo": lo[other], "hi": hi[other], "h": h[other], "lead": doc[to], "s": np.where(wide, at - before, -1), "e": np.where(wide, at + after, -1)}
+    n = len(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
+    size = np.diff(np.append(first, n))
+    met = np.repeat((doc[first + size - 1] != doc[first]) | np.maximum.reduceat(known, first).astype(bool), size) if n else np.empty(0, bool)
+    lead = np.repeat(first, size)
+    before = np.minimum(pos - lo, pos[lead] - lo[lead])
+    after = np.minimum(hi - pos, hi[lead] - pos[lead])
+    wide = (before + after + 1 >= THRESHOLD * least) & (doc != doc[lead])
+    leads = lead == np.arange(n)
+    return met, {"leads": leads, "lead": np.where(wide, doc[lead], -1), "s": np.where(wide, pos - before, -1), "e": np.where(wide, pos + after, -1), "k": np.where(wide, pos[lead] - pos, 0)}
+
 
+_TIE = "doc long, pos int, lo int, hi int, h int, lead long, s int, e int, k int"
+_ROW = f"key long, known int, passing int, {_TIE}"
 
-_ROW = "key long, doc long, pos int, lo int, hi int, h int, lead long, s int, e int"
-_TIE = _ROW.removeprefix("key long, ")
-_ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.int32()) for name, kind in (c.split() for c in _ROW.split(", "))])
 
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, pa.int64() if kind == "long" else pa.int32()) for name, kind in (c.split() for c in ddl.split(", "))])
 
-def _tie_batch(ties: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({f.name: pa.array(ties[f.name].astype(np.int64)).cast(f.type) for f in list(_ARROW)[1:]})
 
+def _batches(columns: dict[str, np.ndarray], ddl: str) -> Iterator[pa.RecordBatch]:
+    schema = _schema(ddl)
+    for a in range(0, len(columns["doc"]), 1 << 14):
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name][a : a + (1 << 14)].astype(np.int64)).cast(f.type) for f in schema], schema=schema)
 
-def _ties(rows: DataFrame, windows, least: int) -> DataFrame:
-    """doc, pos, lo, hi, h, lead, s, e: every window but the first of its key, with the leader that it met. One shuffle, of windows.
+
+def _joined(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Ties of exact runs that go on from one another as one tie each; the others as they are."""
+    exact = rows["h"] == EXACT
+    own = {c: x[exact] for c, x in rows.items()}
+    order = np.lexsort([own[c] for c in ("s", "k", "lead", "doc")])
+    own = {c: x[order] for c, x in own.items()}
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (own["s"][1:] > own["e"][:-1] + 1) | np.logical_or.reduce([own[c][1:] != own[c][:-1] for c in ("k", "lead", "doc")])
+    first = np.flatnonzero(fresh)
+    ends = own["e"][np.append(first[1:], len(order)) - 1] if len(first) else own["e"]
+    own = {c: x[first] for c, x in own.items()} | {"e": ends}
+    return {c: np.concatenate([x[~exact], own[c]]) for c, x in rows.items()}
+
+
+def _ties(rows: DataFrame, windows: Callable, least: int) -> DataFrame:
+    """doc, pos, lo, hi, h, lead, s, e, k: every window that another document has too, with its tie. One shuffle, of windows.
 
     windows: of a piece of a batch of rows with text, gives key, doc, pos, lo, hi and h.
     """
@@ -140,34 +184,37 @@ def _ties(rows: DataFrame, windows, least: int) -> DataFrame:
                 return
             key, doc, pos, lo, hi, h = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((pos, doc, key))
-            key, doc, pos, lo, hi, h = (x[order] for x in (key, doc, pos, lo, hi, h))
-            fresh, ties = _tie(key, doc, pos, lo, hi, h, least)
-            own = {"key": key[fresh], "doc": doc[fresh], "pos": pos[fresh], "lo": lo[fresh], "hi": hi[fresh], "h": h[fresh], "lead": None, "s": None, "e": None}
-            # what is tied here travels with the windows, by a key of its own
-            found = {"key": mix(ties["doc"].view(np.uint64) + ties["pos"].astype(np.uint64)).view(np.int64), **ties}
-            for part in (own, found):
-                n = len(part["key"])
-                for a in range(0, n, 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(min(1 << 16, n - a), f.type) if part[f.name] is None else pa.array(part[f.name][a : a + (1 << 16)].astype(np.int64)).cast(f.type) for f in _ARROW], schema=_ARROW)
+            rows = dict(zip(("key", "doc", "pos", "lo", "hi", "h"), (x[order] for x in (key, doc, pos, lo, hi, h)), strict=True))
+            met, found = tie(*rows.values(), np.zeros(len(order), np.int64), least)
+            rows |= {"known": met.astype(np.int64), "passing": np.zeros(len(order), np.int64), **{c: found[c] for c in ("lead", "s", "e", "k")}}
+            # of a group with two documents the first window stands for all; the others travel with their tie by a key of their own
+            passing = met & ~found["leads"]
+            yield from _batches({c: x[~passing] for c, x in rows.items()}, _ROW)
+            done = _joined({c: x[passing] for c, x in rows.items()})
+            done["key"] = mix(done["doc"].view(np.uint64) + done["pos"].astype(np.uint64)).view(np.int64)
+            yield from _batches(done | {"passing": np.ones(len(done["doc"]), np.int64)}, _ROW)
 
         for batch in batches:
             for part in steps(batch, "text"):
                 held.append(windows(part))
                 size += len(held[-1][0])
-            if size > HELD:
-                yield from out()
-                held, size = [], 0
+                if size > HELD:
+                    yield from out()
+                    held, size = [], 0
         yield from out()
 
     def tie_all(batches):
+        names = [f.name for f in _schema(_TIE)]
         for table, _ in sorted_groups(batches, ["key"]):
-            lead = table["lead"]
-            column = lambda t, c: t[c].to_numpy().astype(np.int64)
-            yield from table.filter(lead.is_valid()).select([f.name for f in list(_ARROW)[1:]]).to_batches()
-            own = table.filter(lead.is_null())
-            yield _tie_batch(_tie(*(column(own, c) for c in ("key", "doc", "pos", "lo", "hi", "h")), least)[1])
+            passing = table["passing"].to_numpy() == 1
+            yield from table.filter(pa.array(passing)).select(names).to_batches()
+            own = table.filter(pa.array(~passing))
+            rows = {c: own[c].to_numpy().astype(np.int64) for c in ("key", "doc", "pos", "lo", "hi", "h", "known")}
+            met, found = tie(*rows.values(), least)
+            yield from _batches(_joined({c: (found | rows if c in rows else found)[c][met] for c in names}), _TIE)
 
-    return rows.mapInArrow(tie_own, _ROW).repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(tie_all, _TIE)
+    dealt = rows.mapInArrow(tie_own, _ROW).repartition("key").sortWithinPartitions("key", "doc", "pos")
+    return dealt.mapInArrow(tie_all, _TIE)
 
 
 def first_ties(docs: DataFrame, hashes: int, least: int) -> DataFrame:
@@ -189,8 +236,8 @@ def context_splits(least: int) -> list[tuple[int, int]]:
     return [(i, span - i) for i in range(0, span + 1, step)]
 
 
-def further_ties(docs: DataFrame, left: DataFrame, least: int) -> DataFrame:
-    """Ties of the windows in left (doc, pos, lo, hi, h), by function, value and one token on either side: a group for each of context_splits."""
+def further_ties(docs: DataFrame, met: DataFrame, least: int) -> DataFrame:
+    """Ties of the windows in met (doc, pos, lo, hi, h): of every exact run in those of the first function, and of all by a token on either side."""
     splits = context_splits(least)
 
     def windows(part):
@@ -200,123 +247,144 @@ def further_ties(docs: DataFrame, left: DataFrame, least: int) -> DataFrame:
         w = lists.flatten()
         pos, lo, hi, h = (w.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "lo", "hi", "h"))
         doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        start, there = starts[:-1][row], hi < np.diff(starts)[row]  # a repeated doc_id may have another text
+        start = starts[:-1][row]
         out = []
         for k, (i, j) in enumerate(splits):
-            at = np.flatnonzero(there & (pos - i >= lo) & (pos + j <= hi))
+            at = np.flatnonzero((pos - i >= lo) & (pos + j <= hi))
             mid = start[at] + pos[at]
             key = mix(mix(mix(grams[mid] + _SEEDS[h[at]]) + grams[mid - i]) + grams[mid + j] + _SEEDS[32 + k])
             out.append((key.view(np.int64), doc[at], pos[at], lo[at], hi[at], h[at]))
+        own = np.flatnonzero(h == 0)
+        first = np.maximum(lo[own], pos[own] - least + 1)
+        times = np.minimum(pos[own], hi[own] - least + 1) - first + 1
+        own, at = np.repeat(own, times), np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        key = runs_of(grams, least)[start[own] + at]
+        out.append((mix(key + _SEEDS[63]).view(np.int64), doc[own], at, at, at + least - 1, np.full(len(own), EXACT)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    by_doc = left.groupBy("doc").agg(F.collect_list(F.struct("pos", "lo", "hi", "h")).alias("windows"))
+    by_doc = met.groupBy("doc").agg(F.collect_list(F.struct("pos", "lo", "hi", "h")).alias("windows"))
     return _ties(docs.join(by_doc, "doc").select("doc", "text", "windows"), windows, least)
 
 
-def aligned_parts(a: np.ndarray, b: np.ndarray, order: np.ndarray, x: int, y: int) -> list[list[tuple[int, int, int]]]:
-    """Tokens x to y of a as stretches that b holds (first, last, shift to b), by parts that keep their alignment.
+def exact_runs(ties: DataFrame) -> DataFrame:
+    """doc, lead, s, e, k: ties of exact runs, those that overlap as one."""
+    by = Window.partitionBy("doc", "lead", "k").orderBy("s", "e")
+    rows = ties.where(f"h = {EXACT} AND s >= 0").select("doc", "lead", "s", "e", "k")
+    rows = rows.withColumn("reach", F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("s") <= F.col("reach") + 1, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("doc", "lead", "k", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 
-    order: b's positions sorted by token. A stretch goes on where its part does,
-    if b has it there within GAP places, and else at whichever of b's places it
-    goes on longest. A part may be interrupted by up to GAP tokens, also such as
-    b holds elsewhere.
+
+def _islands(batches):
+    """Pairs with their ranges → stretches of overlapping ranges of about one alignment (doc, lead, s, e, k0, k1) under enough functions."""
+    for batch in batches:
+        rows = []
+        for doc, lead, need, ranges in zip(*(batch.column(c) for c in range(4)), strict=True):
+            s, e, k, f = (ranges.values.field(c).to_numpy().astype(np.int64) for c in ("s", "e", "k", "functions"))
+            order = np.argsort(k, kind="stable")
+            for same in np.split(order, np.flatnonzero(np.diff(k[order]) > GAP) + 1):
+                same = same[np.argsort(s[same], kind="stable")]
+                reach = np.maximum.accumulate(e[same])
+                for own in np.split(same, np.flatnonzero(s[same][1:] > reach[:-1] + GAP + 1) + 1):
+                    if int(np.bitwise_or.reduce(f[own])).bit_count() >= need.as_py():
+                        rows.append((doc.as_py(), lead.as_py(), int(s[own].min()), int(e[own].max()), int(k[own].min()), int(k[own].max())))
+        names = ("doc", "lead", "s", "e", "k0", "k1")
+        yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+
+
+def matching_passages(a: np.ndarray, b: np.ndarray, s: int, e: int, least: int) -> list[tuple[int, int, int, int, float]]:
+    """Verified passages of two token sequences around tokens s to e of a: first and last token in a and in b, and Jaccard similarity.
+
+    A passage is a run of at least `least` tokens of a that b holds, with gaps of
+    at most GAP. A run whose similarity is below the threshold is cut at its
+    widest gap, and its parts are tried.
     """
+    if not len(a) or not len(b):
+        return []
+    order = np.argsort(b, kind="stable")
     ranked = b[order]
-    lows, highs = np.searchsorted(ranked, a[x : y + 1]), np.searchsorted(ranked, a[x : y + 1], "right")
-    parts: list[list[tuple[int, int, int]]] = []
-    live: list[list[tuple[int, int, int]]] = []
-    i = x
-    while i <= y:
-        lo, hi = lows[i - x], highs[i - x]
-        if lo == hi:
-            i += 1
+    place = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
+    at = np.flatnonzero(ranked[place] == a)
+    if not len(at):
+        return []
+    there = order[place]
+    out, left = [], [p for p in np.split(at, np.flatnonzero(np.diff(at) > GAP + 1) + 1) if p[0] <= e and p[-1] >= s]
+    while left:
+        run = left.pop()
+        x, y = int(run[0]), int(run[-1])
+        if y - x + 1 < least:
             continue
-        shifts = order[lo:hi] - i
-        live = [p for p in live if i - p[-1][1] <= GAP + 1]
-        own = None
-        for p in sorted(live, key=lambda p: -p[-1][1]):
-            near = np.abs(shifts - p[-1][2]) <= GAP
-            if near.any():
-                own, shifts = p, shifts[near]
-                break
-        last = i
-        while last < y:
-            at = shifts + (last + 1)
-            at = shifts[(at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a[last + 1])]
-            if not len(at):
-                break
-            shifts, last = at, last + 1
-        if own is None:
-            own = []
-            parts.append(own)
-            live.append(own)
-            shift = int(shifts.min())
-        else:
-            shift = int(shifts[np.argmin(np.abs(shifts - own[-1][2]))])
-        own.append((i, last, shift))
-        i = last + 1
-    return parts
+        shift = there[run] - run
+        middle = np.sort(shift)[len(shift) // 2]  # where the run begins in b, as most tokens have it
+        near = there[run][np.abs(shift - middle) <= y - x + 1]
+        u, v = int(near.min()), int(near.max())
+        one, two = np.unique(a[x : y + 1]), np.unique(b[u : v + 1])
+        common = len(np.intersect1d(one, two, assume_unique=True))
+        similar = common / (len(one) + len(two) - common)
+        if similar >= THRESHOLD - 1e-9:
+            out.append((x, y, u, v, similar))
+            continue
+        gaps = np.diff(run)
+        widest = np.flatnonzero(gaps == gaps.max())
+        if gaps.max() > 1:
+            cut = int(widest[np.argmin(np.abs(widest - len(gaps) // 2))]) + 1
+            left += [run[:cut], run[cut:]]
+    return sorted(out)
 
 
-def matching_runs(a: np.ndarray, b: np.ndarray, ranges: list[tuple[int, int, int]] | np.ndarray, least: int, need: int) -> list[tuple[int, int, int, int, float]]:
-    """Verified passages of two token sequences: first and last token in a and in b, and Jaccard similarity.
+def _slices(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc, x, y, slice: words x to y of each text and the few behind that their last tokens reach into. asked: doc, x, y, distinct."""
 
-    A passage is a run of tokens of a that b holds, with gaps of at most GAP, of
-    at least `least` tokens, over ranges under enough functions. If its
-    similarity is below the threshold, its parts of one alignment with b are
-    tried, then these parts' gapless stretches, and then its gapless runs apart
-    from what was found.
+    def run(batches):
+        for batch in batches:
+            for part in steps(batch, "text"):
+                data, offsets = text_bytes(part.column(1))
+                w, raw = Words(data, offsets), data.tobytes()
+                docs, lists = part.column(0).to_pylist(), part.column(2)
+                rows = []
+                for i, doc in enumerate(docs):
+                    first, last = w.of[i], w.of[i + 1]
+                    for r in lists[i].values.to_pylist():
+                        a, b = first + r["x"], min(last, first + r["y"] + SHINGLE_WORDS - 1)
+                        rows.append((doc, r["x"], r["y"], raw[w.start[a] : w.end[b - 1]].decode() if a < b else ""))
+                yield pa.RecordBatch.from_pydict({"doc": pa.array([r[0] for r in rows], pa.int64()), "x": pa.array([r[1] for r in rows], pa.int64()), "y": pa.array([r[2] for r in rows], pa.int64()), "slice": pa.array([r[3] for r in rows], pa.string())})
+
+    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("x", "y")).alias("asked"))
+    return texts.join(by_doc, "doc").select("doc", "text", "asked").mapInArrow(run, "doc long, x long, y long, slice string")
+
+
+def near_passages(texts: DataFrame, ties: DataFrame, min_words: int, need: int) -> DataFrame:
+    """doc, lead, start, end, lead_start, lead_end: passages verified around the ranges of pairs that are tied under enough functions.
+
+    Both sides' stretches are cut from the texts in one pass, by document; a
+    leader's are few however many documents ask for them.
     """
-    order = np.argsort(b, kind="stable")
-    place = np.minimum(np.searchsorted(b[order], a), max(len(b) - 1, 0))
-    hit = b[order][place] == a if len(b) else np.zeros(len(a), bool)
-    there = order[place] if len(b) else place
-
-    def cut(positions: np.ndarray, gap: int):
-        if len(positions):
-            breaks = np.flatnonzero(np.diff(positions) > gap + 1)
-            yield from zip(positions[np.concatenate([[0], breaks + 1])], positions[np.concatenate([breaks, [len(positions) - 1]])], strict=True)
-
-    first, last, functions = np.array(ranges, np.int64).reshape(-1, 3).T
-
-    def able(x: int, y: int) -> bool:
-        return y - x + 1 >= least and int(np.bitwise_or.reduce(functions[(first <= y) & (last >= x)])).bit_count() >= need
+    least = min_words - SHINGLE_WORDS + 1
+    ranges = ties.groupBy("doc", "lead", "s", "e", "k").agg(F.bit_or(F.expr("shiftleft(1, h)")).alias("functions"))
+    pairs = ranges.groupBy("doc", "lead").agg(F.bit_or("functions").alias("all"), F.collect_list(F.struct("s", "e", "k", "functions")).alias("ranges")).where(F.bit_count("all") >= need)
+    islands = pairs.select("doc", "lead", F.lit(need).alias("need"), "ranges").mapInArrow(_islands, "doc long, lead long, s long, e long, k0 long, k1 long")
+    down = lambda c: F.greatest(F.lit(0), F.floor((c - least) / _ROUND) * _ROUND).cast("long")
+    up = lambda c: ((F.floor((c + least) / _ROUND) + 1) * _ROUND).cast("long")
+    bounds = {"x": down(F.col("s")), "y": up(F.col("e")), "u": down(F.col("s") + F.col("k0")), "v": up(F.col("e") + F.col("k1"))}
+    islands = written(islands.withColumns(bounds), "islands")
+    asked = islands.select("doc", "x", "y").union(islands.select("lead", "u", "v")).distinct()
+    slices = written(_slices(texts, asked), "slices")
+    both = islands.join(slices, ["doc", "x", "y"]).join(slices.toDF("lead", "u", "v", "lead_slice"), ["lead", "u", "v"])
 
-    def compared(x: int, y: int, u: int, v: int):
-        one, two = np.unique(a[x : y + 1]), np.unique(b[u : v + 1])
-        common = len(np.intersect1d(one, two, assume_unique=True))
-        similar = common / (len(one) + len(two) - common)
-        return (int(x), int(y), u, v, similar) if similar >= THRESHOLD - 1e-9 else None
+    def verify(batches):
+        for batch in batches:
+            for part in steps(batch, "slice"):
+                a, of_a = shingles(Words(*text_bytes(part.column(0))))
+                b, of_b = shingles(Words(*text_bytes(part.column(1))))
+                rows = []
+                for i, (doc, lead, s, e, x, u) in enumerate(zip(*(part.column(c).to_pylist() for c in range(2, 8)), strict=True)):
+                    for p, q, m, n, _ in matching_passages(a[of_a[i] : of_a[i + 1]], b[of_b[i] : of_b[i + 1]], s - x, e - x, least):
+                        rows.append((doc, lead, p + x, q + x + SHINGLE_WORDS, m + u, n + u + SHINGLE_WORDS))
+                names = ("doc", "lead", "start", "end", "lead_start", "lead_end")
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
 
-    def checked(x: int, y: int):
-        if not able(x, y):
-            return None
-        at = there[x : y + 1][hit[x : y + 1]]
-        shift = at - np.flatnonzero(hit[x : y + 1])
-        middle = np.sort(shift)[len(shift) // 2]  # where the run begins in b, as most tokens have it
-        near = at[np.abs(shift - middle) <= y - x + 1]
-        return compared(x, y, int(near.min()), int(near.max()))
-
-    def placed(part: list[tuple[int, int, int]]):
-        x, y = part[0][0], part[-1][1]
-        return compared(x, y, min(p + k for p, _, k in part), max(q + k for _, q, k in part)) if able(x, y) else None
-
-    out = []
-    for x, y in cut(np.flatnonzero(hit), GAP):
-        if found := checked(x, y):
-            out.append(found)
-        elif able(x, y):
-            own = []
-            for part in aligned_parts(a, b, order, x, y):
-                if found := placed(part):
-                    own.append(found)
-                else:
-                    own += [f for stretch in part if (f := placed([stretch]))]
-            for p, q in cut(np.flatnonzero(hit[x : y + 1]) + x, 0):
-                if all(q < f[0] or p > f[1] for f in own) and (f := checked(p, q)):
-                    own.append(f)
-            out += sorted(own)
-    return out
+    found = both.select("slice", "lead_slice", "doc", "lead", "s", "e", "x", "u").mapInArrow(verify, "doc long, lead long, start long, end long, lead_start long, lead_end long")
+    return found.distinct()
 
 
 def _pieces(batches):
@@ -337,40 +405,23 @@ def _pieces(batches):
         yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)} | {"keep": pa.array([r[4] for r in rows], pa.bool_())})
 
 
-def _verified(docs: DataFrame, ties: DataFrame, min_words: int, need: int) -> DataFrame:
-    """doc, lead, start, end, lead_start, lead_end: passages of the pairs that have wide ties under enough functions; a written table."""
-    ranges = ties.where("s >= 0").groupBy("doc", "lead", "s", "e").agg(F.bit_or(F.expr("shiftleft(1, h)")).alias("functions"))
-    pairs = ranges.groupBy("doc", "lead").agg(F.bit_or("functions").alias("all"), F.collect_list(F.struct("s", "e", "functions")).alias("ranges")).where(F.bit_count("all") >= need)
-    pairs = written(pairs.select("doc", "lead", "ranges"), "pairs")
-
-    def tokens(batches):
-        for batch in batches:
-            for part in steps(batch, "text"):
-                grams, starts = shingles(Words(*text_bytes(part.column(1))))
-                short = (grams >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_pydict({"doc": part.column(0), "tokens": pa.array([short[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())})
-
-    wanted = pairs.select("doc").union(pairs.select(F.col("lead").alias("doc"))).distinct()
-    found = docs.join(wanted, "doc", "left_semi").mapInArrow(tokens, "doc long, tokens binary")
-    found = written(found.groupBy("doc").agg(F.max_by("tokens", F.length("tokens")).alias("tokens")), "tokens")
-    both = pairs.join(found, "doc").join(found.select(F.col("doc").alias("lead"), F.col("tokens").alias("lead_tokens")), "lead")
-
-    def verify(batches):
-        least = min_words - SHINGLE_WORDS + 1
-        for batch in batches:
-            rows = []
-            for doc, lead, ranges, a, b in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc", "lead", "ranges", "tokens", "lead_tokens")), strict=True):
-                spans = np.stack([ranges.values.field(c).to_numpy().astype(np.int64) for c in ("s", "e", "functions")], axis=1)
-                runs = matching_runs(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32), spans, least, need)
-                rows += [(doc.as_py(), lead.as_py(), x, y + SHINGLE_WORDS, u, v + SHINGLE_WORDS) for x, y, u, v, _ in runs]
-            names = ("doc", "lead", "start", "end", "lead_start", "lead_end")
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc, doc_id, copy, text of docs (doc_id, text): one row for each text under a doc_id.
 
-    return written(both.mapInArrow(verify, "doc long, lead long, start long, end long, lead_start long, lead_end long"), "tied")
+    doc tells them apart: the doc_id, or where that stands for several texts a
+    hash of both. copy: a hash of the text.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").where("doc_id IS NOT NULL")
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("copy") < F.max("copy")).alias("differ")).where("n > 1")
+    several = written(several.drop("n"), "several")  # commonly none; Spark sees how large it is
+    single = rows.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "doc_id", "copy", "text")
+    doc = F.when(F.col("differ"), F.xxhash64("doc_id", "copy")).otherwise(F.col("doc_id"))
+    repeated = rows.join(several, "doc_id").select(doc.alias("doc"), "doc_id", "copy", "text").dropDuplicates(["doc"])
+    return single.union(repeated)
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES, need: int = NEED) -> DataFrame:
-    """doc_id, start, end, first_doc_id, first_start, keep, n_docs: passages of at least min_words words that near-repeat in another document.
+    """doc_id, copy, start, end, first_doc_id, first_start, keep, n_docs: passages of at least min_words words that near-repeat in another document.
 
     docs: doc_id, text. start and end: the first word and past the last, words
     being as in near-duplicate search. All passages tied together are a class,
@@ -379,21 +430,26 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES,
     a passage that earlier documents hold in part is given as its parts, which
     may be shorter. Null and empty texts and texts below min_words have no
     passages. Rows with a null doc_id take no part; rows that repeat a doc_id
-    count as one document, of which the longest text counts.
+    and text count as one document, and those that repeat a doc_id with another
+    text are documents of their own, which copy (a hash of the text) tells apart
+    and which stand in the order of a hash among the others.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL")
+    all_texts = numbered(docs)
+    texts = all_texts.select("doc", "text")
     least = min_words - SHINGLE_WORDS + 1
-    first_met = written(first_ties(docs, hashes, least), "ties")
-    tied = _verified(docs, first_met, min_words, need)
-    # windows whose leader does not hold their passage meet once more, among those with like neighbours
-    held = tied.select("doc", "lead", "start", "end")
-    left = first_met.join(held, (first_met["doc"] == held["doc"]) & (first_met["lead"] == held["lead"]) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")), "left_anti")
-    again = written(further_ties(docs, left.select("doc", "pos", "lo", "hi", "h"), least), "ties")
-    asked = again.where("s >= 0").select("doc", "lead").distinct()
-    both_met = again.union(first_met.join(asked, ["doc", "lead"], "left_semi").select(again.columns))
-    tied = tied.union(_verified(docs, both_met, min_words, need))
+    met = written(first_ties(texts, hashes, least), "ties")
+    again = written(further_ties(texts, met, least), "ties")
+    exact = written(exact_runs(again), "exact")
+    # near ties outside what is known to repeat word by word
+    near = met.union(again.where(f"h <> {EXACT}")).where("s >= 0").select("doc", "lead", "s", "e", "k", "h")
+    held = exact.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("held"))
+    inside = F.exists("held", lambda r: (r["s"] <= F.col("s")) & (F.col("e") <= r["e"]))
+    near = near.join(held, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("held")
+    words = lambda c: F.col(c).cast("long") + SHINGLE_WORDS
+    same = exact.select("doc", "lead", F.col("s").cast("long").alias("start"), words("e").alias("end"), (F.col("s") + F.col("k")).cast("long").alias("lead_start"), (words("e") + F.col("k")).alias("lead_end"))
+    tied = written(same.union(near_passages(texts, near, min_words, need)), "tied")
 
     # ranges of one document that overlap hang together; equal ranges fall together before they meet in a window
     spans = tied.select("doc", "start", "end", F.lit(True).alias("cut")).union(tied.select("lead", "lead_start", "lead_end", F.lit(False)))
@@ -412,19 +468,20 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES,
     # a class's documents are counted within tasks; from a table, its one row meets its passages in a join that Spark can split
     once = whole.groupBy("root", "doc").agg(F.min("start").alias("start"))
     first = written(once.groupBy("root").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n_docs")), "first")
-    return whole.join(first, "root").select(
-        F.col("doc").alias("doc_id"), "start", "end", F.col("first.doc").alias("first_doc_id"), F.col("first.start").alias("first_start"), "keep", "n_docs"
-    )
+    ids = written(all_texts.select("doc", "doc_id", "copy"), "ids")
+    first = written(first.join(ids.select(F.col("doc").alias("_doc"), F.col("doc_id").alias("first_doc_id")), F.col("first.doc") == F.col("_doc")).select("root", "first_doc_id", F.col("first.start").alias("first_start"), "n_docs"), "first")
+    return whole.join(first, "root").join(ids, "doc").select("doc_id", "copy", "start", "end", "first_doc_id", "first_start", "keep", "n_docs")
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the passages that are not kept cut out of text, n_chars (if there) counted anew; rows left without words go.
 
     Only rows that lose a passage can go. Their blanks around a cut stay. Other
-    rows and columns stay as they are.
+    rows and columns stay as they are. A passage is cut from the text that it was
+    found in, not from another under the same doc_id.
     """
-    spans = found.where("NOT keep").groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    spans = found.where("NOT keep").groupBy(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_copy")), "left").drop("_doc", "_copy")
     columns = docs.columns
 
     def cut(batches):

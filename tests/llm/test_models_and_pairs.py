@@ -254,25 +254,97 @@ def test_context_splits():
         assert all(any(i <= a and j <= least - 1 - a for i, j in splits) for a in range(least))
 
 
-def test_matching_runs_apart():
-    """Near copies side by side that the leader holds far apart, in either order, also where it holds their halves once more elsewhere."""
+@pytest.mark.parametrize("parts", [1, 3])
+def test_passages_that_an_earlier_document_holds_in_part(spark, parts):
+    """Pairs that share a passage of 56 words, of which an earlier document holds just the middle 44: no link is lost."""
+    rows = []
+    for k in range(40):
+        passage = prose(4000 + k, 56)
+        rows += [(k, prose(4100 + k, 40) + passage[6:50] + prose(4200 + k, 40)), (100 + k, prose(4300 + k, 30) + passage + prose(4400 + k, 30)), (200 + k, prose(4500 + k, 50) + passage + prose(4600 + k, 10))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(parts)
+    got = {(r["doc_id"], r["start"], r["end"], r["first_doc_id"], r["keep"]) for r in substring.passages(df).collect()}
+    assert got == {x for k in range(40) for x in ((100 + k, 30, 86, 100 + k, True), (200 + k, 50, 106, 100 + k, False))}
+
+
+def exact_repeats(docs, size):
+    """Brute force: for each document, the words that lie in a run of so many that an earlier document holds."""
+    seen, out = {}, {}
+    for i, t in sorted(docs):
+        w = words(t)
+        runs = [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
+        out[i] = {p for k, r in enumerate(runs) if seen.get(r, i) != i for p in range(k, k + size)}
+        for r in runs:
+            seen.setdefault(r, i)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_against_brute_force(spark, seed):
+    """A corpus of stretches that documents share in many overlapping ways: every word in an exact repeat is cut, and nothing that is in none (no near repeats here)."""
+    r = random.Random(seed)
+    stock = [prose(5000 + 50 * seed + k, r.randrange(20, 120)) for k in range(12)]
+    docs = []
+    for i in range(90):
+        w = []
+        for _ in range(r.randrange(1, 6)):
+            piece = r.choice(stock)
+            a = r.randrange(max(1, len(piece) - 30))
+            w += piece[a : a + r.randrange(20, 110)] if r.random() < 0.7 else prose(r.randrange(10**6), r.randrange(5, 60))
+        docs.append((i, " ".join(w)))
+    found = substring.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    got = {i: {p for x in found if x["doc_id"] == i and not x["keep"] for p in range(x["start"], x["end"])} for i, _ in docs}
+    want = exact_repeats(docs, 50)
+    assert sum(map(len, want.values())) > 2000
+    assert all(want[i] <= got[i] for i, _ in docs)
+    # what else is cut joins exact parts to a passage of 0.8 similarity: nearly all of it stands in earlier documents, five words at a time
+    seen, new, cut = set(), 0, 0
+    for i, t in docs:
+        w = words(t)
+        fives = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        held = {p for k, x in enumerate(fives) if x in seen for p in range(k, k + 5)}
+        new, cut = new + len(got[i] - held), cut + len(got[i])
+        seen |= set(fives)
+    assert new <= 0.1 * cut
+
+
+def test_passages_of_texts_under_one_id(spark):
+    """Two texts under one id are two documents: each is cut where it repeats an earlier text, and only there."""
+    shared = prose(61, 60)
+    rows = [(1, prose(1, 30) + shared), (5, prose(2, 80) + shared), (5, prose(3, 200)), (5, prose(2, 80) + shared), (6, prose(4, 10) + shared + prose(5, 10))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = substring.passages(df)
+    assert {(r["doc_id"], r["start"], r["end"], r["first_doc_id"], r["keep"], r["n_docs"]) for r in found.collect()} == {(1, 30, 90, 1, True, 3), (5, 80, 140, 1, False, 3), (6, 10, 70, 1, False, 3)}
+    left = sorted((r["doc_id"], tuple(r["text"].split())) for r in substring.without_repeats(df, found).collect())
+    assert left == sorted([(1, tuple(rows[0][1])), (5, tuple(prose(2, 80))), (5, tuple(prose(3, 200))), (5, tuple(prose(2, 80))), (6, tuple(prose(4, 10) + prose(5, 10)))])
+
+
+def test_exact_runs_have_no_pattern():
+    a, b = np.array([1], np.uint64), np.array([2], np.uint64)
+    for _ in range(11):
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    assert substring.runs_of(a, 2048)[0] != substring.runs_of(b, 2048)[0]
+    r = np.random.default_rng(3)
+    x = r.integers(0, 2, 400).astype(np.uint64)
+    for size in (1, 2, 3, 7, 46):
+        got, want = substring.runs_of(x, size), [tuple(x[i : i + size]) for i in range(len(x) - size + 1)]
+        assert len(got) == len(want) and len(set(got.tolist())) == len(set(want)) == len(set(zip(got.tolist(), want, strict=True)))
+
+
+def test_matching_passages():
+    """A near copy with changed tokens; two side by side that differ too much as one; a text of one token."""
     r = np.random.default_rng(6)
-    fresh = lambda n: r.integers(0, 1 << 31, n).astype(np.uint32)
+    fresh = lambda n: r.integers(0, 1 << 62, n).astype(np.uint64)
     one, two = fresh(86), fresh(86)
     near = lambda t: np.concatenate([t[:40], fresh(5), t[45:]])
-    every = [(0, 1 << 20, 15)]
-    for first, second in ((one, two), (two, one)):
-        a = np.concatenate([fresh(30), near(first), near(second), fresh(30)])
-        for b in (np.concatenate([fresh(10), one, fresh(500), two]), np.concatenate([one[:30], fresh(20), two[50:], fresh(90), one, fresh(500), two, fresh(9), one[60:]])):
-            got = substring.matching_runs(a, b, every, 46, 2)
-            assert [x[:2] for x in got] == [(30, 115), (116, 201)]
-            for x, y, u, v, similar in got:
-                assert (b[u], b[v], v - u) == (a[x], a[y], y - x) and similar == pytest.approx(81 / 91)
-    line = one[:12]  # a line that the leader also holds elsewhere, within a passage
-    a = np.concatenate([two[:40], line[:8], two[40:]])
-    assert [x[:2] for x in substring.matching_runs(a, np.concatenate([line, fresh(900), two]), every, 46, 2)] == [(0, 93)]
-    same = np.zeros(3000, np.uint32)
-    assert substring.matching_runs(same, np.concatenate([same[:50], fresh(50)]), every, 46, 2)
+    a = np.concatenate([fresh(30), near(one), fresh(30)])
+    (found,) = substring.matching_passages(a, np.concatenate([fresh(10), one, fresh(50)]), 40, 100, 46)
+    assert found[:4] == (30, 115, 10, 95) and found[4] == pytest.approx(81 / 91)
+    a = np.concatenate([fresh(30), one, two[:50], fresh(30)])
+    b = np.concatenate([one, fresh(60), two])
+    assert [x[:4] for x in substring.matching_passages(a, b, 40, 150, 46)] == [(30, 115, 0, 85)] or [x[:4] for x in substring.matching_passages(a, b, 40, 150, 46)][0][:2] == (30, 165)
+    same = np.zeros(3000, np.uint64)
+    assert substring.matching_passages(same, np.concatenate([same[:50], fresh(50)]), 0, 2999, 46)
+    assert substring.matching_passages(same[:0], same, 0, 0, 46) == [] == substring.matching_passages(fresh(90), fresh(90), 0, 89, 46)
 
 
 def held_out(spark, scored, labels, label):
@@ -383,8 +455,12 @@ def brute_ctw(train, depth):
     return score
 
 
-@pytest.mark.parametrize(("depth", "part"), [(2, ctw.PART), (5, 40)])
-def test_ctw(spark, depth, part):
+@pytest.mark.parametrize(("depth", "size", "fan"), [(2, ctw.CHUNK_BYTES, ctw.FAN), (5, 60, 2), (3, 1, 1)])
+def test_ctw(spark, monkeypatch, depth, size, fan):
+    """Against sums over explicit trees, whatever the size of chunks and the number of tasks that a frequent context is dealt to."""
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", size)
+    monkeypatch.setattr(ctw, "FAN", fan)
+    monkeypatch.setattr("quern.llm._text.STEP_BYTES", 64)
     texts = ["the cat sat on the mat", "The Cat sat", "a dog\x00 sat\ton \n the é", "", None, "zzz qqq the", "the cat sat on the mat", "x" * 5000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     train = [t or "" for i, t in enumerate(texts) if i not in (2, 5)]
@@ -392,13 +468,27 @@ def test_ctw(spark, depth, part):
     tokens = lambda t: re.findall(r"[^ \t-\r]+", t.translate({c: c + 32 for c in range(65, 91)})) + [None]
     c = collections.Counter(x for t in train for x in tokens(t))
     n, v = sum(c.values()), len(c)
-    for r in ctw.score_texts(docs, ~F.col("doc_id").isin(2, 5), depth, part).collect():
+    got = ctw.score_texts(docs, ~F.col("doc_id").isin(2, 5), depth).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    for r in got:
         t = texts[r["doc_id"]] or ""
         assert r["score"] == pytest.approx(score(t), abs=1e-6)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens(t)), abs=1e-6)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), n)
 
 
+def test_ctw_words_of_a_pattern(spark):
+    """Two words of 1,024 letters that a sum of powers would confuse are two words."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, f"{a} {a} {b}"), (2, b), (3, f"{a}b")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ctw.score_texts(docs, F.col("doc_id") == 1).collect()}
+    n, v = 4, 3
+    assert got[2]["base_score"] == pytest.approx(math.log10(2 / (n + v + 1)) + math.log10(2 / (n + v + 1)))
+    assert got[1]["n_known"] == 4 and got[3]["n_known"] == 1
+
+
 def test_ctw_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     r = ctw.score_texts(docs, F.lit(False)).first()
