@@ -7,12 +7,15 @@ probability is half of that and half of the product of its children's, so all
 depths are mixed by the evidence of the whole training corpus. A context that
 training has not seen is predicted by the deepest one that it has.
 
-All of it is sums over byte n-grams, so Spark computes it: tasks count n-grams
-of whole texts, one shuffle deals them by the nearest context bytes, levels are
-summed upwards, weights are passed downwards, and each n-gram gets the code
-length of its last byte. What is sent to scoring tasks is PART entries at
-most at a time; a larger model is used in parts, each n-gram in one of them, the
-texts passing once per part.
+All of it is sums over byte n-grams, so Spark computes it. Tasks read whole
+texts in chunks of CHUNK_BYTES; of each chunk they write the texts, its distinct
+n-grams packed by their nearest context bytes, and its distinct words. N-grams
+are summed by these context bytes, levels are summed upwards, weights are passed
+downwards, and each n-gram gets the code length of its last byte. The n-grams
+and words of every chunk are joined with the model's and dealt back to the
+chunk, whose texts are scored by the little table of what they hold. So
+nothing of the model passes through the driver or a broadcast, and the memory of
+a task is that of a chunk, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -23,18 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quern.llm._graph import sorted_groups
 from quern.llm._spark import crc32_mod, read, small_batches, written
-from quern.llm._text import HELD, Counter, Words, mix, steps, text_bytes
+from quern.llm._text import Counter, Words, mix, steps, text_bytes
 
 DEPTH = 5
 END = 255  # a byte that UTF-8 never holds
-#: Entries of one lookup table that is sent to executors: 100 MB at most.
-PART = 1 << 22
+#: Bytes of text whose n-grams are counted and looked up together.
+CHUNK_BYTES = 32 << 20
+#: Chunks that one task meets by one context; more of a frequent context are dealt to several.
+FAN = 256
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 #: Words of the base score: what is not ASCII white space. Byte 0 is a letter, so it is written as 255.
@@ -59,46 +64,114 @@ def grams_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple
     return key[place], starts
 
 
-GRAM, WORD = 0, 1
+TEXT, GRAM, WORD = 2, 1, 0
+#: n-grams of a step when packed rows are worked on.
+_STEP = 1 << 20
 
 
-def _counts(docs: DataFrame, depth: int) -> DataFrame:
-    """docs: text, learn → kind, key, n: counts of n-grams (0 if seen in other texts alone) and of words of texts to learn from; combined in tasks."""
+def _near(depth: int) -> int:
+    return min(NEAR, depth)
 
-    def out(kind: int, counter: Counter):
-        keys, counts = counter.merge()
-        counter.parts, counter.size = [], 0
-        for a in range(0, len(keys), 1 << 16):
-            part = keys[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), kind, np.int32)), "key": pa.array(part.view(np.int64)), "n": pa.array(counts[a : a + (1 << 16)].astype(np.int64))})
+
+def split_keys(keys: np.ndarray, depth: int) -> np.ndarray:
+    """n-grams in another order of bits: the nearest context bytes, then those further off, then the last byte. Sorted, those of one nearest context stand together."""
+    n = _near(depth)
+    near = (keys >> np.uint64(8)) & np.uint64((1 << (8 * n)) - 1)
+    rest = (keys >> np.uint64(8 + 8 * n)) << np.uint64(8) | keys & np.uint64(255)
+    return near << np.uint64(32) | rest
+
+
+def whole_keys(near: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
+    """The n-grams again, of the nearest context and the rest."""
+    rest = rest.astype(np.uint64)
+    return rest & np.uint64(255) | near.astype(np.uint64) << np.uint64(8) | (rest >> np.uint64(8)) << np.uint64(8 + 8 * _near(depth))
+
+
+def packed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Sorted split keys with values, by nearest context: that context, the rests as 32-bit numbers and the values, as bytes."""
+    near = (keys >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]])) if len(near) else np.empty(0, np.int64)
+    ends = np.append(first[1:], len(near))[: len(first)]
+    rest = (keys & np.uint64((1 << 32) - 1)).astype(np.uint32)
+    return near[first], [rest[a:b].tobytes() for a, b in zip(first, ends, strict=True)], [values[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+
+
+def unpacked(blobs: pa.Array, dtype) -> np.ndarray:
+    """All values of some rows, one after another."""
+    if isinstance(blobs, pa.ChunkedArray):
+        blobs = blobs.combine_chunks()
+    if not len(blobs):
+        return np.empty(0, dtype)
+    kind = np.int64 if pa.types.is_large_binary(blobs.type) else np.int32
+    ends = np.frombuffer(blobs.buffers()[1], kind)[blobs.offset : blobs.offset + len(blobs) + 1]
+    data = blobs.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype) if data is not None and ends[-1] > ends[0] else np.empty(0, dtype)
+
+
+def _frozen(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _chunks(docs: DataFrame, depth: int) -> DataFrame:
+    """docs: doc_id, text, learn → what each chunk holds.
+
+    kind TEXT: texts (an Arrow stream of doc_id and text) and n, of them to learn
+    from. kind GRAM: near, keys and counts (0 if seen in other texts alone). kind
+    WORD: one and two (128 bits of hash) and n.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("near", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
+
+    def rows(kind: int, chunk: int, size: int, **columns) -> pa.RecordBatch:
+        full = {"kind": pa.array(np.full(size, kind), pa.int32()), "chunk": pa.array(np.full(size, chunk), pa.int64())} | columns
+        return pa.RecordBatch.from_arrays([full.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in schema], schema=schema)
 
     def run(batches):
-        _built.clear()  # a worker that lives on may hold tables of an earlier run
-        grams, words = Counter(), Counter()
+        chunk, size, grams, words = uuid.uuid4().int >> 65, 0, Counter(), []
+
+        def close():
+            near, keys, counts = packed(*(x.astype(t) for x, t in zip(grams.merge(), (np.uint64, np.uint32), strict=True)))
+            for a in range(0, len(near), 1 << 12):
+                b = min(a + (1 << 12), len(near))
+                yield rows(GRAM, chunk, b - a, near=pa.array(near[a:b]), keys=pa.array(keys[a:b], pa.binary()), counts=pa.array(counts[a:b], pa.binary()))
+            one, two, n = _word_sums([np.concatenate(x) for x in zip(*words, strict=True)]) if words else [np.empty(0, np.uint64)] * 3
+            for a in range(0, len(one), 1 << 14):
+                part = slice(a, a + (1 << 14))
+                yield rows(WORD, chunk, len(one[part]), one=pa.array(one[part].view(np.int64)), two=pa.array(two[part].view(np.int64)), n=pa.array(n[part].astype(np.int64)))
+
         for batch in batches:
             for part in steps(batch, "text"):
-                data, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
-                learn = np.asarray(part.column(part.schema.get_field_index("learn")).to_pylist(), bool)
+                data, offsets = text_bytes(part.column(1))
+                learn = np.asarray(part.column(2).to_pylist(), bool)
                 key, at = grams_of(data, offsets, depth)
-                of = np.repeat(learn, np.diff(at))
+                key, of = split_keys(key, depth), np.repeat(learn, np.diff(at))
                 known, times = np.unique(key[of], return_counts=True)
                 grams.add(known, times)
                 other = np.unique(key[~of])
                 grams.add(other, np.zeros(len(other), np.int64))
-                w = Words(data, offsets, TOKEN)
-                words.add(*np.unique(np.maximum(w.hash[np.repeat(learn, w.counts())], np.uint64(1)), return_counts=True))
-                if grams.size > HELD:
-                    grams.merge()
-                    if grams.size > HELD:
-                        yield from out(GRAM, grams)
-                if words.size > HELD:
-                    words.merge()
-                    if words.size > HELD:
-                        yield from out(WORD, words)
-        yield from out(GRAM, grams)
-        yield from out(WORD, words)
-
-    return docs.select("text", "learn").mapInArrow(run, "kind int, key long, n long")
+                w = Words(data, offsets, TOKEN, wide=True)
+                words.append(_word_sums([w.hash, w.more, np.repeat(learn, w.counts()).astype(np.int64)]))
+                if len(words) > 16:
+                    words = [_word_sums([np.concatenate(x) for x in zip(*words, strict=True)])]
+                yield rows(TEXT, chunk, 1, n=pa.array([int(learn.sum())]), texts=pa.array([_frozen(part.select(["doc_id", "text"]))], pa.binary()))
+                size += len(data) + part.num_rows
+                if size >= CHUNK_BYTES:
+                    yield from close()
+                    chunk, size, grams, words = uuid.uuid4().int >> 65, 0, Counter(), []
+        yield from close()
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(run, "kind int, chunk long, near long, one long, two long, n long, keys binary, counts binary, texts binary")
+
+
+def _word_sums(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Numbers summed by word, of two hashes. Words that share the first stand in runs of the second, of which one may come twice; sums are of what comes."""
+    one, two, n = words
+    order = np.argsort(one, kind="stable")
+    one, two, n = one[order], two[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.empty(0, np.int64)
+    return [one[first], two[first], np.add.reduceat(n, first) if len(first) else n]
 
 
 def _log_gamma(x: Column) -> Column:
@@ -161,24 +234,73 @@ def _levels(keys: np.ndarray, n: np.ndarray, depth: int, near: int) -> list[tupl
     return out[::-1]
 
 
-def gram_scores(grams: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
-    """key, n → key, score: log10 of the probability of the last byte in its context. And tables to release afterwards.
+def _merged(rows: DataFrame, by: list[str], dtype) -> DataFrame:
+    """Packed counts (near, keys, counts) summed by `by`, which begins with near: a row for each of its values, or fewer. Rows stream through a task, sorted."""
+
+    def run(batches):
+        now, held = None, Counter()
+
+        def out():
+            keys, counts = held.merge()
+            near, keys, counts = packed(keys, counts)
+            yield pa.RecordBatch.from_pydict({"near": pa.array(near), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    One shuffle deals n-grams by the nearest NEAR context bytes. Levels deeper
-    than that are summed and weighted within a task, context by context; the few
-    nodes above are sums and joins of their own.
+        for batch in batches:
+            groups = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in by], 1)
+            size = np.diff(np.frombuffer(batch.column(batch.schema.get_field_index("keys")).buffers()[1], np.int32)[: batch.num_rows + 1]) // 4
+            near = groups[:, 0].astype(np.uint64)
+            keys = unpacked(batch.column(batch.schema.get_field_index("keys")), np.uint32).astype(np.uint64) | np.repeat(near, size) << np.uint64(32)
+            counts = unpacked(batch.column(batch.schema.get_field_index("counts")), dtype).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            cuts = np.flatnonzero((groups[1:] != groups[:-1]).any(1)) + 1
+            # whole groups of a batch are summed at once; what the last one has goes on
+            last = cuts[-1] if len(cuts) else 0
+            if len(cuts) or now is None or (groups[0] != now).any():
+                if now is not None and (groups[0] != now).any():
+                    yield from out()
+                    held.parts, held.size = [], 0
+                if len(cuts):
+                    held.add(keys[: ends[last]], counts[: ends[last]])
+                    yield from out()
+                    held.parts, held.size = [], 0
+            now = groups[-1]
+            held.add(keys[ends[last] :], counts[ends[last] :])
+        if now is not None:
+            yield from out()
+
+    return rows.select(*by, "keys", "counts").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "near long, keys binary, counts binary")
+
+
+def _in_steps(batches, value: str, dtype, depth: int):
+    """Packed rows, some at a time: the rows, their n-grams, the values and the number of each row."""
+    for batch in batches:
+        ends = np.frombuffer(batch.column(batch.schema.get_field_index("keys")).buffers()[1], np.int32)[: batch.num_rows + 1].astype(np.int64) // 4
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + _STEP, "right")) - 1)
+            part = batch.slice(i, j - i)
+            size = np.diff(ends[i : j + 1])
+            near = np.repeat(part.column(part.schema.get_field_index("near")).to_numpy(), size)
+            keys = whole_keys(near, unpacked(part.column(part.schema.get_field_index("keys")), np.uint32), depth)
+            yield part, keys, unpacked(part.column(part.schema.get_field_index(value)), dtype), size
+            i = j
+
+
+def gram_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """near, keys, counts (one row a context) → near, keys, scores: log10 of the probability of the last byte in its context.
+
+    Levels deeper than the nearest context bytes are summed and weighted within a
+    task, context by context; the few nodes above are sums and joins of their own.
     """
-    near = min(NEAR, depth)
-    by = F.expr(f"(key >> 8) & {(1 << (8 * near)) - 1}")
-    dealt = grams.withColumn("near", by).repartition("near").groupBy("near", "key").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    near = _near(depth)
 
     def up(batches):
-        for table, _ in sorted_groups(batches, ["near"]):
-            node, zeros, ones, below = _levels(table["key"].to_numpy().astype(np.uint64), table["n"].to_numpy(), depth, near)[0]
+        for _, keys, n, _ in _in_steps(batches, "counts", np.int64, depth):
+            node, zeros, ones, below = _levels(keys, n, depth, near)[0]
             yield pa.RecordBatch.from_pydict({"node": pa.array(node.astype(np.int64)), "n0": pa.array(zeros), "n1": pa.array(ones), "below": pa.array(below)})
 
-    top = dealt.sortWithinPartitions("near").mapInArrow(up, "node long, n0 double, n1 double, below double")
-    levels, kept = {}, [dealt]
+    top = grams.mapInArrow(up, "node long, n0 double, n1 double, below double")
+    levels = {}
     for d in range(near, -1, -1):
         if d < near:
             at = F.expr(f"node & {int(_mask(d))}").alias("node")
@@ -189,8 +311,7 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[D
         else:
             both = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - math.log(2)
             weighted = top.withColumn("own", own).withColumn("w", both).withColumn("stop", F.exp(F.col("own") - math.log(2) - F.col("w")))
-        levels[d] = weighted.select("node", "n0", "n1", "w", "stop").persist(StorageLevel.DISK_ONLY)
-        kept.append(levels[d])
+        levels[d] = written(weighted.select("node", "n0", "n1", "w", "stop"), "level")
 
     # mixed: what the levels above add; left: the weight that goes on below; before: the estimate if the tree ends here
     estimate = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
@@ -205,14 +326,12 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[D
         down = here.select("node", (F.col("mixed") + F.col("left") * F.col("stop") * estimate).alias("mixed"), (F.col("left") * (1 - F.col("stop"))).alias("left"), chance.alias("before"))
 
     def score(batches):
-        for table, _ in sorted_groups(batches, ["near"]):
-            states = table.filter(table["n"].is_null())
-            own = table.filter(table["n"].is_valid())
-            order = np.argsort(states["key"].to_numpy(), kind="stable")
-            node, mixed, left, before = (states[c].to_numpy()[order] for c in ("key", "mixed", "left", "before"))
-            node, keys = node.astype(np.uint64), own["key"].to_numpy().astype(np.uint64)
-            levels = _levels(keys, own["n"].to_numpy(), depth, near)
-            for i, (here, zeros, ones, w) in enumerate(levels[1:], 1):
+        for part, keys, n, size in _in_steps(batches, "counts", np.int64, depth):
+            states = part.column(part.schema.get_field_index("states")).flatten()
+            order = np.argsort(states.field("node").to_numpy(), kind="stable")
+            node, mixed, left, before = (states.field(c).to_numpy()[order] for c in ("node", "mixed", "left", "before"))
+            node = node.astype(np.uint64)
+            for i, (here, zeros, ones, w) in enumerate(_levels(keys, n, depth, near)[1:], 1):
                 d = near + i
                 at = np.searchsorted(node, here & _mask(d - 1))
                 guess = (ones + 0.5) / (zeros + ones + 1)
@@ -222,12 +341,42 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[D
             for at, bit in _decisions(keys):
                 p = before[np.searchsorted(node, at)]
                 total += np.log10(np.where(bit, p, 1 - p))
-            yield pa.RecordBatch.from_pydict({"key": own["key"].combine_chunks(), "score": pa.array(total)})
+            ends = np.concatenate([[0], np.cumsum(size)])
+            scores = [total[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"near": part.column(part.schema.get_field_index("near")), "keys": part.column(part.schema.get_field_index("keys")), "scores": pa.array(scores, pa.binary())})
+
+    # a context of three bytes has 255 nodes at most
+    states = down.groupBy(F.expr(f"(node >> 8) & {(1 << (8 * near)) - 1}").alias("near")).agg(F.collect_list(F.struct("node", "mixed", "left", "before")).alias("states"))
+    return grams.join(states, "near").mapInArrow(score, "near long, keys binary, scores binary")
+
 
-    none = [F.lit(None).cast("double").alias(c) for c in ("mixed", "left", "before")]
-    states = down.select(F.expr(f"(node >> 8) & {(1 << (8 * near)) - 1}").alias("near"), F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "mixed", "left", "before")
-    both = dealt.select("near", "key", "n", *none).union(states).repartition("near").sortWithinPartitions("near")
-    return both.mapInArrow(score, "key long, score double"), kept
+def _looked_up(asked: DataFrame, scores: DataFrame, parts: DataFrame) -> DataFrame:
+    """chunk, near, keys, scores: the scores of each chunk's n-grams. asked: chunk, near, keys; parts: near, parts for contexts that many chunks ask for.
+
+    Of each context the model's row comes first, then the chunks', one at a time.
+    """
+    n = F.coalesce("parts", F.lit(1))
+    own = asked.join(parts, "near", "left").select("near", F.pmod("chunk", n).alias("part"), F.lit(1).alias("turn"), "chunk", "keys", F.lit(None).cast("binary").alias("scores"))
+    model = scores.join(parts, "near", "left").select("near", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("part"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("chunk"), "keys", "scores")
+
+    def run(batches):
+        now, keys, values = None, None, None
+        for batch in batches:
+            out = ([], [], [], [])
+            near, part, turn, chunk, asked, scores = (batch.column(i) for i in range(6))
+            for i, (a, p, t, c) in enumerate(zip(near.to_pylist(), part.to_pylist(), turn.to_pylist(), chunk.to_pylist(), strict=True)):
+                wanted = np.frombuffer(asked[i].as_buffer(), np.uint32)
+                if t == 0:
+                    now, keys, values = (a, p), wanted, np.frombuffer(scores[i].as_buffer(), np.float64)
+                elif now != (a, p):
+                    raise ValueError("a context without its row in the model")
+                else:
+                    for x, y in zip(out, (c, a, asked[i].as_py(), values[np.searchsorted(keys, wanted)].tobytes()), strict=True):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "near", "keys", "scores"])
+
+    both = own.union(model).repartition("near", "part").sortWithinPartitions("near", "part", "turn")
+    return both.mapInArrow(run, "chunk long, near long, keys binary, scores binary")
 
 
 class Table:
@@ -262,96 +411,113 @@ class Table:
         return hit, out
 
 
-def _parts(df: DataFrame, value: str, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and values in parts of about that many entries, by hash of the key. One part is at the driver at a time."""
-    n = df.count()
-    number = max(1, -(-n // most))
-    for i in range(number):
-        rows = (df.where(F.pmod(F.xxhash64("key"), number) == i) if number > 1 else df).select("key", value).toArrow()  # 16 bytes an entry
-        keys, values = rows["key"].to_numpy().astype(np.int64, copy=False).view(np.uint64), rows[value].to_numpy()
-        if values.dtype.kind == "i" and (not len(values) or values.max() < 1 << 32):
-            values = values.astype(np.uint32)
-        del rows
-        pa.default_memory_pool().release_unused()
-        yield keys, values
-
+class _Found:
+    """What a chunk's texts hold: scores by n-gram, training counts by word."""
 
-_built: dict[str, tuple[str, Table]] = {}
+    def __init__(self):
+        self.grams, self.words, self.ready = [], [], False
 
+    def settle(self) -> None:
+        keys, scores = (np.concatenate(x) for x in zip(*self.grams, strict=True))
+        self.table = Table(keys + np.uint64(1), scores)
+        one, two, n = (np.concatenate(x) for x in zip(*self.words, strict=True)) if self.words else [np.empty(0, np.uint64)] * 3
+        order = np.lexsort((two, one))
+        self.one, self.two, self.n = one[order], two[order], n[order]
+        self.grams, self.words, self.ready = [], [], True
 
-def _table(kind: str, name: str, shared) -> Table:
-    """A worker builds the table of a part once and keeps it while its tasks use that part."""
-    if _built.get(kind, ("",))[0] != name:
-        _built.pop(kind, None)
-        _built[kind] = (name, Table(*shared.value))
-    return _built[kind][1]
+    def counts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The training counts of words, all of which are there."""
+        at = np.searchsorted(self.one, one)
+        while len(off := np.flatnonzero(self.two[at] != two)):
+            at[off] += 1
+        return self.n[at]
 
 
-def _add(docs: DataFrame, grams, words, depth: int) -> DataFrame:
-    """Adds what these parts hold to _score, _logs and _known of docs (doc_id, text, held_out)."""
-
-    name = uuid.uuid4().hex
+def _scored(rows: DataFrame, id_type, depth: int) -> DataFrame:
+    """doc_id, words, known, logs, score of the texts of each chunk, from chunk, kind, near, one, two, n, keys, scores and texts: what a chunk holds, then its texts."""
 
     def run(batches):
+        now, found = None, _Found()
         for batch in batches:
-            for part in steps(batch, "text"):
-                data, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
-                column = lambda name: part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                score, logs, known = column("_score"), column("_logs"), column("_known")
-                w = Words(data, offsets, TOKEN)
-                if grams is not None:
-                    key, at = grams_of(data, offsets, depth)
-                    score = score + np.add.reduceat(_table("grams", name, grams).find(key + np.uint64(1))[1], at[:-1])
-                if words is not None:
-                    owner = np.repeat(np.arange(len(offsets) - 1), w.counts())
-                    hit, n = _table("words", name, words).find(np.maximum(w.hash, np.uint64(1)))
-                    logs = logs + np.bincount(owner, np.log10(n + 1.0), len(offsets) - 1)
-                    known = known + np.bincount(owner, hit, len(offsets) - 1).astype(np.int64)
-                new = {"_score": pa.array(score), "_logs": pa.array(logs), "_known": pa.array(known.astype(np.int64)), "_words": pa.array(w.counts().astype(np.int64))}
-                yield pa.RecordBatch.from_pydict({f.name: new.get(f.name, part.column(i)) for i, f in enumerate(part.schema)})
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH, part: int = PART) -> DataFrame:
+            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(chunk)), strict=True):
+                if a == b:
+                    continue
+                if chunk[a] != now:
+                    now, found = chunk[a], _Found()
+                near, one, two, n, keys, scores, texts = (batch.column(i).slice(a, b - a) for i in range(2, 9))
+                if kind[a] == WORD:
+                    found.words.append((one.to_numpy().view(np.uint64), two.to_numpy().view(np.uint64), n.to_numpy()))
+                elif kind[a] == GRAM:
+                    rest = unpacked(keys, np.uint32)
+                    size = pc.binary_length(keys).to_numpy() // 4
+                    found.grams.append((rest.astype(np.uint64) | np.repeat(near.to_numpy().astype(np.uint64), size) << np.uint64(32), unpacked(scores, np.float64)))
+                else:
+                    if not found.ready:
+                        found.settle()
+                    for blob in texts:
+                        for part in pa.ipc.open_stream(blob.as_buffer()):
+                            yield score(part, found)
+
+    def score(part: pa.RecordBatch, found: _Found) -> pa.RecordBatch:
+        data, offsets = text_bytes(part.column(1))
+        key, at = grams_of(data, offsets, depth)
+        total = np.add.reduceat(found.table.find(split_keys(key, depth) + np.uint64(1))[1], at[:-1])
+        w = Words(data, offsets, TOKEN, wide=True)
+        n = found.counts(w.hash, w.more)
+        owner = np.repeat(np.arange(len(offsets) - 1), w.counts())
+        logs = np.bincount(owner, np.log10(n + 1.0), len(offsets) - 1)
+        known = np.bincount(owner, n > 0, len(offsets) - 1).astype(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (w.counts().astype(np.int64), known, logs, total))], names=["doc_id", "words", "known", "logs", "score"])
+
+    schema = StructType([id_type, *StructType.fromDDL("words long, known long, logs double, score double").fields])
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, schema)
+
+
+def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, text).
 
     learn: which rows to learn from. score: log10 of the probability of the
     text's bytes, A-Z in lower case, and its end. base_score: log10 of that of its
     words and end under add-one counts. Null texts are empty: an end alone. With
     nothing to learn from, every bit costs a bit and base_score is 0. Repeated
-    rows each get their score. Word counts are by 64-bit hash.
+    rows each get their score. Words are told apart by 128 bits of hash.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    counts = written(_counts(rows, depth), "counts")
-    scores, kept = gram_scores(counts.where(F.col("kind") == GRAM).select("key", "n"), depth)
-    scores = written(scores.withColumn("key", F.col("key") + 1), "grams")
-    for table in kept:
-        table.unpersist()
-    words = counts.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n"))
-    words = written(words, "words")
-    ends = rows.where("learn").count()
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    chunks = written(_chunks(rows, depth), "chunks")
+    asked = chunks.where(F.col("kind") == GRAM)
+    # contexts that more than FAN chunks hold: none in a small corpus
+    parts = asked.groupBy("near").agg(F.count("*").alias("n")).where(F.col("n") > FAN).select("near", F.ceil(F.col("n") / FAN).alias("parts"))
+    parts = written(parts, "parts")
+    dealt = asked.join(parts, "near", "left").withColumn("part", F.pmod("chunk", F.coalesce("parts", F.lit(1))))
+    grams = _merged(dealt, ["near", "part"], np.uint32)
+    if not parts.isEmpty():
+        grams = _merged(written(grams, "grams"), ["near"], np.int64)
+    grams = written(grams, "grams")
+    scores = written(gram_scores(grams, depth), "scores")
+
+    words = chunks.where(F.col("kind") == WORD).select("chunk", "one", "two", "n")
+    totals = written(words.groupBy("one", "two").agg(F.sum("n").alias("total")), "words")
+    total, distinct = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
+    ends = chunks.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = total + ends, distinct + (ends > 0)
 
-    done = rows.select("doc_id", "text", F.lit(0.0).alias("_score"), F.lit(0.0).alias("_logs"), F.lit(0).cast("long").alias("_known"), F.lit(0).cast("long").alias("_words"))
-    gram_parts, word_parts = _parts(scores, "score", part), _parts(words, "n", part)
-    while True:
-        a, b = next(gram_parts, None), next(word_parts, None)
-        if a is None and b is None:
-            break
-        send = spark.sparkContext.broadcast
-        done = _add(done, a and send(a), b and send(b), depth)
-    n = F.col("_words") + 1
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    found = _looked_up(asked.select("chunk", "near", "keys"), scores, parts)
+    found = found.select("chunk", F.lit(GRAM).alias("kind"), "near", *none("long", "one", "two", "n"), "keys", "scores", *none("binary", "texts"))
+    known = words.join(totals, ["one", "two"]).select("chunk", F.lit(WORD), *none("long", "near"), "one", "two", "total", *none("binary", "keys", "scores", "texts"))
+    texts = chunks.where(F.col("kind") == TEXT).select("chunk", "kind", *none("long", "near", "one", "two", "n"), *none("binary", "keys", "scores"), "texts")
+    done = _scored(found.union(known).union(texts), rows.schema["doc_id"], depth)
+    n = F.col("words") + 1
     return done.select(
         "doc_id",
         n.alias("n_tokens"),
-        (F.col("_known") + int(ends > 0)).alias("n_known"),
+        (F.col("known") + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("_logs") + math.log10(ends + 1) - n * math.log10(total + distinct + 1)).alias("base_score"),
-        F.col("_score").alias("score"),
+        (F.col("logs") + math.log10(ends + 1) - n * math.log10(total + distinct + 1)).alias("base_score"),
+        "score",
     )
 
 
