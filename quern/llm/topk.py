@@ -3,9 +3,10 @@
 A table of the distances from every vector to a few dozen pivots is computed
 once. For a query q and a candidate v, the largest |d(q, p) - d(v, p)| over the
 pivots is a lower bound of d(q, v), and so, with both norms, gives an upper
-bound of their inner product. Candidates are scored in the order of that bound
-until the k-th best score exceeds the bound of all that are left: the result is
-exact, whatever the pivots.
+bound of their inner product. Candidates stand in tiles by their nearest pivot;
+a query scores its tile of the highest bound first, then all tiles that have a
+bound its k-th best score does not exceed: the result is exact, whatever the
+pivots.
 
 The queries are a stated set, dealt in blocks; all rows are dealt in chunks of
 bounded size. A cell is one block against one chunk: queries of a block meet a
@@ -26,14 +27,18 @@ PIVOTS = 32
 #: Rows of a chunk and of a block of queries, about.
 CHUNK_ROWS = 8192
 BLOCK_QUERIES = 1024
-#: Candidates scored between two looks at the stopping rule.
-ROUND = 256
+#: Candidates of a tile, and queries that look at tiles together.
+TILE, TOGETHER = 256, 64
+#: Sums below this are exact in float64; larger ones are made of Python's integers.
+_EXACT = float(1 << 53)
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, as array<int>; null if the vector is null, empty or holds a null, NaN or infinity."""
+    """floor(scale * x) of each component, as array<long>; null if the vector is null, empty or holds a null, NaN or infinity. A component beyond 64 bits fails."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when((F.size(vector) > 0) & whole, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")))
+    beyond = F.raise_error(F.lit("a component does not fit 64 bits")).cast("long")
+    number = lambda x: F.when(F.abs(x.cast("double") * scale) < float(1 << 63), F.floor(x.cast("double") * scale)).otherwise(beyond)
+    return F.when((F.size(vector) > 0) & whole, F.transform(vector, number))
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -54,32 +59,55 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def search_cell(q_ids, q, q_table, v_ids, v, v_table, k: int) -> tuple[list, list, list]:
-    """The k best of one chunk for each query: query ids, vector ids, scores. A query never meets its own id."""
-    out_q, out_v, out_s = [], [], []
-    v_square, slack = (v**2).sum(1), 1e-6
-    for i in range(len(q)):
-        lower = np.zeros(len(v))
-        for p in range(v_table.shape[1]):
-            np.maximum(lower, np.abs(v_table[:, p] - q_table[i, p]), out=lower)
-        bound = ((q[i] ** 2).sum() + v_square - lower**2) / 2
-        bound += slack * (1 + np.abs(bound))  # rounding of the roots never makes it too low
-        bound[v_ids == q_ids[i]] = -np.inf
-        left = np.isfinite(bound)
-        order = np.argsort(-bound, kind="stable")[: int(left.sum())]
-        best_v, best_s = np.empty(0, np.int64), np.empty(0, np.int64)
-        for at in range(0, len(order), ROUND):
-            if len(best_s) == k and bound[order[at]] < best_s[-1]:
-                break  # nothing that is left can reach the k-th score, nor tie with it
-            some = order[at : at + ROUND]
-            best_v = np.concatenate([best_v, v_ids[some]])
-            best_s = np.concatenate([best_s, (v[some] @ q[i]).astype(np.int64)])
-            first = np.lexsort((best_v, -best_s))[:k]
-            best_v, best_s = best_v[first], best_s[first]
-        out_q += [q_ids[i]] * len(best_v)
-        out_v += best_v.tolist()
-        out_s += best_s.tolist()
-    return out_q, out_v, out_s
+def search_cell(q_ids, q, q_table, v_ids, v, v_table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of one chunk for each query: query ids, vector ids, scores. A query never meets its own id. q, v: integers."""
+    dim, pivots = q.shape[1], v_table.shape[1]
+    # in tiles by the nearest pivot, so that candidates of a tile have like bounds
+    order = np.lexsort((v_table.min(1), v_table.argmin(1))) if pivots else np.arange(len(v))
+    v_ids, v, v_table = v_ids[order], v[order], np.ascontiguousarray(v_table[order].T)
+    high = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, v)]
+    exact = high[0] * high[1] * dim < _EXACT
+    q_sums, v_sums = ((x.astype(np.float64) ** 2).sum(1) for x in (q, v))
+    q, v = (x.astype(np.float64 if exact else object) for x in (q, v))
+    # distances are rounded, also their squares where integers are no longer exact: the bound never gets too low
+    slack = 1e-9 if max(high) ** 2 * dim * 4 < _EXACT else 1e-6
+    starts = np.arange(0, len(v), TILE)
+    out = []
+    for at in range(0, len(q), TOGETHER):
+        own, ids = q[at : at + TOGETHER], q_ids[at : at + TOGETHER]
+        m = len(own)
+        lower, gap = np.zeros((m, len(v))), np.empty((m, len(v)))
+        for p in range(pivots):
+            np.subtract(v_table[p][None, :], q_table[at : at + m, p][:, None], out=gap)
+            np.maximum(lower, np.abs(gap, out=gap), out=lower)
+        size = q_sums[at : at + m, None] + v_sums[None, :]
+        bound = (size - lower**2) / 2 + slack * (1 + size)
+        bound[ids[:, None] == v_ids[None, :]] = -np.inf
+        best = np.maximum.reduceat(bound, starts, axis=1)
+        first = best.argmax(1)
+        row, score, found = (np.empty(0, np.int64) for _ in range(3))
+        least = np.full(m, -np.inf)
+        for turn, tile in [(0, t) for t in np.unique(first)] + [(1, t) for t in range(len(starts))]:
+            live = np.flatnonzero(first == tile if turn == 0 else (first != tile) & (best[:, tile] >= least) & np.isfinite(best[:, tile]))
+            if not len(live):
+                continue
+            part = slice(starts[tile], starts[tile] + TILE)
+            scores = own[live] @ v[part].T
+            near, col = np.nonzero((scores >= least[live][:, None]) & np.isfinite(bound[live, part]))
+            row, found = np.concatenate([row, live[near]]), np.concatenate([found, v_ids[part][col]])
+            score = np.concatenate([score, scores[near, col].astype(np.int64)])
+            order = np.lexsort((found, ~score, row))  # ~x falls as x rises, without overflow
+            row, score, found = row[order], score[order], found[order]
+            begin = np.searchsorted(row, np.arange(m))
+            keep = np.arange(len(row)) - begin[row] < k
+            row, score, found = row[keep], score[keep], found[keep]
+            ends = np.searchsorted(row, np.arange(m), "right")
+            full = ends - np.searchsorted(row, np.arange(m)) == k
+            least[full] = score[ends[full] - 1]
+            if not exact:
+                least[full] = np.nextafter(least[full], -np.inf)
+        out.append((ids[row], found, score))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, np.int64) for _ in range(3))
 
 
 def _packed(df: DataFrame, group: str, pivots_shared) -> DataFrame:
@@ -87,7 +115,9 @@ def _packed(df: DataFrame, group: str, pivots_shared) -> DataFrame:
 
     def pack(key, table):
         vectors = table["vector"].combine_chunks()
-        matrix = vectors.flatten().to_numpy().reshape(table.num_rows, -1).astype(np.int32)
+        matrix = vectors.flatten().to_numpy().reshape(table.num_rows, -1)
+        narrow = not matrix.size or -(1 << 31) <= matrix.min() and matrix.max() < 1 << 31
+        matrix = matrix.astype(np.int32 if narrow else np.int64)
         ids = table["id"].to_numpy().astype(np.int64)
         far = distances(matrix.astype(np.float64), pivots_shared.value[matrix.shape[1]])
         return pa.table({"dim": pa.array([matrix.shape[1]], pa.int32()), group: pa.array([key[1].as_py()], pa.int32()), f"{group}_ids": [ids.tobytes()], f"{group}_v": [matrix.tobytes()], f"{group}_far": [far.tobytes()]})
@@ -99,14 +129,14 @@ def _packed(df: DataFrame, group: str, pivots_shared) -> DataFrame:
 def exact_top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products, ties to the smaller id.
 
-    vectors: array<int> in vector_col; rows with a null id or vector take no
-    part. Vectors of another length than a query's never meet it. Repeated ids
+    vectors: arrays of integers in vector_col; rows with a null id or vector take no
+    part. Scores are exact; one beyond 64 bits fails. Vectors of another length than a query's never meet it. Repeated ids
     are repeated candidates, and no candidate of a query with that id. Fewer
     than k candidates give fewer rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query")).where("id IS NOT NULL AND vector IS NOT NULL").withColumn("dim", F.size("vector"))
-    rows = written(rows, "vectors")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("vector"), is_query.alias("is_query")).where("id IS NOT NULL AND vector IS NOT NULL").withColumn("dim", F.size("vector"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     counts = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()}  # one row per vector length
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -120,8 +150,8 @@ def exact_top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colu
         number = F.create_map(*[F.lit(x) for dim, n in counts.items() for x in (dim, max(1, -(-n[of] // most)))])
         return number[F.col("dim")]
 
-    chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "vector"), parts(0, CHUNK_ROWS)).cast("int"))
-    blocks = rows.where("is_query").withColumn("block", F.pmod(F.xxhash64("id", "vector"), parts(1, BLOCK_QUERIES)).cast("int"))
+    chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), parts(0, CHUNK_ROWS)).cast("int"))
+    blocks = rows.where("is_query").withColumn("block", F.pmod(F.xxhash64("row"), parts(1, BLOCK_QUERIES)).cast("int"))
     chunks, blocks = written(_packed(chunks, "chunk", shared), "chunks"), written(_packed(blocks, "block", shared), "blocks")
     # each chunk goes once to each block of queries of its length
     cells = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), (parts(1, BLOCK_QUERIES) - 1).cast("int")))).join(blocks, ["dim", "block"])
@@ -129,10 +159,10 @@ def exact_top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colu
     def search(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ints = lambda name: np.frombuffer(r[name], np.int32).reshape(-1, r["dim"]).astype(np.float64)  # noqa: E731, B023
+                ints = lambda name, n: np.frombuffer(r[name], np.int32 if len(r[name]) == 4 * n * r["dim"] else np.int64).reshape(n, -1)  # noqa: E731, B023
                 q_ids, v_ids = np.frombuffer(r["block_ids"], np.int64), np.frombuffer(r["chunk_ids"], np.int64)
                 table = lambda name, n: np.frombuffer(r[name], np.float64).reshape(n, -1)  # noqa: E731, B023
-                q, v, s = search_cell(q_ids, ints("block_v"), table("block_far", len(q_ids)), v_ids, ints("chunk_v"), table("chunk_far", len(v_ids)), k)
+                q, v, s = search_cell(q_ids, ints("block_v", len(q_ids)), table("block_far", len(q_ids)), v_ids, ints("chunk_v", len(v_ids)), table("chunk_far", len(v_ids)), k)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
 
     n_cells = sum(-(-n // CHUNK_ROWS) * max(1, -(-q // BLOCK_QUERIES)) for n, q in counts.values())
