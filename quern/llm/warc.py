@@ -5,9 +5,12 @@ Writing: each record is a gzip member of its own. A task writes one file under
 nothing behind.
 
 Reading: a task owns the byte range [start, end) of a file. It scans for the
-gzip magic, takes a candidate as a member only if decoding it gives a WARC
-header, and from there on follows members end to end. It owns the records whose
-member starts inside its range, and reads past the end to finish the last one.
+gzip magic and takes a candidate as a member if decoding it gives a WARC header
+and it is followed by CHAIN members like it, or by the end of the file: a
+record that lies in a payload stored as it is, is followed by the rest of that
+payload. From there on members are followed end to end. A task owns the records
+whose member starts inside its range, and reads past the end to finish the
+last one; what follows a member and is none fails the read.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ REVISIT_BYTES = 1000
 
 MAGIC = b"\x1f\x8b\x08"
 _BUFFER = 1 << 16
+#: Members that must follow a candidate where a split begins.
+CHAIN = 8
 #: Rows and bytes of payload that the reader hands over at once.
 _BATCH_ROWS, _BATCH_BYTES = 500, 8 << 20
 SCHEMA = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -69,26 +74,74 @@ def member(row: dict, date: str, level: int) -> bytes:
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def records(data: bytes, where: str) -> Iterator[dict]:
-    """The records in the bytes of a member; those of a type that is neither response nor revisit are passed over."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        stop = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or stop < 0:
+class Member:
+    """The bytes of a gzip member, inflated as they are asked for. zlib.error if it isn't one, EOFError if the file ends first."""
+
+    def __init__(self, file, start: int):
+        self.file, self.start, self.at = file, start, start
+        self.stream, self.held = zlib.decompressobj(31), b""
+
+    def more(self) -> bytes:
+        """The next inflated bytes; none at the end of the member."""
+        while not self.stream.eof:
+            rest = self.stream.unconsumed_tail or self.file.read_at(_BUFFER, self.at)
+            if not rest:
+                raise EOFError(f"the file ends within the member at {self.start}")
+            if not self.stream.unconsumed_tail:
+                self.at += len(rest)
+            if found := self.stream.decompress(rest, 16 * _BUFFER):
+                return found
+        return b""
+
+    def through(self, what: bytes) -> bytes | None:
+        """The bytes up to and with a mark, which are used up; None if the member ends first."""
+        seen = 0
+        while (i := self.held.find(what, max(0, seen - len(what)))) < 0:
+            seen = len(self.held)
+            if not (found := self.more()):
+                return None
+            self.held += found
+        out, self.held = self.held[: i + len(what)], self.held[i + len(what) :]
+        return out
+
+    def take(self, n: int) -> bytes:
+        """So many bytes, which are used up; fewer at the end."""
+        parts, size = [self.held], len(self.held)
+        while size < n and (found := self.more()):
+            parts.append(found)
+            size += len(found)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        return whole[:n]
+
+    def end(self) -> int:
+        """The offset past the member, all of which is inflated."""
+        while self.more():
+            pass
+        return self.at - len(self.stream.unused_data)
+
+
+def records(member: Member, where: str) -> Iterator[dict]:
+    """The records of a member, one at a time; those of a type that is neither response nor revisit are passed over."""
+    while True:
+        while (blank := member.take(2)) == b"\r\n":
+            pass
+        if not blank:
+            return
+        member.held = blank + member.held
+        raw = member.through(b"\r\n\r\n")
+        if raw is None or raw[:5] != b"WARC/":
             raise ValueError(f"{where}: no WARC header")
-        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:])}
-        body = stop + 4
-        at = body + int(head["content-length"])
-        if at > len(data):
+        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in raw.decode("utf-8", "replace").split("\r\n")[1:])}
+        size = int(head["content-length"])
+        data = member.take(size)
+        if len(data) < size:
             raise ValueError(f"{where}: a record is longer than its member")
         if head["warc-type"] not in ("response", "revisit"):
             continue
-        cut = data.find(b"\r\n\r\n", body, at)
-        cut = at if cut < 0 else cut + 4
-        length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", data[body:cut])
+        cut = data.find(b"\r\n\r\n")
+        cut = len(data) if cut < 0 else cut + 4
+        length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", data[:cut])
         page = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("warc-record-id", ""))
         refers = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("warc-refers-to", ""))
         digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -98,42 +151,51 @@ def records(data: bytes, where: str) -> Iterator[dict]:
             "page_id": int(page[1]) if page else None,
             "url": None if url is None else re.sub(r"%([01][0-9A-F]|20|25|7F)", lambda m: chr(int(m[1], 16)), url),
             "record_type": head["warc-type"],
-            "payload": None if revisit else data[cut:at],
-            "payload_bytes": int(length[1]) if length else at - cut,
+            "payload": None if revisit else data[cut:],
+            "payload_bytes": int(length[1]) if length else len(data) - cut,
             "payload_digest": base64.b32decode(digest).hex() if digest else None,
             "refers_to": int(refers[1]) if refers else None,
         }
 
 
-def inflate(file, start: int) -> tuple[bytes, int]:
-    """A whole gzip member and the offset past it. zlib.error if it isn't one, EOFError if the file ends first."""
-    stream, parts, at = zlib.decompressobj(31), [], start
-    while not stream.eof:
-        chunk = file.read_at(_BUFFER, at)
-        if not chunk:
-            raise EOFError(f"the file ends within the member at {start}")
-        at += len(chunk)
-        parts.append(stream.decompress(chunk))
-    return b"".join(parts), at - len(stream.unused_data)
-
-
 def is_member(file, at: int) -> bool:
-    """Whether a gzip member that holds a WARC record starts here: its first bytes are decoded."""
+    """Whether a gzip member that holds a WARC record starts here, whatever the length of its own header."""
+    if file.read_at(len(MAGIC), at) != MAGIC:
+        return False
     try:
-        return zlib.decompressobj(31).decompress(file.read_at(1 << 12, at), 5) == b"WARC/"
-    except zlib.error:
+        member = Member(file, at)
+        found = b""
+        while len(found) < 5 and (more := member.more()):
+            found += more
+        return found[:5] == b"WARC/"
+    except (zlib.error, EOFError):
         return False
 
 
-def next_member(file, at: int, end: int) -> int | None:
-    """The offset of the first member that starts in [at, end)."""
+def is_followed(file, at: int, size: int) -> bool:
+    """Whether a member starts here and CHAIN more follow it, or all that there are up to the end of the file."""
+    for _ in range(CHAIN + 1):
+        if at == size:
+            return True
+        if not is_member(file, at):
+            return False
+        try:
+            at = Member(file, at).end()
+        except (zlib.error, EOFError):
+            return False
+    return True
+
+
+def next_member(file, at: int, end: int, trusted: bool = False) -> int | None:
+    """The offset of the first member that starts in [at, end). trusted: without a look at what follows, as in damaged files."""
+    size = file.size()
     while at < end:
         data = file.read_at(min(1 << 20, end - at) + len(MAGIC) - 1, at)
         if len(data) < len(MAGIC):
             return None
         i = data.find(MAGIC)
         while i >= 0:
-            if at + i < end and is_member(file, at + i):
+            if at + i < end and (is_member(file, at + i) if trusted else is_followed(file, at + i, size)):
                 return at + i
             i = data.find(MAGIC, i + 1)
         at += len(data) - len(MAGIC) + 1
@@ -170,28 +232,32 @@ class WarcReader(DataSourceReader):
         files, _ = open_path(self.path)
         rows, held = [], 0
         with files.open_input_file(part.path) as file:
-            at = next_member(file, part.start, part.end)
+            # a file begins with a member; elsewhere one has to be found
+            at = part.start if part.start == 0 and is_member(file, 0) else next_member(file, part.start, part.end, self.skip)
             while at is not None and at < part.end:
+                member = Member(file, at)
                 try:
-                    data, after = inflate(file, at)
-                    found = list(records(data, f"{part.path}, byte {at}"))
+                    for r in records(member, f"{part.path}, byte {at}"):
+                        rows.append(r)
+                        held += len(r["payload"] or b"")
+                        if len(rows) >= _BATCH_ROWS or held >= _BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, ARROW)
+                            rows, held = [], 0
+                    after = member.end()
+                    if after < part.end and not is_member(file, after):
+                        raise ValueError(f"{part.path}, byte {after}: what follows a member is none")
+                    at = after
                 except (zlib.error, EOFError, ValueError, KeyError):
                     if not self.skip:
                         raise
-                    at = next_member(file, at + 1, part.end)
-                    continue
-                rows += found
-                held += sum(len(r["payload"] or b"") for r in found)
-                if len(rows) >= _BATCH_ROWS or held >= _BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, ARROW)
-                    rows, held = [], 0
-                at = after if after < part.end and is_member(file, after) else next_member(file, after, part.end)
+                    at = next_member(file, at + 1, part.end, True)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool):
+        self.overwrite = overwrite
         self.path, self.date, self.level = options["path"], options.get("date", "2024-01-01T00:00:00Z"), int(options.get("level", 6))
         files, top = open_path(self.path)
         files.create_dir(f"{top}/_temporary", recursive=True)
@@ -208,6 +274,10 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         files, top = open_path(self.path)
+        if self.overwrite:  # what was there goes only once all that takes its place is written
+            for old in files.get_file_info(fs.FileSelector(top)):
+                if old.type == fs.FileType.File:
+                    files.delete_file(old.path)
         for m in messages:
             if m is not None and m.rows:
                 files.move(f"{top}/_temporary/{m.name}", f"{top}/{m.name}")
@@ -232,7 +302,7 @@ class WarcSource(DataSource):
         return WarcReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter({k.lower(): v for k, v in self.options.items()})
+        return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -241,13 +311,13 @@ def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("quern_warc").options(**options).load(path)
 
 
-def write_warc(rows: DataFrame, path: str, **options) -> None:
-    """rows: the columns of SCHEMA. The files appear in path once all tasks have ended."""
+def write_warc(rows: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """rows: the columns of SCHEMA. The files appear in path once all tasks have ended, beside those there or (mode overwrite) in their place."""
     spark = rows.sparkSession
     small_batches(spark)
     spark.dataSource.register(WarcSource)
     kept = rows.select([F.col(f.split()[0]).cast(f.split()[1]) for f in SCHEMA.split(", ")])
-    kept.write.format("quern_warc").mode("append").options(**options).save(path)
+    kept.write.format("quern_warc").mode(mode).options(**options).save(path)
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
