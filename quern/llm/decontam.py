@@ -6,23 +6,26 @@ scanned once; matches are mapped through word numbers to characters of the
 original.
 
 The automaton holds AUTOMATON_BYTES of windows at most. That size is checked
-before anything is sent to executors: a larger benchmark is cut into parts by
-window, and the documents are scanned once for each part (each part a pass over
-the documents, their hits united by document).
+before anything is sent to executors: a larger benchmark is cut into parts, one
+at a time. Each part is a pass over the documents that writes what it hits; these
+hits are then united by document. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quern.llm._spark import read, small_batches
-from quern.llm._text import LOWER
+from quern.llm._spark import read, small_batches, written
+from quern.llm._text import LOWER, with_columns
 
 WINDOW_WORDS = 10
 #: Bytes of window text in one automaton. An automaton takes about 40 times that in a worker.
@@ -48,9 +51,9 @@ def windows_of(text: str | None, size: int = WINDOW_WORDS) -> set[str]:
 
 
 class Scanner:
-    """One automaton of windows; each window knows its number of words and its items."""
+    """One automaton of windows; each window knows its number of words and its items (None: an item without an id)."""
 
-    def __init__(self, windows: dict[str, list[int]], items: list[str]):
+    def __init__(self, windows: dict[str, list[int]], items: list[str | None]):
         self.items = items
         self.automaton = ahocorasick.Automaton()
         for w, own in windows.items():
@@ -76,7 +79,7 @@ class Scanner:
                 runs.append([last - size, last])
         for *_, own in found:
             items.update(own)
-        return len(words), [(a, b) for a, b in runs], sorted(self.items[i] for i in items)
+        return len(words), [(a, b) for a, b in runs], sorted({self.items[i] for i in items} - {None})
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -85,89 +88,101 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 
 _HITS = "n_words long, n_hit long, hit_items array<string>, hit_spans array<struct<start:int,end:int>>"
-_EMPTY = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan_with(docs: DataFrame, shared) -> DataFrame:
-    def scan(batches):
-        scanner = Scanner(*shared.value)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            words, hits, items, spans = [], [], [], []
-            for text in texts:
-                n, runs, own = scanner.scan(text)
-                at = word_spans(text) if runs else []
-                words.append(n)
-                hits.append(sum(b - a for a, b in runs))
-                items.append(own)
-                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs])
-            new = {"n_words": pa.array(words, pa.int64()), "n_hit": pa.array(hits, pa.int64()), "hit_items": pa.array(items, pa.list_(pa.string())), "hit_spans": pa.array(spans, _EMPTY)}
-            kept = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name not in new}
-            yield pa.RecordBatch.from_pydict(kept | new)
-
-    from pyspark.sql.types import StructType
-
-    kept = StructType([f for f in docs.schema if f.name not in ("n_words", "n_hit", "hit_items", "hit_spans")])
-    return docs.mapInArrow(scan, StructType(kept.fields + StructType.fromDDL(_HITS).fields))
-
-
-def benchmark_parts(benchmark: DataFrame, most: int = AUTOMATON_BYTES) -> list[tuple[dict[str, list[int]], list[str]]]:
-    """The benchmark's windows in parts of bounded size. Rows arrive one at a time; null ids and wordless texts have no part."""
-    parts, windows, items, held = [], {}, [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id IS NOT NULL").toLocalIterator():
+def _hit_columns(texts: list[str | None], words: list[int], runs: list[list], items: list[list[str]]) -> dict[str, pa.Array]:
+    """The columns of _HITS, from runs of hit words."""
+    spans = []
+    for text, own in zip(texts, runs, strict=True):
+        at = word_spans(text) if own else []
+        spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in own])
+    return {"n_words": pa.array(words, pa.int64()), "n_hit": pa.array([sum(b - a for a, b in own) for own in runs], pa.int64()), "hit_items": pa.array(items, pa.list_(pa.string())), "hit_spans": pa.array(spans, _SPANS)}
+
+
+def _with_hits(docs: DataFrame) -> StructType:
+    names = {f.name for f in StructType.fromDDL(_HITS)}
+    return StructType([f for f in docs.schema if f.name not in names] + StructType.fromDDL(_HITS).fields)
+
+
+def benchmark_parts(benchmark: DataFrame, most: int | None = None) -> Iterator[tuple[dict[str, list[int]], list[str | None]]]:
+    """The benchmark's windows in parts of bounded size, one at a time. Rows arrive one at a time; wordless texts have no windows."""
+    windows, items, held = {}, [], 0
+    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         items.append(row[0])
         for w in windows_of(row[1]):
             if w not in windows:
                 held += len(w)
             windows.setdefault(w, []).append(len(items) - 1)
-        if held > most:
-            parts.append((windows, items))
+        if held > (most or AUTOMATON_BYTES):
+            yield windows, items
             windows, items, held = {}, [], 0
-    return [*parts, (windows, items)]
+    yield windows, items
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (with text) and n_words, n_hit, hit_items (item ids as strings, sorted), hit_spans (characters of the original).
+    """docs (with text) and n_words, n_hit, hit_items (item ids as strings, distinct and sorted), hit_spans (characters of the original).
 
     Null and empty texts have no words. Repeated rows each get their result. A
-    column of docs with one of these names gives way. If the benchmark fits one
-    automaton (AUTOMATON_BYTES, about 60,000 windows), documents are read once
-    and nothing is shuffled; else once per part, chained, the runs of each part
-    united afterwards.
+    column of docs with one of these names gives way. Items that repeat an id
+    are one item; the words of items without an id are hit, but such items not
+    listed. If the benchmark fits one automaton (AUTOMATON_BYTES, about 60,000
+    windows), documents are read once and nothing is shuffled.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    done = None
-    for part in benchmark_parts(benchmark):
+    parts = benchmark_parts(benchmark)
+    part, more = next(parts), next(parts, None)
+    return _scanned(docs, spark.sparkContext.broadcast(part)) if more is None else _scanned_in_parts(docs, itertools.chain([part, more], parts))
+
+
+def _scanned(docs: DataFrame, shared) -> DataFrame:
+    def scan(batches):
+        scanner = Scanner(*shared.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            words, runs, items = zip(*map(scanner.scan, texts), strict=True) if texts else ([], [], [])
+            yield with_columns(batch, _hit_columns(texts, words, runs, items))
+
+    return docs.mapInArrow(scan, _with_hits(docs))
+
+
+def _scanned_in_parts(docs: DataFrame, parts: Iterator) -> DataFrame:
+    """One pass and one written table of hits for each part; then the hits of a row, numbered once and for all, are united."""
+    spark = docs.sparkSession
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = None
+    for part in parts:
         shared = spark.sparkContext.broadcast(part)
-        if done is None:
-            done = _scan_with(docs, shared)
-        else:
-            before = done.withColumnsRenamed({"n_hit": "_hit", "hit_items": "_items", "hit_spans": "_spans"})
-            done = _unite(_scan_with(before, shared))
-    return done
-
-
-def _unite(df: DataFrame) -> DataFrame:
-    """Spans of two parts as one list of disjoint spans, and their words counted again."""
-
-    @F.arrow_udf("struct<n:long,spans:array<struct<start:int,end:int>>>")
-    def unite(text: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        rows = []
-        for t, x, y in zip(text.to_pylist(), a.to_pylist(), b.to_pylist(), strict=True):
-            runs: list[list[int]] = []
-            for s in sorted([*x, *y], key=lambda s: s["start"]):
-                if runs and s["start"] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s["end"])
-                else:
-                    runs.append([s["start"], s["end"]])
-            n = sum(any(lo <= w[0] < hi for lo, hi in runs) for w in word_spans(t)) if runs else 0
-            rows.append({"n": n, "spans": [{"start": lo, "end": hi} for lo, hi in runs]})
-        return pa.array(rows, pa.struct([("n", pa.int64()), ("spans", _EMPTY)]))
-
-    df = df.withColumn("_both", unite("text", "_spans", "hit_spans"))
-    items = F.array_sort(F.array_distinct(F.concat("_items", "hit_items")))
-    return df.withColumns({"n_hit": F.col("_both.n"), "hit_items": items, "hit_spans": F.col("_both.spans")}).drop("_both", "_hit", "_items", "_spans")
+
+        def scan(batches, shared=shared):
+            scanner = Scanner(*shared.value)
+            for batch in batches:
+                hits = [(r, *scanner.scan(t)[1:]) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                hits = [h for h in hits if h[1]]
+                yield pa.RecordBatch.from_pydict({"_row": pa.array([h[0] for h in hits], pa.int64()), "_runs": pa.array([[{"start": a, "end": b} for a, b in h[1]] for h in hits], _SPANS), "_items": pa.array([h[2] for h in hits], pa.list_(pa.string()))})
+
+        here = written(rows.select("_row", "text").mapInArrow(scan, "_row long, _runs array<struct<start:int,end:int>>, _items array<string>"), "hits")
+        shared.unpersist()
+        found = here if found is None else found.union(here)
+    # of one row: as many as there are parts
+    found = found.groupBy("_row").agg(F.flatten(F.collect_list("_runs")).alias("_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+
+    def unite(batches):
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
+            texts, runs = column("text"), []
+            for own in column("_runs"):
+                runs.append([])
+                for s in sorted(own or [], key=lambda s: s["start"]):
+                    if runs[-1] and s["start"] <= runs[-1][-1][1]:
+                        runs[-1][-1][1] = max(runs[-1][-1][1], s["end"])
+                    else:
+                        runs[-1].append([s["start"], s["end"]])
+            new = _hit_columns(texts, [len(normal_words(t)) for t in texts], runs, [x or [] for x in column("_items")])
+            yield with_columns(batch, new).drop_columns(["_row", "_runs", "_items"])
+
+    return rows.join(found, "_row", "left").mapInArrow(unite, _with_hits(docs))
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +206,7 @@ OP8_SQL = r"""
          dw AS (SELECT doc_id, size, i0, array_to_string(list_slice(w, i0, i0 + size - 1), ' ') AS win FROM ds),
          h AS (SELECT doc_id, i0, dw.size, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
          n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i0, i0 + size)) AS p FROM h) GROUP BY doc_id),
-         i AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h GROUP BY doc_id)
+         i AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h WHERE item_id IS NOT NULL GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
            sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
