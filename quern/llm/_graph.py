@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._spark import written
+from quern.llm._spark import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,24 +18,28 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars: each node's larger neighbours are joined to its smallest
     one, then its smaller ones, until nothing changes; the rounds grow with the
     logarithm of the longest path. A hub's minimum is combined before the
-    shuffle, and its edges meet it in a join that Spark can split. Each round
-    is a written table, so nothing is computed twice and lost executors cost one
-    round at most.
+    shuffle and written; the hub's edges meet it in a join of two tables, which
+    Spark can split. Each round is a written table, so nothing is computed twice
+    and lost executors cost one round at most; tables of earlier rounds are
+    deleted.
     """
 
     def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        return written(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
 
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(now, "edges")
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        top = least(both)
+        large = written(both.join(top, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         down = least(large)
         # below a node: its smaller neighbours and itself go to the smallest of them
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "edges")
+        last, now = now, written(small.where("u <> v").distinct(), "edges")
+        for table in (last, top, large, down):
+            dropped(table)
         mark = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), 1 << 40))).first()
         if mark == before:
             break

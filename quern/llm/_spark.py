@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,13 +25,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (in tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one, as in tests, gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        found = kept or tempfile.mkdtemp(prefix="quern-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="quern-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -45,6 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that written() made; nothing may be read from it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def crc32_mod(key: Column, by: int) -> Column:
     """crc32 of the key as text, modulo by; of a null key, that of the empty text (0)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % by
