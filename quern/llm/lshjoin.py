@@ -45,12 +45,12 @@ def shortest_prefix(threshold: float = THRESHOLD, trees: int = TREES, depth: int
     return next((k for k in range(depth, 1, -1) if 1 - (1 - threshold**k) ** trees >= recall), 1)
 
 
-def reached(links: np.ndarray, level: int, threshold: float, trees: int) -> float:
-    """The estimated share of all links that prefixes of this length find, from the links found so far, counted by bins of similarity from the threshold up."""
-    if not links.sum():
-        return 0.0
+def reached(links: np.ndarray, now: int, level: int, threshold: float, trees: int) -> float:
+    """The estimated share of all links that prefixes of length `level` find, from the links found with length `now`, counted by bins of similarity from the threshold up."""
     similar = np.minimum(threshold + _BIN * np.arange(len(links)), 1.0)
-    return float(links.sum() / (links / (1 - (1 - similar**level) ** trees)).sum())
+    chance = lambda k: 1 - (1 - similar**k) ** trees
+    whole = links / chance(now)
+    return float((whole * chance(level)).sum() / whole.sum()) if links.sum() else 0.0
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -147,17 +147,16 @@ def shared_prefix(packed: np.ndarray, tree: int, length: int) -> np.ndarray:
     return (one[:, None] == one[None, :]) & (two[:, None] == two[None, :])
 
 
-def owned_pairs(packed: np.ndarray, tree: int, length: int, blocks: np.ndarray, across: bool, n: np.ndarray, threshold: float, depth: int = DEPTH) -> np.ndarray:
-    """Which pairs (upper triangle) belong to this cell: of different blocks if across, met neither at a longer prefix nor in an earlier tree, and near enough in size."""
+def owned_pairs(packed: np.ndarray, tree: int, length: int, blocks: np.ndarray, across: bool, n: np.ndarray, threshold: float, before: int | None = None) -> np.ndarray:
+    """Which pairs (upper triangle) belong to this cell: of different blocks if across, met neither at the prefix before, a longer one, nor in an earlier tree, and near enough in size."""
     own = np.triu(shared_prefix(packed, tree, length), 1)
     if across:
         own &= blocks[:, None] != blocks[None, :]
     own &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
-    if length < depth:
-        for t in range(packed.shape[1]):
-            if not own.any():
-                return own
-            own &= ~shared_prefix(packed, t, length + 1)
+    for t in range(packed.shape[1] if before else 0):
+        if not own.any():
+            return own
+        own &= ~shared_prefix(packed, t, before)
     for t in range(tree):
         if not own.any():
             return own
@@ -217,15 +216,16 @@ def _leaders(links: np.ndarray) -> np.ndarray:
 CELL = ["key", "lo", "hi"]
 
 
-def _level(trie: DataFrame, classes: DataFrame, sets: DataFrame, length: int, threshold: float, trees: int, found_name: str) -> DataFrame:
+def _level(trie: DataFrame, classes: DataFrame, sets: DataFrame, length: int, before: int | None, threshold: float, trees: int) -> DataFrame:
     """node, leader, links, bin: links of the pairs that first share a prefix of this length; rows with a bin count links by similarity. A written table.
 
-    trie: tree, node, n, first, second (the signature) of classes with a neighbour.
+    trie: tree, node, n, first, second (the signature) of classes with a
+    neighbour. before: the prefix whose pairs are verified already.
     """
-    key, child = (prefix(F.col("tree"), F.col("first"), F.col("second"), k) for k in (length, min(length + 1, DEPTH)))
+    key, child = (prefix(F.col("tree"), F.col("first"), F.col("second"), k) for k in (length, before or DEPTH))
     rows = trie.select("tree", "node", "n", key.alias("key"), child.alias("child"))
-    # a run all of which shares one more value had its pairs a level ago
-    grown = "members > 1" if length == DEPTH else "least < most"
+    # a run all of which shared the prefix before had its pairs then
+    grown = "least < most" if before else "members > 1"
     runs = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("grams"), F.min("child").alias("least"), F.max("child").alias("most")).where(grown)
     parts = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("grams") / BLOCK_GRAMS))
     runs = runs.select("key", F.when((F.col("members") > 2 * BLOCK_MEMBERS) | (F.col("grams") > 2 * BLOCK_GRAMS), F.least(parts, "members")).otherwise(1).cast("int").alias("parts"))
@@ -239,7 +239,7 @@ def _level(trie: DataFrame, classes: DataFrame, sets: DataFrame, length: int, th
             tree, lo, hi, block, n = (table[c].to_numpy() for c in ("tree", "lo", "hi", "block", "n"))
             for a, b in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
                 if b - a > 1:
-                    yield table, a, b, owned_pairs(packed[a:b], tree[a], length, block[a:b], lo[a] != hi[a], n[a:b], threshold)
+                    yield table, a, b, owned_pairs(packed[a:b], tree[a], length, block[a:b], lo[a] != hi[a], n[a:b], threshold, before)
 
     def own(batches):
         for table, a, b, pairs in cells_of(batches):
@@ -264,7 +264,7 @@ def _level(trie: DataFrame, classes: DataFrame, sets: DataFrame, length: int, th
         yield pa.RecordBatch.from_pydict({"node": pa.nulls(len(used), pa.int64()), "leader": pa.nulls(len(used), pa.int64()), "links": pa.array(bins[used].astype(np.int64)), "bin": pa.array(used.astype(np.int32))})
 
     whole = cells.join(classes.select("node", "n", "weight", "signature"), "node").join(sets, "node")
-    return written(whole.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(verify, "node long, leader long, links long, bin int"), found_name)
+    return written(whole.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(verify, "node long, leader long, links long, bin int"), "links")
 
 
 def _classified(docs: DataFrame, threshold: float, trees: int, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -292,14 +292,15 @@ def _classified(docs: DataFrame, threshold: float, trees: int, recall: float) ->
     sets = wanted.select("node", "one", "two").join(_gram_sets(texts), ["one", "two"]).groupBy("node").agg(F.first("grams").alias("grams"))
     sets = written(sets, "sets")
 
-    found, links = None, np.zeros(int(1 / _BIN) + 1)
-    for length in range(DEPTH, shortest - 1, -1):
-        here = _level(trie, classes, sets, length, threshold, trees, "links")
+    found, links, length, before = None, np.zeros(int(1 / _BIN) + 1), DEPTH, None
+    while True:
+        here = _level(trie, classes, sets, length, before, threshold, trees)
         found = here if found is None else found.union(here)
         for r in here.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("links").alias("n")).collect():  # a hundred bins
             links[min(r["bin"], len(links) - 1)] += r["n"]
-        if reached(links, length, threshold, trees) >= recall:
+        if length <= shortest or reached(links, length, length, threshold, trees) >= recall:
             break
+        length, before = next((k for k in range(length - 1, shortest, -1) if reached(links, length, k, threshold, trees) >= recall), shortest), length
     found = found.where("bin IS NULL")
     roots = components(found.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

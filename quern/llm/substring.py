@@ -409,13 +409,14 @@ def numbered(docs: DataFrame) -> DataFrame:
     """doc, doc_id, copy, text of docs (doc_id, text): one row for each text under a doc_id.
 
     doc tells them apart: the doc_id, or where that stands for several texts a
-    hash of both. copy: a hash of the text.
+    hash of both, beyond the ids of others. copy: a hash of the text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").where("doc_id IS NOT NULL")
     several = rows.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("copy") < F.max("copy")).alias("differ")).where("n > 1")
     several = written(several.drop("n"), "several")  # commonly none; Spark sees how large it is
     single = rows.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "doc_id", "copy", "text")
-    doc = F.when(F.col("differ"), F.xxhash64("doc_id", "copy")).otherwise(F.col("doc_id"))
+    later = F.xxhash64("doc_id", "copy").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    doc = F.when(F.col("differ"), later).otherwise(F.col("doc_id"))
     repeated = rows.join(several, "doc_id").select(doc.alias("doc"), "doc_id", "copy", "text").dropDuplicates(["doc"])
     return single.union(repeated)
 
@@ -432,7 +433,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES,
     passages. Rows with a null doc_id take no part; rows that repeat a doc_id
     and text count as one document, and those that repeat a doc_id with another
     text are documents of their own, which copy (a hash of the text) tells apart
-    and which stand in the order of a hash among the others.
+    and which come after the others, in the order of a hash.
     """
     spark = docs.sparkSession
     small_batches(spark)
