@@ -6,6 +6,7 @@ import io
 
 import numpy as np
 import public_tokenizers
+import pyarrow.fs as pa_fs
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -107,23 +108,24 @@ def naive_decontam(text, items, size=10):
         for i in range(len(words) - n + 1):
             if tuple(words[i : i + n]) in windows:
                 hit |= set(range(i, i + n))
-                own.add(str(item))
+                own |= {str(item)} if item is not None else set()
     return len(words), len(hit), sorted(own)
 
 
 LONG = " ".join(f"w{i}" for i in range(30))
-ITEMS = [(3, LONG), (20, "Short ÄÖ one!"), (100, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (7, None), (8, "..."), (None, "x y"), (9, "one")]
+ITEMS = [(3, LONG), (20, "Short ÄÖ one!"), (100, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (7, None), (8, "..."), (None, "x y"), (9, "one"), (20, "short äö one"), (20, "w9 w10 w11"), (None, "post")]
 TEXTS = [None, "", "...", LONG.upper() + " tail", "Pre, w3 W4-w5 w6. w7 w8 w9 w10 w11 w12 w13 w14 w15; post", "short ÄÖ ONE short äö one", "one One ONE", "w1 w2 w3 w4 w5 w6 w7 w8 w9", "phone one", "long " * 5000 + LONG]
 
 
 @pytest.mark.parametrize("most", [decontam.AUTOMATON_BYTES, 1])
 def test_decontam(spark, most, monkeypatch):
-    monkeypatch.setattr(decontam.benchmark_parts, "__defaults__", (most,))
+    """Items that repeat an id or have none, rows that repeat: the same in one part and in many."""
+    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", most)
     docs = spark.createDataFrame([(i, t, -1) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], -1)], "doc_id long, text string, n_hit int")
     got = decontam.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
     assert len(got) == len(TEXTS) + 1
     for r in got:
-        want = naive_decontam(r["text"], [x for x in ITEMS if x[0] is not None])
+        want = naive_decontam(r["text"], ITEMS)
         assert (r["n_words"], r["n_hit"], r["hit_items"]) == want
         covered = sum(len(decontam.word_spans(r["text"][s["start"] : s["end"]])) for s in r["hit_spans"])
         assert covered == r["n_hit"]
@@ -133,6 +135,7 @@ def test_decontam_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs, none).first()["n_hit"] == 0
+    assert [len(w) for w, _ in decontam.benchmark_parts(spark.createDataFrame([(i, f"a{i} b") for i in range(5)], "item_id long, text string"), 12)] == [3, 2]
     assert decontam.decontaminate(docs.where("false"), none).count() == 0
 
 
@@ -200,6 +203,53 @@ def members(rows):
     return b"".join(warc.member({"page_id": i, "url": f"http://x/{i}", "record_type": "response", "payload": p, "payload_bytes": len(p), "payload_digest": hashlib.sha1(p).hexdigest(), "refers_to": None}, "2024-01-01T00:00:00Z", 6) for i, p in rows)
 
 
+def stored(rows):
+    """Members with names of 9,000 letters in their gzip headers, whose payloads are stored as they are."""
+    out = b""
+    for i, p in rows:
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + p
+        body = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        sink = io.BytesIO()
+        with gzip.GzipFile("n" * 9000, "wb", 0, sink) as f:
+            f.write(body)
+        out += sink.getvalue()
+    return out
+
+
+def test_warc_nested(spark, tmp_path):
+    """Whole archives within payloads are payload at every split, and long gzip headers hide no record."""
+    inner = stored([(900 + i, b"inner") for i in range(3)])
+    rows = [(i, b"x" * 3000 + inner + b"y" * 3000) for i in range(4)]
+    (tmp_path / "a.warc.gz").write_bytes(stored(rows))
+    for split in (1000, 20_000, 50_000, 1 << 20):
+        got = warc.read_warc(spark, f"file://{tmp_path}", splitBytes=split).collect()
+        assert sorted((r["page_id"], bytes(r["payload"])) for r in got) == rows
+
+
+def test_warc_one_member(spark, tmp_path):
+    """A file that is one member gives its records one at a time; bytes that are no member fail the read."""
+    bodies = b"".join(gzip.decompress(members([(i, bytes([65 + i]) * 200_000)])) for i in range(5))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(bodies))
+    assert [(r["page_id"], r["payload_bytes"]) for r in warc.read_warc(spark, f"file://{tmp_path}", splitBytes=500).orderBy("page_id").collect()] == [(i, 200_000) for i in range(5)]
+    file = pa_fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz"))
+    one = warc.Member(file, 0)
+    assert next(warc.records(one, ""))["page_id"] == 0 and len(one.held) < 2_000_000
+    (tmp_path / "a.warc.gz").write_bytes(members([(1, b"a")]) + b"junk" + members([(2, b"b")]))
+    with pytest.raises(Exception, match="is none"):
+        warc.read_warc(spark, f"file://{tmp_path}").count()
+    assert warc.read_warc(spark, f"file://{tmp_path}", damaged="skip").count() == 2
+
+
+def test_warc_overwrite(spark, tmp_path):
+    rows = lambda i: spark.createDataFrame([(i, "u", "response", b"p", 1, "a9993e364706816aba3e25717850c26c9cd0d89d", None)], warc.SCHEMA)
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(rows(1), path)
+    warc.write_warc(rows(2), path)
+    assert warc.read_warc(spark, path).count() == 2
+    warc.write_warc(rows(3), path, "overwrite")
+    assert [r["page_id"] for r in warc.read_warc(spark, path).collect()] == [3]
+
+
 def test_warc_splits(spark, tmp_path):
     """Any split gives each record once, with gzip magic and a whole nested header inside payloads."""
     rng = np.random.default_rng(0)
@@ -218,7 +268,7 @@ def test_warc_splits(spark, tmp_path):
 
 def test_warc_many_records_in_a_member(tmp_path):
     data = gzip.compress(gzip.decompress(members([(1, b"a")])) + gzip.decompress(members([(2, b"b" * 5)])))
-    assert [r["page_id"] for r in warc.records(warc.inflate(Buffer(data), 0)[0], "")] == [1, 2]
+    assert [r["page_id"] for r in warc.records(warc.Member(Buffer(data), 0), "")] == [1, 2]
 
 
 class Buffer(io.BytesIO):
