@@ -50,17 +50,16 @@ _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=\"'][^\s/>=]*)?(?:\s*=\s*)?")
 _BARE = re.compile(r"[^\s>]*")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-#: Tables within tables beyond this depth are rendered as plain blocks.
-DEEPEST_TABLE = 8
-#: Columns that one cell may span.
-MOST_SPAN = 100
+#: The most columns and rows that HTML lets a cell span (fixed values).
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "lines", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.lines: list[str] = []  # of a table, once it is laid out
 
 
 class Source:
@@ -214,12 +213,20 @@ def shown(node: Node, seen: bool) -> tuple[bool, bool]:
     return True, seen
 
 
+def children_of(node: Node) -> list:
+    """What an element shows of its children: of closed details the first summary alone."""
+    if node.tag == "details" and "open" not in node.attributes:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    return node.children
+
+
 class Lines:
-    """Finished lines and the line in the making."""
+    """Finished lines and the parts of the line in the making."""
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line, self.gap, self.space, self.indent = "", 0, False, ""
+        self.line: list[str] = []
+        self.gap, self.space, self.indent = 0, False, ""
         self.lead: str | None = None  # in place of the indent of the next line: the mark of a list item
 
     def text(self, s: str, as_is: bool) -> None:
@@ -241,7 +248,7 @@ class Lines:
     def add(self, s: str) -> None:
         if s:
             self.begin()
-            self.line += s
+            self.line.append(s)
             self.space = False
 
     def begin(self) -> None:
@@ -249,12 +256,13 @@ class Lines:
             if self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            self.line, self.lead = self.indent if self.lead is None else self.lead, None
+            self.line, self.lead = [self.indent if self.lead is None else self.lead], None
 
     def end_line(self, forced: bool = False) -> None:
-        if self.line.strip() or forced:
-            self.lines.append(self.line.rstrip())
-        self.line, self.space = "", False
+        line = "".join(self.line).rstrip()
+        if line or forced:
+            self.lines.append(line)
+        self.line, self.space = [], False
 
     def block(self, gap: int) -> None:
         self.end_line()
@@ -267,6 +275,20 @@ class Lines:
         return self.lines
 
 
+def tables_of(nodes: list, seen: bool) -> list[tuple[Node, bool]]:
+    """All tables that take part in the layout, outer before inner, with their visibility."""
+    out, stack = [], [(n, seen) for n in reversed(nodes)]
+    while stack:
+        node, now = stack.pop()
+        if isinstance(node, Node):
+            here, now = shown(node, now)
+            if here:
+                if node.tag == "table":
+                    out.append((node, now))
+                stack += [(c, now) for c in reversed(children_of(node))]
+    return out
+
+
 def cells_of(table: Node, seen: bool) -> tuple[list[tuple[Node, bool]], list[list[tuple[Node, bool]]]]:
     """What stands beside the rows (captions and stray content), and the rows' cells, with their visibility."""
     beside, rows, stack = [], [], [(c, seen) for c in reversed(table.children)]
@@ -298,39 +320,60 @@ def cells_of(table: Node, seen: bool) -> tuple[list[tuple[Node, bool]], list[lis
     return beside, rows
 
 
-def table_lines(table: Node, seen: bool, depth: int) -> list[str]:
-    """Rows as lines, columns padded to their widest cell and two spaces apart; a cell of several lines stays in its column."""
+def _span(node: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell spans; 0 (rows: all that follow) counts as the most."""
+    value = node.attributes.get(name, "1").strip()
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    value = min(int(value[:9]), most)
+    return value or (most if name == "rowspan" else 1)
+
+
+def table_lines(table: Node, seen: bool) -> list[str]:
+    """Rows as lines, columns padded to their widest cell and two spaces apart; a cell of several lines stays in its column.
+
+    A cell that spans rows keeps its columns from the rows below. Blank lines stay
+    within a row; rows without text go.
+    """
     beside, rows = cells_of(table, seen)
-    out = [line for node, now in beside for line in render([node], now, depth + 1)]
+    out = [line for node, now in beside for line in render([node], now)]
     laid, widths = [], []
+    taken: dict[int, int] = {}  # columns that cells above span, and for how many rows yet
     for row in rows:
-        column, cells = 0, []
+        column, cells, spanned = 0, [], {}
         for node, now in row:
-            lines = render(node.children, shown(node, now)[1], depth + 1)
-            span = node.attributes.get("colspan", "1")
-            span = min(max(int(span), 1), MOST_SPAN) if span.isascii() and span.isdigit() and len(span) < 9 else 1
-            cells.append((column, span, lines))
-            widths += [0] * (column + span - len(widths))
+            while column in taken:
+                column += 1
+            lines = render(children_of(node), shown(node, now)[1])
+            span = _span(node, "colspan", MOST_COLUMNS)
+            cells.append((column, lines))
+            widths += [0] * (column + 1 - len(widths))
             if span == 1:
                 widths[column] = max([widths[column], *map(len, lines)])
+            if (down := _span(node, "rowspan", MOST_ROWS)) > 1:
+                spanned |= dict.fromkeys(range(column, column + span), down - 1)
             column += span
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | spanned
         laid.append(cells)
     at = [0]
     for w in widths:
         at.append(at[-1] + w + (2 if w else 0))
     for cells in laid:
-        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+        height = max((len(lines) for _, lines in cells), default=0)
+        for i in range(height):
             line = ""
-            for column, _, lines in cells:
+            for column, lines in cells:
                 if i < len(lines) and lines[i]:
                     line = line.ljust(at[column]) if len(line) <= at[column] else line + "  "
                     line += lines[i]
             out.append(line.rstrip())
-    return [line for line in out if line]
+    while out and not out[0]:
+        out.pop(0)
+    return out
 
 
-def render(nodes: list, seen: bool, depth: int = 0) -> list[str]:
-    """Lines of visible text. The walk keeps its own stack, so depth of nesting costs no recursion but in tables."""
+def render(nodes: list, seen: bool) -> list[str]:
+    """Lines of visible text; tables within are laid out already. The walk keeps its own stack, so nesting costs no recursion."""
     out = Lines()
     stack: list[tuple] = [("node", n, seen, False, 0) for n in reversed(nodes)]
     while stack:
@@ -357,15 +400,14 @@ def render(nodes: list, seen: bool, depth: int = 0) -> list[str]:
         if tag == "input":
             out.text(node.attributes.get("value", "") if now else "", False)
             continue
-        if tag == "table" and depth < DEEPEST_TABLE:
+        if tag == "table":
             out.block(1)
-            for line in table_lines(node, now, depth):
+            for line in node.lines:
                 out.add(line)
-                out.end_line()
+                out.end_line(True)
             out.block(1)
             continue
-        block = tag in BLOCKS or depth >= DEEPEST_TABLE and tag == "table"
-        if block:
+        if tag in BLOCKS:
             gap = 1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) else 0
             out.block(gap)
             stack.append(("end", gap, out.indent, tag == "li"))
@@ -384,13 +426,18 @@ def render(nodes: list, seen: bool, depth: int = 0) -> list[str]:
             out.lead = (out.indent if out.lead is None else out.lead) + mark
             out.indent += " " * len(mark)
         keep = as_is or tag in ("pre", "textarea", "xmp")
-        stack += [("node", c, now, keep, lists) for c in reversed(node.children)]
+        stack += [("node", c, now, keep, lists) for c in reversed(children_of(node))]
     return out.done()
 
 
 def visible_text(source: str | None) -> str:
     """The visible text of an HTML document as lines; of null or empty, the empty text."""
-    return "\n".join(render([tree(source)], True)) if source else ""
+    if not source:
+        return ""
+    root = tree(source)
+    for table, seen in reversed(tables_of([root], True)):  # inner ones first
+        table.lines = table_lines(table, seen)
+    return "\n".join(render([root], True))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -8,15 +8,19 @@ kept, about 2 in 47 tokens. Documents meet where they have a window with the
 same hash function and value; a window that no other document has is dropped.
 
 What meets may share no more than a line around the token, and so may the first
-document of a group with any other. So the windows that are left meet once more:
-
-- exact repeats, by every run of a passage's length inside the windows of one
-  function. Such a run lies in one window alone, so this finds each run of
-  MIN_WORDS words that two documents share, whatever else shares its token.
-- near repeats, by the least token with a token on either side, at distances of
-  which every passage holds one pair, and by the first grouping. Ranges aligned
-  at the token are intersected, and overlapping ranges under at least NEED of
-  HASHES functions are a candidate, which is verified on the words of both.
+document of a group with any other. So the windows that are left are looked at
+once more, by what stands around the token:
+
+- exact repeats, in windows of one function. Windows that agree as far as a
+  passage can reach are tied as they stand, and one goes on for all. Of the
+  others, those that share half a passage to either side are tied by every run of
+  a passage's length on that side. A run lies in one window alone, so this finds
+  each run of MIN_WORDS words that two documents share, whatever else shares its
+  token.
+- near repeats, by the first grouping and by the least token with the tokens next
+  to it. Ranges aligned at the token are intersected, and overlapping ranges
+  under at least NEED of HASHES functions are a candidate, which is verified on
+  the words of both.
 
 Within a group every document is tied to the group's first document, not to
 every other: tasks tie their own documents before the shuffle, so a passage that
@@ -45,8 +49,10 @@ GAP = 2 * SHINGLE_WORDS
 HELD = 1 << 21
 #: Words to which the stretches compared are rounded, so that documents ask for few different ones of a common leader.
 _ROUND = 64
-#: In place of a hash function: an exact run.
-EXACT = -1
+#: Tokens on either side that near repeats share with the least one.
+BESIDE = 3
+#: In place of a hash function: an exact run; all that a passage can reach; half a passage to the left, to the right.
+EXACT, AROUND, LEFT, RIGHT = -1, -2, -3, -4
 
 
 def _slide(a: np.ndarray, size: int, op) -> np.ndarray:
@@ -112,18 +118,31 @@ def windows_of(grams: np.ndarray, starts: np.ndarray, hashes: int, least: int) -
     return dict(zip(("key", "row", "pos", "lo", "hi", "h"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
 
 
-def runs_of(tokens: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of so many tokens, by doubling; not linear, so that no pattern makes runs collide."""
-    if len(tokens) < size:
-        return np.empty(0, np.uint64)
-    width, odd = 1, np.uint64(0x9E3779B97F4A7C15)
-    while 2 * width <= size:
-        tokens, width = mix(mix(tokens[:-width]) * odd + tokens[width:]), 2 * width
-    return mix(mix(tokens[: len(tokens) - (size - width)]) * odd + tokens[size - width :]) if width < size else tokens
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def doubled(tokens: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of every run of 1, 2, 4, ... tokens, up to `most`; not linear, so that no pattern makes runs collide."""
+    out = [tokens]
+    while 2 << (len(out) - 1) <= most and len(out[-1]) > 1 << (len(out) - 1):
+        width = 1 << (len(out) - 1)
+        out.append(mix(mix(out[-1][:-width]) * _ODD + out[-1][width:]))
+    return out
+
+
+def run_hash(runs: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the tokens first to last, from two runs of `doubled` that cover them, and of their number."""
+    size = last - first + 1
+    power = np.frexp(size.astype(np.float64))[1] - 1  # of two, at most the size
+    out = np.empty(len(first), np.uint64)
+    for p in np.unique(power):
+        at = np.flatnonzero(power == p)
+        out[at] = mix(mix(runs[p][first[at]]) * _ODD + runs[p][last[at] - (1 << int(p)) + 1])
+    return mix(out + size.astype(np.uint64))
 
 
 def tie(key, doc, pos, lo, hi, h, known, least: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Of windows sorted by key, doc and pos, those whose group holds two documents, and of these: which lead their group, and the tie of each other.
+    """Of windows sorted by key, doc and pos, those whose group holds two documents, and of these: which are of the group's first document, and the tie of each other to its first window.
 
     known: rows that stand for a group with two documents. A tie is the leader,
     the range s to e that both share, and k, how much further on the leader has
@@ -138,8 +157,7 @@ def tie(key, doc, pos, lo, hi, h, known, least: int) -> tuple[np.ndarray, dict[s
     before = np.minimum(pos - lo, pos[lead] - lo[lead])
     after = np.minimum(hi - pos, hi[lead] - pos[lead])
     wide = (before + after + 1 >= THRESHOLD * least) & (doc != doc[lead])
-    leads = lead == np.arange(n)
-    return met, {"leads": leads, "lead": np.where(wide, doc[lead], -1), "s": np.where(wide, pos - before, -1), "e": np.where(wide, pos + after, -1), "k": np.where(wide, pos[lead] - pos, 0)}
+    return met, {"of_lead": doc == doc[lead], "lead": np.where(wide, doc[lead], -1), "s": np.where(wide, pos - before, -1), "e": np.where(wide, pos + after, -1), "k": np.where(wide, pos[lead] - pos, 0)}
 
 
 _TIE = "doc long, pos int, lo int, hi int, h int, lead long, s int, e int, k int"
@@ -187,8 +205,8 @@ def _ties(rows: DataFrame, windows: Callable, least: int) -> DataFrame:
             rows = dict(zip(("key", "doc", "pos", "lo", "hi", "h"), (x[order] for x in (key, doc, pos, lo, hi, h)), strict=True))
             met, found = tie(*rows.values(), np.zeros(len(order), np.int64), least)
             rows |= {"known": met.astype(np.int64), "passing": np.zeros(len(order), np.int64), **{c: found[c] for c in ("lead", "s", "e", "k")}}
-            # of a group with two documents the first window stands for all; the others travel with their tie by a key of their own
-            passing = met & ~found["leads"]
+            # of a group with two documents the first one stands for all; the others travel with their tie by a key of their own
+            passing = met & ~found["of_lead"]
             yield from _batches({c: x[~passing] for c, x in rows.items()}, _ROW)
             done = _joined({c: x[passing] for c, x in rows.items()})
             done["key"] = mix(done["doc"].view(np.uint64) + done["pos"].astype(np.uint64)).view(np.int64)
@@ -229,75 +247,135 @@ def first_ties(docs: DataFrame, hashes: int, least: int) -> DataFrame:
     return _ties(docs, windows, least)
 
 
-def context_splits(least: int) -> list[tuple[int, int]]:
-    """Places to the left and right of a token, so that any passage of so many tokens around it holds one such pair."""
-    step = max(1, least // 5)
-    span = step * -(-(least - 1 - 2 * (step - 1)) // step)
-    return [(i, span - i) for i in range(0, span + 1, step)]
+def _windows_in(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of rows with doc, text and windows (a list of pos, lo, hi, h): the tokens of all texts; of each window its text's start among them, its doc, pos, lo, hi and h."""
+    grams, starts = shingles(Words(*text_bytes(part.column(1))))
+    lists = part.column(2)
+    row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    w = lists.flatten()
+    doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+    return grams, starts[:-1][row], doc, *(w.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "lo", "hi", "h"))
 
 
-def further_ties(docs: DataFrame, met: DataFrame, least: int) -> DataFrame:
-    """Ties of the windows in met (doc, pos, lo, hi, h): of every exact run in those of the first function, and of all by a token on either side."""
-    splits = context_splits(least)
+def _by_doc(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("doc").agg(F.collect_list(F.struct("pos", "lo", "hi", "h")).alias("windows"))
+
+
+def surrounding_ties(docs: DataFrame, met: DataFrame, least: int) -> DataFrame:
+    """Ties of the windows in met (doc, pos, lo, hi, h) by what stands around them.
+
+    Near (h as it is): by the least token and BESIDE tokens on either side. Of
+    the first function AROUND, by all that a passage around the token can reach,
+    and LEFT and RIGHT, by half a passage.
+    """
+    left = (least - 1) // 2
+    right = least - left
 
     def windows(part):
-        grams, starts = shingles(Words(*text_bytes(part.column(1))))
-        lists = part.column(2)
-        row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-        w = lists.flatten()
-        pos, lo, hi, h = (w.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "lo", "hi", "h"))
-        doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        start = starts[:-1][row]
+        grams, start, doc, pos, lo, hi, h = _windows_in(part)
+        runs = doubled(grams, 2 * least)
         out = []
-        for k, (i, j) in enumerate(splits):
-            at = np.flatnonzero((pos - i >= lo) & (pos + j <= hi))
-            mid = start[at] + pos[at]
-            key = mix(mix(mix(grams[mid] + _SEEDS[h[at]]) + grams[mid - i]) + grams[mid + j] + _SEEDS[32 + k])
-            out.append((key.view(np.int64), doc[at], pos[at], lo[at], hi[at], h[at]))
-        own = np.flatnonzero(h == 0)
-        first = np.maximum(lo[own], pos[own] - least + 1)
-        times = np.minimum(pos[own], hi[own] - least + 1) - first + 1
-        own, at = np.repeat(own, times), np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        key = runs_of(grams, least)[start[own] + at]
-        out.append((mix(key + _SEEDS[63]).view(np.int64), doc[own], at, at, at + least - 1, np.full(len(own), EXACT)))
+
+        def add(kind, at, first, last, low, high, salt):
+            key = mix(run_hash(runs, start[at] + first, start[at] + last) + mix(grams[start[at] + pos[at]] + _SEEDS[salt]))
+            out.append((key.view(np.int64), doc[at], pos[at], low, high, np.full(len(at), kind)))
+
+        for f in np.unique(h):
+            at = np.flatnonzero((h == f) & (pos - BESIDE >= lo) & (pos + BESIDE <= hi))
+            add(f, at, pos[at] - BESIDE, pos[at] + BESIDE, lo[at], hi[at], f)
+        at = np.flatnonzero(h == 0)
+        first, last = np.maximum(lo[at], pos[at] - least + 1), np.minimum(hi[at], pos[at] + least - 1)
+        add(AROUND, at, first, last, first, last, 40)
+        out[-1] = (mix(out[-1][0].view(np.uint64) + (pos[at] - first).astype(np.uint64)).view(np.int64), *out[-1][1:])
+        at = np.flatnonzero((h == 0) & (pos - left >= lo))
+        add(LEFT, at, pos[at] - left, pos[at], lo[at], hi[at], 41)
+        at = np.flatnonzero((h == 0) & (pos + right <= hi))
+        add(RIGHT, at, pos[at], pos[at] + right, lo[at], hi[at], 42)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    by_doc = met.groupBy("doc").agg(F.collect_list(F.struct("pos", "lo", "hi", "h")).alias("windows"))
-    return _ties(docs.join(by_doc, "doc").select("doc", "text", "windows"), windows, least)
+    return _ties(docs.join(_by_doc(met), "doc").select("doc", "text", "windows"), windows, least)
 
 
-def exact_runs(ties: DataFrame) -> DataFrame:
-    """doc, lead, s, e, k: ties of exact runs, those that overlap as one."""
-    by = Window.partitionBy("doc", "lead", "k").orderBy("s", "e")
-    rows = ties.where(f"h = {EXACT} AND s >= 0").select("doc", "lead", "s", "e", "k")
-    rows = rows.withColumn("reach", F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("s") <= F.col("reach") + 1, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("doc", "lead", "k", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+def run_ties(docs: DataFrame, halves: DataFrame, least: int) -> DataFrame:
+    """Ties of every run of a passage's length in the windows of halves (doc, pos, lo, hi, h: LEFT or RIGHT), on that side."""
+    left = (least - 1) // 2
 
+    def windows(part):
+        grams, start, doc, pos, lo, hi, h = _windows_in(part)
+        most = np.minimum(pos, hi - least + 1)
+        first = np.where(h == LEFT, np.maximum(lo, pos - least + 1), np.maximum(lo, pos - left + 1))
+        times = np.maximum(np.where(h == LEFT, np.minimum(pos - left, most), most) - first + 1, 0)
+        own = np.repeat(np.arange(len(pos)), times)
+        at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+        key = run_hash(doubled(grams, least), start[own] + at, start[own] + at + least - 1)
+        return key.view(np.int64), doc[own], at, at, at + least - 1, np.full(len(own), EXACT)
 
-def _islands(batches):
-    """Pairs with their ranges → stretches of overlapping ranges of about one alignment (doc, lead, s, e, k0, k1) under enough functions."""
-    for batch in batches:
-        rows = []
-        for doc, lead, need, ranges in zip(*(batch.column(c) for c in range(4)), strict=True):
-            s, e, k, f = (ranges.values.field(c).to_numpy().astype(np.int64) for c in ("s", "e", "k", "functions"))
-            order = np.argsort(k, kind="stable")
-            for same in np.split(order, np.flatnonzero(np.diff(k[order]) > GAP) + 1):
-                same = same[np.argsort(s[same], kind="stable")]
-                reach = np.maximum.accumulate(e[same])
-                for own in np.split(same, np.flatnonzero(s[same][1:] > reach[:-1] + GAP + 1) + 1):
-                    if int(np.bitwise_or.reduce(f[own])).bit_count() >= need.as_py():
-                        rows.append((doc.as_py(), lead.as_py(), int(s[own].min()), int(e[own].max()), int(k[own].min()), int(k[own].max())))
-        names = ("doc", "lead", "s", "e", "k0", "k1")
-        yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+    return _ties(docs.join(_by_doc(halves), "doc").select("doc", "text", "windows"), windows, least)
+
+
+def ties_by_doc(ties: DataFrame, need: int) -> DataFrame:
+    """doc, lead, exact, s, e, k0, k1: exact runs, and stretches to verify, from all ties (doc, lead, s, e, k, h).
+
+    Exact ties of one pair and alignment that overlap are one run. Near ties that
+    lie in an exact run of their document are left out; those of one pair and
+    about one alignment that overlap are a stretch, if they are of at least
+    `need` functions. One shuffle; a task holds the ties of one document at least.
+    """
+
+    def islands(doc, lead, k, s, e, slack: int, gap: int):
+        """In the order of doc, lead, alignment and place: rows, and where each island begins."""
+        order = np.lexsort((k, lead, doc))
+        doc, lead, k = doc[order], lead[order], k[order]
+        group = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]) | (k[1:] - k[:-1] > slack)])) if len(order) else order
+        again = np.lexsort((s[order], group))
+        order, group = order[again], group[again]
+        wide = np.int64(1 << 32)  # beyond any place
+        reach = np.maximum.accumulate(group * wide + e[order]) if len(order) else order
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (group[1:] * wide + s[order][1:] > reach[:-1] + gap)
+        return order, np.flatnonzero(fresh)
+
+    def run(batches):
+        for table, _ in sorted_groups(batches, ["doc"]):
+            doc, lead, s, e, k, h = (table[c].to_numpy().astype(np.int64) for c in ("doc", "lead", "s", "e", "k", "h"))
+            exact = h < 0
+            order, first = islands(*(x[exact] for x in (doc, lead, k, s, e)), 0, 1)
+            own = [x[exact][order] for x in (doc, lead, s, e, k)]
+            if len(first):
+                own = [own[0][first], own[1][first], own[2][first], np.maximum.reduceat(own[3], first), own[4][first]]
+            # the furthest end of any run of the document that begins no later
+            number = np.unique(doc, return_inverse=True)[1].astype(np.int64)
+            wide = np.int64(1 << 32)
+            run_doc = number[exact][order][first] if len(first) else number[:0]
+            by = np.lexsort((own[2], run_doc))
+            begins, reach = run_doc[by] * wide + own[2][by], np.maximum.accumulate(run_doc[by] * wide + own[3][by]) if len(by) else own[3]
+            near = np.flatnonzero(~exact)
+            if len(begins):
+                at = np.searchsorted(begins, number[near] * wide + s[near], "right") - 1
+                near = near[(at < 0) | (reach[np.maximum(at, 0)] < number[near] * wide + e[near])]
+            order, first = islands(*(x[near] for x in (doc, lead, k, s, e)), GAP, GAP + 1)
+            order = near[order]
+            if len(first):
+                functions = np.bitwise_or.reduceat(np.int64(1) << h[order], first)
+                some = np.bitwise_count(functions) >= need
+                at = order[first][some]
+                found = [doc[at], lead[at], s[at], np.maximum.reduceat(e[order], first)[some], np.minimum.reduceat(k[order], first)[some], np.maximum.reduceat(k[order], first)[some]]
+            else:
+                found = [doc[:0]] * 6
+            both = [np.concatenate([x, y]) for x, y in zip([*own, own[4]], found, strict=True)]
+            columns = dict(zip(("doc", "lead", "s", "e", "k0", "k1"), map(pa.array, both), strict=True))
+            yield pa.RecordBatch.from_pydict(columns | {"exact": pa.array(np.arange(len(both[0])) < len(own[0]))})
+
+    rows = ties.select("doc", "lead", "s", "e", "k", "h").repartition("doc").sortWithinPartitions("doc")
+    return rows.mapInArrow(run, "doc long, lead long, s long, e long, k0 long, k1 long, exact boolean")
 
 
 def matching_passages(a: np.ndarray, b: np.ndarray, s: int, e: int, least: int) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of two token sequences around tokens s to e of a: first and last token in a and in b, and Jaccard similarity.
 
     A passage is a run of at least `least` tokens of a that b holds, with gaps of
-    at most GAP. A run whose similarity is below the threshold is cut at its
-    widest gap, and its parts are tried.
+    at most GAP. A run whose similarity is below the threshold is cut where its
+    alignment with b jumps, or else at its widest gap, and its parts are tried.
     """
     if not len(a) or not len(b):
         return []
@@ -324,6 +402,9 @@ def matching_passages(a: np.ndarray, b: np.ndarray, s: int, e: int, least: int)
         if similar >= THRESHOLD - 1e-9:
             out.append((x, y, u, v, similar))
             continue
+        if len(jumps := np.flatnonzero(np.abs(np.diff(shift)) > GAP)):  # b has its parts apart
+            left += np.split(run, jumps + 1)
+            continue
         gaps = np.diff(run)
         widest = np.flatnonzero(gaps == gaps.max())
         if gaps.max() > 1:
@@ -353,16 +434,13 @@ def _slices(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return texts.join(by_doc, "doc").select("doc", "text", "asked").mapInArrow(run, "doc long, x long, y long, slice string")
 
 
-def near_passages(texts: DataFrame, ties: DataFrame, min_words: int, need: int) -> DataFrame:
-    """doc, lead, start, end, lead_start, lead_end: passages verified around the ranges of pairs that are tied under enough functions.
+def near_passages(texts: DataFrame, islands: DataFrame, min_words: int) -> DataFrame:
+    """doc, lead, start, end, lead_start, lead_end: passages verified around stretches of pairs (doc, lead, s, e, k0, k1).
 
     Both sides' stretches are cut from the texts in one pass, by document; a
     leader's are few however many documents ask for them.
     """
     least = min_words - SHINGLE_WORDS + 1
-    ranges = ties.groupBy("doc", "lead", "s", "e", "k").agg(F.bit_or(F.expr("shiftleft(1, h)")).alias("functions"))
-    pairs = ranges.groupBy("doc", "lead").agg(F.bit_or("functions").alias("all"), F.collect_list(F.struct("s", "e", "k", "functions")).alias("ranges")).where(F.bit_count("all") >= need)
-    islands = pairs.select("doc", "lead", F.lit(need).alias("need"), "ranges").mapInArrow(_islands, "doc long, lead long, s long, e long, k0 long, k1 long")
     down = lambda c: F.greatest(F.lit(0), F.floor((c - least) / _ROUND) * _ROUND).cast("long")
     up = lambda c: ((F.floor((c + least) / _ROUND) + 1) * _ROUND).cast("long")
     bounds = {"x": down(F.col("s")), "y": up(F.col("e")), "u": down(F.col("s") + F.col("k0")), "v": up(F.col("e") + F.col("k1"))}
@@ -441,16 +519,18 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES,
     texts = all_texts.select("doc", "text")
     least = min_words - SHINGLE_WORDS + 1
     met = written(first_ties(texts, hashes, least), "ties")
-    again = written(further_ties(texts, met, least), "ties")
-    exact = written(exact_runs(again), "exact")
-    # near ties outside what is known to repeat word by word
-    near = met.union(again.where(f"h <> {EXACT}")).where("s >= 0").select("doc", "lead", "s", "e", "k", "h")
-    held = exact.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("held"))
-    inside = F.exists("held", lambda r: (r["s"] <= F.col("s")) & (F.col("e") <= r["e"]))
-    near = near.join(held, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("held")
-    words = lambda c: F.col(c).cast("long") + SHINGLE_WORDS
-    same = exact.select("doc", "lead", F.col("s").cast("long").alias("start"), words("e").alias("end"), (F.col("s") + F.col("k")).cast("long").alias("lead_start"), (words("e") + F.col("k")).alias("lead_end"))
-    tied = written(same.union(near_passages(texts, near, min_words, need)), "tied")
+    around = written(surrounding_ties(texts, met, least), "ties")
+    # one of the windows that agree around their token goes on for all, if others share half a passage with it
+    exact = around.where(f"h < {EXACT}")
+    halves = exact.groupBy("doc", "pos").agg(F.max(F.expr(f"h = {AROUND} AND s >= 0")).alias("tied"), F.max(F.when(F.col("h") != AROUND, F.struct("lo", "hi"))).alias("own"), F.max(F.expr(f"h = {LEFT}")).alias("left"), F.max(F.expr(f"h = {RIGHT}")).alias("right"))
+    sides = F.explode(F.array_compact(F.array(F.when(F.col("left"), LEFT), F.when(F.col("right"), RIGHT)))).alias("h")
+    halves = halves.where("NOT tied AND own IS NOT NULL").select("doc", "pos", "own.lo", "own.hi", sides)
+    runs = written(run_ties(texts, halves, least), "ties")
+    ties = met.union(around.where(f"h >= {AROUND}")).union(runs).where("s >= 0")
+    found = written(ties_by_doc(ties, need), "found")
+    words = lambda c: F.col(c) + SHINGLE_WORDS
+    same = found.where("exact").select("doc", "lead", F.col("s").alias("start"), words("e").alias("end"), (F.col("s") + F.col("k0")).alias("lead_start"), (words("e") + F.col("k0")).alias("lead_end"))
+    tied = written(same.union(near_passages(texts, found.where("NOT exact"), min_words)), "tied")
 
     # ranges of one document that overlap hang together; equal ranges fall together before they meet in a window
     spans = tied.select("doc", "start", "end", F.lit(True).alias("cut")).union(tied.select("lead", "lead_start", "lead_end", F.lit(False)))

@@ -268,12 +268,6 @@ def test_passages_round_a_line(spark, parts):
     assert got == {x for k in range(12) for x in ((10 + k, 30, 92, 10 + k, True), (30 + k, 40, 102, 10 + k, False))}
 
 
-def test_context_splits():
-    for least in (1, 2, 6, 16, 46, 96):
-        splits = substring.context_splits(least)
-        assert all(any(i <= a and j <= least - 1 - a for i, j in splits) for a in range(least))
-
-
 @pytest.mark.parametrize("parts", [1, 3])
 def test_passages_that_an_earlier_document_holds_in_part(spark, parts):
     """Pairs that share a passage of 56 words, of which an earlier document holds just the middle 44: no link is lost."""
@@ -338,16 +332,26 @@ def test_passages_of_texts_under_one_id(spark):
     assert left == sorted([(1, tuple(rows[0][1])), (5, tuple(prose(2, 80))), (5, tuple(prose(3, 200))), (5, tuple(prose(2, 80))), (6, tuple(prose(4, 10) + prose(5, 10)))])
 
 
-def test_exact_runs_have_no_pattern():
+def test_run_hashes():
+    """Equal just where the tokens are, for runs of any size; Thue-Morse sequences do not collide."""
     a, b = np.array([1], np.uint64), np.array([2], np.uint64)
     for _ in range(11):
         a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    assert substring.runs_of(a, 2048)[0] != substring.runs_of(b, 2048)[0]
+    assert substring.doubled(a, 2048)[-1][0] != substring.doubled(b, 2048)[-1][0]
     r = np.random.default_rng(3)
-    x = r.integers(0, 2, 400).astype(np.uint64)
-    for size in (1, 2, 3, 7, 46):
-        got, want = substring.runs_of(x, size), [tuple(x[i : i + size]) for i in range(len(x) - size + 1)]
-        assert len(got) == len(want) and len(set(got.tolist())) == len(set(want)) == len(set(zip(got.tolist(), want, strict=True)))
+    x = r.integers(0, 2, 300).astype(np.uint64)
+    runs = substring.doubled(x, 92)
+    first, size = np.repeat(np.arange(200), 92), np.tile(np.arange(1, 93), 200)
+    got = substring.run_hash(runs, first, first + size - 1).tolist()
+    want = [tuple(x[a : a + n].tolist()) for a, n in zip(first, size, strict=True)]
+    assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
+
+
+def test_ties_by_doc(spark):
+    """Overlapping exact ties are runs, near ties in a run go, the others are stretches if of two functions."""
+    rows = [(9, 1, 0, 45, 5, -1), (9, 1, 10, 60, 5, -2), (9, 1, 62, 110, 5, -1), (9, 1, 0, 45, 7, -1), (9, 2, 20, 60, 0, 0), (9, 2, 20, 60, 0, 1), (9, 2, 40, 130, 3, 2), (9, 2, 135, 180, 9, 0), (9, 2, 300, 350, 9, 0), (8, 2, 40, 130, 3, 1), (8, 2, 40, 130, 3, 3)]
+    got = substring.ties_by_doc(spark.createDataFrame(rows, "doc long, lead long, s int, e int, k int, h int"), 2).collect()
+    assert sorted((r["doc"], r["lead"], r["s"], r["e"], r["k0"], r["k1"], r["exact"]) for r in got) == [(8, 2, 40, 130, 3, 3, False), (9, 1, 0, 45, 7, 7, True), (9, 1, 0, 60, 5, 5, True), (9, 1, 62, 110, 5, 5, True), (9, 2, 40, 180, 3, 9, False)]
 
 
 def test_matching_passages():
@@ -361,7 +365,7 @@ def test_matching_passages():
     assert found[:4] == (30, 115, 10, 95) and found[4] == pytest.approx(81 / 91)
     a = np.concatenate([fresh(30), one, two[:50], fresh(30)])
     b = np.concatenate([one, fresh(60), two])
-    assert [x[:4] for x in substring.matching_passages(a, b, 40, 150, 46)] == [(30, 115, 0, 85)] or [x[:4] for x in substring.matching_passages(a, b, 40, 150, 46)][0][:2] == (30, 165)
+    assert [x[:4] for x in substring.matching_passages(a, b, 40, 150, 46)] == [(30, 115, 0, 85), (116, 165, 146, 195)]
     same = np.zeros(3000, np.uint64)
     assert substring.matching_passages(same, np.concatenate([same[:50], fresh(50)]), 0, 2999, 46)
     assert substring.matching_passages(same[:0], same, 0, 0, 46) == [] == substring.matching_passages(fresh(90), fresh(90), 0, 89, 46)

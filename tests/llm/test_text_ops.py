@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import time
 
 import numpy as np
 import public_tokenizers
@@ -164,6 +165,11 @@ HTML = [
     ("<a href='1>2'>t</a> 1 < 2 <b", "t 1 < 2"),
     ("<select><option>a<option>b</select><dl><dt>k<dd>v</dl>", "a\nb\n\nk\n  v"),
     ("<noscript>no</noscript><template>no</template><input value=no><input type=submit value=go><textarea>t <b></textarea>", "got <b>"),
+    ("<table><tr><td rowspan=2>Fruit<td>pear<tr><td>fig<tr><td>x<td>y</table>", "Fruit  pear\n       fig\nx      y"),
+    ("<table><tr><td rowspan=0>a<td colspan=99999999>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+    ("<table><tr><td><p>a<p>b<td>c<tr><td>d<td>e</table>", "a  c\n\nb\nd  e"),
+    ("<details><summary>more</summary>hidden<table><tr><td>no</table></details><details open><summary>s</summary>shown</details>", "more\ns\nshown"),
+    ("<table><tr><td>a<table><tr><td>b<td>c<tr><td>dd</table><td>e</table>", "a      e\n\nb   c\ndd"),
     ("", ""), (None, ""), ("plain", "plain"), ("<p></p><div></div>", ""), ("<td>loose</td></table>", "loose"),
 ]
 
@@ -183,6 +189,19 @@ def test_html_deep_and_long():
     assert html_text.visible_text("<div>" * 50_000 + "x") == "x"
     assert html_text.visible_text("<table><tr><td>" * 2_000 + "x") == "x"
     assert len(html_text.visible_text("<p>word " * 100_000)) > 500_000
+    tables = "<table><tr><td>" * 3_000 + "x" + "</table>" * 3_000
+    assert html_text.visible_text(tables) == "x"
+
+
+def test_html_time_is_linear():
+    def seconds(n):
+        source = "<b>x</b>" * n
+        began = time.process_time()
+        assert html_text.visible_text(source) == "x" * n
+        return time.process_time() - began
+
+    small = seconds(60_000)
+    assert seconds(240_000) < 8 * small
 
 
 def test_html_frame(spark, sf):
