@@ -7,16 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The parts of an address are as long as they may be at most, so that a long run of letters costs no more than its length.
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"
 IPV4 = r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
 
 #: Phrases that try to turn a model against its instructions.
 INJECTIONS = [
-    r"(?i)ignore (?:all |any )?(?:previous|prior|above) instructions",
-    r"(?i)disregard (?:the |your )?(?:system|previous) (?:prompt|instructions)",
-    r"(?i)you are now (?:in )?(?:dan|developer|jailbreak)",
-    r"(?i)reveal (?:the |your )?(?:system prompt|hidden instructions)",
+    r"(?i)(?:ignore|forget|disregard|override|bypass) (?:all |any |everything |of )*(?:the |your |my |these |those )?(?:previous|prior|above|earlier|system|safety|initial|original) (?:prompt|prompts|instructions|rules|guidelines|directions|messages)",
+    r"(?i)you are now (?:in )?(?:dan|developer|jailbreak|unrestricted|free)",
+    r"(?i)(?:act|behave|respond|pretend)(?: to be| as if you are| as if you were| as)? (?:an? )?(?:dan|unrestricted|unfiltered|jailbroken)",
+    r"(?i)(?:reveal|print|show|repeat|output|leak) (?:me )?(?:the |your )?(?:full |entire |whole )?(?:system prompt|hidden instructions|initial prompt|secret instructions)",
+    r"(?i)(?:enable|enter|activate|switch to) (?:developer|debug|god|jailbreak) mode",
+    r"(?i)without (?:any )?(?:safety|content|ethical) (?:filters|restrictions|guidelines)",
     r"(?i)(?:password|token|api[_ ]?key) *[=:]",
 ]
 

@@ -11,6 +11,12 @@ def rate(rows: DataFrame, by: list[str], happened: Column, name: str) -> DataFra
     return rows.where(happened.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(happened.cast("double")), 6).alias(name))
 
 
+def mean_gate(rows: DataFrame, score: Column, least: float) -> DataFrame:
+    """n, mean (six places), least, passed: the mean of given scores and whether it reaches the threshold. Null scores do not count; without a score the mean is null and fails."""
+    counted = rows.agg(F.count(score).alias("n"), F.round(F.avg(score.cast("double")), 6).alias("mean"))
+    return counted.withColumns({"least": F.lit(float(least)), "passed": F.coalesce(F.col("mean") >= least, F.lit(False))})
+
+
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n, agreement, kappa (Cohen): of two raters' labels. Null where chance alone would agree. Pairs with a null label do not count."""
     counted = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))

@@ -21,6 +21,17 @@ def unknown_citations(cited: DataFrame, known: DataFrame, on: str) -> DataFrame:
     return cited.join(known.select(on).distinct(), on, "left_anti")
 
 
+def blocked_answers(answers: DataFrame, key: str, citations: str, known: DataFrame, on: str) -> DataFrame:
+    """key, on: each citation of an answer that does not exist, once. Null citations are unknown; null and empty lists cite nothing."""
+    cited = answers.select(key, F.explode(citations).alias(on)).distinct()
+    return unknown_citations(cited, known, on).select(key, on)
+
+
+def get_articles(articles: DataFrame, asked: DataFrame, on: str) -> DataFrame:
+    """The articles that are asked for by equality, each once however often it is asked for; null asks for nothing."""
+    return articles.join(asked.select(on).distinct(), on, "left_semi")
+
+
 def in_scope(column: Column, scope: list) -> Column:
     """Whether a value is one of the scope; false for null."""
     return F.coalesce(column.isin(scope), F.lit(False))
@@ -33,7 +44,7 @@ def valid_answers(rows: DataFrame, payload: str, schema: str, required: Callable
 
 
 def with_model(rows: DataFrame, text: str, name: str, model: Callable[[pd.Series], pd.Series], kind: str) -> DataFrame:
-    """rows with what an injected model says of a text: a guard, an embedder, a router or a judge. It gets and returns a Series."""
+    """rows with what an injected model says of a text: a guard, an embedder, a router or a judge. It gets and returns a Series, nulls included; a column of that name gives way."""
     return rows.withColumn(name, F.pandas_udf(model, kind)(text))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,16 +37,19 @@ def similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _best(batches, left: str, right: str, k: int, metric: str):
-    """The k best of each cell, and ties with the k-th to six places; ranking settles them by id."""
+    """The k best of each query of a cell; of those that tie with the k-th to six places the smaller ids."""
     for batch in batches:
         q_rows, v_rows = batch.column(batch.schema.get_field_index(left)), batch.column(batch.schema.get_field_index(right))
         for i in range(batch.num_rows):
             q_ids, q = _matrix(q_rows[i])
             v_ids, v = _matrix(v_rows[i])
+            order = np.argsort(v_ids, kind="stable")
+            v_ids, v = v_ids[order], v[order]
             scores = np.round(similarity(q, v, metric), 6)
             scores[np.isnan(scores) | (q_ids[:, None] == v_ids[None, :])] = -np.inf
             kth = np.partition(scores, -min(k, len(v_ids)), axis=1)[:, -min(k, len(v_ids))]
-            at, to = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
+            above, tied = scores > kth[:, None], (scores == kth[:, None]) & np.isfinite(scores)
+            at, to = np.nonzero(above | tied & (tied.cumsum(1) <= k - above.sum(1)[:, None]))
             yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[at], pa.int64()), "id": pa.array(v_ids[to], pa.int64()), "score": pa.array(scores[at, to])})
 
 
@@ -87,13 +92,19 @@ def fit_centroids(vectors: DataFrame, lists: int, rounds: int = 10) -> np.ndarra
     return centers
 
 
-def ivf_top_k(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 32, probes: int = 22, metric: str = "cosine") -> DataFrame:
-    """Like top_k, but each query meets only the lists of its nearest centroids. Every row is indexed.
+def ivf_top_k(vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None = None, probed: float = 0.69, metric: str = "cosine") -> DataFrame:
+    """Like top_k, but each query meets only the lists of its nearest centroids, a share `probed` of all. Every row is indexed.
 
-    Lists are cut into blocks of about BLOCK rows by hash of the id, so a list
-    that holds a third of all rows is many cells.
+    lists: by default as many as half the root of the rows, between 32 and a
+    tenth of FIT_ROWS. A list and its queries are cut into blocks of about BLOCK
+    rows by hash of the id, so a list that holds a third of all rows is many
+    cells. What share has to be probed for a recall depends on the data: on
+    near-uniform vectors most, on clustered ones few.
     """
     rows = vectors.where("id IS NOT NULL AND vector IS NOT NULL")
+    if lists is None:
+        lists = min(max(32, int(rows.count() ** 0.5 / 2)), FIT_ROWS // 10)
+    probes = max(1, math.ceil(probed * lists))
     shared = vectors.sparkSession.sparkContext.broadcast(fit_centroids(rows, lists))
 
     def assign(batches):
@@ -111,9 +122,12 @@ def ivf_top_k(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 32,
     sizes = own.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     own = own.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))  # a row per centroid
     stored = own.groupBy("list", "part").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    asked = placed.where("is_query").select("id", "vector", F.explode("probe").alias("list")).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
+    asked = placed.where("is_query").select("id", "vector", F.explode("probe").alias("list"))
+    wanted = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
+    asked = asked.join(F.broadcast(wanted), "list").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), "slices").cast("int"))  # a row per centroid
     asked = asked.groupBy("list", "slice").agg(F.collect_list(F.struct("id", "vector")).alias("asked"))
-    cells = asked.join(stored, "list")
+    asked = asked.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    cells = asked.join(stored, ["list", "part"]).repartition("list", "part", "slice")
     found = cells.mapInArrow(lambda b: _best(b, "asked", "rows", k, metric), "query_id long, id long, score double")
     return ranked(found, k)
 

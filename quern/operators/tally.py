@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,8 +15,6 @@ def tally(records: DataFrame, tags: Column, key: Column, order: list[Column], ex
     distinct and ranked within the tag, and ranks beyond the limit never meet
     in one place.
     """
-    from pyspark.sql import Window
-
     keyed = records.select(key.alias("_key"), F.struct(*order, key.alias("_id")).alias("_at"), tags.alias("_tags")).where("_key IS NOT NULL")
     named = keyed.select("_key", "_at", F.explode(F.array_distinct("_tags")).alias("tag")).where("tag IS NOT NULL").groupBy("tag", "_key").agg(F.min("_at").alias("_at"))
     counts = named.groupBy("tag").agg(F.count("*").alias("n"))
@@ -29,3 +27,8 @@ def tally(records: DataFrame, tags: Column, key: Column, order: list[Column], ex
         .crossJoin(F.broadcast(total))  # one row
         .select("tag", "n", F.round(100.0 * F.col("n") / F.col("_total"), 2).alias("pct"), F.transform("_first", lambda x: x["_key"]).alias("examples"))
     )
+
+
+def most_named(tallied: DataFrame) -> DataFrame:
+    """A tally in its order: by n descending, then by tag."""
+    return tallied.orderBy(F.desc("n"), F.asc("tag"))

@@ -6,10 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_context(turns: DataFrame, thread: str, turn: str, values: list[str]) -> DataFrame:
-    """turns with previous_<value> of the turn before in the same thread, and turns_so_far."""
-    by = Window.partitionBy(thread).orderBy(turn)
-    return turns.withColumns({f"previous_{v}": F.lag(v).over(by) for v in values} | {"turns_so_far": F.row_number().over(by)})
+#: Turns of one thread that a task sees together.
+SPAN = 10_000
+
+
+def with_context(turns: DataFrame, thread: str, turn: str, values: list[str], span: int = SPAN) -> DataFrame:
+    """turns with previous_<value> of the turn before in the same thread, and turns_so_far.
+
+    turn: a number. A thread is cut into spans of turns, each worked on by
+    itself; what a span hands to the next is one row, so that a thread of any
+    length is spread. The first turn of a thread has null context. Rows with a
+    null thread are one thread, rows with a null turn its first; of equal turns
+    either may come first.
+    """
+    cut = turns.withColumn("_span", F.floor(F.coalesce(F.col(turn), F.lit(0)) / span))
+    by = Window.partitionBy(thread, "_span").orderBy(turn)
+    own = {f"_previous_{i}": F.lag(v).over(by) for i, v in enumerate(values)} | {"_so_far": F.row_number().over(by)}
+    ends = cut.groupBy(thread, "_span").agg(F.max(F.struct(turn, *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])).alias("_last"), F.count("*").alias("_n"))
+    before = Window.partitionBy(thread).orderBy("_span")
+    ends = ends.select(F.col(thread).alias("_thread"), F.col("_span").alias("_own"), F.lag("_last").over(before).alias("_last"), F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = cut.withColumns(own).join(ends, F.col(thread).eqNullSafe(F.col("_thread")) & (F.col("_span") == F.col("_own")))
+    context = {f"previous_{v}": F.when(F.col("_so_far") > 1, F.col(f"_previous_{i}")).otherwise(F.col("_last")[f"_v{i}"]) for i, v in enumerate(values)}
+    new = context | {"turns_so_far": (F.col("_so_far") + F.col("_before")).cast("int")}
+    return joined.select(*[c for c in turns.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def trajectory(steps: DataFrame, thread: str, step: str, node: str, limit: int) -> DataFrame:
@@ -25,17 +44,21 @@ def trajectory(steps: DataFrame, thread: str, step: str, node: str, limit: int)
 
 
 def usage(requests: DataFrame, by: str, cost: Column, question: Column) -> DataFrame:
-    """by, requests, total_cost, cost_per_100: total cost per 100 distinct questions (six places)."""
+    """by, requests, total_cost, cost_per_100: total cost per 100 distinct questions (four places).
+
+    Null costs add nothing and null questions are not counted; without a question
+    cost_per_100 is null. A null `by` is a group. Repeated rows are requests each.
+    """
     return requests.groupBy(by).agg(F.count("*").alias("requests"), F.round(F.sum(cost), 4).alias("total_cost"), F.round(100.0 * F.sum(cost) / F.countDistinct(question), 4).alias("cost_per_100"))
 
 
 def tumbling(requests: DataFrame, ts: str, width: str, user: str) -> DataFrame:
-    """window_start, user, n: requests per user and window. ts is a timestamp with time zone UTC."""
+    """window_start, user, n: requests per user and window. ts is a timestamp with time zone UTC; rows without one go. A null user is a user; repeated rows count each."""
     counted = requests.groupBy(F.window(F.col(ts).cast("timestamp"), width), F.col(user)).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), user, "n")
 
 
 def rolling(requests: DataFrame, ts: str, seconds: int, user: str, limit: int) -> DataFrame:
-    """requests with n_recent (requests of the user in so many seconds up to and with this one) and limited."""
+    """requests with n_recent (requests of the user in so many seconds up to and with this one) and limited. Equal times count each other; rows without a time count themselves alone as one time; a null user is a user."""
     by = Window.partitionBy(user).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-seconds, 0)
     return requests.withColumn("n_recent", F.count("*").over(by)).withColumn("limited", F.col("n_recent") > limit)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as patterns
 from quern.operators import chunking, evaluation, guards, records, retrieval, threads
-from quern.operators.tally import tally
+from quern.operators.tally import most_named, tally
 from quern.sources import records as blocks
+from quern.sources import tables
 from quern.streaming import threads as streams
 
 
@@ -71,6 +72,39 @@ def tally_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.markdown_rows(tally_tokens(spark, sf_dir), ["token", "n", "examples"])
 
 
+@query("""
+    WITH named AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)
+    SELECT token, count(*) AS n FROM named GROUP BY token""")
+def tally_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tally by count descending, then by word."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    return most_named(tally(read(spark, sf_dir, "documents"), words, F.col("doc_id"), [])).select(F.col("tag").alias("token"), "n")
+
+
+@query("""
+    WITH i AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag || '-' || l_linestatus)) AS tags FROM lineitem GROUP BY l_orderkey),
+         r AS (SELECT o_orderkey, unnest(tags) AS tag FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN i ON o_orderkey = l_orderkey),
+         t AS (SELECT count(*)::DOUBLE AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+    SELECT tag, count(*) AS n, round(100.0::DOUBLE * count(*) / any_value(t), 2) AS pct, least(3, count(*))::INTEGER AS n_examples FROM r, t GROUP BY tag""")
+def tally_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of records read from files, with examples by file and place in it; tests hold their order."""
+    path = scratch(spark, "records")
+    blocks.write_records(_order_records(spark, sf_dir), path)
+    tallied = tally(blocks.read_records(spark, path), F.col("tags"), F.col("url"), [F.col("source_file"), F.col("pos")])
+    return tallied.select("tag", "n", "pct", F.size("examples").alias("n_examples"))
+
+
+@query(r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\b(license|copyright|password|token|key)\b', 1) AS tags FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
+    SELECT doc_id, len(tags)::INTEGER AS n_tags FROM t WHERE len(tags) > 0""")
+def records_on_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as of the topic that name a tag."""
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    tags = F.regexp_extract_all(F.lower("text"), F.lit(r"\b(license|copyright|password|token|key)\b"), 1)
+    named = records.on_topic(rows, F.col("quality") == 1).select("doc_id", tags.alias("tags"))
+    return records.with_tags(named, F.col("tags")).select("doc_id", F.size("tags").alias("n_tags"))
+
+
 def _order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tagged records: customer, priority, nation; the order's items as snippets, its return flags as tags."""
     items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
@@ -152,10 +186,10 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_vocabulary(customers, "c_mktsegment", synonyms).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
 def skill_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that nobody has returned."""
-    held = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that nobody has returned in large numbers."""
+    held = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return records.gap(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), held, "p_partkey")
 
 
@@ -190,6 +224,17 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "pos", F.md5("chunk").alias("chunk_md5"), "title", "n_chars")
 
 
+@query(r"""
+    WITH s AS (SELECT doc_id, lang, string_split(text, chr(10)) AS c FROM documents), u AS (SELECT doc_id, lang, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS chunk FROM s)
+    SELECT doc_id, pos, lang, regexp_extract(chunk, '^(\S+)', 1) AS title, length(chunk)::INTEGER AS n_chars FROM u WHERE length(chunk) > 0""")
+def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and their chunks written as two tables, the chunks with their metadata as a struct, and joined from there."""
+    path = scratch(spark, "store")
+    tables.write_documents(read(spark, sf_dir, "documents"), "doc_id", "text", "\n", r"^(\S+)", path)
+    documents, chunks = tables.read_documents(spark, path)
+    return chunks.join(documents.select("doc_id", "lang"), "doc_id").select("doc_id", "metadata.pos", "lang", "metadata.title", "metadata.n_chars")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -222,6 +267,12 @@ def ann_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ivf_top_k(_vectors(spark, sf_dir).select("id", "vector"), F.col("id") % 20 == 0)
 
 
+@query(_COSINE + " SELECT query_id, id, score FROM r WHERE rank = 1")
+def search_top_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search finds first."""
+    return retrieval.top_k(_vectors(spark, sf_dir).select("id", "vector"), F.col("id") % 20 == 0, 1).drop("rank")
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _vectors(spark, sf_dir).select("id", "label")
     found = cosine_top_k(spark, sf_dir)
@@ -261,6 +312,13 @@ def cite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", F.concat_ws(", ", "source", "lang", nr).alias("citation"))
 
 
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND quality = 1)")
+def get_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are asked for by their id."""
+    asked = read(spark, sf_dir, "labels").where("quality = 1")
+    return guards.get_articles(read(spark, sf_dir, "documents"), asked, "doc_id").select("doc_id", "lang", "n_chars")
+
+
 # Guards
 
 
@@ -278,6 +336,15 @@ def unknown_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.unknown_citations(read(spark, sf_dir, "events").select("event_id", "user_id"), known, "user_id").select("event_id", "user_id")
 
 
+@query("""
+    SELECT DISTINCT l_orderkey, l_suppkey AS s_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal >= 0)""")
+def blocked_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as answers that cite their suppliers: the citations of suppliers in debt, which count as unknown."""
+    answers = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("citations"))
+    known = read(spark, sf_dir, "supplier").where("s_acctbal >= 0")
+    return guards.blocked_answers(answers, "l_orderkey", "citations", known, "s_suppkey")
+
+
 @query("SELECT lang, coalesce(lang IN ('en', 'de'), false) AS in_scope, count(*) AS n FROM documents GROUP BY ALL")
 def scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents inside and outside the scope."""
@@ -343,6 +410,13 @@ def judge_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.kappa(rows, "quality", "judge")
 
 
+@query("""
+    SELECT count(quality) AS n, round(avg(quality::DOUBLE), 6) AS mean, 0.8::DOUBLE AS least, coalesce(round(avg(quality::DOUBLE), 6) >= 0.8, false) AS passed FROM labels""")
+def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of given judgements against its threshold."""
+    return evaluation.mean_gate(read(spark, sf_dir, "labels"), F.col("quality"), 0.8)
+
+
 @query("""
     SELECT event_id, value, CASE WHEN value IS NULL OR value < 10 THEN 'human' ELSE 'accepted' END AS decision, coalesce(CASE WHEN value >= 10 THEN event_type END, 'retrieval only') AS answer FROM events""")
 def critic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ ISO date), snippets in lines that begin with ``- ``, and ``Tags:``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPLIT = " — "
@@ -17,16 +17,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """source_file, pos, company, title, city, url, seen, snippets, tags: one row per block of every file in path.
 
     The block separator is the record delimiter of the reader, so large files
-    are split and no file is held whole. pos is the order in the file (the rank
-    of the block's place); headings are cut at em dashes alone. A block without
-    tags has an empty list.
+    are split and no file is held whole. pos is the record's number in its file,
+    from 1: its number within the split, and what the splits before it hold,
+    which is one row a split. Headings are cut at em dashes alone. A block without
+    tags has an empty list. Repeated blocks are records each; an empty file has none.
     """
-    lines = spark.read.option("lineSep", "\n### ").text(path).withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    lines = spark.read.option("lineSep", "\n### ").text(path).withColumns({"source_file": F.element_at(F.split("_metadata.file_path", "/"), -1), "_split": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
+    splits = lines.groupBy("source_file", "_split").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), F.count_if(F.col("value").startswith("Ads collected:")).alias("_heads"))
+    before = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum(F.col("_n") - F.col("_heads")).over(before), F.lit(0)))
+    lines = lines.join(splits, ["source_file", "_split"])
     blocks = lines.where(~F.col("value").startswith("Ads collected:"))
     line = lambda name: F.regexp_extract("value", rf"(?m)^{name}: ?(.*)$", 1)
     head = F.split(F.regexp_extract("value", r"^(?:### )?([^\n]*)", 1), SPLIT)
     return blocks.select(
         "source_file",
+        (F.col("_row") - F.col("_first") + F.col("_before") + 1 - F.col("_heads")).cast("int").alias("pos"),
         F.get(head, 0).alias("company"),
         F.get(head, 1).alias("title"),
         F.get(head, 2).alias("city"),
@@ -51,9 +57,7 @@ def record_block(company, title, city, url, seen, snippets, tags):
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """records: block (from record_block). Every file states the number of its blocks; the blocks of a task are one file."""
-    from pyspark.sql import Window
-
+    """records: block (from record_block). Every file states the number of its blocks; the blocks of a task are one file. Null blocks are empty ones; no rows give no file with a count."""
     part = records.withColumn("_part", F.spark_partition_id())
     counted = part.withColumn("_n", F.count("*").over(Window.partitionBy("_part")))
     first = F.row_number().over(Window.partitionBy("_part").orderBy("block")) == 1
@@ -62,5 +66,5 @@ def write_records(records: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of a fixed schema; a line that does not fit it fails the read."""
+    """JSON lines of a fixed schema; a line that does not fit it fails the read. Fields that are missing are null; blank lines give no row; repeated lines are repeated rows."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
