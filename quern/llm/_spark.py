@@ -9,19 +9,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: texts of ordinary length then take a few MB.
-ARROW_ROWS = 1000
+from quern.sources.tables import spread
+
+#: Bytes of one Arrow batch that Spark hands to Python.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table; one that is small over all cores, as each text takes long."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the texts of one Arrow batch to a few MB; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Hold one Arrow batch to BATCH_BYTES, however long its texts are; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?[0-9]+) *([a-z]*)", str(spark.conf.get(key)).lower()).groups()
+    if not 0 < int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit] <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def shared_folder(spark: SparkSession) -> str:

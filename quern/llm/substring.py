@@ -48,7 +48,7 @@ GAP = 2 * SHINGLE_WORDS
 #: Windows that a task holds before it ties and hands them on.
 HELD = 1 << 21
 #: Words to which the stretches compared are rounded, so that documents ask for few different ones of a common leader.
-_ROUND = 64
+_ROUND = 16
 #: Tokens on either side that near repeats share with the least one.
 BESIDE = 3
 #: In place of a hash function: an exact run; all that a passage can reach; half a passage to the left, to the right.
@@ -441,8 +441,9 @@ def near_passages(texts: DataFrame, islands: DataFrame, min_words: int) -> DataF
     leader's are few however many documents ask for them.
     """
     least = min_words - SHINGLE_WORDS + 1
-    down = lambda c: F.greatest(F.lit(0), F.floor((c - least) / _ROUND) * _ROUND).cast("long")
-    up = lambda c: ((F.floor((c + least) / _ROUND) + 1) * _ROUND).cast("long")
+    beyond = least // 2
+    down = lambda c: F.greatest(F.lit(0), F.floor((c - beyond) / _ROUND) * _ROUND).cast("long")
+    up = lambda c: ((F.floor((c + beyond) / _ROUND) + 1) * _ROUND).cast("long")
     bounds = {"x": down(F.col("s")), "y": up(F.col("e")), "u": down(F.col("s") + F.col("k0")), "v": up(F.col("e") + F.col("k1"))}
     islands = written(islands.withColumns(bounds), "islands")
     asked = islands.select("doc", "x", "y").union(islands.select("lead", "u", "v")).distinct()

@@ -6,7 +6,8 @@ likelihood-ratio test over the sampled texts, in Spark. The weights then
 minimise the logistic loss plus a penalty on score changes: every labelled text
 that names a group is paired with a copy in which each identity term is swapped
 for another of its kind, and the squared difference of both scores is added.
-A neutral mention of a group thus moves no score.
+A neutral mention of a group thus moves a score little. Where no labelled text
+names a group the penalty changes nothing.
 """
 
 from __future__ import annotations

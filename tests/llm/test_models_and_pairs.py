@@ -428,6 +428,34 @@ def test_toxicity_swaps(spark, monkeypatch):
     assert with_penalty[2] > 0.7 and with_penalty[0] < 0.5 and 0 <= with_penalty[3] < 0.5
 
 
+def neutral_mentions(spark, monkeypatch, penalty):
+    """The share of neutral sentences called toxic, over every identity term, by a model whose sample names some groups in insults alone; and the share of insults caught."""
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", penalty)
+    r = random.Random(11)
+    filler = lambda n: " ".join(prose(r.randrange(10**6), n))
+    rows = []
+    for terms in toxicity.IDENTITY_TERMS:
+        half = len(terms) // 2
+        for i in range(40):
+            rows.append((f"{filler(4)} {terms[i % half]} {('vile', 'worthless', 'disgusting')[i % 3]} {filler(4)}", 1))
+            rows.append((f"{filler(4)} {terms[half + i % (len(terms) - half)]} {('met', 'works', 'reads')[i % 3]} {filler(4)}", 0))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    neutral = [f"{filler(6)} {t} {w} {filler(3)}" for terms in toxicity.IDENTITY_TERMS for t in terms for w in ("met", "today")]
+    insults = [f"{filler(4)} {t} {w} {filler(4)}" for terms in toxicity.IDENTITY_TERMS for t in terms for w in ("vile", "worthless")]
+    called = lambda texts: float((model.score(*text_bytes(pa.array(texts))) >= toxicity.REJECT).mean())
+    return called(neutral), called(insults)
+
+
+def test_toxicity_of_neutral_mentions(spark, monkeypatch):
+    """Planted mentions over all terms of four languages: the penalty cuts false positives and still catches insults."""
+    without, _ = neutral_mentions(spark, monkeypatch, 0.0)
+    with_penalty, caught = neutral_mentions(spark, monkeypatch, 1.0)
+    print(f"neutral mentions called toxic: {without:.3f} without the penalty, {with_penalty:.3f} with it; insults caught {caught:.3f}")
+    assert with_penalty < 0.02 and without > 5 * with_penalty + 0.1 and caught > 0.9
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "x " * 50_000, 1), (3, "y", 1), (None, "é", 1)], "doc_id long, text string, score int")
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
@@ -533,14 +561,16 @@ def test_pipeline(spark, tmp_path):
     planted = [
         (100, " ".join(prose(100, 50))), (101, " ".join(prose(100, 50))), (102, " ".join([*prose(100, 50), "more"])),
         (110, shared + " " + " ".join(prose(110, 200))), (111, " ".join(prose(111, 200)) + " " + shared),
+        (140, " ".join(prose(140, 50))), (140, " ".join(prose(141, 50))), (140, " ".join(prose(141, 30)) + " " + shared),
         (120, " ".join(prose(120, 20)) + " " + item.upper() + " end"), (130, None), (131, ""), (132, "<|endoftext|> é"), (None, "no id"),
     ]
     rows = vile + fine + planted
     spark.createDataFrame([(i, t, "en", "s", len(t or ""), 9, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n_hit int, score string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i < 40)) for i, _ in vile + fine], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(got) == {i for i, _ in fine} | {100, 110, 111, 130, 131, 132, None}
+    rows_left = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: r for r in rows_left}
+    assert set(got) == {i for i, _ in fine} | {100, 110, 111, 130, 131, 132, 140, None} and len(rows_left) == len(got) + 2  # three texts under one id
     assert [len(n) > 0 and callable(f) for n, f in corpus_pipeline.STAGES] == [True] * 5
     from tokenizers import Tokenizer
 
@@ -551,3 +581,4 @@ def test_pipeline(spark, tmp_path):
     for i in (100, 110, 130, 132, 50):
         assert got[i]["ids"] == library.encode(text[i] or "", add_special_tokens=False).ids and got[i]["n_tokens"] == len(got[i]["ids"])
     assert library.decode(got[111]["ids"]).split() == text[111].split()[:200]
+    assert sorted(len(library.decode(r["ids"]).split()) for r in rows_left if r["doc_id"] == 140) == [30, 50, 50]
