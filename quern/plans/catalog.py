@@ -51,7 +51,7 @@ def query(sql: str | None = None):
 def tally_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold each word, their share, and the first three."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
-    return tally(read(spark, sf_dir, "documents"), words, F.col("doc_id"), []).withColumnRenamed("tag", "token")
+    return tally(tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), words, F.col("doc_id"), []).withColumnRenamed("tag", "token")
 
 
 @query("""
@@ -78,7 +78,7 @@ def tally_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tally_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tally by count descending, then by word."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
-    return most_named(tally(read(spark, sf_dir, "documents"), words, F.col("doc_id"), [])).select(F.col("tag").alias("token"), "n")
+    return most_named(tally(tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), words, F.col("doc_id"), [])).select(F.col("tag").alias("token"), "n")
 
 
 @query("""
@@ -358,7 +358,7 @@ def scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that try to turn a model against its instructions, or carry credentials."""
-    return guards.injection(read(spark, sf_dir, "documents"), "text").select("doc_id", "flagged")
+    return guards.injection(tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "text").select("doc_id", "flagged")
 
 
 @query(rf"""
@@ -366,7 +366,7 @@ def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents""")
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without e-mail addresses, account numbers and IP addresses."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(patterns.redact(F.col("text"))).alias("redacted_md5"))
+    return tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(patterns.redact(F.col("text"))).alias("redacted_md5"))
 
 
 ROUTES = [("regulation", r"(?i)\b(?:license|licensed|copyright)\b"), ("credentials", r"(?i)\b(?:token|password|key)\b *[=:]")]
@@ -377,7 +377,7 @@ ROUTES = [("regulation", r"(?i)\b(?:license|licensed|copyright)\b"), ("credentia
     SELECT CASE WHEN coalesce(a + b, 0) = 0 THEN 'out_of_scope' WHEN a + b = 2 THEN 'both' WHEN a = 1 THEN 'regulation' ELSE 'credentials' END AS route, count(*) AS n FROM h GROUP BY 1""".replace("\\\\", "\\"))
 def router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the rule that they match."""
-    return read(spark, sf_dir, "documents").groupBy(guards.route(F.col("text"), ROUTES).alias("route")).agg(F.count("*").alias("n"))
+    return tables.spread(read(spark, sf_dir, "documents").select("text")).groupBy(guards.route(F.col("text"), ROUTES).alias("route")).agg(F.count("*").alias("n"))
 
 
 @query()

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from quern.operators.chunking import chunk
 
 
+#: Bytes a core below which a table is dealt anew.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table over all cores: one so small that its files are read in fewer tasks is dealt anew, any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def write_documents(docs: DataFrame, key: str, text: str, before: str, title: str, path: str, mode: str = "errorifexists") -> None:
     """docs without their text as path/documents, and path/chunks: key, chunk and metadata (pos, title, n_chars), cut as chunk() cuts.
 
