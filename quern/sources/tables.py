@@ -15,7 +15,7 @@ SMALL = 4 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A table over all cores: one so small that its files are read in fewer tasks is dealt anew, any other stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL else df
 
 
