@@ -46,7 +46,7 @@ MIN_WORDS, HASHES, NEED, THRESHOLD = 50, 4, 2, 0.8
 #: Tokens without a match that a passage may span: two changed words apart.
 GAP = 2 * SHINGLE_WORDS
 #: Windows that a task holds before it ties and hands them on.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Words to which the stretches compared are rounded, so that documents ask for few different ones of a common leader.
 _ROUND = 16
 #: Tokens on either side that near repeats share with the least one.
@@ -161,7 +161,9 @@ def tie(key, doc, pos, lo, hi, h, known, least: int) -> tuple[np.ndarray, dict[s
 
 
 _TIE = "doc long, pos int, lo int, hi int, h int, lead long, s int, e int, k int"
-_ROW = f"key long, known int, passing int, {_TIE}"
+#: A window on its way: `at` is pos and h, `range` lo and hi, `span` s and e. state: KNOWN if it stands for a group with two documents, PASSING if tied.
+_ROW = "key long, doc long, state int, at long, range long, lead long, span long, k int"
+KNOWN, PASSING = 1, 2
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -174,6 +176,18 @@ def _batches(columns: dict[str, np.ndarray], ddl: str) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(columns[f.name][a : a + (1 << 14)].astype(np.int64)).cast(f.type) for f in schema], schema=schema)
 
 
+def _packed(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows with key, state and the columns of _TIE in fewer and wider columns."""
+    two = lambda a, b: np.where(a < 0, -1, (a << 32) | b)
+    return {c: rows[c] for c in ("key", "doc", "state", "lead", "k")} | {"at": (rows["pos"] << 8) | (rows["h"] + 8), "range": two(rows["lo"], rows["hi"]), "span": two(rows["s"], rows["e"])}
+
+
+def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
+    rows = {f: table[f].to_numpy().astype(np.int64) for f in table.column_names}
+    at, own, span, low = rows.pop("at"), rows.pop("range"), rows.pop("span"), (1 << 32) - 1
+    return rows | {"pos": at >> 8, "h": (at & 255) - 8, "lo": own >> 32, "hi": own & low, "s": span >> 32, "e": np.where(span < 0, -1, span & low)}
+
+
 def _joined(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Ties of exact runs that go on from one another as one tie each; the others as they are."""
     exact = rows["h"] == EXACT
@@ -204,13 +218,13 @@ def _ties(rows: DataFrame, windows: Callable, least: int) -> DataFrame:
             order = np.lexsort((pos, doc, key))
             rows = dict(zip(("key", "doc", "pos", "lo", "hi", "h"), (x[order] for x in (key, doc, pos, lo, hi, h)), strict=True))
             met, found = tie(*rows.values(), np.zeros(len(order), np.int64), least)
-            rows |= {"known": met.astype(np.int64), "passing": np.zeros(len(order), np.int64), **{c: found[c] for c in ("lead", "s", "e", "k")}}
+            rows |= {"state": met * KNOWN, **{c: found[c] for c in ("lead", "s", "e", "k")}}
             # of a group with two documents the first one stands for all; the others travel with their tie by a key of their own
             passing = met & ~found["of_lead"]
-            yield from _batches({c: x[~passing] for c, x in rows.items()}, _ROW)
+            yield from _batches(_packed({c: x[~passing] for c, x in rows.items()}), _ROW)
             done = _joined({c: x[passing] for c, x in rows.items()})
             done["key"] = mix(done["doc"].view(np.uint64) + done["pos"].astype(np.uint64)).view(np.int64)
-            yield from _batches(done | {"passing": np.ones(len(done["doc"]), np.int64)}, _ROW)
+            yield from _batches(_packed(done | {"state": np.full(len(done["doc"]), PASSING)}), _ROW)
 
         for batch in batches:
             for part in steps(batch, "text"):
@@ -224,14 +238,14 @@ def _ties(rows: DataFrame, windows: Callable, least: int) -> DataFrame:
     def tie_all(batches):
         names = [f.name for f in _schema(_TIE)]
         for table, _ in sorted_groups(batches, ["key"]):
-            passing = table["passing"].to_numpy() == 1
-            yield from table.filter(pa.array(passing)).select(names).to_batches()
-            own = table.filter(pa.array(~passing))
-            rows = {c: own[c].to_numpy().astype(np.int64) for c in ("key", "doc", "pos", "lo", "hi", "h", "known")}
-            met, found = tie(*rows.values(), least)
-            yield from _batches(_joined({c: (found | rows if c in rows else found)[c][met] for c in names}), _TIE)
-
-    dealt = rows.mapInArrow(tie_own, _ROW).repartition("key").sortWithinPartitions("key", "doc", "pos")
+            rows = _unpacked(table)
+            passing = rows["state"] == PASSING
+            yield from _batches({c: rows[c][passing] for c in names}, _TIE)
+            own = {c: x[~passing] for c, x in rows.items()}
+            met, found = tie(*(own[c] for c in ("key", "doc", "pos", "lo", "hi", "h", "state")), least)
+            yield from _batches(_joined({c: (found if c in found else own)[c][met] for c in names}), _TIE)
+
+    dealt = rows.mapInArrow(tie_own, _ROW).repartition("key").sortWithinPartitions("key", "doc", "at")
     return dealt.mapInArrow(tie_all, _TIE)
 
 
@@ -523,9 +537,10 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES,
     around = written(surrounding_ties(texts, met, least), "ties")
     # one of the windows that agree around their token goes on for all, if others share half a passage with it
     exact = around.where(f"h < {EXACT}")
-    halves = exact.groupBy("doc", "pos").agg(F.max(F.expr(f"h = {AROUND} AND s >= 0")).alias("tied"), F.max(F.when(F.col("h") != AROUND, F.struct("lo", "hi"))).alias("own"), F.max(F.expr(f"h = {LEFT}")).alias("left"), F.max(F.expr(f"h = {RIGHT}")).alias("right"))
+    on = lambda kind: F.max(F.when(F.col("h") == kind, True)).alias({LEFT: "left", RIGHT: "right"}[kind])
+    halves = exact.groupBy("doc", "pos").agg(F.max(F.when((F.col("h") == AROUND) & (F.col("s") >= 0), True)).alias("tied"), on(LEFT), on(RIGHT), *[F.max(F.when(F.col("h") != AROUND, F.col(c))).alias(c) for c in ("lo", "hi")])
     sides = F.explode(F.array_compact(F.array(F.when(F.col("left"), LEFT), F.when(F.col("right"), RIGHT)))).alias("h")
-    halves = halves.where("NOT tied AND own IS NOT NULL").select("doc", "pos", "own.lo", "own.hi", sides)
+    halves = halves.where("tied IS NULL AND lo IS NOT NULL").select("doc", "pos", "lo", "hi", sides)
     runs = written(run_ties(texts, halves, least), "ties")
     ties = met.union(around.where(f"h >= {AROUND}")).union(runs).where("s >= 0")
     found = written(ties_by_doc(ties, need), "found")
