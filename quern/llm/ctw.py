@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm._spark import crc32_mod, read, small_batches, written
+from quern.llm._spark import crc32_mod, dropped, read, small_batches, written
 from quern.llm._text import Counter, Words, mix, steps, text_bytes
 
 DEPTH = 5
@@ -120,7 +120,8 @@ def _chunks(docs: DataFrame, depth: int) -> DataFrame:
 
     kind TEXT: texts (an Arrow stream of doc_id and text) and n, of them to learn
     from. kind GRAM: near, keys and counts (0 if seen in other texts alone). kind
-    WORD: one and two (128 bits of hash) and n.
+    WORD: one and two (128 bits of hash), n, and near: whether another word of the
+    chunk has the same first half.
     """
     schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("near", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
 
@@ -137,9 +138,11 @@ def _chunks(docs: DataFrame, depth: int) -> DataFrame:
                 b = min(a + (1 << 12), len(near))
                 yield rows(GRAM, chunk, b - a, near=pa.array(near[a:b]), keys=pa.array(keys[a:b], pa.binary()), counts=pa.array(counts[a:b], pa.binary()))
             one, two, n = _word_sums([np.concatenate(x) for x in zip(*words, strict=True)]) if words else [np.empty(0, np.uint64)] * 3
+            same = one[1:] == one[:-1]
+            apart = np.append(same, False) | np.append(False, same) if len(one) else np.empty(0, bool)
             for a in range(0, len(one), 1 << 14):
                 part = slice(a, a + (1 << 14))
-                yield rows(WORD, chunk, len(one[part]), one=pa.array(one[part].view(np.int64)), two=pa.array(two[part].view(np.int64)), n=pa.array(n[part].astype(np.int64)))
+                yield rows(WORD, chunk, len(one[part]), near=pa.array(apart[part].astype(np.int64)), one=pa.array(one[part].view(np.int64)), two=pa.array(two[part].view(np.int64)), n=pa.array(n[part].astype(np.int64)))
 
         for batch in batches:
             for part in steps(batch, "text"):
@@ -426,9 +429,9 @@ class _Found:
         self.grams, self.words, self.ready = [], [], True
 
     def counts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The training counts of words, all of which are there."""
+        """The training counts of words, all of which are there; the second half of a hash counts where the first is that of several."""
         at = np.searchsorted(self.one, one)
-        while len(off := np.flatnonzero(self.two[at] != two)):
+        while len(off := np.flatnonzero((self.two[at] != 0) & (self.two[at] != two | np.uint64(1)))):
             at[off] += 1
         return self.n[at]
 
@@ -497,8 +500,9 @@ def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame
         grams = _merged(written(grams, "grams"), ["near"], np.int64)
     grams = written(grams, "grams")
     scores = written(gram_scores(grams, depth), "scores")
+    dropped(grams)
 
-    words = chunks.where(F.col("kind") == WORD).select("chunk", "one", "two", "n")
+    words = chunks.where(F.col("kind") == WORD).select("chunk", "near", "one", "two", "n")
     totals = written(words.groupBy("one", "two").agg(F.sum("n").alias("total")), "words")
     total, distinct = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
     ends = chunks.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -507,7 +511,8 @@ def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
     found = _looked_up(asked.select("chunk", "near", "keys"), scores, parts)
     found = found.select("chunk", F.lit(GRAM).alias("kind"), "near", *none("long", "one", "two", "n"), "keys", "scores", *none("binary", "texts"))
-    known = words.join(totals, ["one", "two"]).select("chunk", F.lit(WORD), *none("long", "near"), "one", "two", "total", *none("binary", "keys", "scores", "texts"))
+    known = words.join(totals, ["one", "two"]).select("chunk", "one", F.when(F.col("near") == 1, F.col("two").bitwiseOR(F.lit(1))).otherwise(F.lit(0)).alias("two"), "total")
+    known = written(known, "known").select("chunk", F.lit(WORD), *none("long", "near"), "one", "two", "total", *none("binary", "keys", "scores", "texts"))
     texts = chunks.where(F.col("kind") == TEXT).select("chunk", "kind", *none("long", "near", "one", "two", "n"), *none("binary", "keys", "scores"), "texts")
     done = _scored(found.union(known).union(texts), rows.schema["doc_id"], depth)
     n = F.col("words") + 1
