@@ -7,10 +7,12 @@ stored as bytes.
 
 Building goes level by level: a level is a third of the one below and a written
 table. Every node that has a parent becomes a row that knows the parent and the
-siblings on either side. A recursive query (WITH RECURSIVE) then climbs: it
-begins with one row a leaf and, a level at a time, joins the row of the node
-reached, puts out its siblings, and folds the digest it carries with them. What
-an iteration carries does not grow with the height.
+siblings on either side; rows of every STRIDE levels are joined to one, which
+knows the siblings on the way and the ancestor that it leads to. A recursive
+query (WITH RECURSIVE) then climbs: it begins with one row a leaf and, a stride
+at a time, joins the row of the node reached, puts out its siblings, and folds
+the digest it carries with them. What an iteration carries does not grow with
+the height, and a leaf's way is a third as many iterations as there are levels.
 
 Near the root all leaves meet in few nodes. A node's row is therefore repeated
 once for every SHARE leaves under it, and the leaves are dealt over these copies
@@ -30,6 +32,8 @@ from quern.llm._spark import crc32_mod, dropped, new_path, read, written
 
 #: Neighbours that become one node.
 FAN = 3
+#: Levels that one iteration climbs.
+STRIDE = 3
 #: Leaves that meet in one key of the climb.
 SHARE = 1024
 #: Node rows of a bucket, about.
@@ -79,7 +83,9 @@ def placed(leaves: DataFrame, group: str, order: list[str]) -> DataFrame:
     spans = rows.groupBy(group, "_part").agg(F.min("pos").alias("_low"), F.count("*").alias("_n"))
     starts = spans.groupBy(F.col(group).alias("_group")).agg(F.min("_low").alias("start"), F.sum("_n").alias("size"))
     spans = spans.join(starts, F.col(group).eqNullSafe(F.col("_group"))).select(F.col("_group"), F.col("_part").alias("_own"), "start", "size")
-    return written(rows.join(spans, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_own"))).drop("_group", "_own", "_part"), "leaves")
+    done = written(rows.join(spans, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_own"))).drop("_group", "_own", "_part"), "leaves")
+    dropped(rows)
+    return done
 
 
 def _key(level: int, first: Column) -> Column:
@@ -106,17 +112,9 @@ def build(nodes: DataFrame, base: int, top: bool = False) -> tuple[list[DataFram
         parent = _key(level + 1, F.col("start") + F.col("i") * FAN ** (level + 1 - base))
         rows = groups.select(parent.alias("parent"), _spread(F.col("under")).alias("spread"), "children", F.posexplode("children").alias("at", "child"))
         siblings = lambda keep: F.coalesce(F.array_join(F.transform(F.filter("children", lambda x: keep(x["i"], F.col("child.i"))), lambda x: F.hex(x["digest"])), ""), F.lit(""))
-        links.append(
-            rows.select(
-                F.col("child.key").alias("node"),
-                "parent",
-                "spread",
-                F.unhex(siblings(lambda a, b: a < b)).alias("before"),
-                F.unhex(siblings(lambda a, b: a > b)).alias("after"),
-                (F.col("child.digest") if top and level == base else F.lit(None).cast("binary")).alias("subroot"),
-                F.explode(F.sequence(F.lit(0).cast("long"), _spread(F.col("child.under")) - 1)).alias("part"),
-            )
-        )
+        step = F.array(F.struct(F.unhex(siblings(lambda a, b: a < b)).alias("before"), F.unhex(siblings(lambda a, b: a > b)).alias("after")))
+        subroot = F.col("child.digest") if top and level == base else F.lit(None).cast("binary")
+        links.append(rows.select(F.col("child.key").alias("node"), _spread(F.col("child.under")).alias("copies"), "parent", "spread", step.alias("steps"), subroot.alias("subroot")))
         digest = hashed(F.array_join(F.transform("children", lambda x: as_hex(x["digest"])), ""))
         nodes = groups.select(parent.alias("key"), "start", "i", "size", "under", digest.alias("digest"))
         left.append(nodes.where("size = 1"))
@@ -124,6 +122,19 @@ def build(nodes: DataFrame, base: int, top: bool = False) -> tuple[list[DataFram
     return links, left
 
 
+def strides(links: list[DataFrame], stride: int | None = None) -> list[DataFrame]:
+    """Rows of single levels, lowest first → of every so many levels those that lead past all of them, or to the end of their tree. An ancestor has few descendants on the way, so no join key is large."""
+    out, stride = [], stride or STRIDE
+    for k in range(0, len(links), stride):
+        rows = links[k]
+        for above in links[k + 1 : k + stride]:
+            above = above.select(F.col("node").alias("_node"), F.col("parent").alias("_parent"), F.col("spread").alias("_spread"), F.col("steps").alias("_steps"))
+            met = rows.join(above, F.col("parent") == F.col("_node"), "left")
+            rows = met.select("node", "copies", F.coalesce("_parent", "parent").alias("parent"), F.coalesce("_spread", "spread").alias("spread"), F.concat("steps", F.coalesce("_steps", F.array().cast(rows.schema["steps"].dataType))).alias("steps"), "subroot")
+        out.append(rows)
+    return out
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -132,20 +143,21 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 _CLIMB = """
-    WITH RECURSIVE climb (leaf, node, part, height, folded, siblings, subroot) AS (
-        SELECT leaf, leaf, 0L, 0, tampered, CAST(NULL AS BINARY), CAST(NULL AS BINARY) FROM {leaves}
+    WITH RECURSIVE climb (leaf, node, part, folded, siblings, subroot) AS (
+        SELECT leaf, leaf, 0L, tampered, CAST(NULL AS BINARY), CAST(NULL AS BINARY) FROM {leaves}
         UNION ALL
-        SELECT c.leaf, n.parent, pmod(c.leaf, n.spread), c.height + 1,
-               unhex(sha2(concat(lower(hex(n.before)), lower(hex(c.folded)), lower(hex(n.after))), 256)),
-               concat(n.before, n.after), n.subroot
+        SELECT c.leaf, n.parent, pmod(c.leaf, n.spread),
+               aggregate(n.steps, c.folded, (h, s) -> unhex(sha2(concat(lower(hex(s.before)), lower(hex(h)), lower(hex(s.after))), 256))),
+               aggregate(n.steps, CAST('' AS BINARY), (a, s) -> concat(a, s.before, s.after)), n.subroot
         FROM climb c JOIN {nodes} n ON c.node = n.node AND c.part = n.part)
-    SELECT leaf, max_by(folded, height) AS folded, max(subroot) AS subroot,
-           array_sort(collect_list(CASE WHEN height > 0 THEN struct(height, siblings) END)) AS siblings
+    -- a way up leads to ever higher keys
+    SELECT leaf, max_by(folded, node) AS folded, max(subroot) AS subroot,
+           array_sort(collect_list(CASE WHEN siblings IS NOT NULL THEN struct(node, siblings) END)) AS siblings
     FROM climb GROUP BY leaf"""
 
 
 def manifest(docs: DataFrame, tampered: DataFrame | None = None, fields: list[str] = FIELDS, group: str = "source", key: str = "doc_id", change: dict[str, Column] | None = None) -> DataFrame:
-    """key, leaf, subroot, root, siblings (array of bytes, level by level), folded_root: one row for each of docs; digests as bytes.
+    """key, leaf, subroot, root, siblings (digests one after another, from the lowest up, as an array of bytes), folded_root: one row for each of docs; digests as bytes.
 
     fields: what a leaf is the digest of, in this order. change: fields as they
     were changed after the manifest was made; folded_root is then what the
@@ -161,29 +173,35 @@ def manifest(docs: DataFrame, tampered: DataFrame | None = None, fields: list[st
     other = hashed(*[encoded(change.get(f, F.col(f))) for f in fields])
     rows = written(docs.select(F.col(key).alias("_key"), F.col(group).alias("_tree"), digest.alias("digest"), other.alias("tampered")), "digests")
     leaves = placed(rows, "_tree", ["_key", "digest"])
+    dropped(rows)
     nodes = leaves.select(F.col("pos").alias("key"), "start", (F.col("pos") - F.col("start")).alias("i"), "size", F.lit(1).cast("long").alias("under"), "digest")
     links, left = build(nodes, 0)
     # a group may be very large, and the groups may be very many: their subroots are numbered like leaves
-    subroots = numbered(written(_union(left), "subroots"), ["start"], "trees")
-    subroots = written(subroots.select("key", F.lit(0).cast("long").alias("start"), F.col("pos").alias("i"), "under", "digest"), "subroots")
+    found = written(_union(left), "subroots")
+    trees = numbered(found, ["start"], "trees")
+    subroots = written(trees.select("key", F.lit(0).cast("long").alias("start"), F.col("pos").alias("i"), "under", "digest"), "subroots")
+    for table in (found, trees):
+        dropped(table)
     subroots = subroots.withColumn("size", F.lit(subroots.count()))
     above, last = build(subroots, TOP, True)
     root = _union(last).select("digest").first()
     root = F.lit(None if root is None else bytes(root[0])).cast("binary")
-    links += above
+    links = strides(links) + strides(above)
     name, path = f"quern_nodes_{uuid.uuid4().hex}", new_path(spark, "nodes")
     kept = {k: spark.conf.get(k, None) for k in ("spark.sql.cteRecursionRowLimit",)}
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     start = leaves.select(F.col("pos").alias("leaf"), "tampered")
     try:
         if links:
-            stored = _union(links)
+            stored = _union(links).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
             buckets = max(spark.sparkContext.defaultParallelism, -(-leaves.count() * 3 // 2 // BUCKET_ROWS))
             stored.repartition(buckets, "node", "part").write.bucketBy(buckets, "node", "part").option("path", path).saveAsTable(name)
             climbed = spark.sql(_CLIMB, leaves=start, nodes=spark.table(name))
         else:  # a single leaf, or none
-            climbed = start.select("leaf", F.col("tampered").alias("folded"), F.lit(None).cast("binary").alias("subroot"), F.array().cast("array<struct<height:int,siblings:binary>>").alias("siblings"))
+            climbed = start.select("leaf", F.col("tampered").alias("folded"), F.lit(None).cast("binary").alias("subroot"), F.array().cast("array<struct<node:long,siblings:binary>>").alias("siblings"))
         climbed = written(climbed, "climbed")
+        for table in [subroots, *([_union(links), spark.read.parquet(path)] if links else [])]:
+            dropped(table)
     finally:
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -84,8 +84,9 @@ def test_hot_nodes_are_shared_out(spark, monkeypatch):
     leaves = merkle.placed(docs.select(F.col("doc_id").alias("_key"), F.col("source").alias("_tree"), merkle.hashed(F.col("text")).alias("digest")), "_tree", ["_key"])
     nodes = leaves.select(F.col("pos").alias("key"), "start", F.col("pos").alias("i"), "size", F.lit(1).cast("long").alias("under"), "digest")
     links, left = merkle.build(nodes, 0)
-    copies = [t.groupBy("node").count().agg(F.max("count")).first()[0] for t in links]
+    copies = [t.agg(F.max("copies")).first()[0] for t in links]
     assert copies == [1, 1, 3, 7, 21]  # nodes over 1, 3, 9, 27 and 81 leaves
     assert left[-1].count() == 1
+    assert [(t.count(), t.agg(F.max(F.size("steps"))).first()[0]) for t in merkle.strides(links)] == [(100, 3), (4, 2)]
     done = merkle.manifest(docs, change={"text": F.when(F.col("doc_id") == 7, F.lit("x")).otherwise(F.col("text"))})
     assert done.where("folded_root = root").count() == 99 and done.where("folded_root <> root").first()["doc_id"] == 7
