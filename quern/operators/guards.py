@@ -43,6 +43,29 @@ def valid_answers(rows: DataFrame, payload: str, schema: str, required: Callable
     return parsed.withColumn("valid", F.coalesce(required(F.col("parsed")), F.lit(False)))
 
 
+def checked(rows: DataFrame, payload: str, schema: str, rules: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """rows with parsed (null where refused) and reason (null where accepted).
+
+    In this order: `absent` (a null payload), `malformed` (no JSON), `mistyped` (JSON
+    that does not fit the schema), and the name of the first rule that does not
+    hold, null counting as broken. The payload stays as it came.
+    """
+    typed = F.from_json(payload, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    read = rows.withColumn("_read", typed)
+    reason = F.when(F.col(payload).isNull(), "absent").when(F.try_parse_json(payload).isNull(), "malformed").when(F.col("_read._corrupt").isNotNull(), "mistyped")
+    for name, rule in rules.items():
+        reason = reason.when(~F.coalesce(rule(F.col("_read")), F.lit(False)), name)
+    told = read.withColumn("reason", reason)
+    return told.withColumn("parsed", F.when(F.col("reason").isNull(), F.col("_read").dropFields("_corrupt"))).drop("_read")
+
+
+def quarantine(told: DataFrame, payload: str, path: str) -> None:
+    """The rows of checked() in two sinks by one pass: path/outcome=accepted, without the payload, and path/outcome=refused, with the payload as it came and its reason."""
+    outcome = F.when(F.col("reason").isNull(), "accepted").otherwise("refused")
+    rows = told.withColumn("outcome", outcome).withColumn(payload, F.when(F.col("reason").isNotNull(), F.col(payload)))
+    rows.write.partitionBy("outcome").mode("errorifexists").parquet(path)
+
+
 def with_model(rows: DataFrame, text: str, name: str, model: Callable[[pd.Series], pd.Series], kind: str) -> DataFrame:
     """rows with what an injected model says of a text: a guard, an embedder, a router or a judge. It gets and returns a Series, nulls included; a column of that name gives way."""
     return rows.withColumn(name, F.pandas_udf(model, kind)(text))

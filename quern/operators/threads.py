@@ -43,6 +43,75 @@ def trajectory(steps: DataFrame, thread: str, step: str, node: str, limit: int)
     return joined.select(thread, F.size("_p").alias("n_steps"), F.array_join(F.transform("_p", lambda x: x[node]), ">").alias("path"), "most_visits", (F.col("most_visits") <= limit).alias("within_limit"))
 
 
+def ordered_rule(names: list[str], then: list[str], never: list[str]) -> list[list[int]]:
+    """The automaton of "these in this order, and none of those ever", as state x symbol → state.
+
+    Symbols are the places in names, and one more for anything else. State n: so
+    many of `then` were met; the last state is the dead one, entered with a name of
+    `never` and never left. A name of both lists is forbidden.
+    """
+    dead = len(then) + 1
+
+    def step(state: int, name: str | None) -> int:
+        if state == dead or name in never:
+            return dead
+        return state + 1 if state < len(then) and name == then[state] else state
+
+    return [[step(state, name) for name in [*names, None]] for state in range(dead + 1)]
+
+
+def run_automaton(steps: DataFrame, thread: str, step: str, symbol: Column, table: list[list[int]], span: int = SPAN) -> DataFrame:
+    """thread, n_steps, state, dead_at: the state that a thread's steps lead to from state 0, and the first step that leads to the last state (the dead one).
+
+    symbol: the column of the table for each row. step: a number; equal ones stand
+    in the order of their symbols, and rows with a null step or symbol take no
+    part. A null thread is a thread. A span of steps is folded by itself, from
+    every state at once, into what it makes of each; a thread then folds its spans,
+    one row each. So a thread of any length is spread over tasks.
+    """
+    states, width = len(table), len(table[0])
+    dead, flat = states - 1, F.array(*[F.lit(to) for row in table for to in row])
+    rows = steps.select(F.col(thread), F.col(step).alias("_step"), symbol.cast("int").alias("_symbol")).where("_step IS NOT NULL AND _symbol IS NOT NULL")
+    kind = f"struct<state:int,at:{rows.schema['_step'].dataType.simpleString()}>"
+    start = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(None).alias("at")).cast(kind) for s in range(states)])
+
+    def move(held: Column, x: Column) -> Column:
+        def one(s: Column) -> Column:
+            to = F.get(flat, s["state"] * width + x["_symbol"])
+            return F.struct(to.alias("state"), F.when((to == dead) & (s["state"] != dead), x["_step"]).otherwise(s["at"]).alias("at"))
+
+        return F.transform(held, one)
+
+    spans = rows.groupBy(thread, F.floor(F.col("_step") / span).alias("_span")).agg(F.array_sort(F.collect_list(F.struct("_step", "_symbol"))).alias("_own"))
+    spans = spans.select(thread, "_span", F.size("_own").alias("_n"), F.aggregate("_own", start, move).alias("_makes"))
+    whole = spans.groupBy(thread).agg(F.sum("_n").alias("n_steps"), F.array_sort(F.collect_list(F.struct("_span", "_makes"))).alias("_spans"))
+
+    def follow(s: Column, x: Column) -> Column:
+        to = F.get(x["_makes"], s["state"])
+        return F.struct(to["state"].alias("state"), F.coalesce(s["at"], to["at"]).alias("at"))
+
+    end = F.aggregate("_spans", F.get(start, 0), follow)
+    return whole.select(thread, "n_steps", end["state"].alias("state"), end["at"].alias("dead_at"))
+
+
+def obeys(steps: DataFrame, thread: str, step: str, names: list[tuple[str, Column]], then: list[str], never: list[str], span: int = SPAN) -> DataFrame:
+    """thread, n_steps, met, broken_at, obeyed: whether a request's steps hold `then` in this order and nothing of `never`.
+
+    names: what a step may be called and when, of which the first that holds
+    counts, so that a rule can speak of nodes and of tools. met: how many of
+    `then` were met before the rule was kept or broken (null once broken);
+    broken_at: the step that broke it.
+    """
+    unknown = set(then) | set(never)
+    if unknown := unknown - {n for n, _ in names}:
+        raise ValueError(f"no such step: {sorted(unknown)}")
+    symbol = F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), i) for i, (_, test) in enumerate(names)], F.lit(len(names)))
+    table = ordered_rule([n for n, _ in names], then, never)
+    done = run_automaton(steps, thread, step, symbol, table, span)
+    broken = F.col("state") == len(table) - 1
+    return done.select(thread, "n_steps", F.when(~broken, F.col("state")).alias("met"), F.col("dead_at").alias("broken_at"), (F.col("state") == len(then)).alias("obeyed"))
+
+
 def usage(requests: DataFrame, by: str, cost: Column, question: Column) -> DataFrame:
     """by, requests, total_cost, cost_per_100: total cost per 100 distinct questions (four places).
 
@@ -59,6 +128,19 @@ def tumbling(requests: DataFrame, ts: str, width: str, user: str) -> DataFrame:
 
 
 def rolling(requests: DataFrame, ts: str, seconds: int, user: str, limit: int) -> DataFrame:
-    """requests with n_recent (requests of the user in so many seconds up to and with this one) and limited. Equal times count each other; rows without a time count themselves alone as one time; a null user is a user."""
-    by = Window.partitionBy(user).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return requests.withColumn("n_recent", F.count("*").over(by)).withColumn("limited", F.col("n_recent") > limit)
+    """requests with n_recent (requests of the user in so many seconds up to and with this one) and limited. Equal times count each other; rows without a time count themselves alone as one time; a null user is a user.
+
+    Requests are counted by second first. Time is cut into spans as long as the
+    limit looks back, so a second needs its own span and the one before: each count
+    goes to its span and, as context, to the next, and the sum is taken within
+    them. No task holds more than two spans of a user, however many requests that
+    user makes.
+    """
+    own = requests.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
+    counts = own.groupBy(F.col(user).alias("_user"), F.col("_s").alias("_at")).agg(F.count("*").alias("_n"))
+    span = F.floor(F.col("_at") / (seconds + 1))
+    both = counts.withColumn("_span", F.explode(F.when(F.col("_at").isNull(), F.array(span)).otherwise(F.array(span, span + 1))))
+    by = Window.partitionBy("_user", "_span").orderBy("_at").rangeBetween(-seconds, 0)
+    summed = both.withColumn("n_recent", F.sum("_n").over(by)).where(F.col("_at").isNull() | (F.col("_span") == span)).select("_user", "_at", "n_recent")
+    joined = own.join(summed, F.col(user).eqNullSafe(F.col("_user")) & F.col("_s").eqNullSafe(F.col("_at")))
+    return joined.select(*[c for c in requests.columns if c not in ("n_recent", "limited")], "n_recent", (F.col("n_recent") > limit).alias("limited"))

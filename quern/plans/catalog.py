@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as patterns
-from quern.operators import chunking, evaluation, guards, records, retrieval, threads
+from quern.operators import chunking, evaluation, guards, phrases, quantised, records, retrieval, structure, threads
 from quern.operators.tally import most_named, tally
 from quern.sources import records as blocks
 from quern.sources import tables
 from quern.streaming import threads as streams
+from quern.streaming import turns
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,9 +21,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -186,6 +186,28 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_vocabulary(customers, "c_mktsegment", synonyms).groupBy("term").agg(F.count("*").alias("n"))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+    WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), z(a, k) AS (VALUES (1, 2), (1, 3), (2, 2), (3, 3)),
+         p AS (SELECT array_to_string(w[a:a + k - 1], ' ') AS phrase, k AS size, min('item ' || item_id) AS term FROM b, z WHERE len(w) >= a + k - 1 GROUP BY ALL),
+         d AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT DISTINCT size FROM p),
+         r AS (SELECT doc_id, size, w, unnest(range(0, len(w) - size + 1)) AS place FROM d, s WHERE len(w) >= size),
+         m AS (SELECT doc_id, place, max(r.size) AS size FROM r JOIN p ON p.size = r.size AND p.phrase = array_to_string(w[place + 1:place + r.size], ' ') GROUP BY doc_id, place),
+         g AS (SELECT doc_id, list(struct_pack(place := place, reach := place + size) ORDER BY place) AS l FROM m GROUP BY doc_id),
+         c AS (SELECT doc_id, 1 AS i, 0::BIGINT AS reach, -1::BIGINT AS place, l FROM g
+               UNION ALL SELECT doc_id, i + 1, CASE WHEN l[i].place >= reach THEN l[i].reach ELSE reach END, CASE WHEN l[i].place >= reach THEN l[i].place ELSE -1 END, l FROM c WHERE i <= len(l)),
+         k AS (SELECT doc_id, place, size FROM c JOIN m USING (doc_id, place))
+    SELECT k.doc_id, k.place::INTEGER AS place, p.phrase, p.term FROM k JOIN d ON d.doc_id = k.doc_id JOIN p ON p.size = k.size AND p.phrase = array_to_string(w[k.place + 1:k.place + k.size], ' ')""".replace("WITH b", "WITH RECURSIVE b"))
+def phrases_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and three words, taken from the benchmark, in documents: the longest at each place, from left to right."""
+    own = read(spark, sf_dir, "benchmark").select("item_id", phrases.words(F.col("text")).alias("w"))
+    cut = F.array(*[F.when(F.size("w") >= a + k - 1, F.array_join(F.slice("w", a, k), " ")) for a, k in ((1, 2), (1, 3), (2, 2), (3, 3))])
+    named = own.select(F.explode(cut).alias("phrase"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("term")).where("phrase IS NOT NULL")
+    return phrases.tag_phrases(tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", named).select("doc_id", F.col("at").alias("place"), "phrase", "term")
+
+
 @query("SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
 def skill_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that nobody has returned in large numbers."""
@@ -235,6 +257,45 @@ def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.join(documents.select("doc_id", "lang"), "doc_id").select("doc_id", "metadata.pos", "lang", "metadata.title", "metadata.n_chars")
 
 
+def _regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region as a regulation in lines: recitals from its suppliers, chapters from its nations, sections from market segments, articles from customers."""
+    nations = read(spark, sf_dir, "nation")
+    own = nations.select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), "n_name")
+    segment = F.expr("crc32(cast(c_mktsegment AS binary)) % 89 + 1")
+    customers = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name", "c_acctbal", segment.alias("section")).join(own, "nation")
+    recitals = read(spark, sf_dir, "supplier").join(own, F.col("s_nationkey") == F.col("nation"))
+    at = lambda nation, section, key, part: ((((nation + 1) * 100 + section) * F.lit(10**10) + key) * 4 + part).cast("long")
+    zero, text = F.lit(0), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    none = F.lit(-1)
+    return (
+        recitals.select("region", at(none, zero, F.col("s_suppkey"), zero).alias("pos"), text("(", F.col("s_suppkey"), ") whereas ", F.col("s_name")).alias("line"))
+        .union(own.select("region", at(F.col("nation"), zero, zero, zero), text("CHAPTER ", F.col("nation"), " ", F.col("n_name"))))
+        .union(customers.select("region", at(F.col("nation"), F.col("section"), zero, zero), text("Section ", F.col("section"))).distinct())
+        .union(customers.select("region", at(F.col("nation"), F.col("section"), F.col("c_custkey") + 1, zero), text("Article ", F.col("c_custkey"))))
+        .union(customers.select("region", at(F.col("nation"), F.col("section"), F.col("c_custkey") + 1, F.lit(1)), text("Articles 1 to ", F.col("c_name"), " apply.")))
+    )
+
+
+@query("""
+    SELECT n_regionkey AS region, 'article' AS kind, c_custkey::VARCHAR AS number, n_nationkey::VARCHAR AS chapter, c_custkey::VARCHAR AS article,
+           md5('Article ' || c_custkey || chr(10) || 'Articles 1 to ' || c_name || ' apply.') AS chunk_md5 FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT n_regionkey, 'recital', s_suppkey::VARCHAR, NULL, NULL, md5('(' || s_suppkey || ') whereas ' || s_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT n_regionkey, 'chapter', n_nationkey::VARCHAR, n_nationkey::VARCHAR, NULL, md5('CHAPTER ' || n_nationkey || ' ' || n_name) FROM nation""")
+def regulation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regulations cut at recitals, chapters, sections and articles, each chunk with its place in the structure."""
+    found = structure.heading_chunks(_regulations(spark, sf_dir), "region", "pos", "line")
+    m = F.col("metadata")
+    return found.where("metadata.kind <> 'section'").select("region", m["kind"].alias("kind"), m["number"].alias("number"), m["path"]["chapter"].alias("chapter"), m["path"]["article"].alias("article"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query("SELECT n_regionkey AS region, count(*) AS stated, count(*) AS found, true AS agrees FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def article_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each regulation has as many articles as it should."""
+    chunks = structure.heading_chunks(_regulations(spark, sf_dir), "region", "pos", "line")
+    stated = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("stated"))
+    return structure.count_check(chunks, "region", "article", stated)
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -267,6 +328,12 @@ def ann_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ivf_top_k(_vectors(spark, sf_dir).select("id", "vector"), F.col("id") % 20 == 0)
 
 
+@query(_COSINE + " SELECT query_id, rank, id, score FROM r WHERE rank <= 5")
+def pq_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by codes of one byte for four components, distances worked out for a twentieth of the rows. Its rows are those of the exact search here; tests hold its recall on other vectors."""
+    return quantised.pq_top_k(_vectors(spark, sf_dir).select("id", "vector"), F.col("id") % 20 == 0)
+
+
 @query(_COSINE + " SELECT query_id, id, score FROM r WHERE rank = 1")
 def search_top_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a search finds first."""
@@ -329,6 +396,23 @@ def valid_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("parsed.k").alias("k"), "valid")
 
 
+@query("""
+    WITH p AS (SELECT event_id, CASE event_type WHEN 'error' THEN left(props, length(props) - 1) WHEN 'signup' THEN replace(props, ': ', ': "x') || '' ELSE props END AS t, event_type FROM events),
+         r AS (SELECT event_id, t, CASE WHEN event_type = 'error' OR event_type = 'signup' THEN 'malformed' WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'mistyped'
+                      WHEN json_extract(t, '$.k')::BIGINT < 50 THEN 'k below 50' END AS reason, json_extract_string(t, '$.k') AS k FROM (SELECT event_id, event_type, CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE t END AS t FROM p)),
+         o AS (SELECT r.event_id, r.reason, CASE WHEN r.reason IS NULL THEN k::BIGINT END AS k, CASE WHEN r.reason = 'mistyped' THEN '{"k": "no"}' WHEN r.reason IS NOT NULL THEN p.t END AS refused FROM r JOIN p USING (event_id))
+    SELECT event_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'refused' END AS outcome, reason, k, refused FROM o""")
+def quarantined_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties, some of them cut off or of the wrong type, in two sinks: accepted and parsed, or refused as they came with the reason."""
+    path = scratch(spark, "quarantine")
+    kind = F.col("event_type")
+    broken = F.when(kind == "error", F.expr("left(props, length(props) - 1)")).when(kind == "signup", F.replace("props", F.lit(": "), F.lit(': "x')))
+    props = broken.when((kind == "view") & (F.col("event_id") % 3 == 0), '{"k": "no"}').otherwise(F.col("props"))
+    told = guards.checked(read(spark, sf_dir, "events").select("event_id", props.alias("props")), "props", "k long", {"k below 50": lambda p: p["k"] >= 50})
+    guards.quarantine(told, "props", path)
+    return spark.read.parquet(path).select("event_id", "outcome", "reason", F.col("parsed.k").alias("k"), F.col("props").alias("refused"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = user_id)")
 def unknown_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose user is no supplier."""
@@ -443,6 +527,20 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.trajectory(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", 3)
 
 
+@query("""
+    WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'm' WHEN role = 'user' THEN 'u' WHEN role = 'assistant' AND length(text) >= 800 THEN 's' WHEN role = 'assistant' THEN 'c' ELSE 'o' END AS x FROM conversations WHERE turn IS NOT NULL),
+         t AS (SELECT conv_id, count(*) AS n_steps, string_agg(x, '' ORDER BY turn) AS p, min(CASE WHEN x = 'm' THEN turn END) AS broken_at FROM s GROUP BY conv_id)
+    SELECT conv_id, n_steps, CASE WHEN broken_at IS NULL THEN CASE WHEN regexp_matches(p, 'u.*s.*c') THEN 3 WHEN regexp_matches(p, 'u.*s') THEN 2 WHEN regexp_matches(p, 'u') THEN 1 ELSE 0 END END AS met,
+           broken_at, broken_at IS NULL AND regexp_matches(p, 'u.*s.*c') AS obeyed FROM t""")
+def step_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a conversation goes from the user to the tool for long answers and then to the one for short answers, and never to the system."""
+    role, answer = F.col("role"), F.col("role") == "assistant"
+    tool = F.when(answer & (F.length("text") >= 800), "search").when(answer, "cite")
+    steps = read(spark, sf_dir, "conversations").withColumn("tool", tool)
+    names = [("system", role == "system"), ("user", role == "user"), ("search", F.col("tool") == "search"), ("cite", F.col("tool") == "cite")]
+    return threads.obeys(steps, "conv_id", "turn", names, ["user", "search", "cite"], ["system"])
+
+
 @query("""
     SELECT event_type, count(*) AS requests, round(sum(value), 4) AS total_cost, round(100.0::DOUBLE * sum(value) / count(DISTINCT user_id), 4) AS cost_per_100 FROM events GROUP BY event_type""")
 def request_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,3 +589,48 @@ def stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
     return done.groupBy("key").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+
+
+def _in_two_runs(spark: SparkSession, sf_dir: str, follow, name: str) -> tuple[DataFrame, str]:
+    """What a stream over the events gives that is stopped half-way and started again from its checkpoint, and the checkpoint."""
+    events, folder, out, checkpoint = read(spark, sf_dir, "events"), scratch(spark, f"{name}-in"), scratch(spark, name), scratch(spark, "checkpoint")
+    half = F.lit(events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.expr("a + (b - a) / 2")).first()[0])
+    for later in (False, True):
+        events.where((F.col("ts") >= half) == later).write.mode("append").parquet(folder)
+        with turns.rocksdb(spark):
+            done = streams.drain(follow(spark.readStream.schema(events.schema).parquet(folder)), out, checkpoint)
+    return done, checkpoint
+
+
+def _follow(stream: DataFrame) -> DataFrame:
+    return turns.follow_threads(stream, "user_id", "event_id", "ts", "event_type", 43200, "10 minutes")
+
+
+_SESSIONS = """
+    WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 43200000000, true)::INTEGER AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+         s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS thread FROM g)"""
+
+
+@query(_SESSIONS + """
+    SELECT event_id AS id, user_id AS thread, row_number() OVER v AS turn, lag(event_type) OVER v AS previous FROM s WINDOW v AS (PARTITION BY user_id, thread ORDER BY ts, event_id)""")
+def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's turn in its user's thread, and the turn before it, by a stream that was stopped half-way: threads that were open then go on."""
+    done, _ = _in_two_runs(spark, sf_dir, _follow, "turns")
+    return done.where("kind = 'turn'").select("id", "thread", "turn", "previous")
+
+
+@query(_SESSIONS + """
+    , o AS (SELECT *, max(epoch_us(ts)) OVER (PARTITION BY user_id, thread) AS last, max(epoch_us(ts)) OVER () AS newest FROM s)
+    SELECT user_id AS thread, event_id AS id, event_type AS said FROM o WHERE (last + 43200000000) // 1000 > (newest // 1000) - 600000""")
+def stream_open_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of the threads that are still open once the stream has stopped, from its state."""
+    _, checkpoint = _in_two_runs(spark, sf_dir, _follow, "turns")
+    return turns.open_threads(spark, checkpoint).select("thread", "id", "said")
+
+
+@query("""
+    SELECT event_id AS id, count(*) OVER w AS n_recent, count(*) OVER w > 2 AS limited FROM (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+    WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)""")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests beyond two a day, rolling, by a stream that was stopped half-way."""
+    return _in_two_runs(spark, sf_dir, lambda s: turns.limit_stream(s, "user_id", "event_id", "ts", 86400, 2, "10 minutes"), "limits")[0]
