@@ -1,7 +1,7 @@
 """WARC archives as a Spark data source: a committed writer and a splittable reader.
 
-Writing: each record is a gzip member of its own. A task writes one file under
-``_temporary``; the driver's commit moves it, so a lost or repeated task leaves
+Writing: each record is a gzip member of its own. A task writes one file under a
+temporary folder of the job; the driver's commit moves it, so a lost or repeated task leaves
 nothing behind.
 
 Reading: a task owns the byte range [start, end) of a file. It scans for the
@@ -11,6 +11,13 @@ record that lies in a payload stored as it is, is followed by the rest of that
 payload. From there on members are followed end to end. A task owns the records
 whose member starts inside its range, and reads past the end to finish the
 last one; what follows a member and is none fails the read.
+
+A candidate may still be refused or taken wrongly: before damage, or where a
+payload holds a long archive. So a task that has ended also looks for the member
+where the next range will begin, as the next task does, and fails if that is not
+where its own members led. The first range begins with the file; so either every
+range begins where the one before it ended, or the read fails: no record is lost
+or read twice without an error, whatever the splits.
 """
 
 from __future__ import annotations
@@ -233,7 +240,8 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         with files.open_input_file(part.path) as file:
             # a file begins with a member; elsewhere one has to be found
-            at = part.start if part.start == 0 and is_member(file, 0) else next_member(file, part.start, part.end, self.skip)
+            at = 0 if part.start == 0 and (not self.skip or is_member(file, 0)) else next_member(file, part.start, part.end, self.skip)
+            began = at is not None
             while at is not None and at < part.end:
                 member = Member(file, at)
                 try:
@@ -251,21 +259,36 @@ class WarcReader(DataSourceReader):
                     if not self.skip:
                         raise
                     at = next_member(file, at + 1, part.end, True)
+            if began and not self.skip:
+                self.hand_over(file, part, at)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
+    def hand_over(self, file, part: Range, at: int) -> None:
+        """Fails unless the ranges up to the one that holds `at`, where this range's members led, begin where they should."""
+        size, start = file.size(), part.end
+        while start < size:
+            end = min(start + self.split, size)
+            found = next_member(file, start, end)
+            if found != (at if at < end else None):
+                raise ValueError(f"{part.path}: members lead to byte {at}, but the range at {start} would begin at {found}: the file is damaged, or a payload holds an archive (read it with a larger splitBytes)")
+            if at < end:
+                return
+            start = end
+
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.overwrite = overwrite
         self.path, self.date, self.level = options["path"], options.get("date", "2024-01-01T00:00:00Z"), int(options.get("level", 6))
         files, top = open_path(self.path)
-        files.create_dir(f"{top}/_temporary", recursive=True)
+        self.job = f"_temporary-{uuid.uuid4().hex}"  # of this job alone: others may write to the same path
+        files.create_dir(f"{top}/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, top = open_path(self.path)
         name, n = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", 0
-        with files.open_output_stream(f"{top}/_temporary/{name}", compression=None) as out:
+        with files.open_output_stream(f"{top}/{self.job}/{name}", compression=None) as out:
             for batch in iterator:
                 for row in batch.to_pylist():
                     out.write(member(row, self.date, self.level))
@@ -280,12 +303,12 @@ class WarcWriter(DataSourceArrowWriter):
                     files.delete_file(old.path)
         for m in messages:
             if m is not None and m.rows:
-                files.move(f"{top}/_temporary/{m.name}", f"{top}/{m.name}")
-        files.delete_dir(f"{top}/_temporary")
+                files.move(f"{top}/{self.job}/{m.name}", f"{top}/{m.name}")
+        files.delete_dir(f"{top}/{self.job}")
 
     def abort(self, messages: list[Written | None]) -> None:
         files, top = open_path(self.path)
-        files.delete_dir(f"{top}/_temporary")
+        files.delete_dir(f"{top}/{self.job}")
 
 
 class WarcSource(DataSource):
