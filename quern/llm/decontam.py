@@ -112,11 +112,11 @@ def benchmark_parts(benchmark: DataFrame, most: int | None = None) -> Iterator[t
         items.append(row[0])
         for w in windows_of(row[1]):
             if w not in windows:
+                if held and held + len(w) > (most or AUTOMATON_BYTES):  # an item may be cut: its windows are sought one by one
+                    yield windows, items
+                    windows, items, held = {}, [row[0]], 0
                 held += len(w)
             windows.setdefault(w, []).append(len(items) - 1)
-        if held > (most or AUTOMATON_BYTES):
-            yield windows, items
-            windows, items, held = {}, [], 0
     yield windows, items
 
 
