@@ -52,6 +52,8 @@ _BARE = re.compile(r"[^\s>]*")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: The most columns and rows that HTML lets a cell span (fixed values).
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: A line of a cell that is longer does not widen its column; a line is padded by so many spaces at most, and indented by so many. Longer text is whole, but what stands beside it is not moved to its end.
+WIDEST, PADDING, DEEPEST = 120, 400, 80
 
 
 class Node:
@@ -133,6 +135,8 @@ class Source:
                 yield "close", tag, {}
                 continue
             yield "open", tag, found
+            if tag in ("pre", "textarea", "listing"):  # a newline behind the tag does not count
+                at += 2 if text.startswith("\r\n", at) else 1 if text.startswith("\n", at) else 0
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at) if tag not in self.never else None
                 if end is None:
@@ -203,7 +207,7 @@ def shown(node: Node, seen: bool) -> tuple[bool, bool]:
     a = node.attributes
     if node.tag in HIDDEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() not in ("submit", "button", "reset") or node.tag == "dialog" and "open" not in a:
         return False, False
-    style = a.get("style", "").lower().replace(" ", "")
+    style = _SPACE.sub("", a.get("style", "").lower())
     if "display:none" in style:
         return False, False
     if "visibility:hidden" in style or "visibility:collapse" in style:
@@ -329,43 +333,60 @@ def _span(node: Node, name: str, most: int) -> int:
     return value or (most if name == "rowspan" else 1)
 
 
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sorted spans of columns, those that touch and end in the same row as one."""
+    out = spans[:1]
+    for a, b, row in spans[1:]:
+        if a <= out[-1][1] and row == out[-1][2]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), row)
+        else:
+            out.append((a, b, row))
+    return out
+
+
 def table_lines(table: Node, seen: bool) -> list[str]:
-    """Rows as lines, columns padded to their widest cell and two spaces apart; a cell of several lines stays in its column.
+    """Rows as lines, columns padded to their widest line (up to WIDEST) and two spaces apart; a cell of several lines stays in its column.
 
     A cell that spans rows keeps its columns from the rows below. Blank lines stay
     within a row; rows without text go.
     """
     beside, rows = cells_of(table, seen)
     out = [line for node, now in beside for line in render([node], now)]
-    laid, widths = [], []
-    taken: dict[int, int] = {}  # columns that cells above span, and for how many rows yet
-    for row in rows:
-        column, cells, spanned = 0, [], {}
+    laid, widths = [], {}
+    taken: list[tuple[int, int, int]] = []  # columns from, to (past the last) and the row that may use them again: what cells above span
+    for number, row in enumerate(rows):
+        taken = [t for t in taken if t[2] > number]
+        column, cells, spanned, ahead = 0, [], [], iter([*taken, (1 << 60, 1 << 60, 0)])
+        first, last, _ = next(ahead)
         for node, now in row:
-            while column in taken:
-                column += 1
+            while column >= first:
+                column = max(column, last)
+                first, last, _ = next(ahead)
             lines = render(children_of(node), shown(node, now)[1])
             span = _span(node, "colspan", MOST_COLUMNS)
             cells.append((column, lines))
-            widths += [0] * (column + 1 - len(widths))
-            if span == 1:
-                widths[column] = max([widths[column], *map(len, lines)])
-            if (down := _span(node, "rowspan", MOST_ROWS)) > 1:
-                spanned |= dict.fromkeys(range(column, column + span), down - 1)
+            widths[column] = max([widths.get(column, 0), *(len(x) for x in lines if span == 1 and len(x) <= WIDEST)])
+            # no cell reaches further down than the table does
+            if (down := min(_span(node, "rowspan", MOST_ROWS), len(rows) - number)) > 1:
+                spanned.append((column, column + span, number + down))
             column += span
-        taken = {c: n - 1 for c, n in taken.items() if n > 1} | spanned
+        if spanned:
+            taken = _joined(sorted([*taken, *spanned]))
         laid.append(cells)
-    at = [0]
-    for w in widths:
-        at.append(at[-1] + w + (2 if w else 0))
+    at, place = {}, 0
+    for column in sorted(widths):
+        at[column] = place
+        place += widths[column] + (2 if widths[column] else 0)
     for cells in laid:
         height = max((len(lines) for _, lines in cells), default=0)
         for i in range(height):
-            line = ""
+            line, room = "", PADDING
             for column, lines in cells:
                 if i < len(lines) and lines[i]:
-                    line = line.ljust(at[column]) if len(line) <= at[column] else line + "  "
-                    line += lines[i]
+                    led = len(lines[i]) - len(lines[i].lstrip(" "))  # by tables within
+                    gap = max(2 if line else 0, min(at[column] - len(line), room, PADDING - led))
+                    line += " " * gap + lines[i]
+                    room -= gap
             out.append(line.rstrip())
     while out and not out[0]:
         out.pop(0)
@@ -411,20 +432,21 @@ def render(nodes: list, seen: bool) -> list[str]:
             gap = 1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) else 0
             out.block(gap)
             stack.append(("end", gap, out.indent, tag == "li"))
-            if tag == "blockquote" or tag == "dd":
+            if (tag == "blockquote" or tag == "dd") and len(out.indent) < DEEPEST:
                 out.indent += "  "
         if tag in ("ul", "ol", "menu", "dir"):
             number = node.attributes.get("start", "1")
             number = int(number) if re.fullmatch(r"-?[0-9]{1,9}", number) else 1
             for c in node.children:
-                if isinstance(c, Node) and c.tag == "li" and "hidden" not in c.attributes:
+                if isinstance(c, Node) and c.tag == "li" and shown(c, True)[0]:
                     c.attributes["\0mark"] = f"{number}. " if tag == "ol" else "- "
                     number += 1
             lists += 1
         elif tag == "li":
             mark = node.attributes.get("\0mark", "- ")
             out.lead = (out.indent if out.lead is None else out.lead) + mark
-            out.indent += " " * len(mark)
+            if len(out.indent) < DEEPEST:
+                out.indent += " " * len(mark)
         keep = as_is or tag in ("pre", "textarea", "xmp")
         stack += [("node", c, now, keep, lists) for c in reversed(children_of(node))]
     return out.done()
