@@ -3,10 +3,9 @@
 A table of the distances from every vector to a few dozen pivots is computed
 once. For a query q and a candidate v, the largest |d(q, p) - d(v, p)| over the
 pivots is a lower bound of d(q, v), and so, with both norms, gives an upper
-bound of their inner product. Candidates stand in tiles by their nearest pivot;
-a query scores its tile of the highest bound first, then all tiles that have a
-bound its k-th best score does not exceed: the result is exact, whatever the
-pivots.
+bound of their inner product. A query scores its candidates in the order of
+their bounds, a step at a time, and stops at the first whose bound is below its
+k-th best score: the result is exact, whatever the pivots.
 
 The queries are a stated set, dealt in blocks; all rows are dealt in chunks of
 bounded size. A cell is one block against one chunk: queries of a block meet a
@@ -27,8 +26,8 @@ PIVOTS = 32
 #: Rows of a chunk and of a block of queries, about.
 CHUNK_ROWS = 8192
 BLOCK_QUERIES = 1024
-#: Candidates of a tile, and queries that look at tiles together.
-TILE, TOGETHER = 256, 64
+#: Candidates of a query's first step (each next one is half as long again), and queries whose bounds are worked out together.
+STEP, TOGETHER = 32, 64
 #: Sums below this are exact in float64; larger ones are made of Python's integers.
 _EXACT = float(1 << 53)
 
@@ -59,19 +58,16 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def search_cell(q_ids, q, q_table, v_ids, v, v_table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one chunk for each query: query ids, vector ids, scores. A query never meets its own id. q, v: integers."""
+def search_cell(q_ids, q, q_table, v_ids, v, v_table, k: int, scored: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of one chunk for each query: query ids, vector ids, scores. A query never meets its own id. q, v: integers. scored: gets how many candidates each query scored."""
     dim, pivots = q.shape[1], v_table.shape[1]
-    # in tiles by the nearest pivot, so that candidates of a tile have like bounds
-    order = np.lexsort((v_table.min(1), v_table.argmin(1))) if pivots else np.arange(len(v))
-    v_ids, v, v_table = v_ids[order], v[order], np.ascontiguousarray(v_table[order].T)
+    v_table = np.ascontiguousarray(v_table.T)
     high = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, v)]
     exact = high[0] * high[1] * dim < _EXACT
     q_sums, v_sums = ((x.astype(np.float64) ** 2).sum(1) for x in (q, v))
     q, v = (x.astype(np.float64 if exact else object) for x in (q, v))
     # distances are rounded, also their squares where integers are no longer exact: the bound never gets too low
     slack = 1e-9 if max(high) ** 2 * dim * 4 < _EXACT else 1e-6
-    starts = np.arange(0, len(v), TILE)
     out = []
     for at in range(0, len(q), TOGETHER):
         own, ids = q[at : at + TOGETHER], q_ids[at : at + TOGETHER]
@@ -83,33 +79,43 @@ def search_cell(q_ids, q, q_table, v_ids, v, v_table, k: int) -> tuple[np.ndarra
         size = q_sums[at : at + m, None] + v_sums[None, :]
         bound = (size - lower**2) / 2 + slack * (1 + size)
         bound[ids[:, None] == v_ids[None, :]] = -np.inf
-        best = np.maximum.reduceat(bound, starts, axis=1)
-        first = best.argmax(1)
-        row, score, found = (np.empty(0, np.int64) for _ in range(3))
-        least = np.full(m, -np.inf)
-        for turn, tile in [(0, t) for t in np.unique(first)] + [(1, t) for t in range(len(starts))]:
-            live = np.flatnonzero(first == tile if turn == 0 else (first != tile) & (best[:, tile] >= least) & np.isfinite(best[:, tile]))
-            if not len(live):
-                continue
-            part = slice(starts[tile], starts[tile] + TILE)
-            scores = own[live] @ v[part].T
-            near, col = np.nonzero((scores >= least[live][:, None]) & np.isfinite(bound[live, part]))
-            row, found = np.concatenate([row, live[near]]), np.concatenate([found, v_ids[part][col]])
-            score = np.concatenate([score, scores[near, col].astype(np.int64)])
-            order = np.lexsort((found, ~score, row))  # ~x falls as x rises, without overflow
-            row, score, found = row[order], score[order], found[order]
-            begin = np.searchsorted(row, np.arange(m))
-            keep = np.arange(len(row)) - begin[row] < k
-            row, score, found = row[keep], score[keep], found[keep]
-            ends = np.searchsorted(row, np.arange(m), "right")
-            full = ends - np.searchsorted(row, np.arange(m)) == k
-            least[full] = score[ends[full] - 1]
-            if not exact:
-                least[full] = np.nextafter(least[full], -np.inf)
-        out.append((ids[row], found, score))
+        for i in range(m):
+            found, score = _in_bound_order(own[i], v, v_ids, bound[i], k, exact, scored)
+            out.append((np.full(len(found), ids[i]), found, score))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, np.int64) for _ in range(3))
 
 
+def _in_bound_order(query: np.ndarray, v: np.ndarray, v_ids: np.ndarray, bound: np.ndarray, k: int, exact: bool, scored: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and scores of one query's k best."""
+    found, score, least, step, done = np.empty(0, np.int64), np.empty(0, np.int64), -np.inf, max(STEP, 2 * k), 0
+    # of a step's length, those of the highest bounds; all others wait, in order
+    first = np.argpartition(-bound, step)[:step] if step < len(bound) else np.arange(len(bound))
+    order, waiting = first[np.argsort(-bound[first], kind="stable")], None
+    while True:
+        near = order[:step][bound[order[:step]] >= least]
+        near = near[np.isfinite(bound[near])]
+        if len(near):
+            found = np.concatenate([found, v_ids[near]])
+            score = np.concatenate([score, (v[near] @ query).astype(np.int64)])
+            best = np.lexsort((found, ~score))[:k]  # ~x falls as x rises, without overflow
+            found, score, done = found[best], score[best], done + len(near)
+            if len(found) == k:
+                least = float(score[-1]) if exact else np.nextafter(float(score[-1]), -np.inf)
+        if waiting is None:
+            rest = np.ones(len(bound), bool)
+            rest[first] = False
+            rest = np.flatnonzero(rest & (bound >= least))
+            waiting = rest[np.argsort(-bound[rest], kind="stable")]
+            order = waiting
+        else:
+            order, step = order[step:], step * 3 // 2
+        if not len(order) or not bound[order[0]] >= least or not np.isfinite(bound[order[0]]):
+            break
+    if scored is not None:
+        scored.append(done)
+    return found, score
+
+
 def _packed(df: DataFrame, group: str, pivots_shared) -> DataFrame:
     """One row per group: ids, vectors and pivot distances as binary. A group has a bounded number of rows."""
 
