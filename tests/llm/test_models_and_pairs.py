@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quern.llm._labels import labelled_sample
 from quern.llm import ctw, lshjoin, quality, substring, topk, toxicity
 from quern.llm._graph import components
 from quern.llm._spark import crc32_mod
@@ -56,7 +57,7 @@ def test_components(spark):
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK_ROWS", 20)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
-    monkeypatch.setattr(topk, "TILE", 4)
+    monkeypatch.setattr(topk, "STEP", 4)
     monkeypatch.setattr(topk, "TOGETHER", 2)
     r = np.random.default_rng(0)
     rows = [(i, r.integers(-3, 4, 4).tolist()) for i in range(150)] + [(7, [1, 1, 1, 1]), (None, [1, 1, 1, 1]), (900, None), (950, [2, 2]), (951, [1, 5]), (952, [3, 1])]
@@ -74,6 +75,30 @@ def test_top_k(spark, monkeypatch):
     assert [x[0] for x in odd.select(topk.quantised(F.col("e"))).collect()] == [[128, -1], None, None, None, None, None]
 
 
+def test_top_k_stops_early():
+    """In the order of bounds, clustered vectors cost a small share of the candidates, and the result is that of all of them."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 48))
+    v = centres[rng.integers(0, 200, 8000)] / np.sqrt((centres**2).sum(1).mean()) + 0.02 * rng.normal(size=(8000, 48))
+    v = np.floor(256 * v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.int64)
+    ids, asked = np.arange(len(v)), np.arange(0, 8000, 50)
+    table = topk.distances(v.astype(float), topk.choose_pivots(v[rng.permutation(8000)[:1024]].astype(float), topk.PIVOTS))
+    scored: list[int] = []
+    q, found, score = topk.search_cell(asked, v[asked], table[asked], ids, v, table, 5, scored)
+    assert sum(scored) <= 0.15 * len(asked) * len(v)
+    for i in asked:
+        all_scores = v @ v[i]
+        want = sorted((-int(s), j) for j, s in enumerate(all_scores) if j != i)[:5]
+        assert [(-int(s), int(j)) for j, s in zip(found[q == i], score[q == i], strict=True)] == want
+
+
+def test_a_labelled_sample_is_bounded_in_rows(spark):
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.lit("text").alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), 100).count() == 2
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), 5000).count() == 2000
+
+
 def test_top_k_of_wide_components(spark):
     """Scores beyond 2**53 are exact, one beyond 64 bits fails, and 1e7 is a component like any other."""
     r = np.random.default_rng(7)

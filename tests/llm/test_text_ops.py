@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -136,7 +137,7 @@ def test_decontam_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs, none).first()["n_hit"] == 0
-    assert [len(w) for w, _ in decontam.benchmark_parts(spark.createDataFrame([(i, f"a{i} b") for i in range(5)], "item_id long, text string"), 12)] == [3, 2]
+    assert [len(w) for w, _ in decontam.benchmark_parts(spark.createDataFrame([(i, f"a{i} b") for i in range(5)], "item_id long, text string"), 12)] == [2, 2, 1]
     assert decontam.decontaminate(docs.where("false"), none).count() == 0
 
 
@@ -285,6 +286,103 @@ def test_warc_splits(spark, tmp_path):
         warc.read_warc(spark, f"file://{tmp_path}").count()
 
 
+def read_splits(path, split):
+    """All records of a file, range by range as tasks read them."""
+    reader = warc.WarcReader({"path": f"file://{path}", "splitbytes": str(split)})
+    return [r["page_id"] for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+
+
+def test_warc_every_record_or_an_error(tmp_path):
+    """A file that is cut or damaged at any member, read in splits of any size, fails; as it was, it gives each record once."""
+    rng = np.random.default_rng(2)
+    data = members((i, rng.integers(0, 256, int(rng.integers(100, 900)), np.uint8).tobytes()) for i in range(30))
+    starts = [i for i in range(len(data)) if data.startswith(warc.MAGIC, i) and warc.is_member(pa_fs.LocalFileSystem().open_input_file(_put(tmp_path, data)), i)]
+    assert len(starts) == 30
+    for split in (300, 1000, 5000, 1 << 25):
+        assert read_splits(_put(tmp_path, data), split) == list(range(30))
+        for k in range(30):
+            end = [*starts, len(data)][k + 1]
+            with pytest.raises((zlib.error, EOFError, ValueError)):
+                read_splits(_put(tmp_path, data[: end - 20]), split)
+            bad = bytearray(data)
+            bad[starts[k] + 60 : starts[k] + 75] = bytes(15)
+            with pytest.raises((zlib.error, EOFError, ValueError)):
+                read_splits(_put(tmp_path, bytes(bad)), split)
+
+
+def _put(folder, data):
+    path = folder / "x.warc.gz"
+    path.write_bytes(data)
+    return str(path)
+
+
+def test_warc_long_archive_in_a_payload(tmp_path):
+    """An archive of many members stored in a payload: each outer record once, or an error, at any split."""
+    rng = np.random.default_rng(3)
+    inner = members((100 + i, rng.integers(0, 256, 400, np.uint8).tobytes()) for i in range(40))
+    path = _put(tmp_path, members([(0, b"a"), (1, inner), (2, b"b"), (3, rng.integers(0, 256, 9000, np.uint8).tobytes())]))
+    whole = 0
+    for split in (200, 700, 3000, 9000, 1 << 25):
+        try:
+            assert read_splits(path, split) == [0, 1, 2, 3]
+            whole += 1
+        except ValueError as e:
+            assert "larger splitBytes" in str(e)  # noqa: PT017
+    assert whole and read_splits(path, 1 << 25) == [0, 1, 2, 3]
+
+
+def test_warc_two_jobs_at_once(tmp_path):
+    """Jobs that append to one path have temporary folders of their own."""
+    one, two = (warc.WarcWriter({"path": f"file://{tmp_path}"}, False) for _ in range(2))
+    (tmp_path / two.job / "part-x").write_bytes(b"x")
+    one.commit([])
+    two.commit([warc.Written("part-x", 1)])
+    assert [p.name for p in tmp_path.iterdir()] == ["part-x"]
+
+
+def test_html_spans_and_wide_cells():
+    """Spans cost no more than the cells that there are, and a wide cell is whole without widening the rows beside it."""
+    for page in ("<table>" + "<tr><td rowspan=65534 colspan=1000>" * 2000, "<table>" + "".join(f"<tr><td rowspan={2000 - i} colspan=1000>x<td>y" for i in range(2000))):
+        began = time.time()
+        html_text.visible_text(page)
+        assert time.time() - began < 4
+    page = "<table><tr><td>" + "w" * 50_000 + "<td>z" + "<tr><td>a<td>b" * 200
+    text = html_text.visible_text(page)
+    assert len(text) < 2 * len(page) and "w" * 50_000 + "  z" in text and text.endswith("a  b")
+    page = "<table><tr>" + ("<td>" + "x" * 120) * 400 + "<tr><td colspan=399>a<td>b" * 2000
+    assert len(html_text.visible_text(page)) < 100 * len(page)
+    page = "<ul><li>x" * 3000
+    assert len(html_text.visible_text(page)) < 100 * len(page)
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<pre>\na\n\nb</pre>", "a\n\nb"),
+        ("<textarea>\r\n\nx</textarea>", "\nx"),
+        ('<p style="display:\nnone">no<p>yes', "yes"),
+        ('<ol><li>a<li style="display:none">b<li>c</ol>', "1. a\n2. c"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td rowspan=0>a<td rowspan=3>b<td>c<tr><td>d<tr><td>e<tr><td>f</table>", "a  b  c\n      d\n      e\n   f"),
+    ],
+)
+def test_html_details(source, want):
+    assert html_text.visible_text(source) == want
+
+
+def test_decontam_long_item(spark):
+    """A part of the benchmark holds no more than its bound, also within one item, and the cut changes nothing."""
+    item = " ".join(f"w{i}" for i in range(20_000))
+    bench = spark.createDataFrame([(1, item), (2, "w5 w6")], "item_id long, text string")
+    parts = list(decontam.benchmark_parts(bench, 100_000))
+    assert len(parts) > 5 and all(sum(map(len, w)) <= 100_000 for w, _ in parts)
+    assert len({w for part, _ in parts for w in part}) == 19_992
+    docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(500, 4000))), (2, "w5 w6 w7"), (3, "w1 w3")], "doc_id long, text string")
+    want = sorted(map(tuple, decontam.decontaminate(docs, bench).select("doc_id", "n_hit", "hit_items").collect()))
+    found = decontam._scanned_in_parts(docs, iter(parts))
+    assert want == sorted(map(tuple, found.select("doc_id", "n_hit", "hit_items").collect())) == [(1, 3500, ["1"]), (2, 2, ["2"]), (3, 0, [])]
+
+
 def test_warc_many_records_in_a_member(tmp_path):
     data = gzip.compress(gzip.decompress(members([(1, b"a")])) + gzip.decompress(members([(2, b"b" * 5)])))
     assert [r["page_id"] for r in warc.records(warc.Member(Buffer(data), 0), "")] == [1, 2]
