@@ -13,11 +13,15 @@ def tally(records: DataFrame, tags: Column, key: Column, order: list[Column], ex
     the order. Records without tags count in the total. Null keys do not count.
     Examples are folded with bounded state: the (tag, key) pairs are made
     distinct and ranked within the tag, and ranks beyond the limit never meet
-    in one place.
+    in one place. Counts and ranks read the same pairs, which are made and
+    shuffled once.
     """
-    keyed = records.select(key.alias("_key"), F.struct(*order, key.alias("_id")).alias("_at"), tags.alias("_tags")).where("_key IS NOT NULL")
-    named = keyed.select("_key", "_at", F.explode(F.array_distinct("_tags")).alias("tag")).where("tag IS NOT NULL").groupBy("tag", "_key").agg(F.min("_at").alias("_at"))
-    counts = named.groupBy("tag").agg(F.count("*").alias("n"))
+    place = F.struct(*order, key.alias("_id")) if order else key
+    keyed = records.select(key.alias("_key"), place.alias("_at"), tags.alias("_tags")).where("_key IS NOT NULL")
+    named = keyed.select("_key", "_at", F.explode(F.array_distinct("_tags")).alias("tag")).where("tag IS NOT NULL")
+    # without an order the key is its own place; with one, counting the places keeps them in both plans, so that Spark reuses the shuffle
+    named = named.groupBy("tag", "_key").agg(F.min("_at").alias("_at")) if order else named.select("tag", F.col("_key").alias("_at")).distinct().withColumn("_key", F.col("_at"))
+    counts = named.groupBy("tag").agg(F.count("_at").alias("n"))
     # row_number() <= k is planned as WindowGroupLimit: each task sends at most k rows a tag
     first = named.withColumn("_rank", F.row_number().over(Window.partitionBy("tag").orderBy("_at"))).where(F.col("_rank") <= examples)
     first = first.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("_rank", "_key"))).alias("_first"))

@@ -22,12 +22,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     which is one row a split. Headings are cut at em dashes alone. A block without
     tags has an empty list. Repeated blocks are records each; an empty file has none.
     """
-    lines = spark.read.option("lineSep", "\n### ").text(path).withColumns({"source_file": F.element_at(F.split("_metadata.file_path", "/"), -1), "_split": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
-    splits = lines.groupBy("source_file", "_split").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), F.count_if(F.col("value").startswith("Ads collected:")).alias("_heads"))
+    lines = _blocks(spark, path)
+    splits = lines.groupBy("source_file", "_split").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), F.min_by("_head", "_row").alias("_heads"))
     before = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_heads", F.when(F.col("_split") == 0, F.col("_heads")).otherwise(0))
     splits = splits.withColumn("_before", F.coalesce(F.sum(F.col("_n") - F.col("_heads")).over(before), F.lit(0)))
     lines = lines.join(splits, ["source_file", "_split"])
-    blocks = lines.where(~F.col("value").startswith("Ads collected:"))
+    blocks = lines.where((F.col("_row") > F.col("_first")) | (F.col("_heads") == 0))
     line = lambda name: F.regexp_extract("value", rf"(?m)^{name}: ?(.*)$", 1)
     head = F.split(F.regexp_extract("value", r"^(?:### )?([^\n]*)", 1), SPLIT)
     return blocks.select(
@@ -43,10 +44,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """value, source_file, _split (where the split begins in the file), _row (ascending within a split) and _head (1 if a first block looks like a count)."""
+    lines = spark.read.option("lineSep", "\n### ").text(path)
+    return lines.select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").startswith("Ads collected:").cast("int").alias("_head"))
+
+
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, stated: the count in each file's first line."""
-    lines = spark.read.option("lineSep", "\n### ").text(path).where(F.col("value").startswith("Ads collected:"))
-    return lines.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"), F.regexp_extract("value", r"^Ads collected: *([0-9]+)", 1).cast("long").alias("stated"))
+    """source_file, stated: the count in each file's first line. A later block that looks like one is a record."""
+    first = _blocks(spark, path).where("_split = 0").groupBy("source_file").agg(F.min_by(F.struct("value", "_head"), "_row").alias("_f")).where("_f._head = 1")
+    return first.select("source_file", F.regexp_extract("_f.value", r"^Ads collected: *([0-9]+)", 1).try_cast("long").alias("stated"))
 
 
 def record_block(company, title, city, url, seen, snippets, tags):
@@ -56,13 +63,18 @@ def record_block(company, title, city, url, seen, snippets, tags):
     return F.concat(head, F.lit("\nURL: "), url, F.lit("\nSeen: "), seen.cast("string"), F.lit("\nRequirements:\n"), body, F.lit("\nTags: "), F.array_join(tags, ", "), F.lit("\n"))
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """records: block (from record_block). Every file states the number of its blocks; the blocks of a task are one file. Null blocks are empty ones; no rows give no file with a count."""
-    part = records.withColumn("_part", F.spark_partition_id())
-    counted = part.withColumn("_n", F.count("*").over(Window.partitionBy("_part")))
-    first = F.row_number().over(Window.partitionBy("_part").orderBy("block")) == 1
-    blocks = counted.withColumn("value", F.when(first, F.concat(F.lit("Ads collected: "), F.col("_n").cast("string"), F.lit("\n### "), F.col("block"))).otherwise(F.col("block")))
-    blocks.select("value", "_part").sortWithinPartitions("_part", ~F.col("value").startswith("Ads collected:")).select("value").write.option("lineSep", "\n### ").text(path)
+def write_records(records: DataFrame, path: str, files: int | None = None) -> None:
+    """records: block (from record_block). Every file states the number of its blocks in its first line. Null blocks are empty ones; no rows give no file with a count.
+
+    Blocks are dealt to files (as many as shuffle partitions, unless told) by their
+    hash and counted where they are written: one shuffle, and a sort by numbers.
+    """
+    files = files or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = records.select(F.coalesce("block", F.lit("")).alias("block")).withColumns({"_part": F.pmod(F.xxhash64("block"), F.lit(files)).cast("int"), "_id": F.monotonically_increasing_id()})
+    by = Window.partitionBy("_part")
+    placed = dealt.repartitionById(files, "_part").withColumns({"_n": F.count("*").over(by), "_place": F.row_number().over(by.orderBy("_id"))})
+    value = F.when(F.col("_place") == 1, F.concat(F.lit("Ads collected: "), F.col("_n").cast("string"), F.lit("\n### "), F.col("block"))).otherwise(F.col("block"))
+    placed.select(value.alias("value")).write.option("lineSep", "\n### ").text(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

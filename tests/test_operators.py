@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs: ties, nulls, empty tables, and properties that hold for any input."""
 
 import datetime as dt
+import os
 
 import pyarrow as pa
 import pytest
@@ -52,6 +53,16 @@ def test_records_and_tally(spark, tmp_path):
     assert got["Py"] == (2, 66.67, ["https://a.example/(x)/1", "https://a.example/2"]) and got["Cloud"][0] == 1 and set(got) == {"Py", "Cloud", "Cloud-AI"}
 
 
+def test_records_that_look_like_counts(spark, tmp_path):
+    """Only the first line of a file is a count."""
+    (tmp_path / "a.md").write_text("Ads collected: 2\n\n### Ads collected: GmbH — Engineer — Bonn\nURL: u1\nSeen: 2026-01-01\n### Acme — Cook — Kiel\nURL: u2\n")
+    (tmp_path / "b.md").write_text("### Ads collected: no — Cook — Kiel\nURL: u3\n")
+    (tmp_path / "c.md").write_text("Ads collected: many\n### Acme — Cook — Kiel\nURL: u4\n")
+    found = {r["url"]: (r["source_file"], r["pos"], r["company"]) for r in blocks.read_records(spark, f"file://{tmp_path}").collect()}
+    assert found == {"u1": ("a.md", 1, "Ads collected: GmbH"), "u2": ("a.md", 2, "Acme"), "u3": ("b.md", 1, "Ads collected: no"), "u4": ("c.md", 1, "Acme")}
+    assert {r["source_file"]: r["stated"] for r in blocks.read_totals(spark, f"file://{tmp_path}").collect()} == {"a.md": 2, "c.md": None}
+
+
 def test_tally_nulls_and_empty(spark):
     rows = spark.createDataFrame([(1, ["a", "a", None]), (1, ["a"]), (None, ["a"]), (2, None)], "k long, t array<string>")
     assert [tuple(r) for r in tally(rows, F.col("t"), F.col("k"), []).collect()] == [("a", 1, 50.0, [1])]
@@ -278,8 +289,10 @@ def test_late_rows(spark, tmp_path):
     for i, minutes in enumerate(batches):
         rows = [(base + dt.timedelta(minutes=m), "k") for m in minutes]
         spark.createDataFrame(rows, "ts timestamp, key string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/b={i}")
+        for f in (tmp_path / f"in/b={i}").iterdir():
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in the order of their times
     stream = spark.readStream.schema("ts timestamp, key string, b int").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
     counts = streams.windowed_counts(stream, "ts", "1 hour", "10 minutes", ["key"])
     got = {r["window_start"]: r["n"] for r in streams.drain(counts, f"file://{tmp_path}/out", f"file://{tmp_path}/ck").collect()}
-    # the row of minute 3 in the fourth batch is later than the watermark
-    assert got[base] in (3, 4) and got[base + dt.timedelta(hours=3)] == 3
+    # rows are judged late by the watermark that the batch before last moved: minute 1 in the third batch still counts, minute 3 in the fourth does not
+    assert got[base] == 4 and got[base + dt.timedelta(hours=3)] == 3
