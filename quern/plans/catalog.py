@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as patterns
-from quern.operators import chunking, evaluation, guards, phrases, quantised, records, retrieval, structure, threads
+from quern.operators import chunking, evaluation, guards, hashed, phrases, quantised, records, retrieval, structure, threads
 from quern.operators.tally import most_named, tally
 from quern.sources import records as blocks
 from quern.sources import tables
@@ -257,6 +257,20 @@ def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.join(documents.select("doc_id", "lang"), "doc_id").select("doc_id", "metadata.pos", "lang", "metadata.title", "metadata.n_chars")
 
 
+@query(r"""
+    WITH s AS (SELECT doc_id, lang, string_split(text, chr(10)) AS c FROM documents), u AS (SELECT doc_id, lang, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS chunk FROM s)
+    SELECT doc_id, pos, lang, length(chunk)::INTEGER AS n_chars FROM u WHERE length(chunk) > 0""")
+def ingested_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put in tables twice, the second time a third of them with what they were before: nothing is doubled, and chunks meet their documents without a shuffle."""
+    docs, name = read(spark, sf_dir, "documents"), f"quern_{uuid.uuid4().hex}"
+    tables.create_store(docs, "doc_id", "text", name, scratch(spark, "store"), 4, 8)
+    first = docs.where("doc_id % 3 = 0").withColumns({"lang": F.lit("old"), "text": F.lit("old\nlines\n")})
+    for rows in (first, docs, docs.where("doc_id % 3 = 1")):
+        tables.upsert(rows, "doc_id", "text", "\n", r"^(\S+)", name)
+    documents, chunks = tables.stored(spark, name)
+    return chunks.join(documents.select("doc_id", "lang"), "doc_id").select("doc_id", "metadata.pos", "lang", "metadata.n_chars")
+
+
 def _regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region as a regulation in lines: recitals from its suppliers, chapters from its nations, sections from market segments, articles from customers."""
     nations = read(spark, sf_dir, "nation")
@@ -340,6 +354,16 @@ def search_top_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(_vectors(spark, sf_dir).select("id", "vector"), F.col("id") % 20 == 0, 1).drop("rank")
 
 
+@query()
+def text_top_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document nearest to each twentieth one, by vectors that are fitted on the texts; tests hold the subspace against numpy."""
+    path = scratch(spark, "features")
+    hashed.hashed_words(tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", 4096).write.parquet(path)
+    features = spark.read.parquet(path)
+    vectors = hashed.embed(features, "doc_id", hashed.fit_embedder(features, 4096)).withColumnRenamed("doc_id", "id")
+    return retrieval.top_k(vectors, F.col("id") % 20 == 0, 1).drop("rank")
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _vectors(spark, sf_dir).select("id", "label")
     found = cosine_top_k(spark, sf_dir)
@@ -453,6 +477,18 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(patterns.redact(F.col("text"))).alias("redacted_md5"))
 
 
+@query()
+def guard_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a guard refuses which was fitted on the labels of two thirds of them; tests hold its error on the rest."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    path = scratch(spark, "features")
+    hashed.hashed_words(tables.spread(docs).join(labels, "doc_id", "left").withColumn("has_text", F.col("text").isNotNull()), "doc_id", "text", 1 << 14).write.parquet(path)
+    features = spark.read.parquet(path)
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = hashed.fit_guard(features.where(F.col("y").isNotNull() & ~held_out), 1 << 14)
+    return hashed.guarded(features, model, F.col("has_text")).select("doc_id", held_out.alias("held_out"), F.round("score", 6).alias("score"), "refused")
+
+
 ROUTES = [("regulation", r"(?i)\b(?:license|licensed|copyright)\b"), ("credentials", r"(?i)\b(?:token|password|key)\b *[=:]")]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.chunking import chunk
@@ -47,3 +47,51 @@ def write_documents(docs: DataFrame, key: str, text: str, before: str, title: st
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The documents and the chunks."""
     return spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/chunks")
+
+
+def create_store(docs: DataFrame, key: str, text: str, name: str, path: str, parts: int = 16, buckets: int = 16) -> None:
+    """Empty tables <name>_documents (docs without their text) and <name>_chunks (key, chunk, metadata) for upsert(), unless they are there.
+
+    A key's rows are in the part and in the bucket that its hash names, in both
+    tables: so an upsert writes whole parts, and a join on the key shuffles nothing.
+    """
+    spark = docs.sparkSession
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
+    kind = docs.schema[key].dataType.simpleString()
+    for table, own in (("documents", columns), ("chunks", f"`{key}` {kind}, chunk string, metadata struct<pos:int,title:string,n_chars:int>")):
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_{table} ({own}, part int) USING parquet PARTITIONED BY (part) CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}/{table}' TBLPROPERTIES ('parts' = '{parts}')")
+
+
+def upsert(docs: DataFrame, key: str, text: str, before: str, title: str, name: str) -> None:
+    """Puts documents and their chunks in the tables of create_store(), in place of what these hold of the same keys.
+
+    A second run with the same documents changes nothing. Parts that hold a new
+    key are written anew with what they keep (dynamic partition overwrite, visible
+    once committed); others are not read. Null keys go; of rows that repeat a key
+    the one with the greatest text stays; a null text has no chunks, and takes
+    away those that were there. Each table is committed by itself: where a run
+    ends between them, the next one mends it.
+    """
+    spark = docs.sparkSession
+    parts = int({r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}_documents").collect()}["parts"])
+    best = Window.partitionBy(key).orderBy(F.desc_nulls_last(text), *[F.col(c) for c in docs.columns if c not in (key, text)])
+    new = docs.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    new = new.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    touched = [r[0] for r in new.select("part").distinct().collect()]  # at most `parts` numbers
+    chunks = chunk(new, key, text, before, title).select(key, "chunk", F.struct("pos", "title", "n_chars").alias("metadata")).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    kept = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        for table, rows in (("documents", new.drop(text)), ("chunks", chunks)):
+            held = spark.table(f"{name}_{table}")
+            stays = held.where(F.col("part").isin(touched)).join(new.select(key), key, "left_anti")
+            # one task a part and bucket, as the files are cut
+            stays.select(held.columns).unionByName(rows.select(held.columns)).repartition("part", key).write.mode("overwrite").insertInto(f"{name}_{table}")
+    finally:
+        spark.conf.set(setting, kept)
+
+
+def stored(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    """The documents and the chunks of create_store()."""
+    return spark.table(f"{name}_documents").drop("part"), spark.table(f"{name}_chunks").drop("part")
