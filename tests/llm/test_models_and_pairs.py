@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm._labels import labelled_sample
 from quern.llm import ctw, lshjoin, quality, substring, topk, toxicity
 from quern.llm._graph import components
+from quern.llm._labels import labelled_sample
 from quern.llm._spark import crc32_mod
 from quern.llm._text import text_bytes
 
@@ -346,6 +346,26 @@ def test_passages_against_brute_force(spark, seed):
     assert new <= 0.1 * cut
 
 
+def test_recall_of_near_repeats(spark):
+    """Planted near repeats of four kinds, sixty pairs each: at least nine in ten are found."""
+    kinds = {"90 words, one changed": (90, 1), "60 words, one changed": (60, 1), "120 words, two changed": (120, 2), "200 words, four changed": (200, 4)}
+    docs, later = [], {}
+    for k, (size, changes) in enumerate(kinds.values()):
+        for i in range(60):
+            key = 1000 * k + 2 * i
+            passage = prose(10_000 + key, size)
+            other = list(passage)
+            for c in range(changes):
+                other[(c + 1) * size // (changes + 1)] = f"changed{key}x{c}"
+            docs += [(key, prose(20_000 + key, 60) + passage + prose(30_000 + key, 40)), (key + 1, prose(40_000 + key, 30) + other + prose(50_000 + key, 70))]
+            later[key + 1] = (30, 30 + size)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: (r["start"], r["end"]) for r in substring.passages(df).where("NOT keep").collect()}
+    for k, name in enumerate(kinds):
+        caught = [key for key, (a, b) in later.items() if key // 1000 == k and key in found and min(b, found[key][1]) - max(a, found[key][0]) >= 0.9 * (b - a)]
+        assert len(caught) >= 54, (name, len(caught))
+
+
 def test_passages_of_texts_under_one_id(spark):
     """Two texts under one id are two documents: each is cut where it repeats an earlier text, and only there."""
     shared = prose(61, 60)
@@ -412,6 +432,36 @@ def test_quality(spark):
     assert scored.where("score < 0 OR score > 1 OR score IS NULL").count() == 0 and scored.count() == 1000
 
 
+def test_quality_by_hand(spark):
+    """Scores against a look-up entry by entry, one text at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit_quality(docs, labels, F.lit(True))
+    for r in quality.score_quality(docs, model).collect():
+        x = quality.text_features(*text_bytes(pa.array([r["text"]])))[0]
+        total = model.intercept
+        for f, table in enumerate(model.tables):
+            total += table[sum(edge < x[f] for edge in model.edges[f])]
+        for a, b, table in model.pairs:
+            total += table[sum(edge < x[a] for edge in model.coarse[a])][sum(edge < x[b] for edge in model.coarse[b])]
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-12
+
+
+def test_trees_by_hand():
+    """The best cut of ordered bins, and of pairs of bins, against all cuts."""
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        g, h = r.normal(size=7), r.random(7) + 0.1
+        value = lambda g, h: g.sum() ** 2 / (h.sum() + quality.SMOOTH)
+        gains = [value(g[:c], h[:c]) + value(g[c:], h[c:]) - value(g, h) for c in range(1, 7)]
+        gain, cut = quality._split(g, h)
+        assert (cut == 0 and max(gains) <= 1e-9) or (abs(gain - max(gains)) < 1e-9 and abs(gains[cut - 1] - gain) < 1e-9)
+        own = quality._tree(g, h, 1)
+        parts = [slice(0, 7)] if not cut else [slice(0, cut), slice(cut, 7)]
+        for p in parts:
+            assert np.allclose(own[p], g[p].sum() / (h[p].sum() + quality.SMOOTH))
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "x " * 50_000, "s"), (3, "y", "s"), (None, "é", "s")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -435,6 +485,37 @@ def test_toxicity(spark):
     assert scored.where("score < 0 OR score > 1 OR score IS NULL").count() == 0 and scored.count() == 1000
 
 
+def test_toxicity_by_hand(spark):
+    """Scores against a sum over the distinct words and prefixes of each text, looked up one by one."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    weight = dict(zip(model.keys.keys.tolist(), model.weights.tolist(), strict=True))
+    for r in toxicity.score_toxicity(docs, model).collect():
+        keys = {k for w in set(words(r["text"])) for k in toxicity.keys_of(*text_bytes(pa.array([w])))[0].tolist()}
+        total = model.bias + sum(weight.get(k, 0.0) for k in keys)
+        assert abs(r["score"] - 1 / (1 + math.exp(-min(max(total, -30), 30)))) < 1e-9
+
+
+def test_toxicity_fit_by_hand():
+    """One step of the fit against the loss and its penalty, differentiated by hand."""
+    rows = pa.table({"y": pa.array([1, 0, 1], pa.int32()), "own": pa.array([[0, 1], [1], [0, 2]], pa.list_(pa.int32())), "swap": pa.array([None, [2], None], pa.list_(pa.int32()))})
+    keys = toxicity.Keys(np.array([3, 5, 9], np.uint64))
+
+    def loss(w, bias):
+        own, y = [[0, 1], [1], [0, 2]], [1, 0, 1]
+        z = [sum(w[i] for i in o) + bias for o in own]
+        out = sum(math.log(1 + math.exp(-a)) if b else math.log(1 + math.exp(a)) for a, b in zip(z, y, strict=True)) / 3
+        return out + toxicity.RIDGE / 2 * sum(x * x for x in w) + toxicity.SWAP_PENALTY * (w[1] - w[2]) ** 2
+
+    fitted = toxicity.fit_linear(rows, keys)
+    at = loss(fitted.weights, fitted.bias)
+    r = random.Random(1)
+    for _ in range(200):
+        near = fitted.weights + np.array([r.gauss(0, 0.3) for _ in range(3)])
+        assert loss(near, fitted.bias + r.gauss(0, 0.3)) >= at - 2e-2
+
+
 def test_toxicity_swaps(spark, monkeypatch):
     """An identity term that goes with the label in the sample by chance: the penalty keeps it from moving scores."""
     assert toxicity.swapped("Muslim women met, mentioned") != "Muslim women met, mentioned" and toxicity.swapped("menu of womenfolk") == "menu of womenfolk"
