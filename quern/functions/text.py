@@ -24,6 +24,24 @@ INJECTIONS = [
 ]
 
 
+#: Elements of a page that show no text, comments among them; elements that begin a new line; and the commonest entities (fixed values), the ampersand last.
+UNSEEN = [r"(?s)<!--.*?-->", *[rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "head", "template", "noscript")]]
+BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|tr|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|form|body|html|title)\b[^>]*>"
+TAG = r"</?[A-Za-z][^>]*>"
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def plain_html(html: Column) -> Column:
+    """What a page says, a line for each block: elements without text go, block tags are line ends, other tags nothing. Null stays null; a tag that is not closed stays as it is.
+
+    Native patterns for pages of known make; a page of any make needs a parser.
+    """
+    text = reduce(lambda t, p: F.regexp_replace(t, p, ""), UNSEEN, html)
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), BREAKS, "\n"), TAG, "")
+    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    return F.regexp_replace(F.regexp_replace(text, " *\n *", "\n"), "^[ \n]+|[ \n]+$", "")
+
+
 def redact(text: Column) -> Column:
     """E-mail addresses, IBANs and IPv4 addresses replaced by [EMAIL], [IBAN], [IP]. Redacting twice changes nothing more."""
     return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), [(EMAIL, "[EMAIL]"), (IBAN, "[IBAN]"), (IPV4, "[IP]")], text)

@@ -246,6 +246,25 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "pos", F.md5("chunk").alias("chunk_md5"), "title", "n_chars")
 
 
+def _plain_sql() -> str:
+    """plain_html() of html in SQL."""
+    out = "html"
+    for pattern, to in [*[(p, "") for p in patterns.UNSEEN], (r"\s+", " "), (patterns.BREAKS, "\n"), (patterns.TAG, "")]:
+        out = f"regexp_replace({out}, '{pattern}', {'chr(10)' if to == chr(10) else repr(to)}, 'g')"
+    for entity, to in patterns.ENTITIES:
+        out = f"replace({out}, '{entity}', '{to.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace(regexp_replace({out}, ' *\\n *', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+@query(rf"""
+    WITH s AS (SELECT page_id, string_split(regexp_replace({_plain_sql()}, '\n+', chr(10), 'g'), chr(10)) AS c FROM pages), u AS (SELECT page_id, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS chunk FROM s)
+    SELECT page_id, pos, md5(chunk) AS chunk_md5, regexp_extract(chunk, '^(\S+)', 1) AS title, length(chunk)::INTEGER AS n_chars FROM u WHERE length(chunk) > 0""")
+def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages say, cut at their blocks: text without tags, scripts and entities."""
+    pages = read(spark, sf_dir, "pages").select("page_id", patterns.plain_html(F.col("html")).alias("text"))
+    return chunking.chunk(pages, "page_id", "text", "\n+", r"^(\S+)").select("page_id", "pos", F.md5("chunk").alias("chunk_md5"), "title", "n_chars")
+
+
 @query(r"""
     WITH s AS (SELECT doc_id, lang, string_split(text, chr(10)) AS c FROM documents), u AS (SELECT doc_id, lang, unnest(range(len(c)))::INTEGER AS pos, unnest(c) AS chunk FROM s)
     SELECT doc_id, pos, lang, regexp_extract(chunk, '^(\S+)', 1) AS title, length(chunk)::INTEGER AS n_chars FROM u WHERE length(chunk) > 0""")

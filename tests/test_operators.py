@@ -296,3 +296,9 @@ def test_late_rows(spark, tmp_path):
     got = {r["window_start"]: r["n"] for r in streams.drain(counts, f"file://{tmp_path}/out", f"file://{tmp_path}/ck").collect()}
     # rows are judged late by the watermark that the batch before last moved: minute 1 in the third batch still counts, minute 3 in the fourth does not
     assert got[base] == 4 and got[base + dt.timedelta(hours=3)] == 3
+
+
+def test_plain_html(spark):
+    given = [("<html><head><title>no</title></head><body><h1>A &amp;lt; B</h1><p>one <b>two</b>\n three<br>four<!-- x\n -->&nbsp;5</p><script>if (a<b) {}</script></body></html>", "A &lt; B\n\none two three\nfour 5"), ("", ""), (None, None), ("a < b > c", "a < b > c"), ("<p>x<P CLASS='y'>z", "x\nz")]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(given)], "i int, html string")
+    assert [r["t"] for r in df.select("i", text.plain_html(F.col("html")).alias("t")).orderBy("i").collect()] == [w for _, w in given]
