@@ -21,8 +21,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, for as long as the driver runs."""
+    return f"{tables.session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 QUERIES, ORACLE_SQL = {}, {}

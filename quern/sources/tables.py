@@ -33,6 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    """A folder in the shared one for what this application writes on the way; it goes when the driver ends."""
+    top = f"{shared_folder(spark)}/quern-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return top
+
+
 def write_documents(docs: DataFrame, key: str, text: str, before: str, title: str, path: str, mode: str = "errorifexists") -> None:
     """docs without their text as path/documents, and path/chunks: key, chunk and metadata (pos, title, n_chars), cut as chunk() cuts.
 
