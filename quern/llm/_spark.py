@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.sources.tables import shared_folder, spread
+from quern.sources.tables import session_folder, spread
 
 #: Bytes of one Arrow batch that Spark hands to Python.
 BATCH_BYTES = 4 << 20
@@ -28,7 +28,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, for as long as the driver runs."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Lets Spark delete a query's shuffle files when it has ended.
