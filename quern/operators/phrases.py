@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources import tables
+
 #: A word (fixed value): a run of ASCII letters and digits, A-Z in lower case, and of any characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,11 +27,12 @@ def occurrences(docs: DataFrame, key: str, text: str, phrases: DataFrame) -> Dat
     """key, row, at (number of the first word, from 0), size, phrase, term: every place of every phrase, overlapping ones too.
 
     row numbers the rows of docs, so that rows that repeat a key stay apart. Runs
-    of words are made in the sizes that phrases have, and joined by equality: Spark
-    broadcasts a small table of phrases and shuffles a large one. Texts do not
+    of words are made in the sizes that phrases have, and joined by equality: the table
+    of phrases is written first, so that Spark knows its size and broadcasts a small one, or
+    shuffles runs of words for a large one. Texts do not
     move, their runs of words do.
     """
-    table = phrase_table(phrases)
+    table = tables.kept(phrase_table(phrases), "phrases")
     sizes = table.agg(F.sort_array(F.collect_set("size")).alias("_sizes"))  # one row, as many sizes as the longest phrase has words
     rows = docs.select(F.col(key), words(F.col(text)).alias("_w")).withColumn("row", F.monotonically_increasing_id())
     runs = rows.crossJoin(F.broadcast(sizes)).select(key, "row", "_w", F.explode("_sizes").alias("size")).where(F.size("_w") >= F.col("size"))

@@ -140,7 +140,7 @@ def candidates(vectors: DataFrame, is_query: Column, parts: int, keep: int, metr
     return found.withColumn("_r", best).where(F.col("_r") <= keep).select("query_id", "id")
 
 
-def pq_top_k(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 16, share: float = 0.05, most: int = 1000, metric: str = "cosine") -> DataFrame:
+def pq_top_k(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 16, share: float = 0.05, most: int = 400, metric: str = "cosine") -> DataFrame:
     """query_id, rank, id, score (six places) like retrieval.top_k, but full distances are worked out for a share of the rows alone.
 
     parts: bytes of a code. Candidates of a query: `share` of all rows, at least

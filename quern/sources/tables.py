@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,13 @@ def session_folder(spark: SparkSession) -> str:
     return top
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a table of this application: computed once, and of a size that Spark knows when it plans a join."""
+    path = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_documents(docs: DataFrame, key: str, text: str, before: str, title: str, path: str, mode: str = "errorifexists") -> None:
     """docs without their text as path/documents, and path/chunks: key, chunk and metadata (pos, title, n_chars), cut as chunk() cuts.
 
