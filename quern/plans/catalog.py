@@ -504,7 +504,8 @@ def guard_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed.hashed_words(tables.spread(docs).join(labels, "doc_id", "left").withColumn("has_text", F.col("text").isNotNull()), "doc_id", "text", 1 << 14).write.parquet(path)
     features = spark.read.parquet(path)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
-    model = hashed.fit_guard(features.where(F.col("y").isNotNull() & ~held_out), 1 << 14)
+    labelled = tables.kept(features.where(F.col("y").isNotNull() & ~held_out).select("y", "at", "weight"), "labelled")
+    model = hashed.fit_guard(labelled, 1 << 14)
     return hashed.guarded(features, model, F.col("has_text")).select("doc_id", held_out.alias("held_out"), F.round("score", 6).alias("score"), "refused")
 
 
