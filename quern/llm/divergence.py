@@ -38,8 +38,8 @@ UNIT = 1_000_000_000
 LEAST_DOCS, RANKS = 3, 200
 #: Distinct (lang, source, term) that a counting task holds before it hands them on; bytes of text counted at once.
 HELD, SLICE = 500_000, 1 << 20
-#: Pieces that the rows of a group and of a cell are joined in.
-PIECES = 32
+#: Pieces that the rows of a group and of a cell are joined in; slices of tasks whose terms of one value are ranked first.
+PIECES, SLICES = 32, 64
 #: Pairs of sources whose sums a task holds before it hands them on; pairs of counts worked out at once; partners of a group in one row.
 PAIRS, AT_ONCE, PARTNERS = 1 << 20, 1 << 18, 1000
 
@@ -227,7 +227,11 @@ def leading_terms(rows: DataFrame, ranks: int = RANKS) -> DataFrame:
     values = values.withColumn("before", F.coalesce(F.sum("m").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < ranks).select("g", "value", "before")
     chosen = cells.select("g", "n", "all_n", "value").join(values, ["g", "value"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
     named = above.select("g", "n", "all_n", "term", F.pmod(F.xxhash64("term"), F.lit(PIECES)).cast("int").alias("piece")).join(chosen, ["g", "n", "all_n", "piece"])
-    named = named.withColumn("_r", F.row_number().over(Window.partitionBy("g", "value").orderBy("term"))).where(F.col("_r") <= ranks)
+    # a value of very many terms is cut down in slices first, as every task would hand on as many as there are ranks
+    slices = named.withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+    for by in (["g", "value", "slice"], ["g", "value"]):
+        slices = slices.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("term"))).where(F.col("_r") <= ranks)
+    named = slices
     return named.withColumn("rank", (F.col("before") + F.col("_r")).cast("int")).where(F.col("rank") <= ranks).select("g", "term", "value", "rank")
 
 
