@@ -501,10 +501,11 @@ def guard_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a guard refuses which was fitted on the labels of two thirds of them; tests hold its error on the rest."""
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     path = scratch(spark, "features")
-    hashed.hashed_words(tables.spread(docs).join(labels, "doc_id", "left").withColumn("has_text", F.col("text").isNotNull()), "doc_id", "text", 1 << 14).write.parquet(path)
+    hashed.hashed_words(tables.spread(docs).withColumn("has_text", F.col("text").isNotNull()), "doc_id", "text", 1 << 14).write.parquet(path)
     features = spark.read.parquet(path)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
-    labelled = tables.kept(features.where(F.col("y").isNotNull() & ~held_out).select("y", "at", "weight"), "labelled")
+    # labels grow with the documents: features, not texts, are sorted and merged with them
+    labelled = tables.kept(features.where(~held_out).join(labels.hint("merge"), "doc_id").select("y", "at", "weight"), "labelled")
     model = hashed.fit_guard(labelled, 1 << 14)
     return hashed.guarded(features, model, F.col("has_text")).select("doc_id", held_out.alias("held_out"), F.round("score", 6).alias("score"), "refused")
 
