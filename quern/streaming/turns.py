@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Turns of a thread that its state holds: what a follow-up may refer to.
+#: Turns of a thread that its state holds, unless told: what a follow-up may refer to.
 REMEMBERED = 20
 TURNS = "thread long, id long, kind string, turn long, previous string"
 
@@ -33,55 +33,58 @@ def _micros(ts: pd.Series) -> list[int]:
 
 
 class ThreadTurns(StatefulProcessor):
-    """The last turns of a thread, until it has been idle for too long."""
+    """The last turns of a thread, or all of them, until it has been idle for too long."""
 
-    def __init__(self, idle: int, remembered: int):
+    def __init__(self, idle: int, remembered: int | None):
         self.idle, self.remembered = idle, remembered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.turns = handle.getListState("turns", "at long, id long, said string")
-        self.count = handle.getValueState("count", "n long, last long")
+        self.count = handle.getValueState("count", "n long, last long, id long, said string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         given = sorted(t for part in rows for t in zip(_micros(part["ts"]), part["id"].tolist(), part["said"].tolist(), strict=True))
-        n, last = self.count.get() if self.count.exists() else (0, None)
-        held = deque(self.turns.get() if n else [], self.remembered)
-        out = []
-        for at, key_, said in given:
+        n, last, id_, said = self.count.get() if self.count.exists() else (0, None, None, None)
+        fresh, begun, out = [], not n, []
+        for at, key_, words in given:
             if n and at - last >= self.idle:
-                out.append((key[0], held[-1][1], "closed", n, held[-1][2]))
-                n = 0
-                held.clear()
-            n, last = n + 1, at
-            out.append((key[0], key_, "turn", n, held[-1][2] if held else None))
-            held.append((at, key_, said))
-        self.turns.put(list(held))
-        self.count.update((n, last))
+                out.append((key[0], id_, "closed", n, said))
+                n, fresh, begun = 0, [], True
+            out.append((key[0], key_, "turn", n + 1, said if n else None))
+            n, last, id_, said = n + 1, at, key_, words
+            fresh.append((at, key_, words))
+        if self.remembered is not None:
+            self.turns.put(list(deque([*([] if begun else self.turns.get()), *fresh], self.remembered)))
+        elif begun:
+            self.turns.put(fresh)
+        else:  # what the thread said before is not read again
+            self.turns.appendList(fresh)
+        self.count.update((n, last, id_, said))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((last + self.idle) // 1000)
         yield pd.DataFrame(out, columns=["thread", "id", "kind", "turn", "previous"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, _ = self.count.get()
-        last = list(self.turns.get())[-1]
+        n, _, id_, said = self.count.get()
         self.turns.clear()
         self.count.clear()
-        yield pd.DataFrame([(key[0], last[1], "closed", n, last[2])], columns=["thread", "id", "kind", "turn", "previous"])
+        yield pd.DataFrame([(key[0], id_, "closed", n, said)], columns=["thread", "id", "kind", "turn", "previous"])
 
     def close(self) -> None:
         pass
 
 
-def follow_threads(stream: DataFrame, thread: str, key: str, ts: str, said: str, idle: int, late: str, remembered: int = REMEMBERED) -> DataFrame:
+def follow_threads(stream: DataFrame, thread: str, key: str, ts: str, said: str, idle: int, late: str, remembered: int | None = REMEMBERED) -> DataFrame:
     """thread, id, kind, turn, previous: for each turn its number in its thread and what was said before it; for each thread that ended its last turn.
 
     A thread ends when nothing is said for `idle` seconds: at its next turn, which
     begins another, or by a timer once the watermark (`late` behind the newest
-    row) has passed. State is a list of the last turns and a counter, so it is
-    bounded, and lives in the checkpoint: a stream that starts again from there
-    goes on with the threads that were open. Rows with a null thread or time go.
+    row) has passed. State is a counter and a list of the last turns, which is
+    bounded, or (remembered=None) of all turns of the thread that is open, to which a
+    batch adds its own. It lives in the checkpoint: a stream that starts again from
+    there goes on with the threads that were open. Rows with a null thread or time go.
     Equal times stand by id. Needs rocksdb().
     """
     rows = stream.where(F.col(thread).isNotNull() & F.col(ts).isNotNull())

@@ -151,6 +151,21 @@ def test_a_thread_goes_on_after_a_restart(spark, tmp_path):
     assert {(x.thread, x.id) for x in turns.open_threads(spark, f"{tmp_path}/ckpt").collect()} == {(8, 8), (8, 9)}
 
 
+def test_an_open_thread_is_whole(spark, tmp_path):
+    """Of a thread longer than what is remembered by default the state holds all turns, over a restart; one that ended leaves none."""
+    rows = [(i, 1, 1000 + i) for i in range(70)] + [(100 + i, 2, 1000) for i in range(30)] + [(200 + i, 2, 1500 + i) for i in range(25)]
+    df = spark.createDataFrame(rows, "id long, thread long, s long").select("id", "thread", F.timestamp_seconds("s").alias("ts"), F.col("id").cast("string").alias("said"))
+    for half in ("ts < timestamp_seconds(1040)", "ts >= timestamp_seconds(1040)"):
+        df.where(half).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with turns.rocksdb(spark):
+            stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+            done = streams.drain(turns.follow_threads(stream, "thread", "id", "ts", "said", 450, "10 minutes", None), f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    held = sorted((x.thread, x.id, x.said) for x in turns.open_threads(spark, f"{tmp_path}/ckpt").collect())
+    assert held == [(1, i, str(i)) for i in range(70)] + [(2, 200 + i, str(200 + i)) for i in range(25)]
+    got = {x.id: (x.turn, x.previous) for x in done.where("kind = 'turn'").collect()}
+    assert got == {i: (i + 1, str(i - 1) if i else None) for i in range(70)} | {a + i: (i + 1, str(a + i - 1) if i else None) for a, n in ((100, 30), (200, 25)) for i in range(n)}
+
+
 # Phrases
 
 
