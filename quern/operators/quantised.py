@@ -4,7 +4,8 @@ A vector is cut into parts; each part is replaced by the number of the nearest
 of 256 codewords, so that a vector is one byte a part. Codebooks are fitted on a
 bounded sample by hash of the id; every row is coded. A search adds, for each
 code, the table entries of its bytes, keeps the best candidates of each query,
-and works out the full distance for these alone.
+and works out the full distance for these alone. What a code hides of its vector
+has a known length, so a search may also go on until no other row can be nearer.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ from quern.operators.retrieval import FIT_ROWS, ranked
 WORDS = 256
 #: Codes and queries of a cell: one task adds the tables of a block of queries over a block of codes.
 CODES, QUERIES = 1 << 18, 256
+#: The same where the cells hold vectors too.
+FULL_CODES, FULL_QUERIES = 1 << 14, 2048
 #: Sums that a task holds at once.
 _SUMS = 1 << 21
+#: Full distances that a task works out at once.
+_PAIRS = 1 << 15
 
 
 def _matrix(column: pa.Array, count: int) -> np.ndarray:
@@ -79,8 +84,13 @@ def tables(q: np.ndarray, books: list[np.ndarray], metric: str) -> np.ndarray:
     return out
 
 
-def _index(rows: DataFrame, books: Broadcast, metric: str) -> DataFrame:
-    """id, code of rows (id, vector); rows that have no direction (cosine) have no code."""
+def _decode(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
+    """The codewords that codes stand for."""
+    return np.hstack([words[codes[:, m]] for m, words in enumerate(books)])
+
+
+def _index(rows: DataFrame, books: Broadcast, metric: str, full: bool = False) -> DataFrame:
+    """id, code of rows (id, vector), in full also hidden, the length of what the code leaves out, and vector; rows that have no direction (cosine) have no code."""
 
     def run(batches):
         for batch in batches:
@@ -89,9 +99,22 @@ def _index(rows: DataFrame, books: Broadcast, metric: str) -> DataFrame:
                 x = _of_length_one(x) if metric == "cosine" else x
                 yes = np.isfinite(x).all(1)
                 codes = encode(x[yes], books.value)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).filter(pa.array(yes)), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
+                out = {"id": batch.column(0).filter(pa.array(yes)), "code": pa.array([c.tobytes() for c in codes], pa.binary())}
+                if full:
+                    hidden = np.sqrt(((x[yes] - _decode(codes, books.value)) ** 2).sum(1))
+                    out |= {"hidden": pa.array(hidden), "vector": batch.column(1).filter(pa.array(yes))}
+                yield pa.RecordBatch.from_pydict(out)
+
+    more = f", hidden double, vector {rows.schema['vector'].dataType.simpleString()}" if full else ""
+    return rows.select("id", "vector").mapInArrow(run, f"id long, code binary{more}")
+
 
-    return rows.select("id", "vector").mapInArrow(run, "id long, code binary")
+def _sums(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """queries x codes: the entries of each code's bytes, added."""
+    sums = np.zeros((len(table), len(codes)), np.float32)
+    for m in range(codes.shape[1]):
+        sums += table[:, m, :][:, codes[:, m]]
+    return sums
 
 
 def _scan(batches, books: Broadcast, metric: str, keep: int):
@@ -105,9 +128,7 @@ def _scan(batches, books: Broadcast, metric: str, keep: int):
             table = tables(_of_length_one(q) if metric == "cosine" else q, books.value, metric)
             for at in range(0, len(q), step := max(1, _SUMS // max(1, len(ids)))):
                 part = table[at : at + step]
-                sums = np.zeros((len(part), len(ids)), np.float32)
-                for m in range(codes.shape[1]):
-                    sums += part[:, m, :][:, codes[:, m]]
+                sums = _sums(part, codes)
                 sums[(q_ids[at : at + step, None] == ids[None, :]) | ~np.isfinite(sums)] = -np.inf
                 most = min(keep, len(ids))
                 near = np.argpartition(-sums, most - 1, axis=1)[:, :most]
@@ -116,25 +137,77 @@ def _scan(batches, books: Broadcast, metric: str, keep: int):
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(q_ids[at : at + step], most)[yes], pa.int64()), "id": pa.array(ids[near.ravel()][yes], pa.int64()), "score": pa.array(score[yes].astype(np.float64))})
 
 
-def candidates(vectors: DataFrame, is_query: Column, parts: int, keep: int, metric: str) -> DataFrame:
-    """query_id, id: the `keep` best of each query by its codes. vectors: id, vector, neither null."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector", is_query.alias("is_query"))
+def _most(sums: np.ndarray, table: np.ndarray, hidden: np.ndarray, metric: str) -> np.ndarray:
+    """The highest score that each row can have with each query, by the length that its code hides. What rounding to 32 bits may have lost is allowed for."""
+    lost = 1e-5 * np.abs(table).max(2).sum(1)[:, None]
+    if metric == "cosine":
+        return sums + lost + hidden[None, :]
+    return -np.maximum(np.sqrt(np.maximum(-sums - lost, 0)) - hidden[None, :], 0)
+
+
+def _scores(q: np.ndarray, v: np.ndarray, at: np.ndarray, to: np.ndarray, metric: str) -> np.ndarray:
+    """The full scores, to six places, of the pairs q[at], v[to]."""
+    out, lengths = np.empty(len(at)), [np.sqrt((x * x).sum(1)) for x in (q, v)]
+    for i in range(0, len(at), _PAIRS):
+        a, b = at[i : i + _PAIRS], to[i : i + _PAIRS]
+        out[i : i + _PAIRS] = np.einsum("ij,ij->i", q[a], v[b]) / (lengths[0][a] * lengths[1][b]) if metric == "cosine" else -np.sqrt(((q[a] - v[b]) ** 2).sum(1))
+    return np.round(out, 6)
+
+
+def _scan_in_full(batches, books: Broadcast, metric: str, k: int):
+    """Cells of queries and codes with their vectors → the k nearest of each query in the cell: first those that the codes rank highest, then all that can reach the k-th of these."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            asked, held = batch.column(0)[i].values, batch.column(1)[i].values
+            q_ids, q = asked.field("id").to_numpy(), _matrix(asked.field("vector"), len(asked))
+            ids, v, hidden = held.field("id").to_numpy(), _matrix(held.field("vector"), len(held)), held.field("hidden").to_numpy()
+            codes = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            table = tables(_of_length_one(q) if metric == "cosine" else q, books.value, metric)
+            for first in range(0, len(q), step := max(1, _SUMS // max(1, len(ids)))):
+                part = slice(first, first + step)
+                most = _most(_sums(table[part], codes), table[part], hidden, metric)
+                most[(q_ids[part, None] == ids[None, :]) | ~np.isfinite(most)] = -np.inf
+                some = min(max(64, 4 * k), len(ids))
+                near = np.argpartition(-most, some - 1, axis=1)[:, :some]
+                sure = _scores(q[part], v, np.repeat(np.arange(len(near)), some), near.ravel(), metric).reshape(near.shape)
+                sure[~np.isfinite(np.take_along_axis(most, near, 1))] = -np.inf
+                reach = np.partition(sure, -k, axis=1)[:, -k] if some >= k else np.full(len(near), -np.inf)
+                at, to = np.nonzero((most >= reach[:, None] - 2e-6) & np.isfinite(most))
+                score = _scores(q[part], v, at, to, metric)
+                order = np.lexsort((ids[to], -score, at))
+                at, to, score = at[order], to[order], score[order]
+                yes = np.arange(len(at)) - np.searchsorted(at, at) < k
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[part][at[yes]], pa.int64()), "id": pa.array(ids[to[yes]], pa.int64()), "score": pa.array(score[yes])})
+
+
+def _fitted(rows: DataFrame, parts: int, metric: str) -> Broadcast | None:
+    """Codebooks on a bounded sample of rows (id, vector); none if no row has a code."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vector").toPandas()["vector"]  # a bounded sample: only the codebooks depend on it
     x = np.array(sample.tolist(), np.float64)
     if metric == "cosine" and len(x):
         x = _of_length_one(x)
     x = x[np.isfinite(x).all(1)] if len(x) else x
-    if not len(x):
-        return spark.createDataFrame([], "query_id long, id long")
-    books = spark.sparkContext.broadcast(fit_codebooks(x, min(parts, x.shape[1])))
+    return rows.sparkSession.sparkContext.broadcast(fit_codebooks(x, min(parts, x.shape[1]))) if len(x) else None
+
+
+def _cells(rows: DataFrame, index: DataFrame, codes: int, queries: int) -> DataFrame:
+    """asked, held: every block of about so many queries with every chunk of about so many rows of an index."""
     counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    chunks, blocks = max(1, -(-counts["n"] // CODES)), max(1, -(-counts["q"] // QUERIES))
+    chunks, blocks = max(1, -(-counts["n"] // codes)), max(1, -(-counts["q"] // queries))
     dealt = lambda by, name: F.pmod(F.xxhash64("id"), F.lit(by)).cast("int").alias(name)
-    held = _index(rows, books, metric).groupBy(dealt(chunks, "chunk")).agg(F.collect_list(F.struct("id", "code")).alias("held"))  # about CODES
-    asked = rows.where("is_query").groupBy(dealt(blocks, "block")).agg(F.collect_list(F.struct("id", "vector")).alias("asked"))  # about QUERIES
+    held = index.groupBy(dealt(chunks, "chunk")).agg(F.collect_list(F.struct(*index.columns)).alias("held"))
+    asked = rows.where("is_query").groupBy(dealt(blocks, "block")).agg(F.collect_list(F.struct("id", "vector")).alias("asked"))
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    cells = asked.join(held, "chunk").repartition(min(chunks * blocks, 20_000), "chunk", "block").select("asked", "held")
+    return asked.join(held, "chunk").repartition(min(chunks * blocks, 20_000), "chunk", "block").select("asked", "held")
+
+
+def candidates(vectors: DataFrame, is_query: Column, parts: int, keep: int, metric: str) -> DataFrame:
+    """query_id, id: the `keep` best of each query by its codes. vectors: id, vector, neither null."""
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector", is_query.alias("is_query"))
+    books = _fitted(rows, parts, metric)
+    if books is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long")
+    cells = _cells(rows, _index(rows, books, metric), CODES, QUERIES)
     found = cells.mapInArrow(lambda b: _scan(b, books, metric, keep), "query_id long, id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("_r", best).where(F.col("_r") <= keep).select("query_id", "id")
@@ -159,3 +232,19 @@ def pq_top_k(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 16,
     a, b = F.col("query"), F.col("vector")
     score = arithmetic.cosine(a, b) if metric == "cosine" else -arithmetic.l2(a, b)
     return ranked(full.select("query_id", "id", F.round(score, 6).alias("score")).where("score IS NOT NULL"), k)
+
+
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 16, metric: str = "cosine") -> DataFrame:
+    """query_id, rank, id, score (six places): the rows of retrieval.top_k, with full distances only where the codes leave a doubt.
+
+    A vector is its codewords and what they hide. The length of this is stored with
+    the code and bounds how far the sum of table entries is from the score, so a row
+    whose bound is below the k-th score that was worked out is no result. How many
+    rows remain depends on the vectors. Takes what pq_top_k takes.
+    """
+    rows = vectors.where("id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vector", is_query.alias("is_query"))
+    books = _fitted(rows, parts, metric)
+    if books is None:
+        return ranked(vectors.sparkSession.createDataFrame([], "query_id long, id long, score double"), k)
+    cells = _cells(rows, _index(rows, books, metric, full=True), FULL_CODES, FULL_QUERIES)
+    return ranked(cells.mapInArrow(lambda b: _scan_in_full(b, books, metric, k), "query_id long, id long, score double"), k)

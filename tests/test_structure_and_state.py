@@ -57,6 +57,23 @@ def test_cells_and_odd_vectors(spark, monkeypatch):
     assert quantised.pq_top_k(rows.where("id = 900"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_codes_with_bounds_are_exact(spark, monkeypatch, metric):
+    """Where codes alone miss rows, those that can be nearer by what the codes hide are looked at too; ties, copies and odd vectors as in the exact search."""
+    for name, n in (("FULL_CODES", 700), ("FULL_QUERIES", 30), ("_SUMS", 9000), ("_PAIRS", 500)):
+        monkeypatch.setattr(quantised, name, n)
+    x = np.random.default_rng(5).normal(size=(3000, 24))
+    x[100:140] = x[7]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, [0.0] * 24), (9001, None), (None, [1.0] * 24)]
+    rows = spark.createDataFrame(data, "id long, vector array<double>").repartition(3)
+    asked = F.col("id") % 20 == 0
+    want = sorted(map(tuple, retrieval.top_k(rows, asked, metric=metric).collect()))
+    assert want == sorted(map(tuple, quantised.exact_top_k(rows, asked, parts=6, metric=metric).collect()))
+    assert want != sorted(map(tuple, quantised.pq_top_k(rows, asked, parts=6, share=0.005, metric=metric).collect()))
+    assert quantised.exact_top_k(rows.limit(0), asked).count() == 0
+    assert quantised.exact_top_k(rows.where("id < 3"), F.lit(True), metric=metric).count() == 6
+
+
 # Ordered rules
 
 
