@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.sources.tables import session_folder, spread
-
-#: Bytes of one Arrow batch that Spark hands to Python.
-BATCH_BYTES = 4 << 20
+from quern.sources.tables import BATCH_BYTES, session_folder, small_batches, spread  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,14 +15,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold one Arrow batch to BATCH_BYTES, however long its texts are; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(-?[0-9]+) *([a-z]*)", str(spark.conf.get(key)).lower()).groups()
-    if not 0 < int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit] <= BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share, for as long as the driver runs."""
     return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
