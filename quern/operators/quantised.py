@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as arithmetic
-from quern.operators.retrieval import FIT_ROWS, ranked
+from quern.operators.retrieval import FIT_ROWS, _scores, ranked
 
 #: Codewords of a part: what a byte holds.
 WORDS = 256
@@ -27,8 +27,6 @@ CODES, QUERIES = 1 << 18, 256
 FULL_CODES, FULL_QUERIES = 1 << 14, 2048
 #: Sums that a task holds at once.
 _SUMS = 1 << 21
-#: Full distances that a task works out at once.
-_PAIRS = 1 << 15
 
 
 def _matrix(column: pa.Array, count: int) -> np.ndarray:
@@ -145,15 +143,6 @@ def _most(sums: np.ndarray, table: np.ndarray, hidden: np.ndarray, metric: str)
     return -np.maximum(np.sqrt(np.maximum(-sums - lost, 0)) - hidden[None, :], 0)
 
 
-def _scores(q: np.ndarray, v: np.ndarray, at: np.ndarray, to: np.ndarray, metric: str) -> np.ndarray:
-    """The full scores, to six places, of the pairs q[at], v[to]."""
-    out, lengths = np.empty(len(at)), [np.sqrt((x * x).sum(1)) for x in (q, v)]
-    for i in range(0, len(at), _PAIRS):
-        a, b = at[i : i + _PAIRS], to[i : i + _PAIRS]
-        out[i : i + _PAIRS] = np.einsum("ij,ij->i", q[a], v[b]) / (lengths[0][a] * lengths[1][b]) if metric == "cosine" else -np.sqrt(((q[a] - v[b]) ** 2).sum(1))
-    return np.round(out, 6)
-
-
 def _scan_in_full(batches, books: Broadcast, metric: str, k: int):
     """Cells of queries and codes with their vectors → the k nearest of each query in the cell: first those that the codes rank highest, then all that can reach the k-th of these."""
     for batch in batches:

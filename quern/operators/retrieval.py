@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a block: a task multiplies one block of queries with one of candidates.
 BLOCK = 2048
+#: Components of a block of top_k, at most: the larger the blocks are, the fewer copies of them meet.
+COMPONENTS = 1 << 20
+#: Products that a task holds at once, and pairs whose full scores it works out at once.
+_PRODUCTS, _PAIRS = 1 << 22, 1 << 15
 #: Vectors that the index's centroids are fitted on, by hash of the id.
 FIT_ROWS = 20_000
 
@@ -36,21 +40,59 @@ def similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum(square, 0))
 
 
+def _scores(q: np.ndarray, v: np.ndarray, at: np.ndarray, to: np.ndarray, metric: str) -> np.ndarray:
+    """The scores, to six places, of the pairs q[at], v[to]."""
+    out, lengths = np.empty(len(at)), [np.sqrt((x * x).sum(1)) for x in (q, v)]
+    for i in range(0, len(at), _PAIRS):
+        a, b = at[i : i + _PAIRS], to[i : i + _PAIRS]
+        out[i : i + _PAIRS] = np.einsum("ij,ij->i", q[a], v[b]) / (lengths[0][a] * lengths[1][b]) if metric == "cosine" else -np.sqrt(((q[a] - v[b]) ** 2).sum(1))
+    return np.round(out, 6)
+
+
+def _directed(ids: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids and x by id, without rows that have no score; and what is multiplied: for the cosine x at length one in 32 bits, else x."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = x / np.sqrt((x * x).sum(1, keepdims=True)) if metric == "cosine" else x
+    order = np.argsort(ids, kind="stable")
+    order = order[np.isfinite(unit[order]).all(1)]
+    return ids[order], x[order], unit[order].astype(np.float32 if metric == "cosine" else np.float64)
+
+
 def _best(batches, left: str, right: str, k: int, metric: str):
-    """The k best of each query of a cell; of those that tie with the k-th to six places the smaller ids."""
+    """The k best of each query of a cell; of those that tie with the k-th to six places the smaller ids.
+
+    One product of matrices tells which rows can be among them, as far as its
+    rounding goes; these alone get a full score.
+    """
     for batch in batches:
         q_rows, v_rows = batch.column(batch.schema.get_field_index(left)), batch.column(batch.schema.get_field_index(right))
         for i in range(batch.num_rows):
-            q_ids, q = _matrix(q_rows[i])
-            v_ids, v = _matrix(v_rows[i])
-            order = np.argsort(v_ids, kind="stable")
-            v_ids, v = v_ids[order], v[order]
-            scores = np.round(similarity(q, v, metric), 6)
-            scores[np.isnan(scores) | (q_ids[:, None] == v_ids[None, :])] = -np.inf
-            kth = np.partition(scores, -min(k, len(v_ids)), axis=1)[:, -min(k, len(v_ids))]
-            above, tied = scores > kth[:, None], (scores == kth[:, None]) & np.isfinite(scores)
-            at, to = np.nonzero(above | tied & (tied.cumsum(1) <= k - above.sum(1)[:, None]))
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[at], pa.int64()), "id": pa.array(v_ids[to], pa.int64()), "score": pa.array(scores[at, to])})
+            q_ids, q, a = _directed(*_matrix(q_rows[i]), metric)
+            v_ids, v, b = _directed(*_matrix(v_rows[i]), metric)
+            if not len(q_ids) or not len(v_ids):
+                continue
+            square = [(x * x).sum(1) for x in (q, v)]
+            for first in range(0, len(q), step := max(1, _PRODUCTS // len(v))):
+                part = slice(first, first + step)
+                near = a[part] @ b.T
+                if metric != "cosine":
+                    near *= 2
+                    near -= square[0][part, None]
+                    near -= square[1][None, :]
+                own = np.searchsorted(v_ids, q_ids[part]), np.searchsorted(v_ids, q_ids[part], "right")
+                for row in np.flatnonzero(own[1] > own[0]):
+                    near[row, own[0][row] : own[1][row]] = -np.inf
+                kth = near.max(1) if k == 1 else np.partition(near, -min(k, len(v)), axis=1)[:, -min(k, len(v))]
+                if metric == "cosine":
+                    kth = kth - (2e-6 + 3e-7 * q.shape[1])
+                else:
+                    kth = -((np.sqrt(np.maximum(-kth, 0)) + 2e-6) ** 2) - 1e-12 * (square[0][part] + square[1].max())
+                at, to = np.nonzero(near >= np.maximum(kth, np.finfo(near.dtype).min)[:, None].astype(near.dtype))
+                score = _scores(q[part], v, at, to, metric)
+                order = np.lexsort((v_ids[to], -score, at))
+                at, to, score = at[order], to[order], score[order]
+                yes = np.arange(len(at)) - np.searchsorted(at, at) < k
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[part][at[yes]], pa.int64()), "id": pa.array(v_ids[to[yes]], pa.int64()), "score": pa.array(score[yes])})
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -62,18 +104,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, metric: str = "cosin
     """query_id, rank, id, score (six places): each query's k nearest other vectors, ties to the smaller id.
 
     vectors: id long, vector array of one length. Null ids or vectors and vectors
-    without length (cosine) take no part. Queries and rows are cut into blocks;
-    each pair of blocks is one row of a join on block numbers, multiplied in a
-    task. The work is queries times rows; what moves is rows times blocks of
-    queries.
+    without length (cosine) take no part. Queries and rows are cut into blocks
+    of a bounded number of components; each pair of blocks is one row of a join on
+    block numbers, multiplied in a task. The work is queries times rows; what moves
+    is rows times blocks of queries, and queries times blocks of rows.
     """
     rows = vectors.where("id IS NOT NULL AND vector IS NOT NULL")
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    blocks, chunks = max(1, -(-counts["q"] // BLOCK)), max(1, -(-counts["n"] // BLOCK))
-    queries = _blocked(rows.where(is_query), "block", blocks)
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("vector")).alias("d")).first()
+    most, cores = max(1, COMPONENTS // max(1, counts["d"] or 1)), vectors.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-counts["n"] // most), min(-(-counts["n"] // BLOCK), 2 * cores))
+    blocks = max(1, -(-counts["q"] // most))
+    cells = min(2 * blocks * chunks, 20_000)
+    queries = _blocked(rows.where(is_query), "block", blocks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     candidates = _blocked(rows, "chunk", chunks).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = candidates.join(queries, "block").repartition(min(blocks * chunks, 20_000), "block", "chunk")
-    found = cells.mapInArrow(lambda b: _best(b, "block_rows", "chunk_rows", k, metric), "query_id long, id long, score double")
+    met = candidates.repartition(cells, "block", "chunk").join(queries.repartition(cells, "block", "chunk"), ["block", "chunk"])
+    found = met.mapInArrow(lambda b: _best(b, "block_rows", "chunk_rows", k, metric), "query_id long, id long, score double")
     return ranked(found, k)
 
 

@@ -60,8 +60,9 @@ def test_cells_and_odd_vectors(spark, monkeypatch):
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_codes_with_bounds_are_exact(spark, monkeypatch, metric):
     """Where codes alone miss rows, those that can be nearer by what the codes hide are looked at too; ties, copies and odd vectors as in the exact search."""
-    for name, n in (("FULL_CODES", 700), ("FULL_QUERIES", 30), ("_SUMS", 9000), ("_PAIRS", 500)):
+    for name, n in (("FULL_CODES", 700), ("FULL_QUERIES", 30), ("_SUMS", 9000)):
         monkeypatch.setattr(quantised, name, n)
+    monkeypatch.setattr(retrieval, "_PAIRS", 500)
     x = np.random.default_rng(5).normal(size=(3000, 24))
     x[100:140] = x[7]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, [0.0] * 24), (9001, None), (None, [1.0] * 24)]
@@ -74,6 +75,20 @@ def test_codes_with_bounds_are_exact(spark, monkeypatch, metric):
     assert quantised.exact_top_k(rows.where("id < 3"), F.lit(True), metric=metric).count() == 6
 
 
+def test_exact_search_in_few_blocks(spark, monkeypatch):
+    """Short vectors stand in blocks of many rows, so that few copies of them move; what a task multiplies at once is bounded, and the rows are those of brute force."""
+    made, blocked = [], retrieval._blocked
+    monkeypatch.setattr(retrieval, "_blocked", lambda vectors, block, count: made.append((block, count)) or blocked(vectors, block, count))
+    monkeypatch.setattr(retrieval, "_PRODUCTS", 5000)
+    x = np.random.default_rng(8).normal(size=(4500, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = {r["query_id"]: r["id"] for r in retrieval.top_k(rows, F.lit(True), 1).collect()}
+    near = retrieval.similarity(x, x, "cosine")
+    np.fill_diagonal(near, -2)
+    assert got == dict(enumerate(np.round(near, 6).argmax(1).tolist()))
+    assert dict(made)["block"] == 1
+
+
 # Ordered rules
 
 
