@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import small_batches
+
 #: ASCII letters in lower case, digits and all bytes beyond ASCII; anything else stands between words.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Bytes of a text that are split into words at once.
 _SLICE = 1 << 20
+#: Rows that stand in a dense matrix at once.
+_ROWS = 256
 
 
 def word_counts(text: str | None) -> Counter:
@@ -36,21 +40,24 @@ def word_counts(text: str | None) -> Counter:
 
 
 def hashed_words(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """The other columns of docs, and at array<int> (buckets, ascending), weight array<float> (1 + log of how often their words stand in the text). Null and wordless texts have empty arrays."""
+    """The other columns of docs, and at array<int> (buckets, ascending), weight array<float> (1 + log of how often their words stand in the text). Null and wordless texts have empty arrays. What reads them holds small batches too."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text and c not in ("at", "weight")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ats, weights = [], []
+            at, often, ends = [], [], [0]
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 own: dict[int, int] = {}
                 for word, n in word_counts(t).items():
                     bucket = zlib.crc32(word) % buckets
                     own[bucket] = own.get(bucket, 0) + n
-                at = sorted(own)
-                ats.append(at)
-                weights.append([1 + np.log(own[b]) for b in at])
-            new = [pa.array(ats, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))]
+                held = sorted(own)
+                at += held
+                often += [own[b] for b in held]
+                ends.append(len(at))
+            weight, ends = 1 + np.log(np.array(often, np.float64)), pa.array(ends, pa.int32())
+            new = [pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.float32)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*kept, "at", "weight"])
 
     rows = docs.select(*kept, text)
@@ -78,13 +85,21 @@ def _sparse(batch: pa.RecordBatch, at: int, scale: np.ndarray) -> tuple[np.ndarr
     return row, bucket, value / np.maximum(length, 1e-300)[row]
 
 
-def _times(entries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, matrix: np.ndarray) -> np.ndarray:
-    """The sparse rows times a matrix of buckets x columns, a bounded number of entries at a time."""
+def _dense(entries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, buckets: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """The sparse rows as matrices of some rows x buckets. The entries of a row stand together, a bucket once."""
     row, bucket, value = entries
+    for a in range(0, rows, _ROWS):
+        part = slice(*np.searchsorted(row, (a, a + _ROWS)))
+        out = np.zeros((min(_ROWS, rows - a), buckets))
+        out[row[part] - a, bucket[part]] = value[part]
+        yield slice(a, a + len(out)), out
+
+
+def _times(entries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, matrix: np.ndarray) -> np.ndarray:
+    """The sparse rows times a matrix of buckets x columns, a bounded number of rows at a time."""
     out = np.zeros((rows, matrix.shape[1]))
-    for a in range(0, len(row), 1 << 16):
-        part = slice(a, a + (1 << 16))
-        np.add.at(out, row[part], value[part, None] * matrix[bucket[part]])
+    for part, dense in _dense(entries, rows, len(matrix)):
+        out[part] = dense @ matrix
     return out
 
 
@@ -106,11 +121,8 @@ def _power(features: DataFrame, scale: np.ndarray, basis: np.ndarray) -> np.ndar
         total = np.zeros_like(basis)
         for batch in batches:
             entries = _sparse(batch, 0, scale)
-            met = _times(entries, batch.num_rows, basis)
-            row, bucket, value = entries
-            for a in range(0, len(row), 1 << 16):
-                part = slice(a, a + (1 << 16))
-                np.add.at(total, bucket[part], value[part, None] * met[row[part]])
+            for _, dense in _dense(entries, batch.num_rows, len(basis)):
+                total += dense.T @ (dense @ basis)
         held = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_pydict({"b": pa.array(held, pa.int32()), "v": pa.array(total[held].tolist(), pa.list_(pa.float64()))})
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import hashed
+from quern.operators import guards, hashed
 from quern.sources import tables
 
 
@@ -109,3 +109,21 @@ def test_filled_again(spark, tmp_path):
     assert tables.stored(spark, "again")[1].count() == 147
     spark.sql("DROP TABLE again_documents")
     spark.sql("DROP TABLE again_chunks")
+
+
+def test_models_get_small_batches(spark):
+    """However long the texts are, a model and the hashing of words get few of them at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        rows = spark.range(600, numPartitions=1).select("id", F.when(F.col("id") != 7, F.repeat(F.lit("word "), 20_000)).alias("text"))
+        told = guards.with_model(rows, "text", "n", lambda texts: texts.fillna("").str.len() * 0 + len(texts), "long")
+        assert told.schema["n"].dataType.simpleString() == "bigint" and told.columns == ["id", "text", "n"]
+        found = told.agg(F.max("n").alias("most"), F.count("n").alias("n"), F.count("text").alias("texts")).first()
+        assert found["most"] <= 64 and found["n"] == 600 and found["texts"] == 599
+        spark.conf.set(key, "64m")
+        hashed.hashed_words(rows, "id", "text", 16)
+        assert spark.conf.get(key) == f"{4 << 20}b"
+    finally:
+        spark.conf.set(key, before)
