@@ -104,7 +104,8 @@ def upsert(docs: DataFrame, key: str, text: str, before: str, title: str, name:
     best = Window.partitionBy(key).orderBy(F.desc_nulls_last(text), *[F.col(c) for c in docs.columns if c not in (key, text)])
     new = docs.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
     new = new.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-    touched = [r[0] for r in new.select("part").distinct().collect()]  # at most `parts` numbers
+    keys = docs.select(key).where(F.col(key).isNotNull())  # what is new is told by keys alone: texts are not shuffled for it
+    touched = [r[0] for r in keys.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).distinct().collect()]  # at most `parts` numbers
     chunks = chunk(new, key, text, before, title).select(key, "chunk", F.struct("pos", "title", "n_chars").alias("metadata")).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
     setting = "spark.sql.sources.partitionOverwriteMode"
     kept = spark.conf.get(setting)
@@ -112,7 +113,7 @@ def upsert(docs: DataFrame, key: str, text: str, before: str, title: str, name:
     try:
         for table, rows in (("documents", new.drop(text)), ("chunks", chunks)):
             held = spark.table(f"{name}_{table}")
-            stays = held.where(F.col("part").isin(touched)).join(new.select(key), key, "left_anti")
+            stays = held.where(F.col("part").isin(touched)).join(keys, key, "left_anti")
             # one task a part and bucket, as the files are cut
             stays.select(held.columns).unionByName(rows.select(held.columns)).repartition("part", key).write.mode("overwrite").insertInto(f"{name}_{table}")
     finally:
