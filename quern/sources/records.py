@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import tasks
+
 SPLIT = " — "
 
 
@@ -27,7 +29,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_heads", F.when(F.col("_split") == 0, F.col("_heads")).otherwise(0))
     splits = splits.withColumn("_before", F.coalesce(F.sum(F.col("_n") - F.col("_heads")).over(before), F.lit(0)))
-    lines = lines.join(splits, ["source_file", "_split"])
+    lines = lines.join(F.broadcast(splits), ["source_file", "_split"])  # a row a split: the blocks stay where they are read
     blocks = lines.where((F.col("_row") > F.col("_first")) | (F.col("_heads") == 0))
     line = lambda name: F.regexp_extract("value", rf"(?m)^{name}: ?(.*)$", 1)
     head = F.split(F.regexp_extract("value", r"^(?:### )?([^\n]*)", 1), SPLIT)
@@ -66,15 +68,24 @@ def record_block(company, title, city, url, seen, snippets, tags):
 def write_records(records: DataFrame, path: str, files: int | None = None) -> None:
     """records: block (from record_block). Every file states the number of its blocks in its first line. Null blocks are empty ones; no rows give no file with a count.
 
-    Blocks are dealt to files (as many as shuffle partitions, unless told) by their
-    hash and counted where they are written: one shuffle, and a sort by numbers.
+    Blocks are dealt to files (unless told, as many as shuffle partitions, or more as the
+    tables behind the records grow) by their hash and counted where they are written: one
+    shuffle, and a sort by numbers. What comes before is shuffled in as many parts, so that
+    no task holds more of a larger input.
     """
-    files = files or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, setting = records.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    parts = max(int(before), tasks(records))
+    files = files or parts
     dealt = records.select(F.coalesce("block", F.lit("")).alias("block")).withColumns({"_part": F.pmod(F.xxhash64("block"), F.lit(files)).cast("int"), "_id": F.monotonically_increasing_id()})
     by = Window.partitionBy("_part")
     placed = dealt.repartitionById(files, "_part").withColumns({"_n": F.count("*").over(by), "_place": F.row_number().over(by.orderBy("_id"))})
     value = F.when(F.col("_place") == 1, F.concat(F.lit("Ads collected: "), F.col("_n").cast("string"), F.lit("\n### "), F.col("block"))).otherwise(F.col("block"))
-    placed.select(value.alias("value")).write.option("lineSep", "\n### ").text(path)
+    spark.conf.set(setting, str(parts))
+    try:
+        placed.select(value.alias("value")).write.option("lineSep", "\n### ").text(path)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -15,6 +15,8 @@ from quern.operators.chunking import chunk
 BATCH_BYTES = 4 << 20
 #: Bytes a core below which a table is dealt anew.
 SMALL = 4 << 20
+#: Bytes of the files behind a table for each task that its rows are dealt to.
+TASK = 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -32,6 +34,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL else df
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks to deal rows of this plan to, so that one's share does not grow with the input: one for each TASK bytes of the files that it reads, one a core at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # Spark takes rows of the driver as without end
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-known // TASK))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session without one, as in tests, gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

@@ -106,6 +106,26 @@ def test_places_in_files(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_records_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """More input gives more files and more tasks, not larger ones; the places, counts and first records stay."""
+    rows = spark.range(600).select("id", F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("tag"))
+    rows.write.parquet(f"file://{tmp_path}/in")
+    rows = spark.read.parquet(f"file://{tmp_path}/in")
+    size = sum(os.path.getsize(f"{tmp_path}/in/{f}") for f in os.listdir(tmp_path / "in") if f.endswith(".parquet"))
+    monkeypatch.setattr(tables, "TASK", size // 9, raising=False)
+    none = F.array().cast("array<string>")
+    block = blocks.record_block(F.lit("C"), F.lit("T"), F.lit("X"), F.concat(F.lit("u"), F.col("id").cast("string")), F.lit("2026-01-01").cast("date"), none, F.array("tag"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    blocks.write_records(rows.select(block.alias("block")), f"file://{tmp_path}/out")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert len([f for f in os.listdir(tmp_path / "out") if f.endswith(".txt")]) >= 9
+    read = blocks.read_records(spark, f"file://{tmp_path}/out")
+    placed = sorted((r["source_file"], r["pos"], r["url"], r["tags"][0]) for r in read.collect())
+    assert len({p[2] for p in placed}) == len(placed) == 600
+    got = tally(read, F.col("tags"), F.col("url"), [F.col("source_file"), F.col("pos")])
+    assert {r["tag"]: (r["n"], r["pct"], r["examples"]) for r in got.collect()} == {t: (300, 50.0, [p[2] for p in placed if p[3] == t][:3]) for t in ("t0", "t1")}
+
+
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\nb", "x"), (1, "a\nb", "x"), (2, None, "y")], "id int, t string, lang string")
     tables.write_documents(docs, "id", "t", "\n", "^(.)", f"{tmp_path}/store")
