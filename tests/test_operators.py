@@ -126,6 +126,26 @@ def test_records_are_dealt_by_size(spark, tmp_path, monkeypatch):
     assert {r["tag"]: (r["n"], r["pct"], r["examples"]) for r in got.collect()} == {t: (300, 50.0, [p[2] for p in placed if p[3] == t][:3]) for t in ("t0", "t1")}
 
 
+def _dealt_small(spark, sf, monkeypatch):
+    """The documents of sf, with their size set to be that of nine tasks, and the words that each names."""
+    monkeypatch.setattr(tables, "TASK", os.path.getsize(f"{sf}/documents.parquet") // 9, raising=False)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    named = {}
+    for r in docs.select("doc_id", words.alias("w")).collect():
+        for w in r["w"] or []:
+            named.setdefault(w, set()).add(r["doc_id"])
+    return docs, words, named
+
+
+def test_tally_is_dealt_by_size(spark, sf, monkeypatch):
+    """More input gives more tasks, and repeated documents count once."""
+    docs, words, named = _dealt_small(spark, sf, monkeypatch)
+    got = tally(docs.union(docs.limit(20)), words, F.col("doc_id"), [])
+    assert got.rdd.getNumPartitions() >= 9
+    assert {r["tag"]: (r["n"], r["examples"]) for r in got.collect()} == {w: (len(ids), sorted(ids)[:3]) for w, ids in named.items()}
+
+
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\nb", "x"), (1, "a\nb", "x"), (2, None, "y")], "id int, t string, lang string")
     tables.write_documents(docs, "id", "t", "\n", "^(.)", f"{tmp_path}/store")
