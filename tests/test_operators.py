@@ -146,6 +146,14 @@ def test_tally_is_dealt_by_size(spark, sf, monkeypatch):
     assert {r["tag"]: (r["n"], r["examples"]) for r in got.collect()} == {w: (len(ids), sorted(ids)[:3]) for w, ids in named.items()}
 
 
+def test_tally_lines_are_dealt_by_size(spark, sf, monkeypatch):
+    """The Markdown of a tally is made where its rows are."""
+    _, _, named = _dealt_small(spark, sf, monkeypatch)
+    got = catalog.QUERIES["tally_markdown"](spark, sf)
+    assert got.rdd.getNumPartitions() >= 9
+    assert sorted(r["line"] for r in got.collect()) == sorted(f"| {w} | {len(ids)} | {', '.join(map(str, sorted(ids)[:3]))} |" for w, ids in named.items())
+
+
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\nb", "x"), (1, "a\nb", "x"), (2, None, "y")], "id int, t string, lang string")
     tables.write_documents(docs, "id", "t", "\n", "^(.)", f"{tmp_path}/store")
