@@ -41,5 +41,6 @@ def tally(records: DataFrame, tags: Column, key: Column, order: list[Column], ex
 
 
 def most_named(tallied: DataFrame) -> DataFrame:
-    """A tally in its order: by n descending, then by tag."""
-    return tallied.orderBy(F.desc("n"), F.asc("tag"))
+    """A tally in its order: by n descending, then by tag, cut into ranges for as many tasks as the input's size asks for."""
+    order = [F.desc("n"), F.asc("tag")]
+    return tallied.repartitionByRange(tasks(tallied), *order).sortWithinPartitions(*order)

@@ -154,6 +154,14 @@ def test_tally_lines_are_dealt_by_size(spark, sf, monkeypatch):
     assert sorted(r["line"] for r in got.collect()) == sorted(f"| {w} | {len(ids)} | {', '.join(map(str, sorted(ids)[:3]))} |" for w, ids in named.items())
 
 
+def test_sorted_tally_is_dealt_by_size(spark, sf, monkeypatch):
+    """The order holds over more tasks than there are shuffle partitions."""
+    _, _, named = _dealt_small(spark, sf, monkeypatch)
+    got = catalog.QUERIES["tally_sorted"](spark, sf)
+    assert got.rdd.getNumPartitions() >= 9
+    assert [tuple(r) for r in got.collect()] == sorted(((w, len(ids)) for w, ids in named.items()), key=lambda x: (-x[1], x[0]))
+
+
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\nb", "x"), (1, "a\nb", "x"), (2, None, "y")], "id int, t string, lang string")
     tables.write_documents(docs, "id", "t", "\n", "^(.)", f"{tmp_path}/store")
