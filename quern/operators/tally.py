@@ -7,36 +7,32 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import tasks
 
-#: Slices of the keys, at least, so that a tag that all records name is not one task's.
-SLICES = 16
-
-
 def tally(records: DataFrame, tags: Column, key: Column, order: list[Column], examples: int = 3) -> DataFrame:
     """One row per tag: tag, n (distinct keys that name it), pct of all distinct keys, and the first keys by order.
 
     A key counts once per tag, however often it names it, at its first place in
     the order. Records without tags count in the total. Null keys do not count.
-    The (tag, key) pairs are dealt by tag and slice of keys to as many tasks as the
-    input's size asks for, shuffled once, and counted in their order there, so that a
-    task holds a bounded share of them. What a slice hands on of a tag is its count
-    and first keys, and those of a tag are as many as there are slices.
+    The records are dealt by key to as many tasks as the input's size asks for, and
+    only there they become (tag, key) pairs, which are counted in their order where
+    they are: a task that reads holds no pairs, however large its split is, one that
+    counts a bounded share of them. What it hands on of a tag is its count and first
+    keys, so that a tag that all records name is no task's. Records of one key meet.
     """
     parts = tasks(records)
-    slices = max(SLICES, parts // 2)
     place = F.struct(*order, key.alias("_id")) if order else key
-    keyed = records.select(key.alias("_key"), place.alias("_at"), tags.alias("_tags")).where("_key IS NOT NULL")
-    named = keyed.select("_at", F.explode(F.array_distinct("_tags")).alias("tag"), F.pmod(F.xxhash64("_key"), F.lit(slices)).cast("int").alias("_slice")).where("tag IS NOT NULL")
-    named = named.repartition(parts, "tag", "_slice").withColumn("_key", F.col("_at._id") if order else F.col("_at"))
+    keyed = records.select("*", key.alias("_key")).where("_key IS NOT NULL")
+    dealt = keyed.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int")).repartitionById(parts, "_part")
+    named = dealt.select("_part", "_key", place.alias("_at"), F.explode(F.array_distinct(tags)).alias("tag")).where("tag IS NOT NULL")
     # without an order the key is its own place, and equal places are one key
-    named = named.groupBy("tag", "_slice", "_key").agg(F.min("_at").alias("_at")) if order else named
-    ranked = named.withColumn("_rank", F.dense_rank().over(Window.partitionBy("tag", "_slice").orderBy("_at")))
-    first = [F.max(F.when(F.col("_rank") == i + 1, F.struct("_at", "_key"))) for i in range(examples)]
-    sliced = ranked.groupBy("tag", "_slice").agg(F.max("_rank").cast("long").alias("_n"), F.array_compact(F.array(*first)).alias("_first"))
-    tallied = sliced.repartition(parts, "tag").groupBy("tag").agg(F.sum("_n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("_first"))), 1, examples).alias("_first"))
+    named = named.groupBy("tag", "_part", "_key").agg(F.min("_at").alias("_at")) if order else named
+    ranked = named.select("tag", "_part", "_at", F.dense_rank().over(Window.partitionBy("tag", "_part").orderBy("_at")).alias("_rank"))
+    first = [F.max(F.when(F.col("_rank") == i + 1, F.struct("_at"))) for i in range(examples)]
+    counted = ranked.groupBy("tag", "_part").agg(F.max("_rank").cast("long").alias("_n"), F.array_compact(F.array(*first)).alias("_first"))
+    tallied = counted.repartition(parts, "tag").groupBy("tag").agg(F.sum("_n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("_first"))), 1, examples).alias("_first"))
     total = keyed.select("_key").repartition(parts, "_key").agg(F.countDistinct("_key").alias("_total"))
     return (
         tallied.crossJoin(F.broadcast(total))  # one row
-        .select("tag", "n", F.round(100.0 * F.col("n") / F.col("_total"), 2).alias("pct"), F.transform("_first", lambda x: x["_key"]).alias("examples"))
+        .select("tag", "n", F.round(100.0 * F.col("n") / F.col("_total"), 2).alias("pct"), F.transform("_first", lambda x: x["_at"]["_id"] if order else x["_at"]).alias("examples"))
     )
 
 

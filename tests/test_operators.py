@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import uuid
 
 import pyarrow as pa
 import pytest
@@ -146,6 +147,28 @@ def test_tally_is_dealt_by_size(spark, sf, monkeypatch):
     assert {r["tag"]: (r["n"], r["examples"]) for r in got.collect()} == {w: (len(ids), sorted(ids)[:3]) for w, ids in named.items()}
 
 
+def _read_and_handed_on(spark, got):
+    """Of each stage that reads a table while got is collected: rows read, and rows handed to a shuffle."""
+    sc = spark.sparkContext
+    sc.setJobGroup(uuid.uuid4().hex, "tally")
+    rows, group = got.collect(), sc.getLocalProperty("spark.jobGroup.id")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {i for j in sc.statusTracker().getJobIdsForGroup(group) for i in sc.statusTracker().getJobInfo(j).stageIds}
+    found = [sc._jsc.sc().statusStore().lastStageAttempt(i) for i in stages]
+    return rows, [(x.inputRecords(), x.shuffleWriteRecords()) for x in found if x.inputRecords()]
+
+
+def test_tally_reads_without_pairs(spark, sf):
+    """What reads hands on its records, so that no pairs are held there for a shuffle, whatever the size of a split and the number of tasks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    for order in ([], [F.length("text")]):
+        rows, stages = _read_and_handed_on(spark, tally(docs, words, F.col("doc_id"), order))
+        assert stages and all(out <= read for read, out in stages)
+        assert sum(r["n"] for r in rows) > 50 * docs.count()
+
+
 def test_tally_lines_are_dealt_by_size(spark, sf, monkeypatch):
     """The Markdown of a tally is made where its rows are."""
     _, _, named = _dealt_small(spark, sf, monkeypatch)
