@@ -177,6 +177,13 @@ def test_tally_lines_are_dealt_by_size(spark, sf, monkeypatch):
     assert sorted(r["line"] for r in got.collect()) == sorted(f"| {w} | {len(ids)} | {', '.join(map(str, sorted(ids)[:3]))} |" for w, ids in named.items())
 
 
+def test_tally_lines_read_without_pairs(spark, sf, monkeypatch):
+    """The same holds of the Markdown of a tally, with documents that are not dealt anew before."""
+    monkeypatch.setattr(tables, "SMALL", 0)
+    rows, stages = _read_and_handed_on(spark, catalog.QUERIES["tally_markdown"](spark, sf))
+    assert rows and stages and all(out <= read for read, out in stages)
+
+
 def test_sorted_tally_is_dealt_by_size(spark, sf, monkeypatch):
     """The order holds over more tasks than there are shuffle partitions."""
     _, _, named = _dealt_small(spark, sf, monkeypatch)
