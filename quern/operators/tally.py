@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import tasks
 
+#: Tasks that count pairs, for each that the input's size asks for: pairs take several times the memory of their records.
+COUNTING = 4
+
+
 def tally(records: DataFrame, tags: Column, key: Column, order: list[Column], examples: int = 3) -> DataFrame:
     """One row per tag: tag, n (distinct keys that name it), pct of all distinct keys, and the first keys by order.
 
     A key counts once per tag, however often it names it, at its first place in
     the order. Records without tags count in the total. Null keys do not count.
-    The records are dealt by key to as many tasks as the input's size asks for, and
+    The records are dealt by key to COUNTING times the tasks that the input's size asks for, and
     only there they become (tag, key) pairs, which are counted in their order where
     they are: a task that reads holds no pairs, however large its split is, one that
     counts a bounded share of them. What it hands on of a tag is its count and first
     keys, so that a tag that all records name is no task's. Records of one key meet.
     """
-    parts = tasks(records)
+    parts, counting = tasks(records), tasks(records, COUNTING)
     place = F.struct(*order, key.alias("_id")) if order else key
     keyed = records.select("*", key.alias("_key")).where("_key IS NOT NULL")
-    dealt = keyed.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int")).repartitionById(parts, "_part")
+    dealt = keyed.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(counting)).cast("int")).repartitionById(counting, "_part")
     named = dealt.select("_part", "_key", place.alias("_at"), F.explode(F.array_distinct(tags)).alias("tag")).where("tag IS NOT NULL")
     # without an order the key is its own place, and equal places are one key
     named = named.groupBy("tag", "_part", "_key").agg(F.min("_at").alias("_at")) if order else named

@@ -34,12 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL else df
 
 
-def tasks(df: DataFrame) -> int:
-    """How many tasks to deal rows of this plan to, so that one's share does not grow with the input: one for each TASK bytes of the files that it reads, one a core at least."""
+def tasks(df: DataFrame, each: int = 1) -> int:
+    """How many tasks to deal rows of this plan to, so that one's share does not grow with the input: each (more where rows become many) for TASK bytes of the files that it reads, one a core at least."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(x for x in sizes if x < 1 << 60)  # Spark takes rows of the driver as without end
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-known // TASK))
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-known * each // TASK))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -184,6 +184,19 @@ def test_tally_lines_read_without_pairs(spark, sf, monkeypatch):
     assert rows and stages and all(out <= read for read, out in stages)
 
 
+def test_tally_lines_are_counted_in_small_shares(spark, sf, monkeypatch):
+    """Pairs take several times the memory of their records: they are counted in a quarter of a task's share, and meet in whole ones."""
+    _dealt_small(spark, sf, monkeypatch)
+    got, sc = catalog.QUERIES["tally_markdown"](spark, sf), spark.sparkContext
+    sc.setJobGroup(group := uuid.uuid4().hex, "tally")
+    lines = got.count()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {i for j in sc.statusTracker().getJobIdsForGroup(group) for i in sc.statusTracker().getJobInfo(j).stageIds}
+    assert lines and max(sc._jsc.sc().statusStore().lastStageAttempt(i).numTasks() for i in stages) >= 4 * 9
+    assert 9 <= got.rdd.getNumPartitions() < 4 * 9
+
+
 def test_sorted_tally_is_dealt_by_size(spark, sf, monkeypatch):
     """The order holds over more tasks than there are shuffle partitions."""
     _, _, named = _dealt_small(spark, sf, monkeypatch)
